@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, mixing, pii
+from tessera.llm import chat, minhash, mixing, pii
 from tessera.llm.common import ship, small_batches
 
-QUERIES = {"op2_chat": chat.op2_chat, "op6_mixing": mixing.op6_mixing, "op7_pii": pii.op7_pii}
+QUERIES = {
+    "op2_chat": chat.op2_chat,
+    "op6_mixing": mixing.op6_mixing,
+    "op7_pii": pii.op7_pii,
+    "op8_minhash": minhash.op8_minhash,
+}
 ORACLE_SQL = {"op2_chat": chat.OP2_SQL, "op6_mixing": mixing.OP6_SQL}
 
 
