@@ -6,7 +6,6 @@ dotted quad only at the start of a run of digits, which gives the same leftmost
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from typing import NamedTuple

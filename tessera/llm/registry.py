@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, minhash, mixing, pii
+from tessera.llm import chat, minhash, mixing, pii, substring
 from tessera.llm.common import ship, small_batches
 
 QUERIES = {
     "op2_chat": chat.op2_chat,
+    "op4_substring": substring.op4_substring,
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
     "op8_minhash": minhash.op8_minhash,
