@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import chat, minhash, mixing, pii, substring
+from tessera.llm import ann, chat, minhash, mixing, pii, substring
 from tessera.llm.common import ship, small_batches
 
 QUERIES = {
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
     "op8_minhash": minhash.op8_minhash,
+    "op9_ann": ann.op9_ann,
 }
 ORACLE_SQL = {"op2_chat": chat.OP2_SQL, "op6_mixing": mixing.OP6_SQL}
 
