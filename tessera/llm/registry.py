@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, chat, minhash, mixing, pii, substring
+from tessera.llm import ann, chat, minhash, mixing, pii, quality, substring
 from tessera.llm.common import ship, small_batches
 
 QUERIES = {
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_pii": pii.op7_pii,
     "op8_minhash": minhash.op8_minhash,
     "op9_ann": ann.op9_ann,
+    "op10_quality": quality.op10_quality,
 }
 ORACLE_SQL = {"op2_chat": chat.OP2_SQL, "op6_mixing": mixing.OP6_SQL}
 

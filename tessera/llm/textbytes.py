@@ -19,7 +19,7 @@ _MASK = (1 << 64) - 1
 _BYTE = np.random.default_rng(20240).integers(1, 2**63, 256, dtype=np.uint64) | U(1)
 _powers: dict[str, np.ndarray] = {}
 #: Texts are worked on in pieces of about so many bytes; a longer text is a piece of its own.
-PIECE = 1 << 21
+PIECE = 1 << 20
 
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
