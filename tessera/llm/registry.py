@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, chat, minhash, mixing, pii, quality, substring
+from tessera.llm import ann, chat, minhash, mixing, pii, quality, substring, toxicity
 from tessera.llm.common import ship, small_batches
 
 QUERIES = {
+    "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat": chat.op2_chat,
     "op4_substring": substring.op4_substring,
     "op6_mixing": mixing.op6_mixing,
