@@ -8,7 +8,7 @@ coordinates has at least the concentration of independent minima.
 Documents with equal sets are one class from the start. Classes that agree in all coordinates of a band share a
 bucket. In each bucket the smallest document is tried against the others; then, in buckets whose members are not yet
 in one component, the members outside the bucket's largest component are tried against all others, but for pairs
-that set sizes rule out or whose one-bit sketches put far below the threshold. A pair is a link only if the full sets
+that set sizes rule out or that a finer sketch puts well below the threshold. A pair is a link only if the full sets
 say so. Within a component no further pairs are needed, so a large group of near copies costs a star, not a square.
 """
 
@@ -29,9 +29,9 @@ SHINGLE = 5
 PERCENT = 75
 #: Bands x rows coordinates: a pair at the threshold shares no band with a chance of 5e-6.
 BANDS, ROWS = 32, 4
-#: Two bits of every coordinate in four longs, and how many bits may differ before a pair is not verified: a pair at the
-#: threshold has half of (1 - 0.75) * 256 = 32 expected, with a deviation of 6.3; five of them are allowed above.
-BITS, DIFFER = 256, 64
+#: Coordinates of the finer sketch, one bit of each, and how many bits may differ before a pair is not verified: a pair
+#: at the threshold has 2048 * 0.125 = 256 expected, with a deviation of 15; 4.5 of them are allowed above.
+BITS, DIFFER = 2048, 324
 _U = np.uint64
 
 
@@ -69,14 +69,8 @@ def sketches(g: np.ndarray, at: np.ndarray, t: int, seed: int) -> np.ndarray:
             break
         h = tb.mix(left ^ _U((0x632BE59BD9B4E019 * (seed * 1000 + i + 1)) & (2**64 - 1)))
         bins = (h % _U(t)).astype(np.int64) if i < t else np.full(len(h), i - t)
-        slot = which * t + bins
-        value = tb.mix(h) >> _U(8) | _U(i << 56)  # the round is the high part: an earlier one is smaller
-        order = np.lexsort((value, slot))
-        s, v = slot[order], value[order]
-        first = np.ones(len(s), bool)
-        first[1:] = s[1:] != s[:-1]
-        s, v = s[first], v[first]
-        full[s] = np.minimum(full[s], v)
+        value = tb.mix(h) >> _U(16) | _U(i << 48)  # the round is the high part: an earlier one is smaller
+        np.minimum.at(full, which * t + bins, value)
         done = (full.reshape(n, t)[todo] != most).all(axis=1)
         if done.any():
             todo = todo[~done]
@@ -100,9 +94,6 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in range(ROWS):
                 key = tb.mix(key * _U(0x9E3779B97F4A7C15) + bands[:, :, r])
             key = tb.mix(key + np.arange(1, BANDS + 1, dtype=_U) * _U(0xD1B54A32D192ED03))
-            # two bits of every coordinate
-            bits = np.concatenate([(tb.mix(full) >> _U(s) & _U(1)).astype(np.uint8) for s in range(BITS // t)], axis=1)
-            packed = np.packbits(bits, axis=1).view(np.int64)
             total, mixed = _sums(g, at), _sums(tb.mix(g ^ _U(0xA5A5A5A5A5A5A5A5)), at)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -111,9 +102,8 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(total.view(np.int64)),
                     pa.array(mixed.view(np.int64)),
                     pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * BANDS), pa.array(key.view(np.int64).ravel())),
-                    *(pa.array(np.ascontiguousarray(packed[:, j])) for j in range(4)),
                 ],
-                ["doc_id", "n_shingles", "s1", "s2", "bands", "b0", "b1", "b2", "b3"],
+                ["doc_id", "n_shingles", "s1", "s2", "bands"],
             )
 
 
@@ -131,8 +121,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), sets], ["doc_id", "set"])
 
 
-def _differ() -> Column:
-    return sum((F.bit_count(F.col(f"x.b{j}").bitwiseXOR(F.col(f"y.b{j}"))) for j in range(1, 4)), F.bit_count(F.col("x.b0").bitwiseXOR(F.col("y.b0"))))
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, set) to (doc_id, h0, h1, ...): the finer sketch, 64 bits a column."""
+    for b in batches:
+        for lo in range(0, b.num_rows, 256):
+            sets = b.column("set").slice(lo, 256)
+            at = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))])
+            full = sketches(sets.flatten().to_numpy(zero_copy_only=False).view(_U), at, BITS, 2)
+            packed = np.packbits((tb.mix(full) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, 256), *(pa.array(np.ascontiguousarray(c)) for c in packed.T)], ["doc_id", *_LONGS])
+
+
+_LONGS = [f"h{j}" for j in range(BITS // 64)]
+
+
+def _near() -> Column:
+    """The finer sketches of x and y are close, and the bucket is the first that the two share."""
+    differ = sum((F.bit_count(F.col(f"x.{h}").bitwiseXOR(F.col(f"y.{h}"))) for h in _LONGS[1:]), F.bit_count(F.col("x.h0").bitwiseXOR(F.col("y.h0"))))
+    first = F.array_position(F.zip_with("x.bands", "y.bands", lambda p, q: p == q), True)
+    return (differ <= DIFFER) & (first == F.col("x.k"))
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -152,13 +159,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     with, all are.
     """
     docs = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, b0 long, b1 long, b2 long, b3 long"
+    schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
     signed = written(docs.mapInArrow(_signatures, schema), "signatures")
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     # a class: the documents with one set; the smallest leads
-    columns = ["n_shingles", "bands", "b0", "b1", "b2", "b3"]
+    columns = ["n_shingles", "bands"]
     leaders = written(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("lead"), *(F.first(c).alias(c) for c in columns)), "classes")
-    members = leaders.select(F.explode("bands").alias("band"), "lead", F.col("n_shingles").alias("n"), "b0", "b1", "b2", "b3")
+    members = leaders.select(F.posexplode("bands").alias("k", "band"), "lead", F.col("n_shingles").alias("n"))
     pivots = members.groupBy("band").agg(F.min("lead").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     joined = written(members.join(pivots, "band"), "buckets")
     star = joined.where(F.col("lead") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("lead").alias("b")).distinct()
@@ -171,11 +178,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     placed = joined.join(first.withColumnRenamed("id", "lead"), "lead", "left").withColumn("root", F.coalesce("root", "lead"))
     per = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held"))
     main = per.groupBy("band").agg(F.max(F.struct("held", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    open_ = written(placed.join(main, "band").drop("pivot"), "open")
+    buckets = written(placed.join(main, "band").withColumn("k", F.col("k") + 1).drop("pivot"), "open")
+    ids = buckets.select(F.col("lead").alias("doc_id")).distinct()
+    fine = sets.join(ids, "doc_id", "left_semi").mapInArrow(_fine, ", ".join(["doc_id long", *(f"{h} long" for h in _LONGS)])).withColumnRenamed("doc_id", "lead")
+    fine = written(fine.join(leaders.select("lead", "bands"), "lead"), "fine")
+    open_ = buckets.join(fine, "lead")
     x, y = open_.where(F.col("root") != F.col("main")).alias("x"), open_.alias("y")
-    alike = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root")) & (_differ() <= DIFFER)
+    alike = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
     sizes = (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
-    rest = x.join(y, alike & sizes).select(F.least("x.lead", "y.lead").alias("a"), F.greatest("x.lead", "y.lead").alias("b")).distinct()
+    rest = x.join(y, alike & sizes & _near()).select(F.least("x.lead", "y.lead").alias("a"), F.greatest("x.lead", "y.lead").alias("b")).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
     more = _confirmed(rest, sets)
     roots = components(links.unionByName(more))
