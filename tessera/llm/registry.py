@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, chat, minhash, mixing, pii, quality, substring, toxicity
+from tessera.llm import ann, chat, decontaminate, minhash, mixing, pii, quality, substring, toxicity
 from tessera.llm.common import ship, small_batches
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat": chat.op2_chat,
     "op4_substring": substring.op4_substring,
+    "op5_decontamination": decontaminate.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
     "op7_pii": pii.op7_pii,
     "op8_minhash": minhash.op8_minhash,
