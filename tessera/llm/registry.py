@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, chat, decontaminate, minhash, mixing, pii, quality, substring, toxicity
+from tessera.llm import ann, chat, decontaminate, minhash, mixing, pii, quality, substring, toxicity, warc
 from tessera.llm.common import ship, small_batches
 
 QUERIES = {
     "op1_toxicity": toxicity.op1_toxicity,
     "op2_chat": chat.op2_chat,
+    "op3_warc": warc.op3_warc,
     "op4_substring": substring.op4_substring,
     "op5_decontamination": decontaminate.op5_decontamination,
     "op6_mixing": mixing.op6_mixing,
@@ -16,7 +17,7 @@ QUERIES = {
     "op9_ann": ann.op9_ann,
     "op10_quality": quality.op10_quality,
 }
-ORACLE_SQL = {"op2_chat": chat.OP2_SQL, "op6_mixing": mixing.OP6_SQL}
+ORACLE_SQL = {"op2_chat": chat.OP2_SQL, "op3_warc": warc.OP3_SQL, "op6_mixing": mixing.OP6_SQL}
 
 
 def _ready(query):
