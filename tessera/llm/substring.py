@@ -234,6 +234,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     tag = F.shiftright(F.xxhash64("text"), 37).bitwiseAND(F.lit((1 << 27) - 1))
     rows = docs.select("doc_id", "text", tag.alias("tag"))
     found = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_anchors, "fp long, ph long, doc_id long, at long")
+    found = found.repartition("fp")  # both windows below stay within an anchor
     same = Window.partitionBy("fp", "ph").orderBy("doc_id", "at")
     found = found.withColumn("turn", F.row_number().over(same)).withColumn("first", F.first("doc_id").over(same))
     of = Window.partitionBy("fp")
@@ -245,7 +246,7 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     several = hits.where("contexts > 1")
     of_doc = F.shiftright("at", 36).alias("tag")
     wanted = several.where("leads").groupBy("doc_id", of_doc).agg(F.collect_list(F.struct("fp", "ph", "at", "contexts")).alias("wanted"))
-    told = rows.join(wanted, ["doc_id", "tag"]).select("doc_id", "text", "wanted").dropDuplicates(["doc_id", "text"])
+    told = rows.join(wanted, ["doc_id", "tag"]).select("doc_id", "text", "wanted")
     parts = told.mapInArrow(_references, "route long, fp long, ph long, off int, first long, words array<long>")
     parts = parts.repartition("route").sortWithinPartitions("route")
     answers = written(parts.mapInArrow(_shards, "fp long, ph long, off int, firsts array<long>"), "answers")
