@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import table, written
 
-DEGREE, BEAM, ALPHA = 32, 64, 1.2
+DEGREE, BEAM, ALPHA = 40, 96, 1.2
 #: Points of a shard and queries of a block, at about.
 SHARD_POINTS, BLOCK_QUERIES = 4096, 2048
 #: Beam of a query, and how many of its points are scored exactly.
-SEARCH_BEAM, RESCORED = 128, 24
+SEARCH_BEAM, RESCORED = 256, 24
 _BATCH, _WIDTH = 256, 4
 _SEED = 5
 
