@@ -2,10 +2,660 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import score as S
+from tessera.functions import text as T
+from tessera.operators import bm25, chunk, classify, dedup, fusion, ingest, intent, knn, meta, rewrite, sessions
+from tessera.plans import samples
+from tessera.sources.config import DEFAULT
+from tessera.streaming import status as streams
+
+QUERY = "the error thion the"
+TOKENS_SQL = r"list_filter(list_transform(regexp_split_to_array(text, '[\s[:punct:]]+'), lambda t: lower(trim(t))), lambda t: t <> '')"
+_indexes: dict[tuple, bm25.Index] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents(spark, sf_dir):
+    return table(spark, sf_dir, "documents")
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def values_sql(rows: list[tuple], name: str, columns: str) -> str:
+    lit = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
+    return f"{name}({columns}) AS (VALUES {', '.join('(' + ', '.join(map(lit, r)) + ')' for r in rows)})"
+
+
+def index(spark, sf_dir) -> bm25.Index:
+    """The inverted index of a documents table, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = bm25.Index.build(documents(spark, sf_dir))
+    return _indexes[key]
+
+
+def vectors(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    return rows.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+def asked(spark, sf_dir):
+    """The benchmark's items as queries, with the vector of the same id."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return items.join(vectors(spark, sf_dir).select(F.col("id").alias("qid"), "vector"), "qid")
+
+
+# --- terms and BM25 ---------------------------------------------------------------------------------------------
+
+
+def tokenize_latin(spark, sf_dir):
+    t = T.latin_tokens("text")
+    return documents(spark, sf_dir).select("doc_id", F.size(t).cast("long").alias("tokens"), F.element_at(t, 1).alias("first_token"))
+
+
+def term_freq(spark, sf_dir):
+    return index(spark, sf_dir).postings.select(F.col("id").alias("doc_id"), "term", "tf")
+
+
+def doc_freq(spark, sf_dir):
+    return index(spark, sf_dir).postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def corpus_stats(spark, sf_dir):
+    return index(spark, sf_dir).statistics().select("n", F.round("mean", 6).alias("avgdl"))
+
+
+def bm25_search(spark, sf_dir):
+    found = bm25.search(index(spark, sf_dir), values(spark, [(1, QUERY)], "qid long, query string"), 10, 6)
+    return found.select("qid", F.col("id").alias("doc_id"), "score", "rank")
+
+
+def bm25_multi_query(spark, sf_dir):
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return bm25.search(index(spark, sf_dir), items, 5, 6).select("qid", F.col("id").alias("doc_id"), "score", "rank")
+
+
+def bm25_upsert(spark, sf_dir):
+    new = documents(spark, sf_dir).where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" the error")))
+    found = bm25.search(index(spark, sf_dir).upsert(new), values(spark, [(1, QUERY)], "qid long, query string"), 10, 6)
+    return found.select(F.col("id").alias("doc_id"), "score", "rank")
+
+
+def bm25_delete_prefix(spark, sf_dir):
+    left = index(spark, sf_dir).delete_where(F.col("id").cast("string").startswith("4"))
+    found = bm25.search(left, values(spark, [(1, QUERY)], "qid long, query string"), 10, 6)
+    return found.select(F.col("id").alias("doc_id"), "score", "rank")
+
+
+def bm25_sql(corpus: str = "documents", queries: str = f"SELECT 1 AS qid, '{QUERY}' AS text", k: int = 10, columns: str = "qid, doc_id, score, rank") -> str:
+    return f"""
+WITH c AS (SELECT doc_id, text FROM ({corpus}) WHERE trim(text) <> ''),
+w AS (SELECT doc_id, length(text) AS dl, unnest({TOKENS_SQL}) AS term FROM c),
+p AS (SELECT doc_id, term, count(*) AS tf, min(dl) AS dl FROM w GROUP BY ALL),
+a AS (SELECT qid, unnest({TOKENS_SQL}) AS term FROM ({queries})),
+q AS (SELECT qid, term, count(*) AS qtf FROM a GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p GROUP BY term),
+s AS (SELECT count(*) AS n, avg(length(text)) AS mean FROM c),
+t AS (SELECT qid, doc_id, round(sum(qtf * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / mean))), 6) AS score
+      FROM p JOIN q USING (term) JOIN f USING (term), s GROUP BY qid, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM t)
+SELECT {columns} FROM r WHERE rank <= {k}"""
+
+
+def top_keywords(spark, sf_dir):
+    """Five keywords of each document, by frequency and length, ties by first place."""
+    rows = documents(spark, sf_dir).select("doc_id", F.posexplode(T.useful(F.regexp_extract_all("text", F.lit(T.LATIN_RUN)))).alias("pos", "token"))
+    by = rows.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first"))
+    by = by.withColumn("score", F.round(S.keyword_score(F.col("n"), F.col("token")), 6))
+    ranked = by.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "first")))
+    return ranked.where("rank <= 5").select("doc_id", "token", "n", "rank")
+
+
+# --- vectors and fusion -----------------------------------------------------------------------------------------
+
+
+def vector_knn(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return knn.search(v, v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vector"), 10, digits=6).select("qid", "id", "cosine", "rank")
+
+
+def vector_knn_filtered(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return knn.search(v, v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vector"), 5, F.col("label") == 1, 6).select("qid", "id", "cosine", "rank")
+
+
+def vector_search_by_source(spark, sf_dir):
+    """Nearest documents among those whose source holds a name."""
+    v = vectors(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source"), "id")
+    queries = v.where("id in (0, 1)").select(F.col("id").alias("qid"), "vector")
+    names = values(spark, [(0, "src1"), (1, "src7.pdf")], "qid long, name string")
+    return fusion.by_source(v, queries, names, 5).select("qid", "id", F.round("cosine", 6).alias("cosine"), "rank")
+
+
+def knn_sql(queries: str, k: int, where: str = "true", source: str = "embeddings") -> str:
+    return f"""
+WITH t AS (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine
+           FROM embeddings q JOIN ({source}) e ON {where} WHERE {queries}),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id)::INT AS rank FROM t)
+SELECT qid, id, cosine, rank FROM r WHERE rank <= {k}"""
+
+
+def pairwise_cosine(spark, sf_dir):
+    """Cosine of each vector and the one after it."""
+    v = vectors(spark, sf_dir)
+    both = v.select("id", F.col("vector").alias("a")).join(v.select((F.col("id") - 1).alias("id"), F.col("vector").alias("b")), "id")
+    return both.select("id", F.round(S.cosine(F.col("a"), F.col("b")), 6).alias("cosine"))
+
+
+def rrf_fusion(spark, sf_dir):
+    q = asked(spark, sf_dir)
+    near = knn.search(vectors(spark, sf_dir), q.select("qid", "vector"), 10, digits=6)
+    words = bm25.search(index(spark, sf_dir), q.select("qid", "query"), 10, 6)
+    return fusion.reciprocal_ranks([near, words], None).select("qid", F.col("id").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+
+
+def hybrid_search(spark, sf_dir):
+    found = fusion.hybrid(index(spark, sf_dir), vectors(spark, sf_dir), asked(spark, sf_dir), 10, digits=6)
+    return found.select("qid", F.col("id").alias("doc_id"), F.round("score", 9).alias("score"), "rank")
+
+
+def hybrid_fallback_vector(spark, sf_dir):
+    found = fusion.hybrid(None, vectors(spark, sf_dir), asked(spark, sf_dir), 5, digits=6)
+    return found.select("qid", "id", F.col("score").alias("cosine"), "rank")
+
+
+LEGS_SQL = f"""
+items AS (SELECT item_id AS qid, text, e.embedding FROM benchmark JOIN embeddings e ON e.vec_id = item_id),
+bm AS ({bm25_sql(queries='SELECT qid, text FROM items')}),
+vt AS (SELECT qid, e.vec_id AS doc_id, round(list_cosine_similarity(i.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine FROM items i, embeddings e),
+ve AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, doc_id)::INT AS rank FROM vt) WHERE rank <= 10),
+un AS (SELECT qid, doc_id, 1 / (60.0::DOUBLE + rank) AS s, 0 AS leg FROM ve UNION ALL SELECT qid, doc_id, 1 / (60.0::DOUBLE + rank), 1 FROM bm),
+fu AS (SELECT qid, doc_id, sum(s) AS score, min(leg) AS leg FROM un GROUP BY ALL),
+fr AS (SELECT qid, doc_id, round(score, 9) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, leg, doc_id)::INT AS rank FROM fu)"""
+
+
+def _cascade(spark, sf_dir):
+    q = asked(spark, sf_dir).where("qid < 20")
+    hits = fusion.hybrid(index(spark, sf_dir), vectors(spark, sf_dir), q, 5, digits=6)
+    expansions = knn.search(vectors(spark, sf_dir), q.select("qid", "vector"), 8, digits=6).withColumn("word", F.lit(0))
+    by_file = knn.search(vectors(spark, sf_dir), q.select("qid", "vector"), 3, F.col("label") == 2, 6)
+    excluded = q.select("qid", F.array(F.lit("Shti "), F.lit("%%%")).alias("words"))
+    chunks = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    return fusion.cascade(hits, expansions, by_file, chunks, excluded)
+
+
+def retrieve_cascade(spark, sf_dir):
+    return _cascade(spark, sf_dir).select("qid", F.col("id").alias("doc_id"), "stage", "rank")
+
+
+def build_context(spark, sf_dir):
+    found = fusion.context(_cascade(spark, sf_dir).where("rank <= 3"))
+    return found.select("qid", F.sha2("context", 256).alias("context_sha256"), F.length("context").cast("long").alias("chars"))
+
+
+CASCADE_SQL = f"""
+{LEGS_SQL},
+hb5 AS ({bm25_sql(queries='SELECT qid, text FROM items', k=5)}),
+un5 AS (SELECT qid, doc_id, 1 / (60.0::DOUBLE + rank) AS s, 0 AS leg FROM ve WHERE rank <= 5 UNION ALL SELECT qid, doc_id, 1 / (60.0::DOUBLE + rank), 1 FROM hb5),
+fu5 AS (SELECT qid, doc_id, sum(s) AS score, min(leg) AS leg FROM un5 GROUP BY ALL),
+h AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY round(score, 12) DESC, leg, doc_id)::INT AS rank FROM fu5) WHERE rank <= 5),
+lf AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, doc_id)::INT AS rank FROM vt JOIN embeddings e ON e.vec_id = doc_id WHERE e.label = 2),
+st AS (SELECT qid, doc_id, 1 AS stage, rank::BIGINT AS pos FROM h UNION ALL SELECT qid, doc_id, 2, rank FROM ve WHERE rank <= 8
+       UNION ALL SELECT qid, doc_id, 3, rank FROM lf WHERE rank <= 3),
+tx AS (SELECT st.*, d.text FROM st JOIN documents d USING (doc_id) WHERE qid < 20),
+on1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY stage, pos) AS turn FROM tx) WHERE turn = 1),
+ca AS (SELECT qid, doc_id, stage, text, row_number() OVER (PARTITION BY qid ORDER BY stage, pos)::INT AS rank FROM on1
+       WHERE NOT contains(text, 'Shti ') AND NOT contains(text, '%%%'))"""
+
+
+def exclude_filter(spark, sf_dir):
+    words = F.array(F.lit("error"), F.lit("The "))
+    return fusion.without_excluded(documents(spark, sf_dir).select("doc_id", "text"), words).select("doc_id")
+
+
+def dedup_append(spark, sf_dir):
+    """Two stages of documents, a text once."""
+    d = documents(spark, sf_dir)
+    stage = lambda rows, n: rows.select(F.lit(1).alias("qid"), F.lit(n).alias("stage"), F.col("doc_id").alias("pos"), "doc_id", "text")
+    both = stage(d.where("doc_id % 2 = 1"), 1).unionByName(stage(d, 2))
+    return fusion.first_by_text(both).select("doc_id", "stage")
+
+
+# --- duplicates -------------------------------------------------------------------------------------------------
+
+
+def exact_dedup(spark, sf_dir):
+    return dedup.keep_first(documents(spark, sf_dir))
+
+
+def double_hash_dedup(spark, sf_dir):
+    return dedup.hashed(documents(spark, sf_dir), double=True).select("doc_id", "hash")
+
+
+def hash_semi_join(spark, sf_dir):
+    rows = dedup.hashed(documents(spark, sf_dir).select("doc_id", "text"))
+    return dedup.seen(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")).select("doc_id")
+
+
+def hash_register(spark, sf_dir):
+    rows = dedup.hashed(documents(spark, sf_dir).select("doc_id", "text"))
+    known = rows.where("doc_id % 3 = 0").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+    return dedup.register(known, rows.where("doc_id % 3 <> 0"))
+
+
+# --- texts ------------------------------------------------------------------------------------------------------
+
+
+def content_category(spark, sf_dir):
+    """Category scores of sample texts and of all documents."""
+    rows = values(spark, samples.TEXTS, "doc_id long, text string").unionByName(documents(spark, sf_dir).select("doc_id", "text"))
+    s = classify.category_scores("text")
+    return rows.select("doc_id", *(F.round(s[c], 6).alias(c) for c in ("tech", "legal", "tables")), classify.category("text").alias("category"))
+
+
+CATEGORY_SQL = rf"""
+WITH {values_sql(samples.TEXTS, "v", "doc_id, text")},
+x AS (SELECT doc_id::BIGINT AS doc_id, text, substr(text, 1, 3000) AS s FROM (SELECT * FROM v UNION ALL SELECT doc_id, text FROM documents)),
+c AS (SELECT doc_id, text, len(regexp_extract_all(s, '```[a-zA-Z]*\s*[\s\S]*?```'))::DOUBLE AS fences, len(regexp_extract_all(s, '`[^`]+`'))::DOUBLE AS inline,
+  len(regexp_extract_all(s, '{classify.STATUTE}'))::DOUBLE AS st, len(regexp_extract_all(s, '{classify.CONTRACT}'))::DOUBLE AS ct,
+  len(regexp_extract_all(s, '\b(?:API|SDK|HTTP|JSON|XML|部署|实例|Bucket|Region)\b')) AS words,
+  string_split(regexp_replace(s, '\n+$', ''), chr(10)) AS lines FROM x),
+k AS (SELECT doc_id, text, CASE WHEN fences = 1 AND inline < 2 THEN least(2.0, fences * 3 + inline * 0.5) ELSE least(10.0, fences * 3 + inline * 0.5) END::DOUBLE AS tech,
+  (st * 3 + ct) * CASE WHEN words > 5 THEN 0.5 ELSE 1 END::DOUBLE AS legal,
+  len(list_filter(lines, lambda z: regexp_matches(z, '^\s*\|.*\|\s*$')))::DOUBLE AS rows, len(lines)::DOUBLE AS total FROM c),
+m AS (SELECT doc_id, text, tech, legal, (CASE WHEN rows / total > 0.2 THEN least(10.0::DOUBLE, rows / total * 15) ELSE 0 END + CASE WHEN rows > 10 THEN 2 ELSE 0 END)::DOUBLE AS tables FROM k),
+n AS (SELECT *, greatest(tech, legal, tables) AS top, tech + legal + tables - greatest(tech, legal, tables) - least(tech, legal, tables) AS second FROM m)
+SELECT doc_id, round(tech, 6) AS tech, round(legal, 6) AS legal, round(tables, 6) AS tables,
+  CASE WHEN text IS NULL OR trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' OR top < 2 OR (top - second < 1.5 AND top < 6) THEN 'GENERAL'
+       WHEN tech = top THEN 'TECHNICAL' WHEN legal = top THEN 'LEGAL' ELSE 'TABLE_HEAVY' END AS category FROM n"""
+
+
+def legal_flag(spark, sf_dir):
+    rows = values(spark, samples.TEXTS, "doc_id long, text string").unionByName(documents(spark, sf_dir).select("doc_id", "text"))
+    return rows.select("doc_id", classify.legal_score("text").alias("score"), classify.is_legal("text").alias("legal"))
+
+
+LEGAL_SQL = rf"""
+WITH {values_sql(samples.TEXTS, "v", "doc_id, text")},
+x AS (SELECT doc_id::BIGINT AS doc_id, substr(text, 1, 2000) AS s FROM (SELECT * FROM v UNION ALL SELECT doc_id, text FROM documents)),
+y AS (SELECT doc_id, (CASE WHEN regexp_matches(s, '{classify.LEGAL_STRONG}') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(s, '{classify.LEGAL_MEDIUM}') THEN 2 ELSE 0 END
+  + CASE WHEN regexp_matches(s, '{classify.LEGAL_WEAK}') THEN 1 ELSE 0 END - CASE WHEN regexp_matches(s, '{classify.TECHNICAL_WORDS}') THEN 5 ELSE 0 END
+  - CASE WHEN len(regexp_extract_all(s, '\b(?:API|SDK|HTTP|TCP|JSON|XML|Cloud|Instance)\b')) >= 3 THEN 3 ELSE 0 END)::INT AS score FROM x)
+SELECT doc_id, score, score >= 3 AS legal FROM y"""
+
+
+def clean_html(spark, sf_dir):
+    c = T.clean_parsed("html")
+    return table(spark, sf_dir, "pages").select("page_id", F.length(c).cast("long").alias("chars"), F.sha2(c, 256).alias("text_sha256"))
+
+
+def clean_parser_markdown(spark, sf_dir):
+    return values(spark, samples.MARKDOWN, "id long, text string").select("id", T.clean_markdown("text").alias("clean"))
+
+
+_NAME = F.regexp_extract("url", r"^https?://[^/]+/(.*)$", 1)
+_NAME_SQL = "regexp_extract(url, '^https?://[^/]+/(.*)$', 1)"
+
+
+def file_extension(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.file_extension(_NAME).alias("extension"), T.remove_extension(_NAME).alias("stem"))
+
+
+def sanitize_filename(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.sanitize_filename("url").alias("name"), T.unique_filename(T.sanitize_filename("url"), F.md5("url")).alias("unique_name"))
+
+
+def content_type(spark, sf_dir):
+    """Media type and disposition of names made of the pages' ids and a few extensions."""
+    ends = F.element_at(F.array(*map(F.lit, samples.EXTENSIONS)), (F.col("page_id") % len(samples.EXTENSIONS) + 1).cast("int"))
+    name = F.concat(F.lit("f"), F.col("page_id").cast("string"), ends)
+    return table(spark, sf_dir, "pages").select("page_id", T.content_type(name).alias("content_type"), T.disposition(name).alias("disposition"))
+
+
+def split_source_id(spark, sf_dir):
+    d = documents(spark, sf_dir).withColumn("chunk", F.concat_ws("_", "source", F.lit("v2"), F.col("doc_id").cast("string")))
+    return d.select("doc_id", T.source_of_chunk("chunk").alias("source_id"), F.sha2(T.fusion_key("text", "source"), 256).alias("key_sha256"))
+
+
+def token_counts(spark, sf_dir):
+    latin = F.translate("text", "àâçèéêëîïôùûüäößáíñóúÀÂÇÈÉÊËÎÏÔÙÛÜÄÖÁÍÑÓÚ", "a" * 39)
+    return documents(spark, sf_dir).select("doc_id", T.utf16_length("text").cast("long").alias("utf16"), T.token_count(latin).cast("long").alias("tokens"), T.likely_markdown("text").alias("markdown"))
+
+
+def row_chunks(spark, sf_dir):
+    found = chunk.row_chunks(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", F.col("row").cast("long").alias("row"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def markdown_chunks(spark, sf_dir):
+    docs = values(spark, samples.MARKDOWN, "doc_id long, text string").unionByName(documents(spark, sf_dir).select("doc_id", "text"))
+    return chunk.markdown_chunks(docs)
+
+
+def semantic_chunks(spark, sf_dir):
+    """All documents by the preset that cuts where the meaning shifts."""
+    return chunk.markdown_chunks(documents(spark, sf_dir).select("doc_id", "text", F.lit("LEGAL").alias("category")), joiner=" ")
+
+
+def routed_chunks(spark, sf_dir):
+    kind = F.when(F.col("doc_id") % 5 == 0, "CSV").otherwise("TXT")
+    return chunk.routed_chunks(documents(spark, sf_dir).select("doc_id", "text", kind.alias("format")))
+
+
+def ingest_batch(spark, sf_dir):
+    """Status and number of chunks of all documents after ingestion."""
+    d = documents(spark, sf_dir)
+    parsed = d.select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".csv")).alias("file_name"), F.lit("CSV").alias("format"), "text", F.lit(None).cast("string").alias("error"), F.col("source").alias("category"))
+    out = ingest.ingest(parsed)
+    rows = meta.chunk_counts(out["chunks"].where("prefix = 'ExcelRow'"), "doc_id")
+    return out["documents"].join(rows, "doc_id", "left").select("doc_id", "file_name", "category", "status", F.coalesce("chunks", F.lit(0)).alias("row_chunks"))
+
+
+# --- queries ----------------------------------------------------------------------------------------------------
+
+
+def asked_values(spark):
+    return values(spark, samples.QUERIES, "qid long, query string")
+
+
+def intent_rules(spark, sf_dir):
+    r = intent.rules("query", F.lit(2))
+    return asked_values(spark).select("qid", r["intent"].alias("intent"), r["confidence"].alias("confidence"))
+
+
+def intent_replies(spark, sf_dir):
+    r = intent.parse_reply("reply")
+    rows = values(spark, samples.REPLIES, "qid long, reply string")
+    return rows.select("qid", r["intent"].alias("intent"), r["confidence"].alias("confidence"), F.size(r["alternatives"]).alias("alternatives"), F.array_join(r["hints"], "|").alias("hints"))
+
+
+def exclude_keywords(spark, sf_dir):
+    return asked_values(spark).select("qid", F.array_join(T.exclude_keywords("query"), "|").alias("words"))
+
+
+def filename_extract(spark, sf_dir):
+    name = T.file_name("query")
+    return asked_values(spark).select("qid", name.alias("name"), F.when(name.isNotNull(), T.content_query("query", name)).alias("rest"))
+
+
+def simple_keywords(spark, sf_dir):
+    return asked_values(spark).select("qid", F.array_join(T.simple_keywords("query"), "|").alias("words"))
+
+
+def cjk_tokens(spark, sf_dir):
+    tokens = asked_values(spark).select("qid", F.posexplode(T.cjk_tokens("query")).alias("pos", "token"))
+    return tokens.select("qid", "pos", "token", T.part_of_speech(F.col("token")).alias("tag"))
+
+
+def l2_confidence(spark, sf_dir):
+    rows = values(spark, samples.CONFIDENCES, "id long, keywords int, intent string, hits int, valid int, tokens int")
+    return rows.select("id", S.rewrite_confidence(*map(F.col, ("keywords", "intent", "hits", "valid", "tokens"))).alias("confidence"))
+
+
+def spell_correct_candidates(spark, sf_dir):
+    """Words of the parts' names with one character changed, against the words."""
+    words = table(spark, sf_dir, "part").select(F.explode(T.latin_tokens("p_name")).alias("word")).distinct()
+    dictionary = words.select("word", F.lit(0).alias("place"))
+    wrong = words.where(F.length("word") > 3).select(F.concat(F.substring("word", 1, 2), F.lit("q"), F.substr(F.col("word"), F.lit(4))).alias("token"))
+    return rewrite.spelling(wrong, dictionary)
+
+
+def query_rewrite(spark, sf_dir):
+    return rewrite.rewrite(asked_values(spark), DEFAULT, "FULL")
+
+
+# --- metadata and history ---------------------------------------------------------------------------------------
+
+
+def chat(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations")
+    return c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("id"), F.col("turn").alias("create_time"), "role", F.col("text").alias("content"))
+
+
+def session_list(spark, sf_dir):
+    return sessions.sessions(chat(spark, sf_dir))
+
+
+def history_oldest20(spark, sf_dir):
+    return sessions.memory(chat(spark, sf_dir), 3, latest=False)
+
+
+def history_latest20(spark, sf_dir):
+    return sessions.memory(chat(spark, sf_dir), 3, latest=True)
+
+
+def chat_sources(spark, sf_dir):
+    """Sources of messages, kept as JSON, some of it broken."""
+    info = F.when(F.col("id") % 3 == 0, F.concat(F.lit('["a.md","b_'), F.col("session_id").cast("string"), F.lit('.pdf","a.md"]'))).when(F.col("id") % 3 == 1, "[broken")
+    return sessions.sources(chat(spark, sf_dir).withColumn("source_info", info))
+
+
+def _meta(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    state = F.element_at(F.array(*map(F.lit, ("active", "processing", "failed"))), (F.col("doc_id") % 3 + 1).cast("int"))
+    docs = d.select(F.col("doc_id").alias("document_id"), F.col("source").alias("category"), state.alias("status"), F.concat("source", F.lit(".txt")).alias("file_name"))
+    lines = d.select(F.col("doc_id").alias("document_id"), F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"))
+    return docs, lines
+
+
+def list_documents(spark, sf_dir):
+    return meta.list_documents(*_meta(spark, sf_dir)).select("document_id", "category", "status", "chunks")
+
+
+def category_counts(spark, sf_dir):
+    return meta.category_counts(_meta(spark, sf_dir)[0])
+
+
+def chunk_counts(spark, sf_dir):
+    docs, lines = _meta(spark, sf_dir)
+    return meta.chunk_counts(lines.join(docs.select("document_id", F.col("category").alias("source")), "document_id"), "source")
+
+
+def files_by_category(spark, sf_dir):
+    return meta.by_category(*_meta(spark, sf_dir), "src1").select("document_id", "status", "chunks")
+
+
+def cascade_delete(spark, sf_dir):
+    """What is left after deleting the documents of one source and every fifth one."""
+    docs, lines = _meta(spark, sf_dir)
+    hashes = dedup.hashed(documents(spark, sf_dir)).select(F.col("doc_id").alias("document_id"), "hash")
+    names = docs.select(F.col("category").alias("name")).distinct()
+    t = meta.Tables(docs, lines, hashes, lines.select("document_id", F.explode(T.latin_tokens("text")).alias("term")), names)
+    left = meta.delete_documents(t, docs.where("category = 'src1' or document_id % 5 = 0"))
+    rows = [getattr(left, n).agg(F.lit(n).alias("kind"), F.count(F.lit(1)).alias("n")) for n in ("documents", "chunks", "hashes", "postings", "categories")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def rebuild_numbering(spark, sf_dir):
+    _, lines = _meta(spark, sf_dir)
+    kept = meta.numbered(lines.where(F.length("text") > 20))
+    return kept.select("document_id", "chunk_index", F.col("number").cast("long").alias("number"), "chunk_id")
+
+
+def status_updates(spark, sf_dir):
+    """Documents with the newest of the events of the user of the same number."""
+    docs, _ = _meta(spark, sf_dir)
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("document_id"), F.col("event_type").alias("status"), F.lit(None).cast("string").alias("error_message"), F.struct("ts", "event_id").alias("at"))
+    return meta.with_status(docs, e).select("document_id", "status")
+
+
+# --- streams ----------------------------------------------------------------------------------------------------
+
+
+def _place(spark) -> str:
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
+    return f"{held}/stream-{uuid.uuid4().hex}"
+
+
+def _drained(spark, make, mode):
+    place = _place(spark)
+    return streams.drained(make, "s" + uuid.uuid4().hex, mode, place + "/state", place + "/rows")
+
+
+def status_stream(spark, sf_dir):
+    e = streams.events(spark, f"{sf_dir}/events.parquet")
+    return _drained(spark, streams.latest_status(e), "complete").select("user_id", "status", F.unix_micros("at").alias("at"))
+
+
+def window_stream(spark, sf_dir):
+    e = streams.events(spark, f"{sf_dir}/events.parquet")
+    return _drained(spark, streams.windowed(e, "1 day"), "complete").select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def session_stream(spark, sf_dir):
+    e = streams.events(spark, f"{sf_dir}/events.parquet")
+    return _drained(spark, streams.sessions(e), "complete").select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
+def ttl_dedup_stream(spark, sf_dir):
+    """Events of a user and type, once: the whole table arrives within one run, before the watermark moves."""
+    e = streams.events(spark, f"{sf_dir}/events.parquet")
+    return _drained(spark, streams.first_within(e, ["user_id", "event_type"], lasting="40 days").select("user_id", "event_type"), "append")
+
+
+def ingest_stream(spark, sf_dir):
+    """Documents whose hash isn't among those of even ids, streamed against the table of these."""
+    known = dedup.hashed(documents(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", "text")).select("hash").distinct()
+    rows = spark.readStream.schema(documents(spark, sf_dir).schema)
+    rows = rows.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if not sf_dir.startswith("viewfs") else rows.parquet(f"{sf_dir}/documents.parquet")
+    fresh = dedup.hashed(rows.select("doc_id", "text")).join(known, "hash", "left_anti").select("doc_id", "hash")
+    return _drained(spark, fresh, "append")
+
+
+HASH_SQL = "sha256(text)"
+ORACLE = {
+    "tokenize_latin": f"SELECT doc_id, len({TOKENS_SQL})::BIGINT AS tokens, {TOKENS_SQL}[1] AS first_token FROM documents",
+    "term_freq": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents WHERE trim(text) <> '') GROUP BY ALL",
+    "doc_freq": f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents WHERE trim(text) <> '') GROUP BY ALL",
+    "corpus_stats": "SELECT count(*) AS n, round(avg(length(text)), 6) AS avgdl FROM documents WHERE trim(text) <> ''",
+    "bm25_search": bm25_sql(),
+    "bm25_multi_query": bm25_sql(queries="SELECT item_id AS qid, text FROM benchmark", k=5),
+    "bm25_upsert": bm25_sql("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' the error' ELSE text END AS text FROM documents", columns="doc_id, score, rank"),
+    "bm25_delete_prefix": bm25_sql("SELECT doc_id, text FROM documents WHERE NOT starts_with(doc_id::VARCHAR, '4')", columns="doc_id, score, rank"),
+    "top_keywords": rf"""
+WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_]+'), lambda t: length(t) >= 2 AND lower(t) NOT IN ({", ".join(f"'{w}'" for w in T.STOPWORDS_EN)})) AS t FROM documents),
+e AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM w),
+g AS (SELECT doc_id, token, count(*) AS n, min(pos) AS first, round(count(*) * (1 + length(token) * 0.3::DOUBLE), 6) AS score FROM e GROUP BY doc_id, token),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first)::INT AS rank FROM g)
+SELECT doc_id, token, n, rank FROM r WHERE rank <= 5""",
+    "vector_knn": knn_sql("q.vec_id % 100 = 0", 10),
+    "vector_knn_filtered": knn_sql("q.vec_id % 100 = 0", 5, "e.label = 1"),
+    "vector_search_by_source": knn_sql("q.vec_id IN (0, 1)", 5, "contains(e.source, CASE q.vec_id WHEN 0 THEN 'src1' ELSE 'src7' END)", "SELECT vec_id, embedding, source FROM embeddings JOIN documents ON doc_id = vec_id"),
+    "pairwise_cosine": "SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "rrf_fusion": f"WITH {LEGS_SQL} SELECT * FROM fr",
+    "hybrid_search": f"WITH {LEGS_SQL} SELECT * FROM fr WHERE rank <= 10",
+    "hybrid_fallback_vector": f"WITH {LEGS_SQL} SELECT qid, doc_id AS id, cosine, rank FROM ve WHERE rank <= 5",
+    "retrieve_cascade": f"WITH {CASCADE_SQL} SELECT qid, doc_id, stage, rank FROM ca",
+    "build_context": f"""WITH {CASCADE_SQL}, b AS (SELECT qid, string_agg('【片段' || rank || '】' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank) AS c FROM ca WHERE rank <= 3 GROUP BY qid)
+SELECT qid, sha256(c) AS context_sha256, length(c) AS chars FROM b""",
+    "exclude_filter": "SELECT doc_id FROM documents WHERE NOT contains(text, 'error') AND NOT contains(text, 'The ')",
+    "dedup_append": """WITH u AS (SELECT doc_id, text, 1 AS stage FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, text, 2 FROM documents)
+SELECT doc_id, stage FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY stage, doc_id) AS turn FROM u) WHERE turn = 1""",
+    "exact_dedup": f"SELECT {HASH_SQL} AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
+    "double_hash_dedup": "SELECT doc_id, sha256(sha256(text)) AS hash FROM documents",
+    "hash_semi_join": "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 2 = 1)",
+    "hash_register": f"""WITH k AS (SELECT {HASH_SQL} AS hash, min(doc_id) AS doc_id FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+SELECT hash, doc_id FROM k UNION ALL SELECT {HASH_SQL}, min(doc_id) FROM documents WHERE doc_id % 3 <> 0 AND {HASH_SQL} NOT IN (SELECT hash FROM k) GROUP BY 1""",
+    "content_category": CATEGORY_SQL,
+    "legal_flag": LEGAL_SQL,
+    "clean_html": r"""WITH c AS (SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '【[^】]*】', ' ', 'g'), '[\t\f\r ]+', ' ', 'g'), ' ' || chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM pages)
+SELECT page_id, length(t) AS chars, sha256(t) AS text_sha256 FROM c""",
+    "file_extension": rf"SELECT page_id, lower(regexp_extract(n, '^.+\.([^.]+)$', 1)) AS extension, regexp_replace(n, '^(.+)\.[^.]*$', '\1') AS stem FROM (SELECT page_id, {_NAME_SQL} AS n FROM pages)",
+    "sanitize_filename": r"""WITH s AS (SELECT page_id, url, CASE WHEN url IS NULL OR url = '' THEN 'unknown.txt' ELSE regexp_replace(replace(url, '..', '_'), '[/\\]', '_', 'g') END AS name FROM pages)
+SELECT page_id, name, substr(md5(url), 1, 8) || '_' || name AS unique_name FROM s""",
+    "content_type": f"""WITH n AS (SELECT page_id, [{", ".join(f"'{e}'" for e in samples.EXTENSIONS)}][(page_id % {len(samples.EXTENSIONS)} + 1)::INT] AS e FROM pages)
+SELECT page_id, CASE lower(e) WHEN '.pdf' THEN 'application/pdf' WHEN '.png' THEN 'image/png' WHEN '.jpg' THEN 'image/jpeg' WHEN '.jpeg' THEN 'image/jpeg' WHEN '.gif' THEN 'image/gif'
+  WHEN '.bmp' THEN 'image/bmp' WHEN '.txt' THEN 'text/plain; charset=UTF-8' WHEN '.md' THEN 'text/markdown; charset=UTF-8' ELSE 'application/octet-stream' END AS content_type,
+  CASE WHEN lower(e) IN ('.pdf', '.png', '.jpg', '.jpeg', '.gif', '.bmp') THEN 'inline' ELSE 'attachment' END AS disposition FROM n""",
+    "split_source_id": "SELECT doc_id, source || '_v2' AS source_id, sha256(substr(text, 1, 100) || '|' || coalesce(source, 'unknown')) AS key_sha256 FROM documents",
+    "token_counts": r"""SELECT doc_id, length(text) AS utf16, len(regexp_extract_all(translate(text, 'àâçèéêëîïôùûüäößáíñóúÀÂÇÈÉÊËÎÏÔÙÛÜÄÖÁÍÑÓÚ', repeat('a', 39)), '\w+|[^\w\s]'))::BIGINT AS tokens,
+  length(text) >= 10 AND len(list_filter(string_split(text, chr(10)), lambda z: regexp_matches(z, '^(#{1,6}\s+.+|\s*\|.*\|\s*)$'))) > 0 AS markdown FROM documents""",
+    "row_chunks": r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n+$', ''), chr(10)) AS x FROM documents),
+e AS (SELECT doc_id, trim(x[1]) AS head, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS row FROM l WHERE len(x) > 1)
+SELECT doc_id, row, sha256(head || chr(10) || trim(line)) AS text_sha256 FROM e WHERE row > 0 AND trim(line) <> ''""",
+    "ingest_batch": r"""WITH d AS (SELECT doc_id, source, text, min(doc_id) OVER (PARTITION BY text) AS first FROM documents),
+l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n+$', ''), chr(10))[2:]) AS line FROM d WHERE doc_id = first),
+c AS (SELECT doc_id, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1)
+SELECT d.doc_id, source || '_' || d.doc_id || '.csv' AS file_name, source AS category, CASE WHEN trim(text) = '' THEN 'failed' WHEN d.doc_id = first THEN 'active' ELSE 'duplicate' END AS status, coalesce(n, 0) AS row_chunks
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id""",
+    "intent_rules": f"""WITH {values_sql(samples.QUERIES, "v", "qid, query")}, q AS (SELECT qid::BIGINT AS qid, trim(query) AS q FROM v),
+i AS (SELECT qid, CASE WHEN q IS NULL OR q = '' THEN ['AMBIGUOUS', '0.0'] WHEN regexp_matches(q, '{"|".join(intent.DEFINITIONAL)}') THEN ['DEFINITIONAL', '0.9']
+  WHEN regexp_matches(q, '{"|".join(intent.PROCEDURAL)}') THEN ['PROCEDURAL', '0.9']
+  WHEN regexp_matches(q, '{"|".join(intent.COMPARISON)}') OR regexp_matches(q, '(?s)^[^和]*[一-龥][^和]*和.*[一-龥]') OR regexp_matches(q, '(?s)^[^与]*[一-龥][^与]*与.*[一-龥]') THEN ['COMPARISON', '0.9']
+  WHEN regexp_matches(q, '{"|".join(intent.FACTUAL)}') THEN ['FACTUAL', '0.8']
+  WHEN ({" + ".join(f"len(regexp_extract_all(q, '{p}')) * {len(p)}" for p in intent.PRONOUNS)}) / length(q) > 0.3 THEN ['AMBIGUOUS', '0.3'] ELSE ['FACTUAL', '0.6'] END AS r FROM q)
+SELECT qid, r[1] AS intent, r[2]::DOUBLE AS confidence FROM i""",
+    "exclude_keywords": rf"""WITH {values_sql(samples.QUERIES, "v", "qid, query")},
+p AS (SELECT qid::BIGINT AS qid, list_filter(flatten(list_transform(flatten(list_transform(regexp_extract_all(query, '{T.EXCLUDE}', 1), lambda g: regexp_split_to_array(g, '{T.EXCLUDE_SEPARATORS}'))), lambda g: regexp_split_to_array(g, '{T.EXCLUDE_PARTICLES}'))), lambda z: length(z) >= 2) AS w FROM v)
+SELECT qid, array_to_string(w, '|') AS words FROM p""",
+    "l2_confidence": f"""WITH {values_sql(samples.CONFIDENCES, "v", "id, keywords, intent, hits, valid, tokens")}
+SELECT id::BIGINT AS id, floor((CASE WHEN keywords >= 3 THEN 1.0::DOUBLE WHEN keywords = 2 THEN 0.6::DOUBLE WHEN keywords = 1 THEN 0.3::DOUBLE ELSE 0::DOUBLE END * 0.3::DOUBLE
+  + CASE WHEN intent = 'AMBIGUOUS' THEN 0::DOUBLE ELSE 1::DOUBLE END * 0.3::DOUBLE + coalesce(hits::DOUBLE / nullif(keywords, 0), 0) * 0.2::DOUBLE + coalesce(valid::DOUBLE / nullif(tokens, 0), 0) * 0.2::DOUBLE) * 100 + 0.5) / 100.0::DOUBLE AS confidence FROM v""",
+    "spell_correct_candidates": f"""WITH w AS (SELECT DISTINCT unnest({TOKENS_SQL.replace("text", "p_name", 1)}) AS word FROM part), t AS (SELECT DISTINCT substr(word, 1, 2) || 'q' || substr(word, 4) AS token FROM w WHERE length(word) > 3)
+SELECT token, min(word) AS word FROM t JOIN w ON levenshtein(token, word) <= 1 WHERE token NOT IN (SELECT word FROM w) GROUP BY token""",
+    "session_list": """WITH s AS (SELECT conv_id AS session_id, max(turn) AS last_active, arg_max(text, turn) AS c FROM conversations GROUP BY 1)
+SELECT session_id, last_active, CASE WHEN c IS NULL THEN '空会话' WHEN length(c) > 20 THEN substr(c, 1, 20) || '...' ELSE c END AS preview FROM s ORDER BY last_active DESC, session_id LIMIT 50""",
+    "history_oldest20": """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn)::INT AS place, CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'ai' END AS role, content
+FROM (SELECT conv_id AS session_id, turn, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 3""",
+    "history_latest20": """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn)::INT AS place, CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'ai' END AS role, content
+FROM (SELECT conv_id AS session_id, turn, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3""",
+    "chat_sources": "SELECT conv_id AS session_id, turn AS id, unnest(['a.md', 'b_' || conv_id || '.pdf']) AS source FROM conversations WHERE turn % 3 = 0",
+    "list_documents": """SELECT d.doc_id AS document_id, source AS category, ['active', 'processing', 'failed'][(d.doc_id % 3 + 1)::INT] AS status, len(string_split(text, chr(10)))::BIGINT AS chunks FROM documents d""",
+    "category_counts": "SELECT source AS category, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1",
+    "chunk_counts": "SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS chunks FROM documents GROUP BY 1",
+    "files_by_category": "SELECT doc_id AS document_id, ['active', 'processing'][(doc_id % 3 + 1)::INT] AS status, len(string_split(text, chr(10)))::BIGINT AS chunks FROM documents WHERE source = 'src1' AND doc_id % 3 < 2",
+    "cascade_delete": f"""WITH l AS (SELECT * FROM documents WHERE source <> 'src1' AND doc_id % 5 <> 0), x AS (SELECT unnest(string_split(text, chr(10))) AS text FROM l)
+SELECT 'documents' AS kind, count(*) AS n FROM l UNION ALL SELECT 'chunks', count(*) FROM x UNION ALL SELECT 'hashes', count(*) FROM l
+UNION ALL SELECT 'postings', coalesce(sum(len({TOKENS_SQL})), 0)::BIGINT FROM x
+UNION ALL SELECT 'categories', count(DISTINCT source) FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source = 'src1' OR doc_id % 5 = 0) OR source IN (SELECT source FROM l WHERE doc_id % 3 < 2)""",
+    "rebuild_numbering": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), e AS (SELECT doc_id, unnest(x) AS t, (generate_subscripts(x, 1) - 1)::INT AS i FROM l)
+SELECT doc_id AS document_id, i AS chunk_index, n AS number, doc_id || '_' || n AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM e WHERE length(t) > 20)""",
+    "status_updates": """WITH e AS (SELECT user_id, arg_max(event_type, struct_pack(ts, event_id)) AS s FROM events GROUP BY 1)
+SELECT doc_id AS document_id, coalesce(s, ['active', 'processing', 'failed'][(doc_id % 3 + 1)::INT]) AS status FROM documents LEFT JOIN e ON user_id = doc_id""",
+    "status_stream": "SELECT user_id, arg_max(event_type, struct_pack(ts, event_id)) AS status, epoch_us(max(ts)) AS at FROM events GROUP BY 1",
+    "window_stream": "SELECT epoch(date_trunc('day', ts))::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "session_stream": """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS s FROM o)
+SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM g GROUP BY user_id, s""",
+    "ttl_dedup_stream": "SELECT DISTINCT user_id, event_type FROM events",
+    "ingest_stream": f"SELECT doc_id, {HASH_SQL} AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+}
+NAMES = [*ORACLE, "clean_parser_markdown", "markdown_chunks", "semantic_chunks", "routed_chunks", "intent_replies", "filename_extract", "simple_keywords", "cjk_tokens", "query_rewrite"]
+
+
+def _ready(query):
+    """Python workers find the library where the driver found it."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        import os
+        from pathlib import Path
+
+        root, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
+        held = env.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+        if root not in held.split(os.pathsep):
+            env["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
+        return query(spark, sf_dir)
+
+    return run
+
 
 def queries():
-    return {}
+    return {name: _ready(globals()[name]) for name in NAMES}
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLE)
