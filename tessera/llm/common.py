@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -42,11 +44,12 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let go of the shuffle files of finished jobs, whose results have been written: they would else stay on disk
-    until the driver happens to collect its garbage."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    until the driver happens to collect its garbage. What listeners still hold is free only after they have had their
+    turn, so this looks twice."""
+    for pause in (0.3, 1.0):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(pause)
 
 
 def ship(spark: SparkSession) -> None:

@@ -1,0 +1,61 @@
+import random
+import re
+
+from tessera.llm import pii
+
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(d):
+    total = 0
+    for i, c in enumerate(reversed(d)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 * (x > 9)
+    return total % 10 == 0
+
+
+def plain(text):
+    out = [("email", *m.span()) for m in EMAIL.finditer(text)]
+    out += [("ip", *m.span()) for m in IP.finditer(text) if all(int(p) <= 255 for p in m.group().split("."))]
+    for m in CARD.finditer(text):
+        d = re.sub("[^0-9]", "", m.group())
+        if 12 <= len(d) <= 19 and luhn(d):
+            out.append(("card", *m.span()))
+    out += [("phone", *m.span()) for m in PHONE.finditer(text) if 9 <= len(re.sub("[^0-9]", "", m.group())) <= 15]
+    return sorted(out, key=lambda s: (s[1], pii.ORDER[s[0]]))
+
+
+def test_base_kinds_against_plain_patterns():
+    r = random.Random(4)
+    pieces = ["a", "b.c", "@", "x@y", "@z.com", "k.l@m-n.o.p", "..", "+1 (555) 010-9999", "+", "4111 1111 1111 1111", "4111-1111-1111-1112", "10.0.0.1", "256.1.1.1", "1.2.3.4.5.6.7.8", "0010.1.1.255", "999", " ", "-", ".", "é", "😀", "%", "_", "\n", "+49.30.1234567"]
+    for _ in range(20_000):
+        text = "".join(r.choice(pieces) for _ in range(r.randint(0, 12)))
+        got = [(s.kind, s.start, s.end) for s in pii.find(text) if s.kind in pii.BASE]
+        assert got == plain(text), text
+
+
+def test_checksums_and_context():
+    assert [s.kind for s in pii.find("pay to GB82 WEST 1234 5698 7654 32 now")] == ["iban"]
+    assert pii.find("pay to GB82 WEST 1234 5698 7654 33 now") == []
+    assert pii.find("number 123-45-6789") == [] and [s.kind for s in pii.find("SSN 123-45-6789")] == ["ssn"]
+    a, b = pii.find("x 4111111111111111")[0], pii.find("card 4111111111111111")[0]
+    assert b.score > a.score and a.kind == b.kind == "card"
+    assert pii.mod97("DE89370400440532013000") and not pii.luhn("4111111111111112")
+
+
+def test_long_texts_take_linear_time():
+    for text in ("a" * 300_000, "1" * 300_000, "a@" * 100_000, "+1" + "(" * 200_000, "1." * 100_000, "a." * 100_000 + "@", "A" * 200_000):
+        pii.find(text)
+
+
+def test_rows(spark):
+    rows = [(1, "mail a@b.co", 3), (1, "mail a@b.co", 3), (None, None, 3), (2, "", 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = sorted(((r.doc_id, len(r.spans)) for r in pii.detect(df).collect()), key=str)
+    assert got == sorted([(1, 1), (1, 1), (None, 0), (2, 0)], key=str)
+    clean = sorted(((r.doc_id, r.text, r.n_chars) for r in pii.redact(df).collect()), key=str)
+    assert clean == sorted([(1, "mail [EMAIL]", 12), (1, "mail [EMAIL]", 12), (None, None, None), (2, "", 0)], key=str)
+    assert pii.detect(df.limit(0)).collect() == []
