@@ -28,6 +28,9 @@ ROWS, BYTES = 1500, 32 << 20
 TERMS, VOTERS = 400, 120
 #: Lengths in bytes of the word stems that are tried.
 STEMS = (4, 5, 6, 7, 8, 10)
+#: Voters depend on each other if they share this part of their information given the class: what they share less of
+#: is agreement on the class, which isn't known well when the dependencies are found.
+DEPENDS = 0.6
 #: How far a known label is believed.
 LABEL_ACCURACY = 0.97
 
@@ -105,7 +108,7 @@ def _suggested(texts: pa.Array, y: np.ndarray) -> np.ndarray:
     gain = a * np.log(p1 / p) + b * np.log(p0 / p) + (n1 - a) * np.log((1 - p1) / (1 - p)) + (n0 - b) * np.log((1 - p0) / (1 - p))
     gain[(p1 <= p0) | (n < 4)] = 0
     best = np.argsort(-gain, kind="stable")[:TERMS]
-    return ids[best[gain[best] > 0]]
+    return ids[best[gain[best] > np.log(len(ids))]]  # more than chance gives the best of so many terms
 
 
 def _patterns(texts: pa.Array, insults: set[str]) -> np.ndarray:
@@ -131,12 +134,11 @@ class LabelModel:
         v = votes.astype(np.float64)
         seen = np.where(known < 0, 0.0, np.where(known == 1, log_odds(LABEL_ACCURACY), -log_odds(LABEL_ACCURACY)))
         q = 1 / (1 + np.exp(-(log_odds(prior) + seen + 2 * (v.sum(axis=1) > 0) - 1)))
-        self.parent = np.full(m, -1)
+        # the dependencies come first: voters that echo each other would else be taken for the class
+        self.parent = self._tree(v, q)
         for k in range(rounds):
-            if k == 3:
-                self.parent = self._tree(v, q)
             rate = self._rates(v, q)
-            logit = np.full(n, log_odds(float(np.clip(q.mean(), 0.01, 0.99)))) + seen
+            logit = np.full(n, log_odds(prior)) + seen
             for j in range(m):
                 given = votes[:, self.parent[j]].astype(int) if self.parent[j] >= 0 else 0
                 p1, p0 = rate[1, j][given], rate[0, j][given]
@@ -165,11 +167,13 @@ class LabelModel:
     def _tree(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
         """Maximum spanning tree of the voters' mutual information given the class (Prim)."""
         m = v.shape[1]
-        info = np.zeros((m, m))
+        info, entropy = np.zeros((m, m)), np.zeros(m)
         for weight in (1 - q, q):
             total = weight.sum() + 1e-9
             on = weight @ v / total
             both = (v * weight[:, None]).T @ v / total
+            p = np.clip(on, 1e-12, 1 - 1e-12)
+            entropy -= total / len(q) * (p * np.log(p) + (1 - p) * np.log(1 - p))
             for a, b in ((1, 1), (1, 0), (0, 1), (0, 0)):
                 pa_, pb = (on if a else 1 - on)[:, None], (on if b else 1 - on)[None, :]
                 joint = {(1, 1): both, (1, 0): on[:, None] - both, (0, 1): on[None, :] - both, (0, 0): 1 - on[:, None] - on[None, :] + both}[a, b]
@@ -184,7 +188,7 @@ class LabelModel:
             for _ in range(m - 1):
                 j = int(np.argmax(np.where(inside, -np.inf, best)))
                 inside[j] = True
-                if best[j] > 0.002:
+                if best[j] > DEPENDS * min(entropy[j], entropy[via[j]]) + 0.002:
                     parent[j] = via[j]
                 nearer = info[j] > best
                 best[nearer], via[nearer] = info[j][nearer], j
@@ -210,16 +214,16 @@ class Model:
         return np.concatenate(out)
 
 
-def _linear(x: np.ndarray, q: np.ndarray, penalty: float = 1.0, rounds: int = 15) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by Newton steps."""
+def _linear(x: np.ndarray, q: np.ndarray, weight: np.ndarray, penalty: float = 0.3, rounds: int = 20) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels and weighted rows by Newton steps."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(x.shape[1])
     ridge = np.full(len(w), penalty)
     ridge[-1] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
-        step = np.linalg.solve(h, x.T @ (q - p) - ridge * w)
+        h = (x * (weight * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge)
+        step = np.linalg.solve(h, x.T @ (weight * (q - p)) - ridge * w)
         w += step
         if np.abs(step).max() < 1e-5:
             break
@@ -242,8 +246,8 @@ def train(texts: pa.Array, y: np.ndarray, share: float) -> Model:
     votes = np.column_stack([*votes, _patterns(texts, {x for k in ("insult", "contempt", "profanity") for x in LEXICONS[k].split()})])
     votes = votes[:, votes.any(axis=0)]
     q = LabelModel().fit(votes, float(y.mean()), y) if votes.shape[1] else y * 0.9 + 0.05
-    w, bias = _linear(_inputs(counts, words), q)
-    return Model(counter, w, bias + log_odds(share) - log_odds(float(y.mean())))
+    mine = float(np.clip(y.mean(), 0.001, 0.999))
+    return Model(counter, *_linear(_inputs(counts, words), q, np.where(y == 1, share / mine, (1 - share) / (1 - mine))))
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
