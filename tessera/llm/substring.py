@@ -15,14 +15,16 @@ every shard, so automata are built of what can match and only the text that may
    13 words by suffix links, and each window gets the smallest document it starts in. Anchors with very many contents
    are split by window content, so no shard grows with the corpus.
 
-Passages are rows of word hashes (64 bits), so an anchor in a third of all documents costs small rows, split and
-pre-aggregated by Spark's sorts, which spill.
+A passage counts once a document, however often it repeats there. What is shared is found by sums that are
+pre-aggregated before the shuffle (per anchor, then per content) and joined back, so an anchor in a third of all
+documents is split like any skewed join, and no task holds all rows of one anchor.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -119,6 +121,11 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             w = tb.words(b.column("text").slice(lo, hi - lo))
             h = w.hashes()
             start, count, fp, ph = passages(h, w.doc)
+            order = np.lexsort((ph, w.doc[start]))
+            new = np.ones(len(order), bool)
+            new[1:] = (ph[order][1:] != ph[order][:-1]) | (w.doc[start[order]][1:] != w.doc[start[order]][:-1])
+            one = order[new]
+            start, count, fp, ph = start[one], count[one], fp[one], ph[one]
             doc = w.doc[start]
             pos = start - tb.firsts(w.doc, w.n)[doc]
             at = tags[lo + doc] << 36 | pos << 4 | count
@@ -154,29 +161,41 @@ def passages(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
 
 
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted) to the wanted passages as word hashes: (route, fp, ph, offset, first, words)."""
+    """(doc_id, text, wanted) to the wanted passages as word hashes: (route, fp, ph, off, first, words)."""
     for b in batches:
-        texts, wanted, ids = b.column("text"), b.column("wanted").to_pylist(), b.column("doc_id").to_pylist()
-        for lo, hi in tb.pieces(texts):
-            w = tb.words(texts.slice(lo, hi - lo))
-            h = w.hashes().view(np.int64)
-            at = tb.firsts(w.doc, w.n)
-            rows: list[tuple] = []
-            for d in range(hi - lo):
-                for r in wanted[lo + d]:
-                    start, count = int(at[d] + (r["at"] >> 4 & 0xFFFFFFFF)), r["at"] & 15
-                    if r["contexts"] <= MANY:
-                        rows.append((r["fp"], r["fp"], r["ph"], 0, ids[lo + d], h[start : start + count + WINDOW - 1]))
-                    else:
-                        for j in range(count):
-                            own = h[start + j : start + j + WINDOW]
-                            rows.append((int(tb.grams(own.view(_U), WINDOW).view(np.int64)[0]), r["fp"], r["ph"], j, ids[lo + d], own))
-            for k in range(0, len(rows), 20_000):
-                part = rows[k : k + 20_000]
-                lengths = np.cumsum([0, *(len(r[5]) for r in part)]).astype(np.int32)
-                words = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate([r[5] for r in part])))
-                cols = [pa.array([r[i] for r in part], pa.int32() if i == 3 else pa.int64()) for i in range(5)]
-                yield pa.RecordBatch.from_arrays([*cols, words], ["route", "fp", "ph", "off", "first", "words"])
+        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+        for lo, hi in tb.pieces(b.column("text")):
+            w = tb.words(b.column("text").slice(lo, hi - lo))
+            h = w.hashes()
+            wanted = b.column("wanted").slice(lo, hi - lo)
+            doc = np.repeat(np.arange(hi - lo), wanted.value_lengths().to_numpy(zero_copy_only=False))
+            fp, ph, at, contexts = (x.to_numpy(zero_copy_only=False) for x in wanted.flatten().flatten())
+            start, count = tb.firsts(w.doc, w.n)[doc] + (at >> 4 & 0xFFFFFFFF), at & 15
+            many = contexts > MANY
+            # whole passages, and those of anchors with many contents window by window
+            one, each = np.flatnonzero(~many), np.repeat(np.flatnonzero(many), count[many])
+            off = np.concatenate([np.zeros(len(one), np.int64), _steps(count[many])])
+            row = np.concatenate([one, each])
+            size = np.where(many[row], WINDOW, count[row] + WINDOW - 1)
+            first = start[row] + off
+            for k in range(0, len(row), 20_000):
+                part = slice(k, k + 20_000)
+                words = h[np.repeat(first[part], size[part]) + _steps(size[part])]
+                ends = np.concatenate([[0], np.cumsum(size[part])])
+                route = np.where(many[row[part]], _first_grams(words, ends), fp[row[part]])
+                cols = [pa.array(route), pa.array(fp[row[part]]), pa.array(ph[row[part]]), pa.array(off[part], pa.int32()), pa.array(ids[lo + doc[row[part]]])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))], ["route", "fp", "ph", "off", "first", "words"])
+
+
+def _steps(count: np.ndarray) -> np.ndarray:
+    """0, 1, ... below each count."""
+    return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+
+
+def _first_grams(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the first window of each run."""
+    g = tb.grams(words, WINDOW)
+    return g[ends[:-1]].view(np.int64) if len(g) else np.zeros(len(ends) - 1, np.int64)
 
 
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,22 +225,37 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, gone) to what is left of each text."""
     for b in batches:
-        n_words, n_removed, kept = [], [], []
-        for text, gone in zip(b.column("text").to_pylist(), b.column("gone").to_pylist(), strict=True):
-            words = _WORD.findall(text or "")
-            n_words.append(len(words))
-            if gone:
-                out = np.zeros(len(words) + 1, np.int32)
-                code = np.array(gone, np.int64)
-                for j in range(SPAN):
-                    start = (code >> 16)[(code >> j & 1) > 0] + j
-                    np.add.at(out, start, 1)
-                    np.add.at(out, start + WINDOW, -1)
-                stays = np.cumsum(out[:-1]) == 0
-                words = [words[i] for i in np.flatnonzero(stays)]
-            n_removed.append(n_words[-1] - len(words))
-            kept.append(" ".join(words))
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+        for lo, hi in tb.pieces(b.column("text")):
+            texts, gone = b.column("text").slice(lo, hi - lo), b.column("gone").slice(lo, hi - lo)
+            w = tb.words(texts)
+            at = tb.firsts(w.doc, w.n)
+            counts = gone.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            cover = np.zeros(len(w.doc), np.int64)
+            if counts.any():
+                start, _, _, ph = passages(w.hashes(), w.doc)
+                code = gone.flatten().to_numpy(zero_copy_only=False)
+                key = _of_document(code, np.repeat(np.arange(hi - lo), counts))
+                order = np.argsort(key, kind="stable")
+                key, first = np.unique(key[order], return_index=True)  # one content may come in several rows
+                bits = np.bitwise_or.reduceat(code[order] & ((1 << SPAN) - 1), first)
+                own = _of_document(ph.view(np.int64), w.doc[start])
+                near = np.minimum(np.searchsorted(key, own), len(key) - 1)
+                bits = np.where(key[near] == own, bits[near], 0)
+                begin = np.concatenate([start[bits >> j & 1 > 0] + j for j in range(SPAN)])
+                edges = np.bincount(begin, minlength=len(cover) + WINDOW) - np.bincount(begin + WINDOW, minlength=len(cover) + WINDOW)[: len(cover) + WINDOW]
+                cover = np.cumsum(edges)[: len(cover)]
+            stays = cover == 0
+            removed = np.diff(np.concatenate([[0], np.cumsum(~stays)])[at])
+            kept = []
+            for d, text in enumerate(texts.to_pylist()):
+                words = _WORD.findall(text or "")
+                kept.append(" ".join(compress(words, stays[at[d] : at[d + 1]].tolist()) if removed[d] else words))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(removed), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+
+
+def _of_document(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """A content's hash, but for the bits that tell its windows, as one of a document's."""
+    return tb.mix((content >> SPAN).astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15) + doc.astype(_U))
 
 
 def remove_repeated(docs: DataFrame) -> DataFrame:
@@ -234,30 +268,27 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     tag = F.shiftright(F.xxhash64("text"), 37).bitwiseAND(F.lit((1 << 27) - 1))
     rows = docs.select("doc_id", "text", tag.alias("tag"))
     found = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_anchors, "fp long, ph long, doc_id long, at long")
-    found = found.repartition("fp")  # both windows below stay within an anchor
-    same = Window.partitionBy("fp", "ph").orderBy("doc_id", "at")
-    found = found.withColumn("turn", F.row_number().over(same)).withColumn("first", F.first("doc_id").over(same))
-    of = Window.partitionBy("fp")
-    found = found.withColumns({"lo": F.min("doc_id").over(of), "hi": F.max("doc_id").over(of), "contexts": F.sum((F.col("turn") == 1).cast("long")).over(of)})
-    alone = F.col("contexts") == 1
-    hits = found.where((F.col("lo") < F.col("hi")) & (~alone | (F.col("first") < F.col("doc_id"))))
-    hits = written(hits.select("fp", "ph", "doc_id", "at", (F.col("turn") == 1).alias("leads"), "contexts"), "hits")
+    shared = found.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp")
+    hits = written(found.join(shared, "fp"), "hits")
     release(docs.sparkSession)
-    several = hits.where("contexts > 1")
+    contents = hits.groupBy("fp", "ph").agg(F.min(F.struct("doc_id", "at")).alias("first"))
+    contents = written(contents.select("fp", "ph", "first.doc_id", "first.at"), "contents")
+    many = contents.groupBy("fp").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+    several = contents.join(many, "fp")
     of_doc = F.shiftright("at", 36).alias("tag")
-    wanted = several.where("leads").groupBy("doc_id", of_doc).agg(F.collect_list(F.struct("fp", "ph", "at", "contexts")).alias("wanted"))
+    wanted = several.groupBy("doc_id", of_doc).agg(F.collect_list(F.struct("fp", "ph", "at", "contexts")).alias("wanted"))
     told = rows.join(wanted, ["doc_id", "tag"]).select("doc_id", "text", "wanted")
     parts = told.mapInArrow(_references, "route long, fp long, ph long, off int, first long, words array<long>")
     parts = parts.repartition("route").sortWithinPartitions("route")
     answers = written(parts.mapInArrow(_shards, "fp long, ph long, off int, firsts array<long>"), "answers")
     release(docs.sparkSession)
+    plain = contents.join(many, "fp", "left_anti").select("fp", "ph", F.lit(0).alias("off"), F.array_repeat("doc_id", F.col("at").bitwiseAND(F.lit(15)).cast("int")).alias("firsts"))
     bit = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
     bits = F.call_function("shiftleft", F.aggregate(bit, F.lit(0), lambda a, x: a + x), F.col("off")).cast("long")
-    place = F.shiftleft(F.shiftright("at", 4).bitwiseAND(F.lit(0xFFFFFFFF)), 16)
-    joined = several.join(answers, ["fp", "ph"]).select("doc_id", of_doc, bits.alias("bits"), place.alias("place")).where("bits > 0")
-    plain = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(F.lit(15)).cast("int")) - 1
-    single = hits.where("contexts = 1").select("doc_id", of_doc, plain.alias("bits"), place.alias("place"))
-    gone = joined.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list(F.col("place") + F.col("bits")).alias("gone"))
+    judged = hits.join(answers.unionByName(plain), ["fp", "ph"]).select("doc_id", of_doc, "ph", bits.alias("bits")).where("bits > 0")
+    # the content's hash, but for its low bits, which tell the windows that go
+    code = F.shiftleft(F.shiftright("ph", SPAN), SPAN) + F.col("bits")
+    gone = judged.groupBy("doc_id", "tag").agg(F.collect_list(code).alias("gone"))
     whole = rows.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "gone")
     return whole.mapInArrow(_left, "doc_id long, n_words long, n_removed long, kept string")
 
