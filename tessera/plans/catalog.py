@@ -304,12 +304,15 @@ def clean_parser_markdown(spark, sf_dir):
     return values(spark, samples.MARKDOWN, "id long, text string").select("id", T.clean_markdown("text").alias("clean"))
 
 
-_NAME = F.regexp_extract("url", r"^https?://[^/]+/(.*)$", 1)
+def _name():
+    return F.regexp_extract("url", r"^https?://[^/]+/(.*)$", 1)
+
+
 _NAME_SQL = "regexp_extract(url, '^https?://[^/]+/(.*)$', 1)"
 
 
 def file_extension(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.file_extension(_NAME).alias("extension"), T.remove_extension(_NAME).alias("stem"))
+    return table(spark, sf_dir, "pages").select("page_id", T.file_extension(_name()).alias("extension"), T.remove_extension(_name()).alias("stem"))
 
 
 def sanitize_filename(spark, sf_dir):
