@@ -60,17 +60,10 @@ def cascade(hits: DataFrame, expansions: DataFrame, by_file: DataFrame, chunks:
 def by_source(vectors: DataFrame, queries: DataFrame, names: DataFrame, k: int = 20) -> DataFrame:
     """Nearest rows among those whose source holds the file name asked for (qid, name); for a query without any, again
     without the extension."""
-    def within(wanted: DataFrame) -> DataFrame:
-        out = None
-        for (name,) in wanted.select("name").distinct().toLocalIterator():
-            own = queries.join(F.broadcast(wanted.where(F.col("name") == name).select("qid")), "qid", "left_semi")
-            found = knn.search(vectors, own, k, F.contains(F.col("source"), F.lit(name)))
-            out = found if out is None else out.unionByName(found)
-        return out if out is not None else queries.sparkSession.createDataFrame([], "qid long, id long, cosine double, score double, rank int")
-
-    exact = within(names)
+    columns = ["qid", "vector", "name"]
+    exact = knn.search(vectors, queries.select("qid", "vector").join(names, "qid").select(columns), k)
     rest = names.join(exact.select("qid").distinct(), "qid", "left_anti").withColumn("name", T.remove_extension("name"))
-    return exact.unionByName(within(rest))
+    return exact.unionByName(knn.search(vectors, queries.select("qid", "vector").join(rest, "qid").select(columns), k))
 
 
 def context(rows: DataFrame, file: str | None = None) -> DataFrame:

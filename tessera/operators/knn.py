@@ -17,22 +17,24 @@ from pyspark.sql import functions as F
 BLOCK = 4096
 
 
-def _best(k: int, ids: np.ndarray, queries: np.ndarray):
+def _best(k: int, ids: np.ndarray, queries: np.ndarray, names: list[str] | None):
     norms = np.linalg.norm(queries, axis=1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(i, v) for i, v in zip(b.column("id").to_pylist(), b.column("vector").to_pylist(), strict=True) if i is not None and v and len(v) == queries.shape[1] and None not in v]
+            sources = b.column("source").to_pylist() if names else [None] * b.num_rows
+            rows = [r for r in zip(b.column("id").to_pylist(), b.column("vector").to_pylist(), sources, strict=True) if r[0] is not None and r[1] and len(r[1]) == queries.shape[1] and None not in r[1]]
             if not rows:
                 continue
-            own, m = np.array([i for i, _ in rows]), np.array([v for _, v in rows], np.float64)
+            own, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
+            places = {n: np.array([n in (r[2] or "") for r in rows]) for n in set(names or ())}
             lengths = np.linalg.norm(m, axis=1)[:, None] * norms[None, :]
             cosine = np.divide(m @ queries.T, lengths, out=np.zeros((len(m), len(queries))), where=lengths > 0)
             out = []
             for j in range(len(queries)):
-                c = cosine[:, j]
+                c = np.where(places[names[j]], cosine[:, j], -np.inf) if names else cosine[:, j]
                 near = np.argpartition(-c, k - 1)[:k] if len(c) > k else np.arange(len(c))
-                near = np.flatnonzero(c >= c[near].min() - 1e-9)  # all that tie with the last
+                near = np.flatnonzero((c >= c[near].min() - 1e-9) & (c > -np.inf))  # all that tie with the last
                 out.append((np.full(len(near), ids[j]), own[near], c[near]))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["qid", "id", "cosine"])
 
@@ -41,15 +43,18 @@ def _best(k: int, ids: np.ndarray, queries: np.ndarray):
 
 def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, digits: int | None = None) -> DataFrame:
     """(id long, vector, ...) and (qid long, vector) to (qid, id, cosine, score, rank): the k rows of largest cosine of
-    those ``where`` admits, ties by id; score is (1 + cosine) / 2. Zero vectors have cosine 0; null ones take no part."""
-    rows = (vectors if where is None else vectors.where(where)).select(F.col("id").cast("long"), "vector")
-    asked = queries.where(F.col("qid").isNotNull() & (F.size("vector") > 0)).select(F.col("qid").cast("long"), "vector")
+    those ``where`` admits, ties by id; score is (1 + cosine) / 2. Zero vectors have cosine 0; null ones take no part.
+    If queries have a ``name``, only rows whose ``source`` holds it count for them."""
+    named = "name" in queries.columns
+    rows = (vectors if where is None else vectors.where(where)).select(F.col("id").cast("long"), "vector", *["source"] * named)
+    asked = queries.where(F.col("qid").isNotNull() & (F.size("vector") > 0)).select(F.col("qid").cast("long"), "vector", *["name"] * named)
+    asked = asked.where(F.col("name").isNotNull()) if named else asked
     out, blocks = None, max(1, -(-asked.count() // BLOCK))
     for block in range(blocks):
         part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("qid").collect() if blocks > 1 else asked.orderBy("qid").collect()
         for dim in sorted({len(r["vector"]) for r in part}):
             own = [r for r in part if len(r["vector"]) == dim]
-            run = _best(k, np.array([r["qid"] for r in own], np.int64), np.array([r["vector"] for r in own], np.float64))
+            run = _best(k, np.array([r["qid"] for r in own], np.int64), np.array([r["vector"] for r in own], np.float64), [r["name"] for r in own] if named else None)
             found = rows.mapInArrow(run, "qid long, id long, cosine double")
             out = found if out is None else out.unionByName(found)
     if out is None:
