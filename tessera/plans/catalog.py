@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera import api
 from tessera.functions import score as S
 from tessera.functions import text as T
 from tessera.operators import bm25, chunk, classify, dedup, fusion, ingest, intent, knn, meta, rewrite, sessions
@@ -87,7 +88,7 @@ def bm25_multi_query(spark, sf_dir):
 
 
 def bm25_upsert(spark, sf_dir):
-    new = documents(spark, sf_dir).where("doc_id % 10 = 0").withColumn("text", F.concat("text", F.lit(" the error")))
+    new = documents(spark, sf_dir).where("source = 'src1'").withColumn("text", F.concat("text", F.lit(" the error")))
     found = bm25.search(index(spark, sf_dir).upsert(new), values(spark, [(1, QUERY)], "qid long, query string"), 10, 6)
     return found.select(F.col("id").alias("doc_id"), "score", "rank")
 
@@ -126,27 +127,25 @@ def top_keywords(spark, sf_dir):
 
 
 def vector_knn(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return knn.search(v, v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vector"), 10, digits=6).select("qid", "id", "cosine", "rank")
+    return knn.search(vectors(spark, sf_dir), asked(spark, sf_dir).select("qid", "vector"), 10, digits=6).select("qid", "id", "cosine", "rank")
 
 
 def vector_knn_filtered(spark, sf_dir):
-    v = vectors(spark, sf_dir)
-    return knn.search(v, v.where("id % 100 = 0").select(F.col("id").alias("qid"), "vector"), 5, F.col("label") == 1, 6).select("qid", "id", "cosine", "rank")
+    return knn.search(vectors(spark, sf_dir), asked(spark, sf_dir).select("qid", "vector"), 5, F.col("label") == 1, 6).select("qid", "id", "cosine", "rank")
 
 
 def vector_search_by_source(spark, sf_dir):
     """Nearest documents among those whose source holds a name."""
     v = vectors(spark, sf_dir).join(documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "source"), "id")
-    queries = v.where("id in (0, 1)").select(F.col("id").alias("qid"), "vector")
-    names = values(spark, [(0, "src1"), (1, "src7.pdf")], "qid long, name string")
-    return fusion.by_source(v, queries, names, 5).select("qid", "id", F.round("cosine", 6).alias("cosine"), "rank")
+    queries = asked(spark, sf_dir)
+    name = F.concat(F.lit("src"), (F.col("qid") % 10).cast("string"), F.when(F.col("qid") % 2 == 0, ".pdf").otherwise(""))
+    return fusion.by_source(v, queries, queries.select("qid", name.alias("name")), 5).select("qid", "id", F.round("cosine", 6).alias("cosine"), "rank")
 
 
-def knn_sql(queries: str, k: int, where: str = "true", source: str = "embeddings") -> str:
+def knn_sql(k: int, where: str = "true", source: str = "embeddings") -> str:
     return f"""
 WITH t AS (SELECT q.vec_id AS qid, e.vec_id AS id, round(list_cosine_similarity(q.embedding::DOUBLE[], e.embedding::DOUBLE[]), 6) AS cosine
-           FROM embeddings q JOIN ({source}) e ON {where} WHERE {queries}),
+           FROM embeddings q JOIN ({source}) e ON {where} WHERE q.vec_id IN (SELECT item_id FROM benchmark)),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, id)::INT AS rank FROM t)
 SELECT qid, id, cosine, rank FROM r WHERE rank <= {k}"""
 
@@ -186,7 +185,7 @@ fr AS (SELECT qid, doc_id, round(score, 9) AS score, row_number() OVER (PARTITIO
 
 
 def _cascade(spark, sf_dir):
-    q = asked(spark, sf_dir).where("qid < 20")
+    q = asked(spark, sf_dir)
     hits = fusion.hybrid(index(spark, sf_dir), vectors(spark, sf_dir), q, 5, digits=6)
     expansions = knn.search(vectors(spark, sf_dir), q.select("qid", "vector"), 8, digits=6).withColumn("word", F.lit(0))
     by_file = knn.search(vectors(spark, sf_dir), q.select("qid", "vector"), 3, F.col("label") == 2, 6)
@@ -213,7 +212,7 @@ h AS (SELECT * FROM (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORD
 lf AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY cosine DESC, doc_id)::INT AS rank FROM vt JOIN embeddings e ON e.vec_id = doc_id WHERE e.label = 2),
 st AS (SELECT qid, doc_id, 1 AS stage, rank::BIGINT AS pos FROM h UNION ALL SELECT qid, doc_id, 2, rank FROM ve WHERE rank <= 8
        UNION ALL SELECT qid, doc_id, 3, rank FROM lf WHERE rank <= 3),
-tx AS (SELECT st.*, d.text FROM st JOIN documents d USING (doc_id) WHERE qid < 20),
+tx AS (SELECT st.*, d.text FROM st JOIN documents d USING (doc_id)),
 on1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, text ORDER BY stage, pos) AS turn FROM tx) WHERE turn = 1),
 ca AS (SELECT qid, doc_id, stage, text, row_number() OVER (PARTITION BY qid ORDER BY stage, pos)::INT AS rank FROM on1
        WHERE NOT contains(text, 'Shti ') AND NOT contains(text, '%%%'))"""
@@ -228,7 +227,7 @@ def dedup_append(spark, sf_dir):
     """Two stages of documents, a text once."""
     d = documents(spark, sf_dir)
     stage = lambda rows, n: rows.select(F.lit(1).alias("qid"), F.lit(n).alias("stage"), F.col("doc_id").alias("pos"), "doc_id", "text")
-    both = stage(d.where("doc_id % 2 = 1"), 1).unionByName(stage(d, 2))
+    both = stage(d.where("lang = 'en'"), 1).unionByName(stage(d, 2))
     return fusion.first_by_text(both).select("doc_id", "stage")
 
 
@@ -244,14 +243,14 @@ def double_hash_dedup(spark, sf_dir):
 
 
 def hash_semi_join(spark, sf_dir):
-    rows = dedup.hashed(documents(spark, sf_dir).select("doc_id", "text"))
-    return dedup.seen(rows.where("doc_id % 2 = 0"), rows.where("doc_id % 2 = 1")).select("doc_id")
+    rows = dedup.hashed(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    return dedup.seen(rows.where("source <> 'src0'"), rows.where("source = 'src0'")).select("doc_id")
 
 
 def hash_register(spark, sf_dir):
-    rows = dedup.hashed(documents(spark, sf_dir).select("doc_id", "text"))
-    known = rows.where("doc_id % 3 = 0").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
-    return dedup.register(known, rows.where("doc_id % 3 <> 0"))
+    rows = dedup.hashed(documents(spark, sf_dir).select("doc_id", "text", "source"))
+    known = rows.where("source = 'src0'").groupBy("hash").agg(F.min("doc_id").alias("doc_id"))
+    return dedup.register(known, rows.where("source <> 'src0'"))
 
 
 # --- texts ------------------------------------------------------------------------------------------------------
@@ -418,6 +417,13 @@ def query_rewrite(spark, sf_dir):
     return rewrite.rewrite(asked_values(spark), DEFAULT, "FULL")
 
 
+def retrieve_text(spark, sf_dir):
+    """The benchmark's items as questions, rewritten and sent through the whole cascade over all documents."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return api.retrieve(api.Corpus.of(rows), items, 5).select("qid", F.col("id").alias("doc_id"), "stage", "rank")
+
+
 # --- metadata and history ---------------------------------------------------------------------------------------
 
 
@@ -431,11 +437,11 @@ def session_list(spark, sf_dir):
 
 
 def history_oldest20(spark, sf_dir):
-    return sessions.memory(chat(spark, sf_dir), 3, latest=False)
+    return sessions.memory(chat(spark, sf_dir), latest=False)
 
 
 def history_latest20(spark, sf_dir):
-    return sessions.memory(chat(spark, sf_dir), 3, latest=True)
+    return sessions.memory(chat(spark, sf_dir), latest=True)
 
 
 def chat_sources(spark, sf_dir):
@@ -470,12 +476,12 @@ def files_by_category(spark, sf_dir):
 
 
 def cascade_delete(spark, sf_dir):
-    """What is left after deleting the documents of one source and every fifth one."""
+    """What is left after deleting the documents of two sources."""
     docs, lines = _meta(spark, sf_dir)
     hashes = dedup.hashed(documents(spark, sf_dir)).select(F.col("doc_id").alias("document_id"), "hash")
     names = docs.select(F.col("category").alias("name")).distinct()
     t = meta.Tables(docs, lines, hashes, lines.select("document_id", F.explode(T.latin_tokens("text")).alias("term")), names)
-    left = meta.delete_documents(t, docs.where("category = 'src1' or document_id % 5 = 0"))
+    left = meta.delete_documents(t, docs.where("category IN ('src1', 'src7')"))
     rows = [getattr(left, n).agg(F.lit(n).alias("kind"), F.count(F.lit(1)).alias("n")) for n in ("documents", "chunks", "hashes", "postings", "categories")]
     out = rows[0]
     for r in rows[1:]:
@@ -531,8 +537,8 @@ def ttl_dedup_stream(spark, sf_dir):
 
 
 def ingest_stream(spark, sf_dir):
-    """Documents whose hash isn't among those of even ids, streamed against the table of these."""
-    known = dedup.hashed(documents(spark, sf_dir).where("doc_id % 2 = 0").select("doc_id", "text")).select("hash").distinct()
+    """Documents whose hash isn't among those of one source, streamed against the table of these."""
+    known = dedup.hashed(documents(spark, sf_dir).where("source = 'src0'").select("doc_id", "text")).select("hash").distinct()
     rows = spark.readStream.schema(documents(spark, sf_dir).schema)
     rows = rows.option("pathGlobFilter", "documents.parquet").parquet(sf_dir) if not sf_dir.startswith("viewfs") else rows.parquet(f"{sf_dir}/documents.parquet")
     fresh = dedup.hashed(rows.select("doc_id", "text")).join(known, "hash", "left_anti").select("doc_id", "hash")
@@ -547,7 +553,7 @@ ORACLE = {
     "corpus_stats": "SELECT count(*) AS n, round(avg(length(text)), 6) AS avgdl FROM documents WHERE trim(text) <> ''",
     "bm25_search": bm25_sql(),
     "bm25_multi_query": bm25_sql(queries="SELECT item_id AS qid, text FROM benchmark", k=5),
-    "bm25_upsert": bm25_sql("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN text || ' the error' ELSE text END AS text FROM documents", columns="doc_id, score, rank"),
+    "bm25_upsert": bm25_sql("SELECT doc_id, CASE WHEN source = 'src1' THEN text || ' the error' ELSE text END AS text FROM documents", columns="doc_id, score, rank"),
     "bm25_delete_prefix": bm25_sql("SELECT doc_id, text FROM documents WHERE NOT starts_with(doc_id::VARCHAR, '4')", columns="doc_id, score, rank"),
     "top_keywords": rf"""
 WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_]+'), lambda t: length(t) >= 2 AND lower(t) NOT IN ({", ".join(f"'{w}'" for w in T.STOPWORDS_EN)})) AS t FROM documents),
@@ -555,9 +561,9 @@ e AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM w
 g AS (SELECT doc_id, token, count(*) AS n, min(pos) AS first, round(count(*) * (1 + length(token) * 0.3::DOUBLE), 6) AS score FROM e GROUP BY doc_id, token),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first)::INT AS rank FROM g)
 SELECT doc_id, token, n, rank FROM r WHERE rank <= 5""",
-    "vector_knn": knn_sql("q.vec_id % 100 = 0", 10),
-    "vector_knn_filtered": knn_sql("q.vec_id % 100 = 0", 5, "e.label = 1"),
-    "vector_search_by_source": knn_sql("q.vec_id IN (0, 1)", 5, "contains(e.source, CASE q.vec_id WHEN 0 THEN 'src1' ELSE 'src7' END)", "SELECT vec_id, embedding, source FROM embeddings JOIN documents ON doc_id = vec_id"),
+    "vector_knn": knn_sql(10),
+    "vector_knn_filtered": knn_sql(5, "e.label = 1"),
+    "vector_search_by_source": knn_sql(5, "contains(e.source, 'src' || q.vec_id % 10)", "SELECT vec_id, embedding, source FROM embeddings JOIN documents ON doc_id = vec_id"),
     "pairwise_cosine": "SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
     "rrf_fusion": f"WITH {LEGS_SQL} SELECT * FROM fr",
     "hybrid_search": f"WITH {LEGS_SQL} SELECT * FROM fr WHERE rank <= 10",
@@ -566,13 +572,13 @@ SELECT doc_id, token, n, rank FROM r WHERE rank <= 5""",
     "build_context": f"""WITH {CASCADE_SQL}, b AS (SELECT qid, string_agg('【片段' || rank || '】' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank) AS c FROM ca WHERE rank <= 3 GROUP BY qid)
 SELECT qid, sha256(c) AS context_sha256, length(c) AS chars FROM b""",
     "exclude_filter": "SELECT doc_id FROM documents WHERE NOT contains(text, 'error') AND NOT contains(text, 'The ')",
-    "dedup_append": """WITH u AS (SELECT doc_id, text, 1 AS stage FROM documents WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, text, 2 FROM documents)
+    "dedup_append": """WITH u AS (SELECT doc_id, text, 1 AS stage FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, text, 2 FROM documents)
 SELECT doc_id, stage FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY stage, doc_id) AS turn FROM u) WHERE turn = 1""",
     "exact_dedup": f"SELECT {HASH_SQL} AS hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "double_hash_dedup": "SELECT doc_id, sha256(sha256(text)) AS hash FROM documents",
-    "hash_semi_join": "SELECT doc_id FROM documents WHERE doc_id % 2 = 0 AND text IN (SELECT text FROM documents WHERE doc_id % 2 = 1)",
-    "hash_register": f"""WITH k AS (SELECT {HASH_SQL} AS hash, min(doc_id) AS doc_id FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
-SELECT hash, doc_id FROM k UNION ALL SELECT {HASH_SQL}, min(doc_id) FROM documents WHERE doc_id % 3 <> 0 AND {HASH_SQL} NOT IN (SELECT hash FROM k) GROUP BY 1""",
+    "hash_semi_join": "SELECT doc_id FROM documents WHERE source <> 'src0' AND text IN (SELECT text FROM documents WHERE source = 'src0')",
+    "hash_register": f"""WITH k AS (SELECT {HASH_SQL} AS hash, min(doc_id) AS doc_id FROM documents WHERE source = 'src0' GROUP BY 1)
+SELECT hash, doc_id FROM k UNION ALL SELECT {HASH_SQL}, min(doc_id) FROM documents WHERE source <> 'src0' AND {HASH_SQL} NOT IN (SELECT hash FROM k) GROUP BY 1""",
     "content_category": CATEGORY_SQL,
     "legal_flag": LEGAL_SQL,
     "clean_html": r"""WITH c AS (SELECT page_id, regexp_replace(trim(regexp_replace(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '【[^】]*】', ' ', 'g'), '[\t\f\r ]+', ' ', 'g'), ' ' || chr(10)), '\n{3,}', chr(10) || chr(10), 'g') AS t FROM pages)
@@ -605,6 +611,15 @@ SELECT qid, r[1] AS intent, r[2]::DOUBLE AS confidence FROM i""",
     "exclude_keywords": rf"""WITH {values_sql(samples.QUERIES, "v", "qid, query")},
 p AS (SELECT qid::BIGINT AS qid, list_filter(flatten(list_transform(flatten(list_transform(regexp_extract_all(query, '{T.EXCLUDE}', 1), lambda g: regexp_split_to_array(g, '{T.EXCLUDE_SEPARATORS}'))), lambda g: regexp_split_to_array(g, '{T.EXCLUDE_PARTICLES}'))), lambda z: length(z) >= 2) AS w FROM v)
 SELECT qid, array_to_string(w, '|') AS words FROM p""",
+    "simple_keywords": f"""WITH {values_sql(samples.QUERIES, "v", "qid, query")},
+p AS (SELECT qid::BIGINT AS qid, list_filter(regexp_split_to_array(regexp_replace(query, '{T.PUNCTUATION}', ' ', 'g'), '\\s+'), lambda z: length(z) >= 2 AND lower(z) NOT IN ({", ".join(f"'{w}'" for w in [*T.STOPWORDS_ZH, *T.STOPWORDS_EN])})) AS w FROM v)
+SELECT qid, array_to_string(w[1:5], '|') AS words FROM p""",
+    "filename_extract": rf"""WITH {values_sql(samples.QUERIES, "v", "qid, query")}, q AS (SELECT qid::BIGINT AS qid, query, trim(query) AS t FROM v),
+n AS (SELECT qid, query, coalesce(nullif(regexp_extract(t, '{T.FILE_WITH_EXTENSION}', 1), ''), nullif(regexp_extract(t, '{T.FILE_AFTER_ACTION}', 1), ''),
+  CASE WHEN length(regexp_extract(t, '{T.FILE_BEFORE_PLACE}', 1)) >= 2 THEN regexp_extract(t, '{T.FILE_BEFORE_PLACE}', 1) END) AS name FROM q)
+SELECT qid, name, CASE WHEN name IS NOT NULL THEN trim(regexp_replace(trim(replace(query, name, '')), '{T.QUERY_PHRASES}', '', 'g')) END AS rest FROM n""",
+    "clean_parser_markdown": rf"""WITH {values_sql(samples.MARKDOWN, "v", "id, text")}
+SELECT id::BIGINT AS id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '!\[\]\(images/.*?\)', '', 'g'), '(?s)版权所有.*?保留一切权利。', '', 'g'), '第\s*\d+\s*页', '', 'g'), '(?i)Page\s*\d+', '', 'g'), '\n\s*\n+', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9) || chr(13)) AS clean FROM v""",
     "l2_confidence": f"""WITH {values_sql(samples.CONFIDENCES, "v", "id, keywords, intent, hits, valid, tokens")}
 SELECT id::BIGINT AS id, floor((CASE WHEN keywords >= 3 THEN 1.0::DOUBLE WHEN keywords = 2 THEN 0.6::DOUBLE WHEN keywords = 1 THEN 0.3::DOUBLE ELSE 0::DOUBLE END * 0.3::DOUBLE
   + CASE WHEN intent = 'AMBIGUOUS' THEN 0::DOUBLE ELSE 1::DOUBLE END * 0.3::DOUBLE + coalesce(hits::DOUBLE / nullif(keywords, 0), 0) * 0.2::DOUBLE + coalesce(valid::DOUBLE / nullif(tokens, 0), 0) * 0.2::DOUBLE) * 100 + 0.5) / 100.0::DOUBLE AS confidence FROM v""",
@@ -613,18 +628,18 @@ SELECT token, min(word) AS word FROM t JOIN w ON levenshtein(token, word) <= 1 W
     "session_list": """WITH s AS (SELECT conv_id AS session_id, max(turn) AS last_active, arg_max(text, turn) AS c FROM conversations GROUP BY 1)
 SELECT session_id, last_active, CASE WHEN c IS NULL THEN '空会话' WHEN length(c) > 20 THEN substr(c, 1, 20) || '...' ELSE c END AS preview FROM s ORDER BY last_active DESC, session_id LIMIT 50""",
     "history_oldest20": """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn)::INT AS place, CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'ai' END AS role, content
-FROM (SELECT conv_id AS session_id, turn, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 3""",
+FROM (SELECT conv_id AS session_id, turn, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) WHERE k <= 20""",
     "history_latest20": """SELECT session_id, row_number() OVER (PARTITION BY session_id ORDER BY turn)::INT AS place, CASE WHEN lower(role) = 'user' THEN 'user' ELSE 'ai' END AS role, content
-FROM (SELECT conv_id AS session_id, turn, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 3""",
+FROM (SELECT conv_id AS session_id, turn, role, text AS content, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) WHERE k <= 20""",
     "chat_sources": "SELECT conv_id AS session_id, turn AS id, unnest(['a.md', 'b_' || conv_id || '.pdf']) AS source FROM conversations WHERE turn % 3 = 0",
     "list_documents": """SELECT d.doc_id AS document_id, source AS category, ['active', 'processing', 'failed'][(d.doc_id % 3 + 1)::INT] AS status, len(string_split(text, chr(10)))::BIGINT AS chunks FROM documents d""",
     "category_counts": "SELECT source AS category, count(*) AS n FROM documents WHERE doc_id % 3 = 0 GROUP BY 1",
     "chunk_counts": "SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS chunks FROM documents GROUP BY 1",
     "files_by_category": "SELECT doc_id AS document_id, ['active', 'processing'][(doc_id % 3 + 1)::INT] AS status, len(string_split(text, chr(10)))::BIGINT AS chunks FROM documents WHERE source = 'src1' AND doc_id % 3 < 2",
-    "cascade_delete": f"""WITH l AS (SELECT * FROM documents WHERE source <> 'src1' AND doc_id % 5 <> 0), x AS (SELECT unnest(string_split(text, chr(10))) AS text FROM l)
+    "cascade_delete": f"""WITH l AS (SELECT * FROM documents WHERE source NOT IN ('src1', 'src7')), x AS (SELECT unnest(string_split(text, chr(10))) AS text FROM l)
 SELECT 'documents' AS kind, count(*) AS n FROM l UNION ALL SELECT 'chunks', count(*) FROM x UNION ALL SELECT 'hashes', count(*) FROM l
 UNION ALL SELECT 'postings', coalesce(sum(len({TOKENS_SQL})), 0)::BIGINT FROM x
-UNION ALL SELECT 'categories', count(DISTINCT source) FROM documents WHERE source NOT IN (SELECT source FROM documents WHERE source = 'src1' OR doc_id % 5 = 0) OR source IN (SELECT source FROM l WHERE doc_id % 3 < 2)""",
+UNION ALL SELECT 'categories', count(DISTINCT source) FROM l""",
     "rebuild_numbering": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), e AS (SELECT doc_id, unnest(x) AS t, (generate_subscripts(x, 1) - 1)::INT AS i FROM l)
 SELECT doc_id AS document_id, i AS chunk_index, n AS number, doc_id || '_' || n AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM e WHERE length(t) > 20)""",
     "status_updates": """WITH e AS (SELECT user_id, arg_max(event_type, struct_pack(ts, event_id)) AS s FROM events GROUP BY 1)
@@ -635,9 +650,9 @@ SELECT doc_id AS document_id, coalesce(s, ['active', 'processing', 'failed'][(do
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS s FROM o)
 SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM g GROUP BY user_id, s""",
     "ttl_dedup_stream": "SELECT DISTINCT user_id, event_type FROM events",
-    "ingest_stream": f"SELECT doc_id, {HASH_SQL} AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE doc_id % 2 = 0)",
+    "ingest_stream": f"SELECT doc_id, {HASH_SQL} AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE source = 'src0')",
 }
-NAMES = [*ORACLE, "clean_parser_markdown", "markdown_chunks", "semantic_chunks", "routed_chunks", "intent_replies", "filename_extract", "simple_keywords", "cjk_tokens", "query_rewrite"]
+NAMES = [*ORACLE, "markdown_chunks", "semantic_chunks", "routed_chunks", "intent_replies", "cjk_tokens", "query_rewrite", "retrieve_text"]
 
 
 def _ready(query):

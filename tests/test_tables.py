@@ -4,7 +4,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import bm25, dedup, fusion, ingest, knn, meta, sessions
+from tessera import api
+from tessera.functions.register import register
+from tessera.operators import bm25, dedup, embed, fusion, ingest, knn, meta, sessions
 from tessera.sources import readers
 from tessera.streaming import status
 
@@ -146,3 +148,36 @@ def test_a_folder_is_ingested_in_batches(spark, tmp_path):
         (tmp_path / "in" / name).write_text(name)
     status.ingest(spark, str(tmp_path / "in"), index, str(tmp_path / "state")).awaitTermination()
     assert seen == {"a.txt": "one", "b.txt": "b.txt", "c.txt": "c.txt"}
+
+
+def test_questions_from_end_to_end(spark, tmp_path):
+    rows = [(1, "cats purr softly at night", "pets.md"), (2, "stocks fell sharply today", "news.md"), (3, "cats chase mice", None), (4, "   ", "blank.md")]
+    chunks = spark.createDataFrame(rows, "id long, text string, source string")
+    corpus = api.Corpus.of(chunks)
+    asked = spark.createDataFrame([(1, "cats at night"), (2, "打开 news.md 里的 stocks"), (3, None), (4, "cats 不要 mice")], "qid long, query string")
+    got = {}
+    for r in api.retrieve(corpus, asked, 3).collect():
+        got.setdefault(r.qid, []).append((r.stage, r.id))
+    assert got[1][0][1] == 1 and (2 in {i for _, i in got[2]}) and 3 not in got
+    assert 3 not in {i for _, i in got[4]}
+    answers = {r.qid: r.answer for r in api.ask(corpus, asked, model=len_of).collect()}
+    assert answers[1] != "未找到相关内容" and answers[3] == "未找到相关内容"
+    found = api.vector_search(corpus, asked.where("qid = 1"), 2).collect()
+    assert found[0].content.startswith("cats") and {r.source for r in found} <= {"pets.md", "未知来源"}
+    plain = api.Corpus.of(chunks, keyword=False)
+    assert {r.id for r in api.hybrid_search(plain, asked, 2).collect()} >= {1}
+    kept = embed.store(chunks.withColumnRenamed("id", "chunk_id"), str(tmp_path / "v"))
+    assert kept.where("vector IS NULL").count() == 1 and kept.count() == 4
+
+
+def len_of(prompt):
+    return str(len(prompt))
+
+
+def test_sql_functions(spark):
+    register(spark)
+    assert spark.sql("SELECT latin_tokens('a, B--c') AS t").first().t == ["a", "b", "c"]
+    r = spark.sql("SELECT round(rrf_score(1), 6) AS r, round(bm25_idf(10D, 1D), 6) AS i, file_extension('a.PDF') AS e, source_of_chunk('d_1_2') AS s").first()
+    assert (r.r, r.i, r.e, r.s) == (0.016393, 1.992430, "pdf", "d_1")
+    rows = spark.sql("SELECT d.id, c.* FROM VALUES (1, '# A\nx'), (2, '') AS d(id, t), LATERAL chunk_markdown(d.t, 'GENERAL') c").collect()
+    assert [(x.id, x.chunk_index, x.prefix) for x in rows] == [(1, 0, "A")]
