@@ -157,11 +157,16 @@ def records(raw: BinaryIO, most: int = 1 << 31) -> Iterator[Record]:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from SAMPLE_PAGES pages at most, those of smallest hash; empty if they are too few to train from."""
-    rows = pages.where(F.length("html") > 0).select(F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8").alias("d"), F.xxhash64("page_id").alias("k"))
-    sample = [bytes(r["d"]) for r in rows.orderBy("k", "d").limit(SAMPLE_PAGES).collect()]
+    """A dictionary from SAMPLE_PAGES pages at most, those of smallest hash; empty if they are too few to train from.
+    The hashes are ranked alone, so the payloads that meet in the driver are those of the sample only."""
+    rows = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "html").alias("k"), "html")
+    last = [r["k"] for r in rows.select("k").distinct().orderBy("k").limit(SAMPLE_PAGES).collect()]
+    if len(last) < 16:
+        return b""
+    picked = rows.where(F.col("k") <= last[-1]).groupBy("k").agg(F.first(F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8")).alias("d"))
+    sample = [bytes(r["d"]) for r in sorted(picked.collect())]
     try:
-        return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes() if len(sample) >= 16 else b""
+        return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
         return b""
 
