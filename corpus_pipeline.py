@@ -14,7 +14,8 @@ from tessera.llm.common import release, ship, small_batches, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, trained on the labelled ones, doesn't reject."""
+    """Documents that the classifier, trained on the labelled ones, doesn't reject: a score of 0.5 or more. Null and empty
+    texts are judged as texts without features, repeated rows alike; other columns stay as they are."""
     ship(spark)
     small_batches(spark)
     model = quality.fitted(docs.select("doc_id", "text"), table(spark, sf_dir, "labels"))
@@ -25,14 +26,15 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that with the smallest doc_id."""
+    """One document of each group of near duplicates, that with the smallest doc_id. Documents without words are nobody's
+    duplicates; rows without doc_id stay; of rows that share a doc_id one stays."""
     ship(spark)
     small_batches(spark)
     return minhash.deduplicated(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents into which no benchmark item has leaked."""
+    """Documents into which no benchmark item has leaked. Null and empty texts stay, and all do if there are no items."""
     ship(spark)
     small_batches(spark)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text")
@@ -40,14 +42,16 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data in their texts replaced by its kind."""
+    """All documents, with personal data in their texts replaced by its kind and n_chars counted anew. Null and empty texts
+    stay as they are."""
     ship(spark)
     small_batches(spark)
     return pii.redact(docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How much of each document the mix of sources takes: doc_id, source, size, source_size, target, whole, extra, taken."""
+    """How much of each document the mix of sources takes: doc_id, source, size, source_size, target, whole, extra, taken.
+    A null source is one source, the last; documents without words take nothing."""
     return mixing.mix(docs, mixing.words(F.col("text")))
 
 
