@@ -30,7 +30,7 @@ def col(c: Column | str) -> Column:
 
 def latin_tokens(text: Column | str) -> Column:
     """Lower-case words between whitespace and ASCII punctuation; null for null."""
-    return F.filter(F.transform(F.split(col(text), SEPARATORS), lambda t: F.trim(F.lower(t))), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(col(text)), SEPARATORS), "")
 
 
 def contains_cjk(text: Column | str) -> Column:

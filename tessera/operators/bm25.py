@@ -22,7 +22,9 @@ BROADCAST_TERMS = 100_000
 def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, tf, dl); rows with a null id or blank text are left out."""
     rows = docs.where(F.col(id_col).isNotNull() & (F.trim(F.col(text_col)) != ""))
-    exploded = rows.select(F.col(id_col).alias("id"), T.utf16_length(F.col(text_col)).cast("long").alias("dl"), F.explode(T.analyze(F.col(text_col))).alias("term"))
+    # what is computed beside an explode is computed for every row it makes, so lengths come first
+    lengths = rows.select(F.col(id_col).alias("id"), T.utf16_length(F.col(text_col)).cast("long").alias("dl"), T.analyze(F.col(text_col)).alias("terms"))
+    exploded = lengths.select("id", "dl", F.explode("terms").alias("term"))
     return exploded.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 

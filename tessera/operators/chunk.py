@@ -236,7 +236,7 @@ _CHUNKS = pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int32()), ("p
 def markdown_chunks(docs: DataFrame, presets: dict[str, Preset] | None = None, count=count_tokens, embed=hashed_embedder, joiner: str = "") -> DataFrame:
     """(doc_id, text), and ``category`` where known, to (doc_id, chunk_index, chunk_total, text, tokens, prefix)."""
     presets = presets or PRESETS
-    routed = docs if "category" in docs.columns else docs.withColumn("category", classify.category("text"))
+    routed = docs.select("doc_id", "text", "category") if "category" in docs.columns else classify.categorised(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunkers = {k: Chunker(p, count, embed, joiner) for k, p in presets.items()}
@@ -254,7 +254,7 @@ def row_chunks(docs: DataFrame) -> DataFrame:
     """Tables as text: each row that isn't blank under the first line; texts of one line give nothing."""
     lines = F.split(F.regexp_replace("text", r"\n+$", ""), "\n")
     rows = docs.select("doc_id", lines.alias("lines")).where(F.size("lines") > 1)
-    rows = rows.select("doc_id", F.trim(F.element_at("lines", 1)).alias("head"), F.posexplode("lines").alias("row", "line"))
+    rows = rows.select("doc_id", F.trim(F.element_at("lines", 1)).alias("head"), "lines").select("doc_id", "head", F.posexplode("lines").alias("row", "line"))
     rows = rows.where((F.col("row") > 0) & (F.trim("line") != ""))
     text = F.concat("head", F.lit("\n"), F.trim("line"))
     return rows.select("doc_id", "row", text.alias("text"), T.token_count(text).alias("tokens"), F.lit("ExcelRow").alias("prefix"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.text import col
+from tessera.functions.text import col, contains_cjk
 
 # Fixed patterns and weights of the category scores.
 FENCE = r"```[a-zA-Z]*\s*[\s\S]*?```"
@@ -41,20 +41,31 @@ def category_scores(text: Column | str) -> Column:
     """struct(tech, legal, tables) of the start of a text."""
     sample = F.substring(col(text), 1, SAMPLE)
     lines = F.split(F.regexp_replace(sample, r"\n+$", ""), "\n")
-    fences, inline = _count(sample, FENCE), _count(sample, INLINE)
+    # most texts have no mark of a kind at all, which a plain search tells sooner than a pattern
+    where = lambda mark, pattern: F.when(mark, _count(sample, pattern)).otherwise(0.0)
+    ticks, chinese, bars = F.contains(sample, F.lit("`")), contains_cjk(sample), F.contains(sample, F.lit("|"))
+    fences, inline = where(ticks, FENCE), where(ticks, INLINE)
     tech = F.least(F.lit(10.0), fences * 3 + inline * 0.5)
     tech = F.when((fences == 1) & (inline < 2), F.least(F.lit(2.0), tech)).otherwise(tech)
-    legal = _count(sample, STATUTE) * 3 + _count(sample, CONTRACT)
-    legal = F.when(_count(sample, CATEGORY_TECH_WORDS) > 5, legal * 0.5).otherwise(legal)
-    rows = F.size(F.filter(lines, lambda x: x.rlike(TABLE_LINE))).cast("double")
+    legal = where(chinese, STATUTE) * 3 + where(chinese, CONTRACT)
+    legal = F.when(chinese & (_count(sample, CATEGORY_TECH_WORDS) > 5), legal * 0.5).otherwise(legal)
+    rows = F.when(bars, F.size(F.filter(lines, lambda x: x.rlike(TABLE_LINE)))).otherwise(0).cast("double")
     share = F.try_divide(rows, F.size(lines).cast("double"))
     tables = F.when(share > 0.2, F.least(F.lit(10.0), share * 15)).otherwise(0.0) + F.when(rows > 10, 2.0).otherwise(0.0)
     return F.struct(tech.alias("tech"), legal.alias("legal"), tables.alias("tables"))
 
 
-def category(text: Column | str) -> Column:
+def categorised(docs: DataFrame, text: str = "text", scores: str | None = None) -> DataFrame:
+    """``docs`` with ``category``, and the scores if they get a name. The scores are one column, so each pattern runs
+    once a text."""
+    rows = docs.withColumn(scores or "_scores", category_scores(text))
+    rows = rows.withColumn("category", category(text, F.col(scores or "_scores")))
+    return rows if scores else rows.drop("_scores")
+
+
+def category(text: Column | str, s: Column | None = None) -> Column:
     """TECHNICAL, LEGAL, TABLE_HEAVY or GENERAL; GENERAL for null and blank texts, low scores and mixed ones."""
-    s = category_scores(text)
+    s = category_scores(text) if s is None else s
     tech, legal, tables = s["tech"], s["legal"], s["tables"]
     top = F.greatest(tech, legal, tables)
     second = tech + legal + tables - top - F.least(tech, legal, tables)

@@ -259,13 +259,13 @@ def hash_register(spark, sf_dir):
 def content_category(spark, sf_dir):
     """Category scores of sample texts and of all documents."""
     rows = values(spark, samples.TEXTS, "doc_id long, text string").unionByName(documents(spark, sf_dir).select("doc_id", "text"))
-    s = classify.category_scores("text")
-    return rows.select("doc_id", *(F.round(s[c], 6).alias(c) for c in ("tech", "legal", "tables")), classify.category("text").alias("category"))
+    rows = classify.categorised(rows, scores="s")
+    return rows.select("doc_id", *(F.round(f"s.{c}", 6).alias(c) for c in ("tech", "legal", "tables")), "category")
 
 
 CATEGORY_SQL = rf"""
 WITH {values_sql(samples.TEXTS, "v", "doc_id, text")},
-x AS (SELECT doc_id::BIGINT AS doc_id, text, substr(text, 1, 3000) AS s FROM (SELECT * FROM v UNION ALL SELECT doc_id, text FROM documents)),
+x AS (SELECT doc_id::BIGINT AS doc_id, text, coalesce(substr(text, 1, 3000), '') AS s FROM (SELECT * FROM v UNION ALL SELECT doc_id, text FROM documents)),
 c AS (SELECT doc_id, text, len(regexp_extract_all(s, '```[a-zA-Z]*\s*[\s\S]*?```'))::DOUBLE AS fences, len(regexp_extract_all(s, '`[^`]+`'))::DOUBLE AS inline,
   len(regexp_extract_all(s, '{classify.STATUTE}'))::DOUBLE AS st, len(regexp_extract_all(s, '{classify.CONTRACT}'))::DOUBLE AS ct,
   len(regexp_extract_all(s, '\b(?:API|SDK|HTTP|JSON|XML|部署|实例|Bucket|Region)\b')) AS words,
