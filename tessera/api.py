@@ -58,7 +58,7 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = 10) -> DataFrame:
 def retrieve(corpus: Corpus, queries: DataFrame, k: int = 5, dictionaries: rewrite.Dictionaries = DEFAULT, decision: str = "RULE_ONLY", limit: int | None = None, model=None) -> DataFrame:
     """Queries (qid, query) through rewriting and the cascade: (qid, id, stage, pos, text, rank).
 
-    Expansion words are looked up by vectors, each for half of k (2 at least); a file that a query names is searched
+    Expansion words are looked up by vectors, each for half of k (3 at least); a file that a query names is searched
     besides; excluded words drop what holds them.
     """
     told = rewrite.rewrite(queries, dictionaries, decision, model=model).persist()
@@ -66,7 +66,7 @@ def retrieve(corpus: Corpus, queries: DataFrame, k: int = 5, dictionaries: rewri
     hits = hybrid_search(corpus, asked, k)
     words = told.select("qid", "query", F.posexplode("expand").alias("word", "w")).where(F.col("w") != F.col("query"))
     each = words.select((F.col("qid") * 10_000 + F.col("word")).alias("qid"), F.col("w").alias("query"))
-    more = knn.search(corpus.vectors, corpus.asked(each), max(k // 2, 2))
+    more = knn.search(corpus.vectors, corpus.asked(each), max(k // 2, 3))
     more = more.select(F.floor(F.col("qid") / 10_000).alias("qid"), "id", "rank", (F.col("qid") % 10_000).alias("word"))
     names = told.select("qid", T.file_name("query").alias("name"), "query").where("name IS NOT NULL")
     content = names.select("qid", F.coalesce(F.nullif(T.content_query("query", "name"), F.lit("")), "query").alias("query"))

@@ -1,13 +1,15 @@
 import io
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessera import api
 from tessera.functions.register import register
-from tessera.operators import bm25, dedup, embed, fusion, ingest, knn, meta, sessions
+from tessera.operators import bm25, dedup, embed, fusion, ingest, knn, meta, rewrite, sessions
 from tessera.sources import readers
+from tessera.sources.config import DEFAULT
 from tessera.streaming import status
 
 
@@ -170,6 +172,27 @@ def test_questions_from_end_to_end(spark, tmp_path):
     assert kept.where("vector IS NULL").count() == 1 and kept.count() == 4
 
 
+@pytest.mark.parametrize("k", [3, 5, 8])
+def test_each_expansion_word_brings_its_share(spark, k):
+    words = ["salary", "income", "工资", "薪酬", "收入", "薪资"]
+    texts = [" ".join([w] * (n + 1) + [f"other{i}{j}" for j in range(n)]) for i, w in enumerate(words) for n in range(6)]
+    chunks = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "id long, text string, source string")
+    asked = spark.createDataFrame([(1, "薪资 salary")], "qid long, query string")
+    rows = api.retrieve(api.Corpus.of(chunks), asked, k).collect()
+    told = rewrite.rewrite(asked, DEFAULT, "RULE_ONLY").first()
+    unit = lambda t: (v := embed.hashed_embedder(t)) / np.linalg.norm(v)
+    vectors = np.array([unit(t) for t in texts])
+    seen, expected = {r.id for r in rows if r.stage == 1}, []
+    for place, word in enumerate(told.expand):
+        if word == told.query:
+            continue
+        near = sorted(range(len(texts)), key=lambda i: (-round(float(vectors[i] @ unit(word)), 6), i))[: max(k // 2, 3)]  # noqa: B023
+        expected += [(place * 1000 + n + 1, i) for n, i in enumerate(near) if i not in seen]
+        seen |= set(near)
+    assert len(expected) > 3
+    assert sorted((r.pos, r.id) for r in rows if r.stage == 2) == expected
+
+
 def len_of(prompt):
     return str(len(prompt))
 
