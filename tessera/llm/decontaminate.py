@@ -6,7 +6,8 @@ is two neighbouring chunks of a document, each as long as the longest item, so e
 passage. Its block bounds are the sums of its terms' block maxima, computed by numpy for all passages of a batch; only
 blocks whose bound reaches the threshold are searched, by WAND with pivots, and every item at or above the threshold is
 retrieved: there is no top k. A retrieved item counts as leaked if enough of its question's and of its answer's word
-pairs stand in the passage.
+pairs stand in the passage. Where no mark tells the answer, what stands for it is only the item's tail, whose lack
+doesn't clear a copy: enough of the whole item's pairs do as well.
 
 The index is cut into shards of bounded size; each is broadcast and the documents stream through it. Statistics are
 taken over all items before.
@@ -29,6 +30,8 @@ from tessera.llm.common import table
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved, and of its parts' word pairs that must be there.
 THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.5
+#: Share of all its word pairs that does as well if no mark tells its answer, and if its last sentence may be one.
+WHOLE, SENTENCE = 0.6, 0.8
 #: Words that an answer has at least, if the item has twice as many.
 ANSWER_WORDS = 5
 BLOCK = 8
@@ -58,6 +61,15 @@ def parts(text: str) -> tuple[np.ndarray, np.ndarray]:
     return words[: len(words) - answer], words[len(words) - answer :]
 
 
+def whole_share(text: str) -> float | None:
+    """Share of all of an item's word pairs that makes a leak without its answer; none if a mark, with words behind it,
+    tells the answer. A last sentence long enough to be an answer asks for more."""
+    marks, ends = ([m.end() for m in x.finditer(text.rstrip())] for x in (_MARK, _SENTENCE))
+    if marks and len(_hashes(text[marks[-1] :])):
+        return None
+    return SENTENCE if ends and len(_hashes(text[ends[-1] :])) >= ANSWER_WORDS else WHOLE
+
+
 def _pairs(h: np.ndarray) -> np.ndarray:
     return np.unique(tb.grams(h, 2) if len(h) > 1 else h)
 
@@ -69,6 +81,7 @@ class Index:
         self.ids = [i for i, _ in items]
         words = [_hashes(t) for _, t in items]
         self.parts = [tuple(map(_pairs, parts(t))) for _, t in items]
+        self.whole = [(_pairs(h), whole_share(t)) for (_, t), h in zip(items, words, strict=True)]
         self.chunk = max([CHUNK, *map(len, words)])
         self.terms = np.unique(np.concatenate(words)) if words else np.zeros(0, _U)
         self.blocks = -(-len(items) // BLOCK)
@@ -155,7 +168,8 @@ class Index:
                         own = h[first[row] + (c - base[row]) * self.chunk : min(first[row + 1], first[row] + (to - base[row]) * self.chunk)]
                         pairs = np.concatenate([tb.grams(own, 2), own])
                     q, a = (float(np.isin(p, pairs).mean()) if len(p) else 1.0 for p in self.parts[item])
-                    if q >= QUESTION and a >= ANSWER:
+                    whole, share = self.whole[item]
+                    if (q >= QUESTION and a >= ANSWER) or (share and np.isin(whole, pairs).mean() >= share):
                         best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (score, q, a))
         for (row, item), found in sorted(best.items()):
             yield row, self.ids[item], *found
@@ -194,8 +208,9 @@ SCHEMA = "item_id long, score double, question_overlap double, answer_overlap do
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, text) and (item_id long, text) to one row for each document and item leaked into it: doc_id, item_id,
-    score, question_overlap, answer_overlap. Rows without text leak nothing; without items there are no rows. A row
-    with a null doc_id is searched like others; equal rows give equal results each."""
+    score, question_overlap, answer_overlap. An item without an answer mark may have a low overlap of its question or of
+    its answer, which then is its tail, if that of all its words is high. Rows without text leak nothing; without items
+    there are no rows. A row with a null doc_id is searched like others; equal rows give equal results each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, {SCHEMA}")
     for k, index in enumerate(indexes(items)):

@@ -83,3 +83,30 @@ def test_parts():
     assert len(a) == 5
     assert [len(x) for x in dc.parts("one")] == [0, 1]
     assert list(index().leaks(pa.array([None, "", "..."], pa.string()))) == []
+
+
+def test_copies_that_stop_early_or_are_edited_in_the_tail(spark):
+    bare = [(100 + i, " ".join(prose(300 + i, 20 + i))) for i in range(30)]  # no sentence stands for an answer
+    docs, expected = [], set()
+    for i, text in ITEMS + bare:
+        w, around = text.split(), prose(7000 + i, 40)
+        edited = list(w)
+        edited[-2] = edited[-4] = "changed"
+        copies = [w[: -(len(w) // 6)], edited, w[: len(w) // 2]]
+        copies += [w[: -(len(w) // 3)], w[len(w) // 4 :]] if i >= 100 else []
+        for k, copy in enumerate(copies):
+            docs.append((10 * i + k, " ".join(around[:20] + copy + around[20:])))
+            if k != 2:  # half an item is no leak
+                expected.add((10 * i + k, i))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS + bare, "item_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.leaks(df, items).collect()} == expected
+    assert {r.doc_id for r in dc.without_leaks(df, items).collect()} == {d for d, _ in docs} - {d for d, _ in expected}
+
+
+def test_a_marked_answer_must_be_there(spark):
+    question, answer = " ".join(prose(1, 40)), " ".join(prose(2, 6))
+    items = spark.createDataFrame([(1, f"{question}\nAnswer: {answer}"), (2, " ".join(prose(3, 40)) + "\nAnswer:")], "item_id long, text string")
+    docs = [(1, f"{question} {answer}"), (2, question), (3, " ".join(prose(3, 40)[:34]))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in dc.leaks(df, items).collect()} == {(1, 1), (3, 2)}
