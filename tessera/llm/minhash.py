@@ -5,7 +5,7 @@ its own, in round t + i the elements fill bin i, and a coordinate keeps the smal
 So every coordinate of a set that isn't empty is filled, most sets are done after a round or two, and agreement of
 coordinates has at least the concentration of independent minima.
 
-Documents with equal sets are one class from the start. Classes that agree in all coordinates of a band share a
+Documents with equal sets are one class from the start, and classes that share a document are linked. Classes that agree in all coordinates of a band share a
 bucket. In each bucket the smallest document is tried against the others; then, in buckets whose members are not yet
 in one component, the members outside the bucket's largest component are tried against all others, but for pairs
 that set sizes rule out or that a finer sketch puts well below the threshold. A pair is a link only if the full sets
@@ -116,20 +116,20 @@ def _sums(v: np.ndarray, at: np.ndarray) -> np.ndarray:
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for lo, g, at in shingle_sets(b.column("text")):
-            n = len(at) - 1
+            total, mixed = _sums(g, at), _sums(tb.mix(g ^ _U(0xA5A5A5A5A5A5A5A5)), at)
             sets = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(g.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, n), sets], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([pa.array(total.view(np.int64)), pa.array(mixed.view(np.int64)), sets], ["s1", "s2", "set"])
 
 
 def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, set) to (doc_id, h0, h1, ...): the finer sketch, 64 bits a column."""
+    """(c, set) to (c, h0, h1, ...): the finer sketch, 64 bits a column."""
     for b in batches:
         for lo in range(0, b.num_rows, 256):
             sets = b.column("set").slice(lo, 256)
             at = np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))])
             full = sketches(sets.flatten().to_numpy(zero_copy_only=False).view(_U), at, BITS, 2)
             packed = np.packbits((tb.mix(full) & _U(1)).astype(np.uint8), axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, 256), *(pa.array(np.ascontiguousarray(c)) for c in packed.T)], ["doc_id", *_LONGS])
+            yield pa.RecordBatch.from_arrays([b.column("c").slice(lo, 256), *(pa.array(np.ascontiguousarray(h)) for h in packed.T)], ["c", *_LONGS])
 
 
 _LONGS = [f"h{j}" for j in range(BITS // 64)]
@@ -143,57 +143,79 @@ def _near() -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose full sets are similar enough."""
-    left, right = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+    """Pairs (a, b) of classes whose full sets are similar enough."""
+    left, right = sets.select(F.col("c").alias("a"), F.col("set").alias("sa")), sets.select(F.col("c").alias("b"), F.col("set").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     both = both.select("a", "b", shared.alias("i"), (F.size("sa") + F.size("sb")).alias("n"))
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * PERCENT).select("a", "b")
 
 
+def _same_document(signed: DataFrame, leaders: DataFrame) -> DataFrame:
+    """(doc_id, a, b, bare) for the documents whose rows differ: a row for each class b of their rows, with the smallest
+    such class, a, and whether some of their rows have no words."""
+    key = F.when(F.col("n_shingles") > 0, F.struct("s1", "s2"))
+    per = signed.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(key).alias("lo"), F.max(key).alias("hi"), (F.min("n_shingles") == 0).alias("bare"))
+    mixed = per.where(F.col("lo").isNotNull() & ((F.col("lo") != F.col("hi")) | F.col("bare"))).select("doc_id", "bare")
+    rows = signed.where("n_shingles > 0").select("doc_id", "s1", "s2").join(mixed, "doc_id").distinct()
+    rows = rows.join(leaders.select("s1", "s2", F.col("c").alias("b")), ["s1", "s2"])
+    least = rows.groupBy("doc_id").agg(F.min("b").alias("a"))
+    return rows.join(least, "doc_id").select("doc_id", "a", "b", "bare")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id long, text) to (doc_id, n_shingles, component_id, kept), a row for each row.
 
     Null and empty texts have an empty set and are linked with nothing. A null doc_id is linked with nothing, its
-    component_id is null and it is kept. Rows that share a doc_id count as one document: what one of them is linked
-    with, all are.
+    component_id is null and it is kept. Rows that share a doc_id count as one document, whatever their texts: what one
+    of them is linked with, all are.
     """
     docs = docs.select("doc_id", "text")
     schema = "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"
     signed = written(docs.mapInArrow(_signatures, schema), "signatures")
     full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # a class: the documents with one set; the smallest leads
+    # a class: the documents with one set; the smallest leads. Classes are numbered in the order of their leaders
     columns = ["n_shingles", "bands"]
-    leaders = written(full.groupBy("s1", "s2").agg(F.min("doc_id").alias("lead"), *(F.first(c).alias(c) for c in columns)), "classes")
-    members = leaders.select(F.posexplode("bands").alias("k", "band"), "lead", F.col("n_shingles").alias("n"))
-    pivots = members.groupBy("band").agg(F.min("lead").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    leaders = full.groupBy("s1", "s2").agg(F.min("doc_id").alias("lead"), *(F.first(c).alias(c) for c in columns))
+    leaders = written(leaders.orderBy("lead", "s1", "s2").withColumn("c", F.monotonically_increasing_id()), "classes")
+    same = written(_same_document(signed, leaders), "same")
+    shared = same.where("a < b").select("a", "b")
+    members = leaders.select(F.posexplode("bands").alias("k", "band"), "c", F.col("n_shingles").alias("n"))
+    pivots = members.groupBy("band").agg(F.min("c").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     joined = written(members.join(pivots, "band"), "buckets")
-    star = joined.where(F.col("lead") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("lead").alias("b")).distinct()
-    wanted = joined.select(F.col("lead").alias("doc_id")).distinct()
+    star = joined.where(F.col("c") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
+    wanted = leaders.join(joined.select("c").distinct(), "c", "left_semi").select(F.col("lead").alias("doc_id"))
     texts = docs.join(wanted, "doc_id", "left_semi")
-    sets = written(texts.mapInArrow(_sets, "doc_id long, set array<long>").groupBy("doc_id").agg(F.min("set").alias("set")), "sets")
-    links = written(_confirmed(star, sets), "links")
+    sets = texts.mapInArrow(_sets, "s1 long, s2 long, set array<long>").groupBy("s1", "s2").agg(F.min("set").alias("set"))
+    sets = written(sets.join(leaders.select("s1", "s2", "c"), ["s1", "s2"]).select("c", "set"), "sets")
+    links = written(_confirmed(star, sets).unionByName(shared), "links")
     first = components(links)
     # members outside a bucket's largest component against the others of the bucket
-    placed = joined.join(first.withColumnRenamed("id", "lead"), "lead", "left").withColumn("root", F.coalesce("root", "lead"))
+    placed = joined.join(first.withColumnRenamed("id", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     per = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held"))
     main = per.groupBy("band").agg(F.max(F.struct("held", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
     buckets = written(placed.join(main, "band").withColumn("k", F.col("k") + 1).drop("pivot"), "open")
-    ids = buckets.select(F.col("lead").alias("doc_id")).distinct()
-    fine = sets.join(ids, "doc_id", "left_semi").mapInArrow(_fine, ", ".join(["doc_id long", *(f"{h} long" for h in _LONGS)])).withColumnRenamed("doc_id", "lead")
-    fine = written(fine.join(leaders.select("lead", "bands"), "lead"), "fine")
-    open_ = buckets.join(fine, "lead")
+    ids = buckets.select("c").distinct()
+    fine = sets.join(ids, "c", "left_semi").mapInArrow(_fine, ", ".join(["c long", *(f"{h} long" for h in _LONGS)]))
+    fine = written(fine.join(leaders.select("c", "bands"), "c"), "fine")
+    open_ = buckets.join(fine, "c")
     x, y = open_.where(F.col("root") != F.col("main")).alias("x"), open_.alias("y")
     alike = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
     sizes = (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
-    rest = x.join(y, alike & sizes & _near()).select(F.least("x.lead", "y.lead").alias("a"), F.greatest("x.lead", "y.lead").alias("b")).distinct()
+    rest = x.join(y, alike & sizes & _near()).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
     more = _confirmed(rest, sets)
     roots = components(links.unionByName(more))
-    classes = leaders.select("s1", "s2", "lead").join(roots.withColumnRenamed("id", "lead"), "lead", "left").select("s1", "s2", F.coalesce("root", "lead").alias("root"))
-    out = signed.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
-    alone = (F.col("n_shingles") == 0) | F.col("doc_id").isNull()
-    out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"))
+    # the class of smallest number has the component's smallest leader
+    roots = roots.join(leaders.select(F.col("c").alias("root"), F.col("lead").alias("top")), "root").select(F.col("id").alias("c"), "top")
+    classes = leaders.select("s1", "s2", "c", "lead").join(roots, "c", "left").withColumn("root", F.coalesce("top", "lead"))
+    out = signed.select("doc_id", "n_shingles", "s1", "s2")
+    bare = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    put = out.where(~bare).join(classes.select("s1", "s2", "root"), ["s1", "s2"], "left").select("doc_id", "n_shingles", "root")
+    known = same.where("bare AND a = b").select("doc_id", F.col("a").alias("c")).join(classes, "c").select("doc_id", "root")
+    put = put.unionByName(out.where(bare).select("doc_id", "n_shingles").join(known, "doc_id", "left"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    out = put.select("doc_id", "n_shingles", component.alias("component_id"))
     release(docs.sparkSession)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 

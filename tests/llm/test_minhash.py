@@ -3,6 +3,7 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from tessera.llm import minhash
 from tessera.llm.components import components
@@ -77,6 +78,19 @@ def test_nulls_repeated_rows_and_clashing_columns(spark):
     assert sorted(((r.doc_id, r.component_id, r.band) for r in left.collect()), key=str) == sorted([(1, 9, "x"), (None, 9, "z"), (3, 9, None)], key=str)
 
 
+def test_two_texts_under_one_id(spark):
+    x, y, z = (prose(s, 60) for s in (41, 42, 43))
+    near = lambda w: " ".join([*w[:30], "changed", *w[31:]])
+    rows = [(1, " ".join(x)), (1, " ".join(y)), (2, near(x)), (3, near(y)), (4, " ".join(z)), (4, ""), (5, near(z)), (5, near(x)), (6, " ".join(prose(44, 60))), (6, None), (7, " ".join(prose(45, 60)))]
+    rows += [(11, " ".join(prose(46, 60))), (10, " ".join(prose(46, 60))), (11, " ".join(prose(47, 60))), (11, ""), (12, near(prose(47, 60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shuffled in (df, df.orderBy(F.desc("doc_id"), F.desc("text"))):
+        got = sorted((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(shuffled).collect())
+        roots = {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 6, 7: 7, 10: 10, 11: 10, 12: 10}
+        assert got == sorted((d, roots[d], roots[d] == d) for d, _ in rows)
+    assert sorted(r.doc_id for r in minhash.deduplicated(df).collect()) == [1, 6, 7, 10]
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
