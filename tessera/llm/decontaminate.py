@@ -1,16 +1,20 @@
 """Benchmark decontamination: a BM25 index of the test items, queried with every passage of every document.
 
 The items are the indexed side. Impacts are divided by an item's score for its own text, so one threshold fits items
-of every length. Items stand in blocks, and the index keeps the largest impact of each term in each block. A passage
-is two neighbouring chunks of a document, each as long as the longest item, so every copied item lies whole in some
-passage. Its block bounds are the sums of its terms' block maxima, computed by numpy for all passages of a batch; only
-blocks whose bound reaches the threshold are searched, by WAND with pivots, and every item at or above the threshold is
-retrieved: there is no top k. A retrieved item counts as leaked if enough of its question's and of its answer's word
-pairs stand in the passage. Where no mark tells the answer, what stands for it is only the item's tail, whose lack
-doesn't clear a copy: enough of the whole item's pairs do as well.
-
-The index is cut into shards of bounded size; each is broadcast and the documents stream through it. Statistics are
-taken over all items before.
+of every length. A passage is two neighbouring chunks of a document; an item's chunks are the smallest of 64, 128,
+256, ... words that hold it, so a copied item lies whole in some passage, and what other items there are has no say in
+it. Items of one chunk length stand in blocks, and the index keeps the largest impact of each term in each block that
+holds it. Terms in many blocks whose maxima together stay below a slack in every block can't lift a block to the
+threshold alone, so a passage's block bounds are summed over its other terms, by numpy for all passages of a batch,
+with that slack added. Only blocks whose bound reaches the threshold are searched, by WAND with pivots, and every item
+at or above the threshold is retrieved: there is no top k.
+
+A retrieved item counts as leaked if enough of its question's and of its answer's word pairs stand within a window of
+twice its own length. Where no mark tells the answer, what stands for it is only the item's tail, whose lack doesn't
+clear a copy: enough of the whole item's pairs do as well.
+
+The index is broadcast, and the documents stream through it once; of items beyond ``ROUND_BYTES`` of text there are
+several indexes, each of that size. Statistics are taken over all items before.
 """
 
 from __future__ import annotations
@@ -36,8 +40,12 @@ WHOLE, SENTENCE = 0.6, 0.8
 ANSWER_WORDS = 5
 BLOCK = 8
 CHUNK = 64
-#: Bytes of item text in a shard of the index, at about.
-SHARD_BYTES = 1 << 20
+#: What the maxima of a block's common terms may come to together.
+SLACK = 0.2
+#: Cells of passages and blocks that are summed at a time.
+CELLS = 1 << 22
+#: Bytes of item text in one index, at about: what a broadcast and every worker hold grows with no more than this.
+ROUND_BYTES = 16 << 20
 _U = np.uint64
 _MARK = re.compile(r"\n\s*(?:answer|a)\s*:", re.I)
 _SENTENCE = re.compile(r"[.?!]\s+")
@@ -74,36 +82,73 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return np.unique(tb.grams(h, 2) if len(h) > 1 else h)
 
 
-class Index:
-    """Items of one shard: (item_id, text), with document frequencies, count and mean length over all items."""
+def _statistics(h: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int, float]:
+    """Terms, in how many of the items each is, number of items and their mean length."""
+    terms, df = np.unique(np.concatenate([np.unique(x) for x in h]), return_counts=True)
+    return terms, df, len(h), sum(map(len, h)) / len(h)
 
-    def __init__(self, items: list[tuple[int, str]], df: dict[int, int], count: int, mean: float):
-        self.ids = [i for i, _ in items]
-        words = [_hashes(t) for _, t in items]
-        self.parts = [tuple(map(_pairs, parts(t))) for _, t in items]
-        self.whole = [(_pairs(h), whole_share(t)) for (_, t), h in zip(items, words, strict=True)]
-        self.chunk = max([CHUNK, *map(len, words)])
-        self.terms = np.unique(np.concatenate(words)) if words else np.zeros(0, _U)
+
+def _chunk(n: int) -> int:
+    """Words of a chunk for an item of n words."""
+    size = CHUNK
+    while size < n:
+        size *= 2
+    return size
+
+
+class Group:
+    """The items of one chunk length in blocks, with postings and block maxima by term (its place in ``terms``)."""
+
+    def __init__(self, chunk: int, items: list[int], weights: list[tuple[np.ndarray, np.ndarray]], terms: int):
+        self.chunk, self.items = chunk, items
         self.blocks = -(-len(items) // BLOCK)
-        self.slot = np.zeros(1 << 20, bool)
-        self.slot[(self.terms >> _U(44)).astype(np.int64)] = True
-        self.postings: list[dict[int, tuple[list[int], list[float], float]]] = [{} for _ in self.terms]
-        self.most = np.zeros((len(self.terms), self.blocks), np.float32)
-        idf = np.array([np.log(1 + (count - df[t] + 0.5) / (df[t] + 0.5)) for t in self.terms.view(np.int64).tolist()])
-        for k, h in enumerate(words):
-            own, tf = np.unique(h, return_counts=True)
-            at = np.searchsorted(self.terms, own)
-            impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
-            impact /= impact.sum()
-            block = k // BLOCK
-            self.most[at, block] = np.maximum(self.most[at, block], impact)
-            for t, w in zip(at.tolist(), impact.tolist(), strict=True):
-                ids, weights, top = self.postings[t].get(block, ([], [], 0.0))
-                self.postings[t][block] = (ids + [k], weights + [w], max(top, w))
+        term = np.concatenate([t for t, _ in weights])
+        item = np.repeat(np.arange(len(items)), [len(t) for t, _ in weights])
+        order = np.lexsort((item, term))
+        self.item, self.weight = item[order], np.concatenate([w for _, w in weights])[order]
+        term = term[order]
+        self.at = np.searchsorted(term, np.arange(terms + 1))
+        cell = term * self.blocks + self.item // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        self.most, cell = np.maximum.reduceat(self.weight, first), cell[first]
+        self.block, of = cell % self.blocks, cell // self.blocks
+        self.block_at = np.searchsorted(of, np.arange(terms + 1))
+        self.common = np.zeros(terms, bool)
+        self.slack = np.zeros(self.blocks)
+        for t in np.argsort(-np.diff(self.block_at), kind="stable").tolist():
+            own = slice(self.block_at[t], self.block_at[t + 1])
+            if own.stop - own.start < 2 or (self.slack[self.block[own]] + self.most[own]).max() > SLACK:
+                break
+            self.slack[self.block[own]] += self.most[own]
+            self.common[t] = True
+
+    def candidates(self, passage: np.ndarray, term: np.ndarray, passages: int) -> Iterator[tuple[int, int]]:
+        """(passage, block) whose bound reaches the threshold, from different pairs of passage, sorted, and term."""
+        rare = ~self.common[term] & (np.diff(self.block_at)[term] > 0)
+        passage, term = passage[rare], term[rare]
+        step = max(1, CELLS // self.blocks)
+        for lo in range(0, passages, step):
+            a, b = np.searchsorted(passage, (lo, lo + step))
+            count = self.block_at[term[a:b] + 1] - self.block_at[term[a:b]]
+            cuts = np.concatenate([[0], np.searchsorted(np.cumsum(count), np.arange(CELLS, int(count.sum()) + CELLS, CELLS))])
+            bound = np.zeros(min(step, passages - lo) * self.blocks)
+            for x, y in zip(cuts, cuts[1:], strict=False):  # pieces of bounded size
+                own = count[x:y]
+                at = np.arange(int(own.sum())) - np.repeat(np.cumsum(own) - own, own) + np.repeat(self.block_at[term[a + x : a + y]], own)
+                cell = np.repeat(passage[a + x : a + y] - lo, own) * self.blocks + self.block[at]
+                bound += np.bincount(cell, self.most[at], len(bound))
+            reach = np.flatnonzero(bound.reshape(-1, self.blocks) >= THRESHOLD - 1e-6 - self.slack)
+            yield from zip((lo + reach // self.blocks).tolist(), (reach % self.blocks).tolist(), strict=True)
 
     def search(self, terms: list[int], block: int, threshold: float) -> Iterator[tuple[int, float]]:
-        """Items of a block that reach the threshold, with scores: WAND over the terms' postings in the block."""
-        lists = [self.postings[t][block] for t in terms if block in self.postings[t]]
+        """Items of a block, as places in ``items``, that reach the threshold, with scores: WAND over the postings of
+        the terms in the block."""
+        lists = []
+        for t in terms:
+            a, b = self.at[t], self.at[t + 1]
+            x, y = a + np.searchsorted(self.item[a:b], (block * BLOCK, (block + 1) * BLOCK))
+            if x < y:
+                lists.append((self.item[x:y].tolist(), self.weight[x:y].tolist(), float(self.weight[x:y].max())))
         at = [0] * len(lists)
         while True:
             alive = sorted((x[0][at[i]], i) for i, x in enumerate(lists) if at[i] < len(x[0]))
@@ -128,6 +173,42 @@ class Index:
                     while at[i] < len(lists[i][0]) and lists[i][0][at[i]] < pivot:
                         at[i] += 1
 
+
+class Index:
+    """Items (item_id, text) of one round; ``statistics`` are those of all items, by default of these."""
+
+    def __init__(self, items: list[tuple[int, str]], statistics: tuple[np.ndarray, np.ndarray, int, float] | None = None):
+        self.ids = [i for i, _ in items]
+        words = [_hashes(t) for _, t in items]
+        self.length = list(map(len, words))
+        self.parts = [tuple(map(_pairs, parts(t))) for _, t in items]
+        self.whole = [(_pairs(h), whole_share(t)) for (_, t), h in zip(items, words, strict=True)]
+        self.terms, df, count, mean = statistics or _statistics(words)
+        self.slot = np.zeros(1 << 20, bool)
+        self.slot[(self.terms >> _U(44)).astype(np.int64)] = True
+        idf = np.log(1 + (count - df + 0.5) / (df + 0.5))
+        weights = []
+        for h in words:
+            own, tf = np.unique(h, return_counts=True)
+            at = np.searchsorted(self.terms, own)
+            impact = idf[at] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(h) / mean))
+            weights.append((at, impact / impact.sum()))
+        sizes = np.array([_chunk(n) for n in self.length])
+        self.groups = [Group(int(c), (own := np.flatnonzero(sizes == c).tolist()), [weights[k] for k in own], len(self.terms)) for c in np.unique(sizes)]
+
+    def overlaps(self, item: int, passage: np.ndarray) -> tuple[float, float] | None:
+        """Overlaps of an item's question and answer in the best window of a passage's word hashes, if it is a leak."""
+        span = 2 * max(8, self.length[item])
+        whole, share = self.whole[item]
+        best = None
+        for lo in range(0, max(1, len(passage) - span // 2), max(1, span // 8)):
+            own = passage[lo : lo + span]
+            pairs = np.concatenate([tb.grams(own, 2), own])
+            q, a = (float(np.isin(p, pairs).mean()) if len(p) else 1.0 for p in self.parts[item])
+            if (q >= QUESTION and a >= ANSWER) or (share and np.isin(whole, pairs).mean() >= share):
+                best = max(best or (0.0, 0.0), (q, a))
+        return best
+
     def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item_id, score, question overlap, answer overlap) of every leaked item of each text, its best passage."""
         w = _tokens(texts)
@@ -135,85 +216,84 @@ class Index:
             return
         h = w.hashes()
         first = tb.firsts(w.doc, w.n)
-        nth = (np.arange(len(h)) - first[w.doc]) // self.chunk
-        chunks = -(-np.diff(first) // self.chunk)
-        base = np.concatenate([[0], np.cumsum(chunks)])
-        chunk = base[w.doc] + nth
         maybe = np.flatnonzero(self.slot[(h >> _U(44)).astype(np.int64)])
         at = np.minimum(np.searchsorted(self.terms, h[maybe]), len(self.terms) - 1)
         hit = self.terms[at] == h[maybe]
-        key = np.unique(chunk[maybe[hit]] * len(self.terms) + at[hit])
-        if not len(key):
-            return
-        chunk, term = key // len(self.terms), key % len(self.terms)
-        start = np.searchsorted(chunk, np.arange(base[-1] + 1))
-        bound = np.zeros((base[-1] + 1, self.blocks), np.float32)
-        some = np.flatnonzero(np.diff(start))
-        for lo in range(0, len(some), 512):
-            part = some[lo : lo + 512]
-            rows = self.most[term[start[part[0]] : start[part[-1] + 1]]]
-            bound[part] = np.add.reduceat(rows, start[part] - start[part[0]], axis=0)
-        last = np.zeros(base[-1] + 1, bool)
-        last[base[1:] - 1] = True
-        both = bound[:-1] + np.where(last[:-1, None], 0, bound[1:])
+        place, found = maybe[hit], at[hit]
         best: dict[tuple[int, int], tuple[float, float, float]] = {}
-        for c in np.flatnonzero((both >= THRESHOLD - 1e-4).any(axis=1)).tolist():
-            to = c + 1 if last[c] else c + 2
-            terms = np.unique(term[start[c] : start[to]])
-            row = int(np.searchsorted(base, c, "right")) - 1
-            pairs = None
-            for block in np.flatnonzero(self.most[terms].sum(axis=0) >= THRESHOLD - 1e-4).tolist():
-                for item, score in self.search(terms.tolist(), block, THRESHOLD):
-                    if pairs is None:
-                        own = h[first[row] + (c - base[row]) * self.chunk : min(first[row + 1], first[row] + (to - base[row]) * self.chunk)]
-                        pairs = np.concatenate([tb.grams(own, 2), own])
-                    q, a = (float(np.isin(p, pairs).mean()) if len(p) else 1.0 for p in self.parts[item])
-                    whole, share = self.whole[item]
-                    if (q >= QUESTION and a >= ANSWER) or (share and np.isin(whole, pairs).mean() >= share):
-                        best[row, item] = max(best.get((row, item), (0.0, 0.0, 0.0)), (score, q, a))
-        for (row, item), found in sorted(best.items()):
-            yield row, self.ids[item], *found
+        for g in self.groups:
+            own = np.diff(g.at)[found] > 0
+            doc, term = w.doc[place[own]], found[own]
+            chunks = -(-np.diff(first) // g.chunk)
+            base = np.concatenate([[0], np.cumsum(chunks)])
+            chunk = base[doc] + (place[own] - first[doc]) // g.chunk
+            # passage c is the chunks c and c + 1 of a document; the last of several chunks starts none of its own
+            starts = (chunk == base[doc]) | (chunk < base[doc + 1] - 1)
+            follows = chunk > base[doc]
+            n = len(self.terms)
+            key = np.unique(np.concatenate([chunk[starts] * n + term[starts], (chunk[follows] - 1) * n + term[follows]]))
+            passage, term = key // n, key % n
+            held = None
+            for c, block in g.candidates(passage, term, int(base[-1])):
+                if held is None or held[0] != c:
+                    a, b = np.searchsorted(passage, (c, c + 1))
+                    row = int(np.searchsorted(base, c, "right")) - 1
+                    begin = first[row] + (c - base[row]) * g.chunk
+                    held = c, term[a:b].tolist(), row, h[begin : min(begin + 2 * g.chunk, first[row + 1])]
+                for k, score in g.search(held[1], block, THRESHOLD):
+                    if over := self.overlaps(item := g.items[k], held[3]):
+                        best[held[2], item] = max(best.get((held[2], item), (0.0, 0.0, 0.0)), (score, *over))
+        for (row, item), values in sorted(best.items()):
+            yield row, self.ids[item], *values
 
 
 def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(item_id, text) to (term, words): a row for each term of each item, and one without a term for its length."""
     for b in batches:
         w = _tokens(b.column("text"))
         key = np.unique(np.rec.fromarrays([w.doc, w.hashes()]))
-        yield pa.RecordBatch.from_arrays([pa.array(key["f1"].view(np.int64))], ["term"])
+        length = np.bincount(w.doc, minlength=w.n)
+        term = pa.concat_arrays([pa.array(key["f1"].view(np.int64)), pa.nulls(len(length), pa.int64())])
+        yield pa.RecordBatch.from_arrays([term, pa.array(np.concatenate([np.zeros(len(key), np.int64), length]))], ["term", "words"])
 
 
-def indexes(items: DataFrame, shard_bytes: int = SHARD_BYTES) -> Iterator[Index]:
-    """The index of (item_id long, text), shard by shard. Items without id or words are left out; of several texts of
-    one id each is an item."""
+def indexes(items: DataFrame, round_bytes: int = ROUND_BYTES) -> Iterator[Index]:
+    """The indexes of (item_id long, text), one a round of ``round_bytes``. Items without id or words are left out; of
+    several texts of one id each is an item."""
     items = items.where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]")).select("item_id", "text").distinct()
     total = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    if not total["n"]:
-        return
-    df = items.mapInArrow(_item_terms, "term long").groupBy("term").count()
-    shards = -(-total["bytes"] // shard_bytes)
-    dealt = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    for s in range(shards):
-        own = sorted((r["item_id"], r["text"]) for r in dealt.where(F.col("shard") == s).collect())  # bounded by shard_bytes
-        if not own:
+    rounds = -(-(total["bytes"] or 0) // round_bytes)
+    dealt = items.withColumn("round", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, rounds))))
+    if rounds > 1:
+        df = items.mapInArrow(_item_terms, "term long, words long").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"))
+        mean = df.where("term IS NULL").first()["words"] / total["n"]
+    for s in range(rounds):
+        own = dealt.where(F.col("round") == s).select("item_id", "text")
+        rows = sorted((r["item_id"], r["text"]) for r in own.collect())  # bounded by round_bytes
+        rows = [(i, t) for i, t in rows if len(_hashes(t))]
+        if not rows:
             continue
-        here = dealt.where(F.col("shard") == s).mapInArrow(_item_terms, "term long").distinct()
-        known = {r["term"]: r["count"] for r in df.join(here, "term").collect()}
-        words = items.select(F.size(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), lambda x: x != "")).alias("n"))
-        mean = float(words.agg(F.avg("n")).first()[0])
-        yield Index(own, known, total["n"], mean)
+        if rounds == 1:
+            yield Index(rows)
+        else:
+            here = own.mapInArrow(_item_terms, "term long, words long").select("term").distinct()
+            known = np.array([(r["term"], r["df"]) for r in df.where("term IS NOT NULL").join(here, "term").collect()], np.int64)
+            terms = known[:, 0].copy().view(_U)
+            order = np.argsort(terms)
+            yield Index(rows, (terms[order], known[order, 1], total["n"], mean))
 
 
 SCHEMA = "item_id long, score double, question_overlap double, answer_overlap double"
 
 
-def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(doc_id, text) and (item_id long, text) to one row for each document and item leaked into it: doc_id, item_id,
     score, question_overlap, answer_overlap. An item without an answer mark may have a low overlap of its question or of
     its answer, which then is its tail, if that of all its words is high. Rows without text leak nothing; without items
     there are no rows. A row with a null doc_id is searched like others; equal rows give equal results each."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, {SCHEMA}")
-    for k, index in enumerate(indexes(items)):
+    for k, index in enumerate(indexes(items, round_bytes)):
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
@@ -249,5 +329,6 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op5_decontamination(spark, sf_dir):
+    """The items of ``benchmark`` that have leaked into each whole text of ``documents``; see :func:`leaks`."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text")
     return leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), items)
