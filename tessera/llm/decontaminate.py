@@ -5,9 +5,10 @@ of every length. A passage is two neighbouring chunks of a document; an item's c
 256, ... words that hold it, so a copied item lies whole in some passage, and what other items there are has no say in
 it. Items of one chunk length stand in blocks, and the index keeps the largest impact of each term in each block that
 holds it. Terms in many blocks whose maxima together stay below a slack in every block can't lift a block to the
-threshold alone, so a passage's block bounds are summed over its other terms, by numpy for all passages of a batch,
-with that slack added. Only blocks whose bound reaches the threshold are searched, by WAND with pivots, and every item
-at or above the threshold is retrieved: there is no top k.
+threshold alone, so a passage's block bounds are summed over its other terms first, by numpy for all passages of a
+batch, and only where they come within the slack of the threshold are the common terms of the passage added. Blocks
+whose bound reaches the threshold are searched, by WAND with pivots, and every item at or above the threshold is
+retrieved: there is no top k.
 
 A retrieved item counts as leaked if enough of its question's and of its answer's word pairs stand within a window of
 twice its own length. Where no mark tells the answer, what stands for it is only the item's tail, whose lack doesn't
@@ -38,7 +39,7 @@ THRESHOLD, QUESTION, ANSWER = 0.5, 0.6, 0.5
 WHOLE, SENTENCE = 0.6, 0.8
 #: Words that an answer has at least, if the item has twice as many.
 ANSWER_WORDS = 5
-BLOCK = 8
+BLOCK = 4
 CHUNK = 64
 #: What the maxima of a block's common terms may come to together.
 SLACK = 0.2
@@ -121,11 +122,18 @@ class Group:
                 break
             self.slack[self.block[own]] += self.most[own]
             self.common[t] = True
+        self.place = np.cumsum(self.common) - 1
+        self.usual = np.zeros((self.blocks, int(self.common.sum())))  # maxima of the common terms, in most blocks each
+        for t in np.flatnonzero(self.common).tolist():
+            own = slice(self.block_at[t], self.block_at[t + 1])
+            self.usual[self.block[own], self.place[t]] = self.most[own]
 
     def candidates(self, passage: np.ndarray, term: np.ndarray, passages: int) -> Iterator[tuple[int, int]]:
         """(passage, block) whose bound reaches the threshold, from different pairs of passage, sorted, and term."""
-        rare = ~self.common[term] & (np.diff(self.block_at)[term] > 0)
-        passage, term = passage[rare], term[rare]
+        usual = self.common[term]
+        there = np.zeros((passages, self.usual.shape[1]), bool)
+        there[passage[usual], self.place[term[usual]]] = True
+        passage, term = passage[~usual], term[~usual]
         step = max(1, CELLS // self.blocks)
         for lo in range(0, passages, step):
             a, b = np.searchsorted(passage, (lo, lo + step))
@@ -138,7 +146,11 @@ class Group:
                 cell = np.repeat(passage[a + x : a + y] - lo, own) * self.blocks + self.block[at]
                 bound += np.bincount(cell, self.most[at], len(bound))
             reach = np.flatnonzero(bound.reshape(-1, self.blocks) >= THRESHOLD - 1e-6 - self.slack)
-            yield from zip((lo + reach // self.blocks).tolist(), (reach % self.blocks).tolist(), strict=True)
+            for k in range(0, len(reach), 1 << 14):
+                some = reach[k : k + (1 << 14)]
+                row, block = lo + some // self.blocks, some % self.blocks
+                whole = bound[some] + (self.usual[block] * there[row]).sum(axis=1) >= THRESHOLD - 1e-6
+                yield from zip(row[whole].tolist(), block[whole].tolist(), strict=True)
 
     def search(self, terms: list[int], block: int, threshold: float) -> Iterator[tuple[int, float]]:
         """Items of a block, as places in ``items``, that reach the threshold, with scores: WAND over the postings of
@@ -200,14 +212,15 @@ class Index:
         """Overlaps of an item's question and answer in the best window of a passage's word hashes, if it is a leak."""
         span = 2 * max(8, self.length[item])
         whole, share = self.whole[item]
-        best = None
-        for lo in range(0, max(1, len(passage) - span // 2), max(1, span // 8)):
-            own = passage[lo : lo + span]
+
+        def judged(own: np.ndarray) -> tuple[float, float] | None:
             pairs = np.concatenate([tb.grams(own, 2), own])
             q, a = (float(np.isin(p, pairs).mean()) if len(p) else 1.0 for p in self.parts[item])
-            if (q >= QUESTION and a >= ANSWER) or (share and np.isin(whole, pairs).mean() >= share):
-                best = max(best or (0.0, 0.0), (q, a))
-        return best
+            return (q, a) if (q >= QUESTION and a >= ANSWER) or (share and np.isin(whole, pairs).mean() >= share) else None
+
+        if not judged(passage):  # what no passage holds, no window of it does
+            return None
+        return max((x for lo in range(0, max(1, len(passage) - span // 2), max(1, span // 8)) if (x := judged(passage[lo : lo + span]))), default=None)
 
     def leaks(self, texts: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:
         """(row, item_id, score, question overlap, answer overlap) of every leaked item of each text, its best passage."""
