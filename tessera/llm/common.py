@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import os
+import re
 import tempfile
 import time
 import uuid
@@ -14,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A word of a text, wherever a contract speaks of words (fixed pattern; same in Java, RE2 and Python).
 WORD = r"[^\x20\x09-\x0D]+"
+#: Files of a table in the shared folder: enough to keep all cores busy, and few enough to open.
+FILES_A_CORE = 4
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,23 +26,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a folder of its own.
+    Only a session on one machine without that setting (a test) gets a folder of its own; on a cluster it is an error.
     """
     for held in (spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.getConf().get("spark.checkpoint.dir")):
         if held:
             return held.rstrip("/")
-    own = f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+    return f"file://{tempfile.gettempdir()}/checkpoints/{spark.sparkContext.applicationId}"
+
+
+def _folder(spark: SparkSession, path: str):
+    """Hadoop's file system and path of a folder."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at replicated files, so a lost executor
-    costs no recomputation and what is used twice is computed once."""
+    costs no recomputation and what is used twice is computed once. There are at most FILES_A_CORE files for each core
+    of the cluster. The files go with :func:`dropped`, or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    fs, at = _folder(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete the files of tables that :func:`written` made and that nothing reads any more."""
+    for df in tables:
+        fs, at = _folder(df.sparkSession, df.stored_at)
+        fs.delete(at, True)
 
 
 def release(spark: SparkSession) -> None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import dropped, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,6 +23,9 @@ def components(links: DataFrame) -> DataFrame:
         best = roots.join(near, "id").select("id", F.col("root").alias("was"), F.least("root", "near").alias("root"))
         up = roots.select(F.col("id").alias("root"), F.col("root").alias("up"))
         step = written(best.join(up, "root").select("id", "was", F.least("root", "up").alias("root")), "roots")
-        roots = step.select("id", "root")
+        dropped(roots)
+        roots = step.drop("was")
+        roots.stored_at = step.stored_at
         if step.where(F.col("was") != F.col("root")).isEmpty():
+            dropped(both)
             return roots

@@ -5,11 +5,16 @@ its own, in round t + i the elements fill bin i, and a coordinate keeps the smal
 So every coordinate of a set that isn't empty is filled, most sets are done after a round or two, and agreement of
 coordinates has at least the concentration of independent minima.
 
-Documents with equal sets are one class from the start, and classes that share a document are linked. Classes that agree in all coordinates of a band share a
-bucket. In each bucket the smallest document is tried against the others; then, in buckets whose members are not yet
-in one component, the members outside the bucket's largest component are tried against all others, but for pairs
-that set sizes rule out or that a finer sketch puts well below the threshold. A pair is a link only if the full sets
-say so. Within a component no further pairs are needed, so a large group of near copies costs a star, not a square.
+Documents with equal sets are one class from the start, and classes that share a document are linked. Classes that
+agree in all coordinates of a band share a bucket. In each bucket the smallest document is tried against the others;
+then, in buckets whose members are not yet in one component, the members outside the bucket's largest component are
+tried against those of other components, but for pairs that set sizes rule out or that a finer sketch puts well below
+the threshold. A pair is a link only if the full sets say so. Within a component no further pairs are needed, so a
+large group of near copies costs a star, not a square.
+
+A bucket that would still mean more than ``PAIRS`` trials, such as that of a passage in very many documents, is not
+tried pair by pair. Sets as similar as the threshold asks share one of the rarest quarter of their shingles, so all
+members of such buckets are joined on these alone, which is exact and leaves out what only common text brings together.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import release, table, written
+from tessera.llm.common import dropped, release, table, written
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -32,6 +37,9 @@ BANDS, ROWS = 32, 4
 #: Coordinates of the finer sketch, one bit of each, and how many bits may differ before a pair is not verified: a pair
 #: at the threshold has 2048 * 0.125 = 256 expected, with a deviation of 15; 4.5 of them are allowed above.
 BITS, DIFFER = 2048, 324
+#: Trials in a bucket, of members outside its largest component against all, beyond which its members are joined on
+#: their rarest shingles.
+PAIRS = 1 << 17
 _U = np.uint64
 
 
@@ -151,6 +159,36 @@ def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * PERCENT).select("a", "b")
 
 
+def _apart(members: DataFrame, key: str) -> DataFrame:
+    """Members (key, c, root, ...) of the groups that hold several components, with the largest of these as ``main`` and
+    the trials, of those outside it against all, as ``trials``."""
+    per = members.groupBy(key, "root").agg(F.count(F.lit(1)).alias("held"))
+    most, total = F.max(F.struct("held", "root")), F.sum("held")
+    main = per.groupBy(key).agg(most["root"].alias("main"), ((total - most["held"]) * total).alias("trials"), F.count(F.lit(1)).alias("many"))
+    return members.join(main.where("many > 1").drop("many"), key)
+
+
+def _across(members: DataFrame, key: str, more: Column) -> DataFrame:
+    """Pairs (a, b) of members, x and y, of different components in one group, of which ``more`` holds."""
+    x, y = members.where(F.col("root") != F.col("main")).alias("x"), members.alias("y")
+    sizes = (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
+    pairs = x.join(y, (F.col(f"x.{key}") == F.col(f"y.{key}")) & (F.col("x.root") != F.col("y.root")) & sizes & more)
+    return pairs.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+
+
+def _by_rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members (c, root, n) of different components whose sets can be as similar as PERCENT, by a join on
+    the n - ceil(PERCENT of n) + 1 rarest shingles of each, two sets of that similarity having one of them in common.
+    Of the first they share, no more can follow in either than makes up what both must share."""
+    shingles = members.join(sets, "c").select("c", "root", "n", F.explode("set").alias("s"))
+    often = shingles.groupBy("s").agg(F.count(F.lit(1)).alias("often"))
+    ordered = shingles.join(often, "s").groupBy("c", "root", "n").agg(F.sort_array(F.collect_list(F.struct("often", "s"))).alias("by"))
+    first = F.slice("by", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
+    rare = ordered.select("c", "root", "n", F.posexplode(first).alias("pos", "f")).where("f.often > 1").select("c", "root", "n", "pos", F.col("f.s").alias("s"))
+    left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
+    return _across(_apart(written(rare, "rare"), "s"), "s", left * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT)
+
+
 def _same_document(signed: DataFrame, leaders: DataFrame) -> DataFrame:
     """(doc_id, a, b, bare) for the documents whose rows differ: a row for each class b of their rows, with the smallest
     such class, a, and whether some of their rows have no words."""
@@ -163,7 +201,7 @@ def _same_document(signed: DataFrame, leaders: DataFrame) -> DataFrame:
     return rows.join(least, "doc_id").select("doc_id", "a", "b", "bare")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, most_pairs: int = PAIRS) -> DataFrame:
     """(doc_id long, text) to (doc_id, n_shingles, component_id, kept), a row for each row.
 
     Null and empty texts have an empty set and are linked with nothing. A null doc_id is linked with nothing, its
@@ -190,22 +228,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sets = written(sets.join(leaders.select("s1", "s2", "c"), ["s1", "s2"]).select("c", "set"), "sets")
     links = written(_confirmed(star, sets).unionByName(shared), "links")
     first = components(links)
-    # members outside a bucket's largest component against the others of the bucket
     placed = joined.join(first.withColumnRenamed("id", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    per = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("held"))
-    main = per.groupBy("band").agg(F.max(F.struct("held", "root"))["root"].alias("main"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    buckets = written(placed.join(main, "band").withColumn("k", F.col("k") + 1).drop("pivot"), "open")
-    ids = buckets.select("c").distinct()
-    fine = sets.join(ids, "c", "left_semi").mapInArrow(_fine, ", ".join(["c long", *(f"{h} long" for h in _LONGS)]))
+    open_ = written(_apart(placed.drop("pivot"), "band").withColumn("k", F.col("k") + 1), "open")
+    few = open_.where(F.col("trials") <= most_pairs)
+    fine = sets.join(few.select("c").distinct(), "c", "left_semi").mapInArrow(_fine, ", ".join(["c long", *(f"{h} long" for h in _LONGS)]))
     fine = written(fine.join(leaders.select("c", "bands"), "c"), "fine")
-    open_ = buckets.join(fine, "c")
-    x, y = open_.where(F.col("root") != F.col("main")).alias("x"), open_.alias("y")
-    alike = (F.col("x.band") == F.col("y.band")) & (F.col("x.root") != F.col("y.root"))
-    sizes = (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT)
-    rest = x.join(y, alike & sizes & _near()).select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b")).distinct()
+    rest = _across(few.join(fine, "c"), "band", _near())
+    crowded = open_.where(F.col("trials") > most_pairs).select("c", "root", "n").distinct()
+    if not crowded.isEmpty():
+        rest = rest.unionByName(_by_rarest(crowded, sets)).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
-    more = _confirmed(rest, sets)
-    roots = components(links.unionByName(more))
+    all_ = written(links.unionByName(_confirmed(rest, sets)), "links")
+    dropped(links, joined, sets, open_, fine, first)
+    roots = components(all_)
+    dropped(all_)
     # the class of smallest number has the component's smallest leader
     roots = roots.join(leaders.select(F.col("c").alias("root"), F.col("lead").alias("top")), "root").select(F.col("id").alias("c"), "top")
     classes = leaders.select("s1", "s2", "c", "lead").join(roots, "c", "left").withColumn("root", F.coalesce("top", "lead"))
@@ -233,4 +269,22 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 
 def op8_minhash(spark, sf_dir):
+    """The component of near duplicates of every document of ``documents``, from whole texts; see
+    :func:`near_duplicates` for null ids, empty texts and repeated rows."""
     return near_duplicates(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE
+w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END)) AS s FROM w),
+c AS MATERIALIZED (SELECT min(doc_id) AS c, s FROM s WHERE len(s) > 0 GROUP BY s),
+e AS MATERIALIZED (SELECT c, len(s) AS n, unnest(s) AS g FROM c),
+p AS (SELECT x.c AS a, y.c AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS i FROM e x JOIN e y ON x.g = y.g AND x.c < y.c GROUP BY x.c, y.c),
+l AS MATERIALIZED (SELECT a, b FROM p WHERE 100 * i >= 75 * (na + nb - i)),
+r(a, b) AS (SELECT c, c FROM c UNION SELECT r.a, CASE WHEN l.a = r.b THEN l.b ELSE l.a END FROM r JOIN l ON l.a = r.b OR l.b = r.b),
+t AS (SELECT a, min(b) AS root FROM r GROUP BY a)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, coalesce(t.root, s.doc_id) AS component_id, s.doc_id = coalesce(t.root, s.doc_id) AS kept
+FROM s LEFT JOIN c USING (s) LEFT JOIN t ON t.a = c.c
+"""

@@ -119,3 +119,28 @@ def test_components_of_chains_and_loops(spark):
     for k, v in got.items():
         groups[v].add(k)
     assert groups == {100: set(range(100, 141)), 5: {5}, 6: {6, 7}}
+
+
+def test_crowded_buckets_against_brute_force(spark):
+    docs = corpus()
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for most_pairs in (0, 30):  # all buckets that stars leave open are crowded, or some
+        got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in minhash.near_duplicates(df, most_pairs).collect()}
+        assert got == brute(docs)
+
+
+def test_a_passage_in_all_documents_makes_few_pairs(spark):
+    r = random.Random(8)
+    passage = prose(1000, 60)
+    texts = [" ".join(passage + prose(2000 + i, r.randint(50, 70))) for i in range(300)]
+    near = [" ".join(t.split()[:-3]) for t in texts[:20]]  # similar enough to the first 20
+    docs = list(enumerate(texts + near))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    sets = {i: shingles(t) for i, t in docs}
+    (batch,) = list(minhash._sets(iter([pa.RecordBatch.from_pydict({"text": [t for _, t in docs]})])))
+    members = spark.createDataFrame([(i, i, len(sets[i])) for i in sets], "c long, root long, n long")
+    rows = [(i, s) for i, s in enumerate(batch.column("set").to_pylist())]
+    pairs = {(p.a, p.b) for p in minhash._by_rarest(members, spark.createDataFrame(rows, "c long, set array<long>")).collect()}
+    assert pairs >= {(i, 300 + i) for i in range(20)} and len(pairs) < 60  # of 51,040
+    got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(df, 0).collect()}
+    assert got == brute(docs)
