@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import ann
@@ -59,3 +60,32 @@ def test_graph_is_pruned_and_reachable():
     d = lambda a, b: float(2 - 2 * p[a] @ p[b])
     kept = [k for k in kept if k >= 0]
     assert all(1.44 * d(a, b) > d(0, b) for i, b in enumerate(kept) for a in kept[:i])
+
+
+@pytest.mark.parametrize("spread", [0.25, 3.0])
+def test_recall_on_whole_shards(spread):
+    """Shards of 4,096 points, sixteen times the beam, of clustered and of even vectors."""
+    rng = np.random.default_rng(11)
+    m = rng.normal(size=(40, 48))[rng.integers(0, 40, ann.SHARD_POINTS + 200)] + spread * rng.normal(size=(ann.SHARD_POINTS + 200, 48))
+    points, queries = m[: ann.SHARD_POINTS], m[ann.SHARD_POINTS :]
+    edges, entry = ann.build(ann._unit(points))
+    count, ids = np.ones(len(points), np.int64), np.full((len(points), ann.KEPT_IDS), -1, np.int64)
+    ids[:, 0] = np.arange(len(points))
+    shard = {"dim": 48, "ids": count.tobytes() + ids.tobytes(), "points": points.tobytes(), "edges": edges.tobytes(), "entry": entry}
+    scores, found = ann._searched(shard, np.arange(-200, 0), queries)
+    cosine = queries @ points.T / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(points, axis=1))
+    exact = np.argsort(-cosine, axis=1)[:, :5]
+    assert np.mean([len(set(a) & set(b)) / 5 for a, b in zip(found, exact, strict=True)]) >= 0.95
+    assert np.allclose(scores, np.take_along_axis(cosine, found, 1))
+
+
+def test_blocks_of_queries_and_shards_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(700, 8)).astype(np.float32))]
+    rows += [(10_000 + i, [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(120, 5)).astype(np.float32))]  # another number of components
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    is_query = F.col("vec_id") % 10 == 0
+    one = sorted(map(tuple, ann.nearest(df, is_query).collect()))
+    monkeypatch.setattr(ann, "SHARD_POINTS", 150)
+    assert sorted(map(tuple, ann.nearest(df, is_query, block_values=100).collect())) == one
+    assert all((q >= 10_000) == (v >= 10_000) for q, _, v, _ in one) and len(one) == 82 * 5
