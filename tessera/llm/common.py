@@ -10,13 +10,14 @@ import time
 import uuid
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of a text, wherever a contract speaks of words (fixed pattern; same in Java, RE2 and Python).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Files of a table in the shared folder: enough to keep all cores busy, and few enough to open.
-FILES_A_CORE = 4
+FILES_A_CORE = 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,7 +49,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     of the cluster. The files go with :func:`dropped`, or when the session ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.coalesce(FILES_A_CORE * spark.sparkContext.defaultParallelism).write.parquet(path)
+    packed(df).write.parquet(path)
     fs, at = _folder(spark, path)
     fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
@@ -56,11 +57,25 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
+def held(df: DataFrame) -> DataFrame:
+    """Keep a table of narrow rows that is read more than once on the executors' disks. Its lineage stays and is short,
+    it ends at written tables, so the part of a lost executor is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
 def dropped(*tables: DataFrame) -> None:
-    """Delete the files of tables that :func:`written` made and that nothing reads any more."""
+    """Let go of tables that :func:`written` or :func:`held` made and that nothing reads any more."""
     for df in tables:
-        fs, at = _folder(df.sparkSession, df.stored_at)
-        fs.delete(at, True)
+        if path := getattr(df, "stored_at", None):
+            fs, at = _folder(df.sparkSession, path)
+            fs.delete(at, True)
+        else:
+            df.unpersist()
+
+
+def packed(df: DataFrame) -> DataFrame:
+    """``df`` for a result in no more files than :func:`written` makes."""
+    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
 
 
 def release(spark: SparkSession) -> None:

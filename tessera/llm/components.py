@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, written
+from tessera.llm.common import dropped, held, written
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -16,7 +16,7 @@ def components(links: DataFrame) -> DataFrame:
     pre-aggregated before the shuffle. Null ids are left out, repeated links and loops do no harm.
     """
     known = links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
-    both = written(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    both = held(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     roots = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
     while True:
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))

@@ -57,3 +57,31 @@ def test_edges(spark):
     assert [(r.target, r.taken) for r in nothing] == [(0.0, 0)] * 2
     same = mixing.mix(spark.createDataFrame([(None, "a", "x y", 1, "t")] * 3 + [(5, "b", "x", 1, "t")], schema), words).collect()
     assert len(same) == 4 and sum(r.taken for r in same) in (6, 7, 8)
+
+
+def test_the_mixed_corpus_holds_what_the_plan_takes(spark):
+    rows = [(i, s, t, len(t), i) for i, s, t in corpus(7)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, n_chars long, size int")
+    plan = {r.doc_id: r for r in mixing.mix(df, mixing.words(F.col("text"))).collect()}
+    out = mixing.mixed(df)
+    assert out.columns == [*df.columns, "copy"]
+    held = defaultdict(list)
+    for r in out.orderBy("copy").collect():
+        assert r.n_chars == len(r.text) and r.size == r.doc_id and r.source == plan[r.doc_id].source
+        held[r.doc_id].append(r)
+    for i, _, text, *_ in rows:
+        p = plan[i]
+        assert [r.copy for r in held[i]] == list(range(1, len(held[i]) + 1))
+        assert [r.text for r in held[i][: p.whole]] == ([text] * p.whole if held[i] else [])
+        if p.size:
+            assert sum(len(r.text.split()) for r in held[i]) == p.taken and len(held[i]) == p.whole + (p.extra > 0)
+    assert mixing.mixed(df.limit(0)).collect() == []
+
+
+def test_a_null_id_in_a_third_of_the_rows_is_split(spark):
+    rows = [(None if i % 3 == 0 else i, "a" if i % 2 else "b", " ".join(["w"] * (i % 50))) for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    out = mixing.mix(df, mixing.words(F.col("text"))).collect()
+    assert len(out) == 900
+    for s in ("a", "b"):
+        assert abs(sum(r.taken for r in out if r.source == s) - next(r.target for r in out if r.source == s)) <= 1
