@@ -1,7 +1,8 @@
 """A training corpus from raw documents in five stages.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes each stage's result to the shared
-folder and reads it back as the next one's documents. All but the last return the columns of ``documents``.
+folder and reads it back as the next one's documents. All return the columns of ``documents``, the last also ``copy``.
+Results are dealt over a few partitions a core, so that no stage leaves many small files to the next.
 """
 
 from __future__ import annotations
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, minhash, mixing, pii, quality
-from tessera.llm.common import release, ship, small_batches, table, written
+from tessera.llm.common import packed, release, ship, small_batches, table, written
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +23,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     scored = quality.score(docs, model)
     at = len(docs.columns)
     names = [f"c{i}" for i in range(at)]
-    return scored.toDF(*names, "score").where(F.col("score") >= 0.5).drop("score").toDF(*docs.columns)
+    return packed(scored.toDF(*names, "score").where(F.col("score") >= 0.5).drop("score").toDF(*docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     duplicates; rows without doc_id stay; of rows that share a doc_id one stays."""
     ship(spark)
     small_batches(spark)
-    return minhash.deduplicated(docs)
+    return packed(minhash.deduplicated(docs))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +39,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
     ship(spark)
     small_batches(spark)
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("long"), "text")
-    return decontaminate.without_leaks(docs, items)
+    return packed(decontaminate.without_leaks(docs, items))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,13 +47,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     stay as they are."""
     ship(spark)
     small_batches(spark)
-    return pii.redact(docs)
+    return packed(pii.redact(docs))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How much of each document the mix of sources takes: doc_id, source, size, source_size, target, whole, extra, taken.
-    A null source is one source, the last; documents without words take nothing."""
-    return mixing.mix(docs, mixing.words(F.col("text")))
+    """The mixed corpus: a row for each time that the mix takes a document, with ``copy`` from 1; the last document of a
+    source's fractional repetition is cut. A null source is one source, the last. Documents without words, and those
+    beyond their source's target, have no row."""
+    return packed(mixing.mixed(docs))
 
 
 STAGES = [
