@@ -1,12 +1,15 @@
 """Toxicity by weak supervision.
 
-Voters are lexicons of abusive words by kind, patterns (an insult said to someone, or shouted), and many words and
-word stems that the labelled sample suggests; each votes ``toxic`` on a text or abstains. A generative label model
-with the true class hidden is fitted by expectation and maximisation: each voter's rates of voting in either class
-(its accuracy), and, along a maximum spanning tree of the mutual information left between voters given the class, its
-rates given the vote of the voter it depends on (their correlation). Known labels enter as one more, fallible, voter.
-The posterior of the class then labels the sample, and a linear classifier on counts of the voters' terms is trained
-on these soft labels. Only the classifier scores the corpus, from the bytes of the whole texts.
+Voters are lexicons of abusive words by kind, patterns (an insult said to someone, or shouted), many words and word
+stems that the labelled sample suggests, and how densely all of these stand in a text. Each votes on a text or
+abstains: the dense say ``toxic``, those that find a text too sparse say ``clean``. A word of a voter counts only if
+it stands once in ``GAP`` words, since a long text holds any word by chance. A generative label model with the true
+class hidden is fitted by expectation and maximisation over labelled and unlabelled texts: each voter's rates of
+voting in either class (its accuracy), and, along a maximum spanning tree of the mutual information left between
+voters given the class, its rates given the vote of the voter it depends on (their correlation). To abstain says
+nothing, as most voters know one language or kind of abuse only, so there are voters for either class. Known labels choose the voters and are one more voter, whose rates are estimated like the others'. The
+posterior of the class then labels the sample, and a linear classifier on counts of the voters' terms is trained on
+these soft labels. Only the classifier scores the corpus, from the bytes of the whole texts.
 """
 
 from __future__ import annotations
@@ -21,9 +24,11 @@ from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
 from tessera.llm.common import fold, table
-from tessera.llm.sample import labelled, log_odds
+from tessera.llm.sample import labelled
 
 ROWS, BYTES = 1500, 32 << 20
+#: Documents without a label in the sample, at most.
+UNLABELLED = 2000
 #: Terms taken from the labelled sample, and how many of them vote in the label model.
 TERMS, VOTERS = 400, 120
 #: Lengths in bytes of the word stems that are tried.
@@ -31,8 +36,10 @@ STEMS = (4, 5, 6, 7, 8, 10)
 #: Voters depend on each other if they share this part of their information given the class: what they share less of
 #: is agreement on the class, which isn't known well when the dependencies are found.
 DEPENDS = 0.6
-#: How far a known label is believed.
-LABEL_ACCURACY = 0.97
+#: Words in which a voter's term stands once at least if it votes.
+GAP = 170
+#: A text is dense beyond this quantile of the clean sample's share of terms, sparse below these of the toxic one's.
+DENSE, SPARSE = 0.99, (0.05, 0.25, 0.5)
 
 # Fixed word lists of the lexicon voters.
 LEXICONS = {
@@ -128,26 +135,28 @@ def _patterns(texts: pa.Array, insults: set[str]) -> np.ndarray:
 class LabelModel:
     """Hidden class, voters that vote or abstain, each depending on the class and on one other voter at most."""
 
-    def fit(self, votes: np.ndarray, prior: float, known: np.ndarray, rounds: int = 25) -> np.ndarray:
-        """Posterior of the class for each row; ``known`` holds labels, or -1."""
+    def fit(self, votes: np.ndarray, clean: np.ndarray, prior: np.ndarray, known: np.ndarray, rounds: int = 40) -> np.ndarray:
+        """Posterior of the class for each row, of which ``prior`` is the chance beforehand and ``known`` holds labels
+        or -1. ``clean`` marks the voters that vote for class 0; this only says where the fit begins."""
         n, m = votes.shape
         v = votes.astype(np.float64)
-        seen = np.where(known < 0, 0.0, np.where(known == 1, log_odds(LABEL_ACCURACY), -log_odds(LABEL_ACCURACY)))
-        q = 1 / (1 + np.exp(-(log_odds(prior) + seen + 2 * (v.sum(axis=1) > 0) - 1)))
+        base = np.log(prior / (1 - prior))
+        q = 1 / (1 + np.exp(-(base + np.where(votes[:, ~clean].any(axis=1), 2, -2))))
         # the dependencies come first: voters that echo each other would else be taken for the class
         self.parent = self._tree(v, q)
         for k in range(rounds):
-            rate = self._rates(v, q)
-            logit = np.full(n, log_odds(prior)) + seen
+            rate, logit = self._rates(v, q), base.copy()
+            self.label_rates = np.array([[(w @ (known == y) + 1) / (w @ (known >= 0) + 2) for y in (0, 1)] for w in (1 - q, q)])
+            for y in (0, 1):
+                logit += np.where(known == y, np.log(self.label_rates[1, y] / self.label_rates[0, y]), 0.0)
             for j in range(m):
                 given = votes[:, self.parent[j]].astype(int) if self.parent[j] >= 0 else 0
-                p1, p0 = rate[1, j][given], rate[0, j][given]
-                logit += np.where(votes[:, j], np.log(p1 / p0), np.log((1 - p1) / (1 - p0)))
+                logit += np.where(votes[:, j], np.log(rate[1, j][given] / rate[0, j][given]), 0.0)
             new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
             if np.abs(new - q).max() < 1e-4 and k > 4:
                 break
             q = new
-        self.accuracy = rate
+        self.rates = rate
         return q
 
     def _rates(self, v: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -230,29 +239,64 @@ def _linear(x: np.ndarray, q: np.ndarray, weight: np.ndarray, penalty: float = 0
     return w[:-1], float(w[-1])
 
 
-def train(texts: pa.Array, y: np.ndarray, share: float) -> Model:
-    """Voters, label model and classifier of a labelled sample; ``share`` is that of toxic texts among all labelled."""
-    lexicon = {k: _hashes(v.split()) for k, v in LEXICONS.items()}
-    fixed = np.unique(np.concatenate(list(lexicon.values())))
-    mined = _suggested(texts, y) if len(y) else np.zeros(0, _U)
-    counter = Counter(np.concatenate([fixed, mined[~np.isin(mined, fixed)]]))
-    if not len(y):  # nothing to learn from: each word of the lexicons counts alike
-        return Model(counter, np.concatenate([np.full(len(counter.chosen), 2.0), np.zeros(3)]), -3.0)
-    parts = [counter.counts(texts.slice(lo, hi - lo)) for lo, hi in tb.pieces(texts)]
-    counts, words = np.vstack([c for c, _ in parts]), np.concatenate([n for _, n in parts])
-    of = [np.isin(counter.chosen, h) for h in lexicon.values()]
-    votes = [counts[:, m].sum(axis=1) >= least for m in of for least in (1, 2)]
-    votes += [counts[:, j] >= least for j in range(len(fixed), min(len(fixed) + VOTERS, counts.shape[1])) for least in (1, 2)]
-    votes = np.column_stack([*votes, _patterns(texts, {x for k in ("insult", "contempt", "profanity") for x in LEXICONS[k].split()})])
-    votes = votes[:, votes.any(axis=0)]
-    q = LabelModel().fit(votes, float(y.mean()), y) if votes.shape[1] else y * 0.9 + 0.05
-    mine = float(np.clip(y.mean(), 0.001, 0.999))
-    return Model(counter, *_linear(_inputs(counts, words), q, np.where(y == 1, share / mine, (1 - share) / (1 - mine))))
+class Voters:
+    """The terms that voters are made of, and votes on texts."""
+
+    def __init__(self, texts: pa.Array, y: np.ndarray):
+        """Chosen by labelled texts: which terms are suggested, and where dense and sparse begin."""
+        self.lexicons = [_hashes(words.split()) for words in LEXICONS.values()]
+        self.fixed = np.unique(np.concatenate(self.lexicons))
+        mined = _suggested(texts, y) if len(y) else np.zeros(0, _U)
+        self.counter = Counter(np.concatenate([self.fixed, mined[~np.isin(mined, self.fixed)]]))
+        counts, words = self.counts(texts)
+        density = counts.sum(axis=1) / np.maximum(words, 1)
+        self.dense = float(np.quantile(density[y == 0], DENSE)) if (y == 0).any() else np.inf
+        self.sparse = np.quantile(density[y == 1], SPARSE) if (y == 1).any() else np.zeros(0)
+
+    def counts(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.counter.counts(texts.slice(lo, hi - lo)) for lo, hi in tb.pieces(texts)]
+        return np.vstack([np.zeros((0, len(self.counter.chosen))), *(c for c, _ in parts)]), np.concatenate([np.zeros(0), *(n for _, n in parts)])
+
+    def votes(self, texts: pa.Array, counts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Votes (rows x voters) and which of the voters vote for the clean class."""
+        gaps = np.maximum(1, words / GAP)
+        terms = range(len(self.fixed), min(len(self.fixed) + VOTERS, counts.shape[1]))
+        found = [counts[:, np.isin(self.counter.chosen, h)].sum(axis=1) for h in self.lexicons] + [counts[:, j] for j in terms]
+        density = counts.sum(axis=1) / np.maximum(words, 1)
+        toxic = [c >= least * gaps for c in found for least in (1, 2)] + [density > self.dense]
+        toxic += list(_patterns(texts, {x for k in ("insult", "contempt", "profanity") for x in LEXICONS[k].split()}).T)
+        sparse = [density < c for c in self.sparse]
+        return np.column_stack([*toxic, *sparse]), np.array([False] * len(toxic) + [True] * len(sparse))
+
+
+def posterior(voters: Voters, texts: pa.Array, counts: np.ndarray, words: np.ndarray, known: np.ndarray, share: float) -> tuple[np.ndarray, LabelModel]:
+    """The label model's posterior of each text. Of labelled rows the sample's share of toxic ones is the chance
+    beforehand, of others ``share``."""
+    votes, clean = voters.votes(texts, counts, words)
+    some = votes.any(axis=0)
+    mine = (known == 1).sum() / max(1, (known >= 0).sum())
+    prior = np.clip(np.where(known >= 0, mine, share), 0.001, 0.999)
+    model = LabelModel()
+    return model.fit(votes[:, some], clean[some], prior, known), model
+
+
+def train(texts: pa.Array, y: np.ndarray, share: float, hide: bool = False) -> Model:
+    """Voters, label model and classifier of a sample with labels 0 and 1, or -1 where there is none; ``share`` is that
+    of toxic texts among all labelled. ``hide`` keeps the labels from the label model: they then choose the voters only."""
+    own = np.flatnonzero(y >= 0)
+    voters = Voters(texts.take(pa.array(own)), y[own])
+    if not len(own):  # nothing to learn from: each word of the lexicons counts alike
+        return Model(voters.counter, np.concatenate([np.full(len(voters.counter.chosen), 2.0), np.zeros(3)]), -3.0)
+    counts, words = voters.counts(texts)
+    q, _ = posterior(voters, texts, counts, words, np.full(len(y), -1.0) if hide else y, share)
+    mine = float(np.clip(y[own].mean(), 0.001, 0.999))
+    weight = np.where(y == 1, share / mine, np.where(y == 0, (1 - share) / (1 - mine), 1.0))
+    return Model(voters.counter, *_linear(_inputs(counts, words), q, weight))
 
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
-    """Trained on the rows of ``labels`` of which crc32 of doc_id mod 5 is not 0."""
-    return train(*labelled(docs, labels, "toxic", fold(F.col("doc_id"), 5) != 0, ROWS, BYTES))
+    """Trained on rows of which crc32 of doc_id mod 5 is not 0, labelled ones and some without a label."""
+    return train(*labelled(docs, labels, "toxic", lambda i: fold(i, 5) != 0, ROWS, BYTES, UNLABELLED))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -267,6 +311,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op1_toxicity(spark, sf_dir):
+    """The toxicity of each whole text of ``documents``. A null or empty text gets the score of no terms; every row has a
+    row, repeated ones equal scores, and a row without doc_id is in the held-out fold of the empty id's crc32."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score(docs, fitted(docs, table(spark, sf_dir, "labels")))
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
