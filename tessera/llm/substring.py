@@ -8,12 +8,15 @@ every shard, so automata are built of what can match and only the text that may
 
 1. In every window of 13 words the 5-word gram of smallest hash is its anchor. Equal windows have equal anchors, so
    windows with an anchor that no other document has are unique and need no automaton.
-2. Consecutive windows with one anchor are one passage of 13 to 21 words. Passages are grouped by anchor and content.
-   If all passages of an anchor are the same (most are), their windows first occur in the smallest document.
-3. Else one passage of each content goes to the reference shard of its anchor. The shard's automaton keeps, for every
-   state, the smallest document that holds its strings; the passages stream through it, with the match length kept at
-   13 words by suffix links, and each window gets the smallest document it starts in. Anchors with very many contents
-   are split by window content, so no shard grows with the corpus.
+2. Consecutive windows with one anchor are one passage of 13 to 21 words. Passages are grouped by anchor and content,
+   and one of each content, from the smallest document that has it, is reference.
+3. References are dealt to shards: all contents of an anchor to one, so that equal windows meet. Where an anchor has one
+   content, neighbouring passages of a document go as one run. A shard's automaton keeps, for every state, the smallest
+   document that holds its strings; its references stream through it, with the match length kept at 13 words by suffix
+   links, and each window gets the smallest document it starts in.
+4. An anchor with very many contents, such as that of a phrase that everybody uses, is dealt out by window: equal
+   windows are first grouped to the smallest document, before the shuffle, and then one of each goes to a shard, so no
+   shard grows with the corpus.
 
 A passage counts once a document, however often it repeats there. What is shared is found by sums that are
 pre-aggregated before the shuffle (per anchor, then per content) and joined back, so an anchor in a third of all
@@ -28,7 +31,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
@@ -39,8 +42,8 @@ GRAM = 5
 SPAN = WINDOW - GRAM + 1
 #: An anchor with more contents than this is dealt out by window.
 MANY = 256
-#: Words of a reference shard.
-SHARD = 20_000
+#: Words of a reference shard, and windows of a run at most.
+SHARD, RUN = 20_000, 2_000
 _U = np.uint64
 _WORD = re.compile(WORD)
 
@@ -160,31 +163,60 @@ def passages(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return start, count, g[anchor], tb.mix(content + tb.mix((count * 16 + anchor - start).astype(_U)))
 
 
+def _wanted(b: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """Of (doc_id, text, wanted) by pieces: word hashes, and of each wanted passage its document's id and number, first
+    word, number of windows, anchor, content and the anchor's number of contents."""
+    ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+    for lo, hi in tb.pieces(b.column("text")):
+        w = tb.words(b.column("text").slice(lo, hi - lo))
+        wanted = b.column("wanted").slice(lo, hi - lo)
+        doc = np.repeat(np.arange(hi - lo), wanted.value_lengths().to_numpy(zero_copy_only=False))
+        fp, ph, at, contexts = (x.to_numpy(zero_copy_only=False) for x in wanted.flatten().flatten())
+        yield w.hashes(), ids[lo + doc], doc, tb.firsts(w.doc, w.n)[doc] + (at >> 4 & 0xFFFFFFFF), at & 15, fp, ph, contexts
+
+
 def _references(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted) to the wanted passages as word hashes: (route, fp, ph, off, first, words)."""
+    """(doc_id, text, wanted) to references as word hashes, with the passages they are made of: (route, first, fp, ph, n,
+    words)."""
     for b in batches:
-        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
-        for lo, hi in tb.pieces(b.column("text")):
-            w = tb.words(b.column("text").slice(lo, hi - lo))
-            h = w.hashes()
-            wanted = b.column("wanted").slice(lo, hi - lo)
-            doc = np.repeat(np.arange(hi - lo), wanted.value_lengths().to_numpy(zero_copy_only=False))
-            fp, ph, at, contexts = (x.to_numpy(zero_copy_only=False) for x in wanted.flatten().flatten())
-            start, count = tb.firsts(w.doc, w.n)[doc] + (at >> 4 & 0xFFFFFFFF), at & 15
-            many = contexts > MANY
-            # whole passages, and those of anchors with many contents window by window
-            one, each = np.flatnonzero(~many), np.repeat(np.flatnonzero(many), count[many])
-            off = np.concatenate([np.zeros(len(one), np.int64), _steps(count[many])])
-            row = np.concatenate([one, each])
-            size = np.where(many[row], WINDOW, count[row] + WINDOW - 1)
-            first = start[row] + off
+        for h, ids, doc, start, count, fp, ph, contexts in _wanted(b):
+            order = np.lexsort((start, doc, contexts == 1))  # those that go alone come first
+            ids, doc, start, count, fp, ph = (x[order] for x in (ids, doc, start, count, fp, ph))
+            alone = contexts[order] > 1
+            new = np.ones(len(doc), bool)
+            new[1:] = alone[1:] | alone[:-1] | (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + count[:-1])
+            before = np.cumsum(count) - count
+            run = (before - before[new][np.cumsum(new) - 1]) // RUN if len(doc) else before
+            new[1:] |= run[1:] != run[:-1]
+            row = np.flatnonzero(new)
+            size = np.add.reduceat(count, row) + WINDOW - 1 if len(row) else count
+            held = np.append(row, len(doc))
+            route = np.where(alone[row], fp[row], ph[row])
+            for k in range(0, len(row), 10_000):
+                part = slice(k, k + 10_000)
+                words = h[np.repeat(start[row[part]], size[part]) + _steps(size[part])].view(np.int64)
+                ends = pa.array(np.concatenate([[0], np.cumsum(size[part])]), pa.int32())
+                inner = held[k : k + len(row[part]) + 1]
+                own, cuts = slice(inner[0], inner[-1]), pa.array(inner - inner[0], pa.int32())
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x[own].astype(np.int64))) for x in (fp, ph, count)]
+                yield pa.RecordBatch.from_arrays([pa.array(route[part]), pa.array(ids[row[part]]), *lists, pa.ListArray.from_arrays(ends, pa.array(words))], ["route", "first", "fp", "ph", "n", "words"])
+
+
+REFERENCE = "route long, first long, fp array<long>, ph array<long>, n array<long>, words array<long>"
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, wanted) to the windows of the wanted passages: (window, fp, ph, off, first, words)."""
+    for b in batches:
+        for h, ids, _, start, count, fp, ph, _ in _wanted(b):
+            row, off = np.repeat(np.arange(len(start)), count), _steps(count)
             for k in range(0, len(row), 20_000):
-                part = slice(k, k + 20_000)
-                words = h[np.repeat(first[part], size[part]) + _steps(size[part])]
-                ends = np.concatenate([[0], np.cumsum(size[part])])
-                route = np.where(many[row[part]], _first_grams(words, ends), fp[row[part]])
-                cols = [pa.array(route), pa.array(fp[row[part]]), pa.array(ph[row[part]]), pa.array(off[part], pa.int32()), pa.array(ids[lo + doc[row[part]]])]
-                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(words.view(np.int64)))], ["route", "fp", "ph", "off", "first", "words"])
+                own, at = row[k : k + 20_000], off[k : k + 20_000]
+                words = h[(start[own] + at)[:, None] + np.arange(WINDOW)]
+                window = tb.grams(words.ravel(), WINDOW)[::WINDOW]
+                ends = pa.array(np.arange(len(own) + 1) * WINDOW, pa.int32())
+                cols = [pa.array(window.view(np.int64)), pa.array(fp[own]), pa.array(ph[own]), pa.array(at, pa.int32()), pa.array(ids[own])]
+                yield pa.RecordBatch.from_arrays([*cols, pa.ListArray.from_arrays(ends, pa.array(words.ravel().view(np.int64)))], ["window", "fp", "ph", "off", "first", "words"])
 
 
 def _steps(count: np.ndarray) -> np.ndarray:
@@ -192,26 +224,26 @@ def _steps(count: np.ndarray) -> np.ndarray:
     return np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
 
 
-def _first_grams(words: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the first window of each run."""
-    g = tb.grams(words, WINDOW)
-    return g[ends[:-1]].view(np.int64) if len(g) else np.zeros(len(ends) - 1, np.int64)
-
-
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by route; each shard, of whole routes, is answered by its automaton: (fp, ph, off, firsts)."""
+    """References sorted by route; each shard, of whole routes, is answered by its automaton: (fp, ph, off, firsts)."""
 
     def answer(rows: list[tuple]) -> pa.RecordBatch:
-        automaton = Automaton((words, first) for _, _, _, _, first, words in rows)
+        automaton = Automaton((words, first) for _, first, *_, words in rows)
         least = automaton.least
-        firsts = [[least[s] for n, s in automaton.statistics(words, WINDOW) if n == WINDOW] for *_, words in rows]
-        cols = [pa.array([r[i] for r in rows], pa.int32() if i == 3 else pa.int64()) for i in (1, 2, 3)]
-        return pa.RecordBatch.from_arrays([*cols, pa.array(firsts, pa.list_(pa.int64()))], ["fp", "ph", "off", "firsts"])
+        out: tuple[list, list, list] = ([], [], [])
+        for _, _, fps, phs, counts, words in rows:
+            firsts, at = [least[s] for n, s in automaton.statistics(words, WINDOW) if n == WINDOW], 0
+            for fp, ph, n in zip(fps, phs, counts, strict=True):
+                out[0].append(fp)
+                out[1].append(ph)
+                out[2].append(firsts[at : at + n])
+                at += n
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array([0] * len(out[0]), pa.int32()), pa.array(out[2], pa.list_(pa.int64()))], ["fp", "ph", "off", "firsts"])
 
     held: list[tuple] = []
     size = 0
     for b in batches:
-        cols = [b.column(n).to_pylist() for n in ("route", "fp", "ph", "off", "first", "words")]
+        cols = [b.column(n).to_pylist() for n in ("route", "first", "fp", "ph", "n", "words")]
         for row in zip(*cols, strict=True):
             if size >= SHARD and row[0] != held[-1][0]:
                 yield answer(held)
@@ -222,6 +254,11 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield answer(held)
 
 
+def _answered(references: DataFrame) -> DataFrame:
+    parts = references.repartition("route").sortWithinPartitions("route")
+    return parts.mapInArrow(_shards, "fp long, ph long, off int, firsts array<long>")
+
+
 def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, gone) to what is left of each text."""
     for b in batches:
@@ -258,7 +295,7 @@ def _of_document(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return tb.mix((content >> SPAN).astype(np.int64).view(_U) * _U(0x9E3779B97F4A7C15) + doc.astype(_U))
 
 
-def remove_repeated(docs: DataFrame) -> DataFrame:
+def remove_repeated(docs: DataFrame, most_contents: int = MANY) -> DataFrame:
     """(doc_id long, text) to (doc_id, n_words, n_removed, kept), a row for each row.
 
     A word goes if a window of 13 words that covers it also starts in a document with a smaller doc_id. Null and
@@ -273,22 +310,30 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
     release(docs.sparkSession)
     contents = hits.groupBy("fp", "ph").agg(F.min(F.struct("doc_id", "at")).alias("first"))
     contents = written(contents.select("fp", "ph", "first.doc_id", "first.at"), "contents")
-    many = contents.groupBy("fp").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
-    several = contents.join(many, "fp")
+    many = contents.groupBy("fp").agg(F.count(F.lit(1)).alias("contexts"))
     of_doc = F.shiftright("at", 36).alias("tag")
-    wanted = several.groupBy("doc_id", of_doc).agg(F.collect_list(F.struct("fp", "ph", "at", "contexts")).alias("wanted"))
-    told = rows.join(wanted, ["doc_id", "tag"]).select("doc_id", "text", "wanted")
-    parts = told.mapInArrow(_references, "route long, fp long, ph long, off int, first long, words array<long>")
-    parts = parts.repartition("route").sortWithinPartitions("route")
-    answers = written(parts.mapInArrow(_shards, "fp long, ph long, off int, firsts array<long>"), "answers")
+
+    def told(which: Column) -> DataFrame:
+        wanted = contents.join(many.where(which), "fp").groupBy("doc_id", of_doc).agg(F.collect_list(F.struct("fp", "ph", "at", "contexts")).alias("wanted"))
+        return rows.join(wanted, ["doc_id", "tag"]).select("doc_id", "text", "wanted")
+
+    answers = _answered(told(F.col("contexts") <= most_contents).mapInArrow(_references, REFERENCE))
+    crowded = many.where(F.col("contexts") > most_contents)
+    if not crowded.isEmpty():
+        windows = written(told(F.col("contexts") > most_contents).mapInArrow(_windows, "window long, fp long, ph long, off int, first long, words array<long>"), "windows")
+        once = windows.groupBy("window").agg(F.min("first").alias("first"), F.first("words").alias("words"))
+        one = lambda c: F.array(F.col(c).cast("long"))
+        found = _answered(once.select(F.col("window").alias("route"), "first", one("window").alias("fp"), one("window").alias("ph"), F.array(F.lit(1).cast("long")).alias("n"), "words"))
+        found = windows.select("window", "fp", "ph", "off").join(found.select(F.col("fp").alias("window"), "firsts"), "window")
+        answers = answers.unionByName(found.select("fp", "ph", "off", "firsts"))
+    answers = written(answers, "answers")
     release(docs.sparkSession)
-    plain = contents.join(many, "fp", "left_anti").select("fp", "ph", F.lit(0).alias("off"), F.array_repeat("doc_id", F.col("at").bitwiseAND(F.lit(15)).cast("int")).alias("firsts"))
     bit = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
     bits = F.call_function("shiftleft", F.aggregate(bit, F.lit(0), lambda a, x: a + x), F.col("off")).cast("long")
-    judged = hits.join(answers.unionByName(plain), ["fp", "ph"]).select("doc_id", of_doc, "ph", bits.alias("bits")).where("bits > 0")
+    judged = hits.join(answers, ["fp", "ph"]).select("doc_id", of_doc, "ph", bits.alias("bits")).where("bits > 0")
     # the content's hash, but for its low bits, which tell the windows that go
     code = F.shiftleft(F.shiftright("ph", SPAN), SPAN) + F.col("bits")
-    gone = judged.groupBy("doc_id", "tag").agg(F.collect_list(code).alias("gone"))
+    gone = judged.groupBy("doc_id", "tag").agg(F.collect_set(code).alias("gone"))
     whole = rows.join(gone, ["doc_id", "tag"], "left").select("doc_id", "text", "gone")
     return whole.mapInArrow(_left, "doc_id long, n_words long, n_removed long, kept string")
 
@@ -328,5 +373,20 @@ def remove_known(docs: DataFrame, references: DataFrame, least: int = WINDOW, sh
 
 
 def op4_substring(spark, sf_dir):
+    """What is left of every whole text of ``documents`` without the words of windows that stand in a smaller document;
+    see :func:`remove_repeated` for null ids, empty texts and repeated rows."""
     out = remove_repeated(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+g AS MATERIALIZED (SELECT doc_id, p, array_to_string(w[p : p + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS p FROM w)),
+f AS (SELECT g, min(doc_id) AS first FROM g GROUP BY g),
+r AS (SELECT DISTINCT doc_id, unnest(range(p, p + 13)) AS p FROM g JOIN f USING (g) WHERE first < doc_id),
+e AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM w),
+k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) AS kept FROM e ANTI JOIN r USING (doc_id, p) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM r GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
+"""

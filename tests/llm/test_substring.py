@@ -77,3 +77,23 @@ def test_query_columns(spark):
     docs = spark.createDataFrame([(1, "a  b")], "doc_id long, text string")
     row = substring.remove_repeated(docs).select(F.sha2("kept", 256).alias("h")).first()
     assert row.h == hashlib.sha256(b"a b").hexdigest()
+
+
+def test_crowded_anchors_and_long_runs_against_brute_force(spark):
+    docs = corpus()
+    line = prose(77, 16)
+    docs += [(1000 + i, " ".join(prose(3000 + i, 20) + line + prose(6000 + i, 20))) for i in range(60)]
+    long = prose(99, 5500)  # longer than a run
+    docs += [(2000, " ".join(long)), (2001, " ".join(long[:3000] + ["cut"] + long[3000:])), (2002, " ".join(long[2500:])), (1999, " ".join(long[4000:4100]))]
+    expected = brute(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for most in (1, 3, 1000):  # all anchors of several contents are crowded, some, or none
+        got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in substring.remove_repeated(df, most).collect()}
+        assert got == expected
+
+
+def test_rows_repeated_very_often(spark):
+    text = " ".join(prose(1, 200))
+    rows = [(1, text)] + [(2, text)] * 3000 + [(3, text + " more")]
+    out = substring.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id", "n_words", "n_removed").count().collect()
+    assert sorted(map(tuple, out)) == [(1, 200, 0, 1), (2, 200, 200, 3000), (3, 201, 200, 1)]
