@@ -43,17 +43,25 @@ def _folder(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A new folder's path in the shared folder; it goes when the session ends."""
+    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    fs, at = _folder(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at replicated files, so a lost executor
     costs no recomputation and what is used twice is computed once. There are at most FILES_A_CORE files for each core
     of the cluster. The files go with :func:`dropped`, or when the session ends."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, what)
+    path = f"{folder}/rows"
     packed(df).write.parquet(path)
-    fs, at = _folder(spark, path)
-    fs.deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
-    out.stored_at = path
+    out.stored_at = folder
     return out
 
 

@@ -5,8 +5,8 @@ one frame a record. The reader takes frames off a stream as they come, so its me
 version line, required headers, lengths and digests.
 
 Pages with equal payloads are written once: the smallest page_id is the response, the others are revisit records that
-refer to it and keep its HTTP headers. Archives are rows (name, content) of bounded size in the shared folder; files
-are read with Spark's own ``binaryFile`` source, so any store that Spark can read will do.
+refer to it and keep its HTTP headers. Archives have a bounded size; :func:`save` writes them as files, to any store
+that pyarrow can write to, and :func:`files` reads files with Spark's own ``binaryFile`` source.
 """
 
 from __future__ import annotations
@@ -14,16 +14,18 @@ from __future__ import annotations
 import base64
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
 
 import pyarrow as pa
 import zstandard
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, written
+from tessera.llm.common import shared_folder, table
 
 # Fixed values of the formats.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -34,6 +36,17 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 
 #: An archive is closed once it has so many bytes.
 ARCHIVE_BYTES = 4 << 20
+#: The dictionary, of raw content, where there are too few pages to train one from.
+BUILT_IN = b"".join(
+    [
+        b"<!DOCTYPE html><html lang=\"en\"><head><meta charset=\"utf-8\"><meta name=\"viewport\" content=\"width=device-width, initial-scale=1\"><title></title>",
+        b"<link rel=\"stylesheet\" href=\"/style.css\"><script src=\"/script.js\"></script></head><body><nav><ul><li><a href=\"/\"></a></li></ul></nav>",
+        b"<div class=\"\"><h1></h1><p></p><span></span><img src=\"\" alt=\"\"><table><tr><td></td></tr></table></div><footer></footer></body></html>",
+        b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:0>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Target-URI: https://www.",
+        b"\r\nWARC-Payload-Digest: sha1:\r\nWARC-Block-Digest: sha1:\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: ",
+        b"\r\n\r\nHTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ",
+    ]
+)
 #: Payloads of fewer bytes are never revisits.
 LEAST_BYTES = 0
 #: Pages from which the dictionary is trained, at most so many bytes of each, and its size.
@@ -157,18 +170,18 @@ def records(raw: BinaryIO, most: int = 1 << 31) -> Iterator[Record]:
 
 
 def train_dictionary(pages: DataFrame) -> bytes:
-    """A dictionary from SAMPLE_PAGES pages at most, those of smallest hash; empty if they are too few to train from.
-    The hashes are ranked alone, so the payloads that meet in the driver are those of the sample only."""
+    """A dictionary from SAMPLE_PAGES pages at most, those of smallest hash, or the one built in if they are too few
+    or too alike to train from. The hashes are ranked alone, so the payloads that meet in the driver are those of the sample only."""
     rows = pages.where(F.length("html") > 0).select(F.xxhash64("page_id", "html").alias("k"), "html")
     last = [r["k"] for r in rows.select("k").distinct().orderBy("k").limit(SAMPLE_PAGES).collect()]
     if len(last) < 16:
-        return b""
+        return BUILT_IN
     picked = rows.where(F.col("k") <= last[-1]).groupBy("k").agg(F.first(F.encode(F.substring("html", 1, SAMPLE_BYTES), "UTF-8")).alias("d"))
     sample = [bytes(r["d"]) for r in sorted(picked.collect())]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, sample).as_bytes()
     except zstandard.ZstdError:
-        return b""
+        return BUILT_IN
 
 
 def archives(pages: DataFrame, dictionary: bytes, least: int = LEAST_BYTES, size: int = ARCHIVE_BYTES) -> DataFrame:
@@ -177,6 +190,7 @@ def archives(pages: DataFrame, dictionary: bytes, least: int = LEAST_BYTES, size
     A null html is an empty payload. A null page_id is never referred to; a payload that only such rows have is a
     response in each. Rows that repeat both the smallest page_id and its payload are all responses.
     """
+    dictionary = dictionary or BUILT_IN
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1(F.encode("html", "UTF-8")))
     small = rows.where(F.octet_length("html") >= least).select("page_id", "digest")
     first = small.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
@@ -185,9 +199,8 @@ def archives(pages: DataFrame, dictionary: bytes, least: int = LEAST_BYTES, size
     placed = rows.join(again, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("digest") == F.col("d")), "left").select("page_id", "url", "html", "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-        packer = zstandard.ZstdCompressor(level=3, dict_data=data, write_checksum=True)
-        lead = dictionary_frame(dictionary) if dictionary else b""
+        packer = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(dictionary), write_checksum=True)
+        lead = dictionary_frame(dictionary)
         part, n, held = TaskContext.get().partitionId(), 0, [lead]
 
         def close() -> pa.RecordBatch:
@@ -205,6 +218,26 @@ def archives(pages: DataFrame, dictionary: bytes, least: int = LEAST_BYTES, size
     return placed.mapInArrow(run, "name string, content binary")
 
 
+def save(found: DataFrame, folder: str) -> int:
+    """Write archives (name, content) as files of a folder that all executors reach, and return how many. Each is first
+    written under another name, so what stands there under its own is whole, also if a task is run again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
+                aside, at = f"{root}/_{uuid.uuid4().hex}", f"{root}/{name}"
+                with store.open_output_stream(aside) as out:
+                    out.write(content.as_buffer())
+                if store.get_file_info(at).type != fs.FileType.NotFound:
+                    store.delete_file(at)
+                store.move(aside, at)
+            yield pa.RecordBatch.from_arrays([b.column("name")], ["name"])
+
+    return found.mapInArrow(run, "name string").count()
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Archive files under a path, in any store that Spark reads, as (name, content)."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
@@ -244,9 +277,13 @@ def read(found: DataFrame) -> DataFrame:
 
 
 def op3_warc(spark, sf_dir):
+    """A record for each row of ``pages``, written to archive files and read back from them; see :func:`archives` for null
+    and repeated rows."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")
-    kept = written(archives(pages, train_dictionary(pages)), "archives")
-    return read(kept).drop("url", "payload")
+    folder = shared_folder(spark, "archives")
+    if not save(archives(pages, train_dictionary(pages)), folder):
+        return read(spark.createDataFrame([], "content binary")).drop("url", "payload")
+    return read(files(spark, folder)).drop("url", "payload")
 
 
 OP3_SQL = """

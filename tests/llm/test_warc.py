@@ -47,6 +47,26 @@ def test_files_from_a_folder(spark, tmp_path):
     assert [r.page_id for r in warc.read(warc.files(spark, str(tmp_path))).collect()] == [8]
 
 
+def test_files_that_this_library_wrote(spark, tmp_path):
+    folder = f"file://{tmp_path}/archives"
+    few = [(i, f"http://h/{i}", f"<p>{i}</p>") for i in range(5)]  # too few to train a dictionary from
+    many = [(100 + i, f"http://h/{i}", f"<html><body>page {i} of the site with the usual frame {i * 7}</body></html>" * 9) for i in range(200)]
+    for pages in (few, many):
+        df = rows(spark, pages)
+        found = warc.archives(df, warc.train_dictionary(df), size=20_000)
+        for _ in range(2):  # a task that runs again leaves the same files
+            assert warc.save(found, folder) == len(list((tmp_path / "archives").iterdir()))
+        names = sorted(p.name for p in (tmp_path / "archives").iterdir())
+        assert all(n.endswith(".warc.zst") for n in names)
+        for n in names:
+            data = (tmp_path / "archives" / n).read_bytes()
+            assert int.from_bytes(data[:4], "little") == warc.DICTIONARY_MAGIC
+        out = {r.page_id: bytes(r.payload).decode() for r in warc.read(warc.files(spark, folder)).collect()}
+        assert out == {i: h for i, _, h in pages}
+        for n in names:
+            (tmp_path / "archives" / n).unlink()
+
+
 def packed(*records):
     return b"".join(zstandard.ZstdCompressor().compress(r) for r in records)
 
