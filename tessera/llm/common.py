@@ -10,7 +10,6 @@ import time
 import uuid
 from pathlib import Path
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,20 +64,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return out
 
 
-def held(df: DataFrame) -> DataFrame:
-    """Keep a table of narrow rows that is read more than once on the executors' disks. Its lineage stays and is short,
-    it ends at written tables, so the part of a lost executor is computed again."""
-    return df.persist(StorageLevel.DISK_ONLY)
-
-
 def dropped(*tables: DataFrame) -> None:
-    """Let go of tables that :func:`written` or :func:`held` made and that nothing reads any more."""
+    """Delete the files of tables that :func:`written` made and that nothing reads any more."""
     for df in tables:
-        if path := getattr(df, "stored_at", None):
-            fs, at = _folder(df.sparkSession, path)
-            fs.delete(at, True)
-        else:
-            df.unpersist()
+        fs, at = _folder(df.sparkSession, df.stored_at)
+        fs.delete(at, True)
 
 
 def packed(df: DataFrame) -> DataFrame:

@@ -5,18 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, held, written
+from tessera.llm.common import dropped, written
 
 
-def components(links: DataFrame) -> DataFrame:
-    """Links (a long, b long), either way round, to (id, root): root is the smallest id that can be reached.
+def components(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Links (a long, b long), either way round, to (id, root): root is the smallest id that can be reached. The second
+    table holds the links, each both ways. Both are written tables, the caller's to drop.
 
     Every round gives each id the smallest root among its own and its neighbours', then follows the root's own root,
     so a chain shortens by half and a star needs two rounds. A round is written to the shared folder; a hub is
     pre-aggregated before the shuffle. Null ids are left out, repeated links and loops do no harm.
     """
     known = links.where(F.col("a").isNotNull() & F.col("b").isNotNull()).select("a", "b")
-    both = held(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    both = written(known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     roots = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "roots")
     while True:
         near = both.join(roots.select(F.col("id").alias("b"), "root"), "b").groupBy(F.col("a").alias("id")).agg(F.min("root").alias("near"))
@@ -27,5 +28,4 @@ def components(links: DataFrame) -> DataFrame:
         roots = step.drop("was")
         roots.stored_at = step.stored_at
         if step.where(F.col("was") != F.col("root")).isEmpty():
-            dropped(both)
-            return roots
+            return roots, both

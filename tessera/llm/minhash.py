@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import dropped, held, release, table, written
+from tessera.llm.common import dropped, release, table, written
 from tessera.llm.components import components
 
 SHINGLE = 5
@@ -186,7 +186,7 @@ def _by_rarest(members: DataFrame, sets: DataFrame) -> DataFrame:
     first = F.slice("by", 1, (F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1).cast("int"))
     rare = ordered.select("c", "root", "n", F.posexplode(first).alias("pos", "f")).where("f.often > 1").select("c", "root", "n", "pos", F.col("f.s").alias("s"))
     left = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos"))
-    return _across(_apart(held(rare), "s"), "s", left * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT)
+    return _across(_apart(written(rare, "rare"), "s"), "s", left * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT)
 
 
 def _same_document(signed: DataFrame, leaders: DataFrame) -> DataFrame:
@@ -220,16 +220,15 @@ def near_duplicates(docs: DataFrame, most_pairs: int = PAIRS) -> DataFrame:
     shared = same.where("a < b").select("a", "b")
     members = leaders.select(F.posexplode("bands").alias("k", "band"), "c", F.col("n_shingles").alias("n"))
     pivots = members.groupBy("band").agg(F.min("c").alias("pivot"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    joined = held(members.join(pivots, "band"))
+    joined = written(members.join(pivots, "band"), "buckets")
     star = joined.where(F.col("c") != F.col("pivot")).select(F.col("pivot").alias("a"), F.col("c").alias("b")).distinct()
     wanted = leaders.join(joined.select("c").distinct(), "c", "left_semi").select(F.col("lead").alias("doc_id"))
     texts = docs.join(wanted, "doc_id", "left_semi")
     sets = texts.mapInArrow(_sets, "s1 long, s2 long, set array<long>").groupBy("s1", "s2").agg(F.min("set").alias("set"))
     sets = written(sets.join(leaders.select("s1", "s2", "c"), ["s1", "s2"]).select("c", "set"), "sets")
-    links = held(_confirmed(star, sets).unionByName(shared))
-    first = components(links)
+    first, links = components(_confirmed(star, sets).unionByName(shared))
     placed = joined.join(first.withColumnRenamed("id", "c"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    open_ = held(_apart(placed.drop("pivot"), "band").withColumn("k", F.col("k") + 1))
+    open_ = written(_apart(placed.drop("pivot"), "band").withColumn("k", F.col("k") + 1), "open")
     few = open_.where(F.col("trials") <= most_pairs)
     fine = sets.join(few.select("c").distinct(), "c", "left_semi").mapInArrow(_fine, ", ".join(["c long", *(f"{h} long" for h in _LONGS)]))
     fine = written(fine.join(leaders.select("c", "bands"), "c"), "fine")
@@ -238,8 +237,7 @@ def near_duplicates(docs: DataFrame, most_pairs: int = PAIRS) -> DataFrame:
     if not crowded.isEmpty():
         rest = rest.unionByName(_by_rarest(crowded, sets)).distinct()
     rest = rest.join(star, ["a", "b"], "left_anti")
-    all_ = held(links.unionByName(_confirmed(rest, sets)))
-    roots = components(all_)
+    roots, all_ = components(links.unionByName(_confirmed(rest, sets)))
     dropped(all_, links, open_, fine, first, joined, sets)
     # the class of smallest number has the component's smallest leader
     roots = roots.join(leaders.select(F.col("c").alias("root"), F.col("lead").alias("top")), "root").select(F.col("id").alias("c"), "top")

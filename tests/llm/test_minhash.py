@@ -114,7 +114,7 @@ def test_one_very_long_text():
 
 def test_components_of_chains_and_loops(spark):
     chain = [(i + 1, i) for i in range(100, 140)] + [(5, 5), (7, 6), (6, 7), (None, 3)]
-    got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long")).collect()))
+    got = dict(map(tuple, components(spark.createDataFrame(chain, "a long, b long"))[0].collect()))
     groups = defaultdict(set)
     for k, v in got.items():
         groups[v].add(k)
