@@ -65,9 +65,9 @@ def retrieve(corpus: Corpus, queries: DataFrame, k: int = 5, dictionaries: rewri
     asked = told.select("qid", "query").where(F.trim("query") != "")
     hits = hybrid_search(corpus, asked, k)
     words = told.select("qid", "query", F.posexplode("expand").alias("word", "w")).where(F.col("w") != F.col("query"))
-    each = words.select((F.col("qid") * 10_000 + F.col("word")).alias("qid"), F.col("w").alias("query"))
+    each = words.select(F.col("w").alias("qid"), F.col("w").alias("query")).distinct()  # a word means the same in all queries
     more = knn.search(corpus.vectors, corpus.asked(each), max(k // 2, 3))
-    more = more.select(F.floor(F.col("qid") / 10_000).alias("qid"), "id", "rank", (F.col("qid") % 10_000).alias("word"))
+    more = more.withColumnRenamed("qid", "w").join(words.select("qid", "word", "w"), "w").select("qid", "id", "rank", "word", "score")
     names = told.select("qid", T.file_name("query").alias("name"), "query").where("name IS NOT NULL")
     content = names.select("qid", F.coalesce(F.nullif(T.content_query("query", "name"), F.lit("")), "query").alias("query"))
     file = fusion.by_source(corpus.vectors, corpus.asked(content), names.select("qid", "name"))

@@ -21,6 +21,7 @@ FILE_WITH_EXTENSION = r"([\w\-一-龥]+\.(?:md|pdf|docx|txt|pptx|xlsx|doc|ppt|xl
 FILE_AFTER_ACTION = r"(?:只看|打开|查看|搜索)\s*([一-龥\w\-]+?)\s*(?:里的|中的|文档|文件|$)"
 FILE_BEFORE_PLACE = r"([一-龥\w\-]+?)\s*(?:里|中)\s*的"
 QUERY_PHRASES = r"(?:只看|打开|查看|搜索|里的|中的|文档|文件)"
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\t\n\x0B\f\r]"
 HEADING_OR_TABLE = r"^(#{1,6}\s+.+|\s*\|.*\|\s*)$"
 
 
@@ -181,8 +182,8 @@ def utf16_length(text: Column | str) -> Column:
 
 
 def token_count(text: Column | str) -> Column:
-    """The default estimate of a text's tokens: words and single marks."""
-    return F.regexp_count(col(text), F.lit(r"\w+|[^\w\s]"))
+    """The default estimate of a text's tokens: runs of letters, digits and underscores of any script, and single marks."""
+    return F.regexp_count(col(text), F.lit(TOKEN))
 
 
 def sha256(text: Column | str) -> Column:

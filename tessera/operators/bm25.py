@@ -40,6 +40,11 @@ class Index:
         lengths = rows.select(F.col(id_col).alias("id"), T.utf16_length(F.col(text_col)).cast("long").alias("dl"))
         return cls(lengths, terms(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK))
 
+    def text_of(self, chunks: DataFrame, ids: DataFrame) -> DataFrame:
+        """(id, text) of indexed chunks (id, text) by their ids; those that aren't indexed have none."""
+        wanted = self.docs.select("id").join(ids.select("id").distinct(), "id", "left_semi")
+        return chunks.select("id", "text").join(wanted, "id", "left_semi")
+
     def statistics(self) -> DataFrame:
         return self.docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("dl"), F.lit(1.0)).alias("mean"))
 
@@ -62,10 +67,12 @@ def search(index: Index, queries: DataFrame, k: int | None = 10, digits: int | N
     rounds scores before they are ranked."""
     asked = queries.select("qid", F.explode(T.analyze(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     some = asked.select("term").distinct()
-    if some.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+    few = some.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    if few:
         asked, some = F.broadcast(asked), F.broadcast(some)
     postings = index.postings.join(some, "term")
     df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = F.broadcast(df) if few else df  # a row a term: a word that all documents have isn't shuffled
     scored = postings.join(asked, "term").join(df, "term").crossJoin(F.broadcast(index.statistics()))  # one row
     value = F.sum(S.term_score(F.col("tf"), F.col("dl"), F.col("mean"), F.col("n"), F.col("df"), F.col("qtf")))
     total = scored.groupBy("qid", "id").agg((F.round(value, digits) if digits is not None else value).alias("score"))

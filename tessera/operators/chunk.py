@@ -27,7 +27,8 @@ FENCE = re.compile(r"```[a-zA-Z0-9_]*\s*[\s\S]*?```", re.A)
 BLANK_LINE = re.compile(r"\n\s*\n", re.A)
 TAIL_BREAK = re.compile(r"\n\s*\n|\n\s*---\s*\n|\n\s*\*\*\*\s*\n", re.A)
 SENTENCE = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])")
-_TOKEN = re.compile(r"\w+|[^\w\s]")
+#: As the pattern of :func:`tessera.functions.text.token_count`.
+_TOKEN = re.compile(r"\w+|[^\w\x20\t\n\x0B\f\r]")
 
 
 @dataclass(frozen=True)

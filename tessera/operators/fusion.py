@@ -44,12 +44,17 @@ def without_excluded(rows: DataFrame, excluded: Column) -> DataFrame:
 def cascade(hits: DataFrame, expansions: DataFrame, by_file: DataFrame, chunks: DataFrame, excluded: DataFrame, limit: int | None = None) -> DataFrame:
     """The stages of retrieval: hybrid hits, then hits of expansion words, then hits within a named file.
 
-    Each of the first three is (qid, id, rank), the second with the number of its word as ``word``; ``chunks`` is (id,
-    text), ``excluded`` (qid, words). A text counts once a query, at its first place; texts with an excluded word go.
+    Each of the first three is (qid, id, rank), the second with the number of its word as ``word``, and may have a
+    ``score``, which is kept; ``chunks`` is (id, text), ``excluded`` (qid, words). A text counts once a query, at its
+    first place; texts with an excluded word go.
     """
-    stages = [hits.select("qid", "id", F.lit(1).alias("stage"), F.col("rank").cast("long").alias("pos"))]
-    stages.append(expansions.select("qid", "id", F.lit(2).alias("stage"), (F.col("word").cast("long") * 1000 + F.col("rank")).alias("pos")))
-    stages.append(by_file.select("qid", "id", F.lit(3).alias("stage"), F.col("rank").cast("long").alias("pos")))
+
+    def stage(rows: DataFrame, n: int, word: Column) -> DataFrame:
+        pos = F.struct(word.cast("long").alias("word"), F.col("rank").cast("long").alias("rank"))
+        score = F.col("score").cast("double") if "score" in rows.columns else F.lit(None).cast("double")
+        return rows.select("qid", "id", F.lit(n).alias("stage"), pos.alias("pos"), score.alias("score"))
+
+    stages = [stage(hits, 1, F.lit(0)), stage(expansions, 2, F.col("word")), stage(by_file, 3, F.lit(0))]
     rows = reduce(DataFrame.unionByName, stages).join(chunks.select("id", "text"), "id")
     rows = first_by_text(rows).join(excluded, "qid", "left")
     rows = without_excluded(rows, F.col("words")).drop("words")

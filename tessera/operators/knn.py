@@ -1,8 +1,8 @@
 """Exact nearest neighbours for batches of queries.
 
-Queries are taken in blocks of BLOCK vectors, so what is broadcast has a fixed bound however many there are. Each
-Arrow batch of vectors is scored against a block by one matrix product and leaves its k best a query; a window picks
-the k best of these.
+Queries are taken in blocks of bounded size, each broadcast for one pass over the vectors. A task scores its Arrow
+batches against the block by one matrix product each and keeps the k best of all of them for every query, so what is
+shuffled is k rows a query and task; a window picks the k best of these.
 """
 
 from __future__ import annotations
@@ -11,55 +11,105 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4096
+#: Components of the vectors of a block's queries, and cells of the matrix of scores, at about.
+BLOCK_VALUES, CELLS = 1 << 22, 1 << 22
 
 
-def _best(k: int, ids: np.ndarray, queries: np.ndarray, names: list[str] | None):
-    norms = np.linalg.norm(queries, axis=1)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Lists of ``dim`` numbers as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sources = b.column("source").to_pylist() if names else [None] * b.num_rows
-            rows = [r for r in zip(b.column("id").to_pylist(), b.column("vector").to_pylist(), sources, strict=True) if r[0] is not None and r[1] and len(r[1]) == queries.shape[1] and None not in r[1]]
-            if not rows:
-                continue
-            own, m = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float64)
-            places = {n: np.array([n in (r[2] or "") for r in rows]) for n in set(names or ())}
-            lengths = np.linalg.norm(m, axis=1)[:, None] * norms[None, :]
-            cosine = np.divide(m @ queries.T, lengths, out=np.zeros((len(m), len(queries))), where=lengths > 0)
-            out = []
-            for j in range(len(queries)):
-                c = np.where(places[names[j]], cosine[:, j], -np.inf) if names else cosine[:, j]
-                near = np.argpartition(-c, k - 1)[:k] if len(c) > k else np.arange(len(c))
-                near = np.flatnonzero((c >= c[near].min() - 1e-9) & (c > -np.inf))  # all that tie with the last
-                out.append((np.full(len(near), ids[j]), own[near], c[near]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[i] for o in out])) for i in range(3)], ["qid", "id", "cosine"])
 
-    return run
+def _usable(column: pa.Array) -> np.ndarray:
+    """Which lists hold numbers only."""
+    length = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    out = length > 0
+    if column.flatten().null_count:
+        rows = np.repeat(np.arange(len(column)), length)
+        out[rows[pc.is_null(column.flatten()).to_numpy(zero_copy_only=False)]] = False
+    return out
+
+
+def _lengths(v: np.ndarray) -> np.ndarray:
+    return np.sqrt((v * v).sum(axis=1))
+
+
+class _Block:
+    """Queries of one number of components."""
+
+    def __init__(self, rows: pa.Table, dim: int):
+        self.vectors = _matrix(rows.column("vector").combine_chunks(), dim)
+        self.lengths = _lengths(self.vectors)
+        self.ids = rows.column("qid").combine_chunks()
+        self.names = rows.column("name").to_pylist() if "name" in rows.column_names else None
+
 
+def _best(ids: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each row the k largest, ties by id; what is -inf or has the id -1 at the end is none."""
+    if cosine.shape[1] > 4 * k:  # the k-th largest is a bound, kept with all that tie with it
+        bound = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+        most = max(k, int((cosine >= bound).sum(axis=1).max()))
+        first = np.argpartition(-cosine, most - 1, axis=1)[:, :most] if most < cosine.shape[1] else np.broadcast_to(np.arange(cosine.shape[1]), cosine.shape)
+        ids, cosine = np.take_along_axis(ids, first, 1), np.take_along_axis(cosine, first, 1)
+    order = np.lexsort((ids, -cosine), axis=-1)[:, :k]
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(cosine, order, 1)
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, digits: int | None = None) -> DataFrame:
-    """(id long, vector, ...) and (qid long, vector) to (qid, id, cosine, score, rank): the k rows of largest cosine of
-    those ``where`` admits, ties by id; score is (1 + cosine) / 2. Zero vectors have cosine 0; null ones take no part.
-    If queries have a ``name``, only rows whose ``source`` holds it count for them."""
+
+def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None = None, digits: int | None = None, block_values: int = BLOCK_VALUES) -> DataFrame:
+    """(id long, vector, ...) and (qid, vector) to (qid, id, cosine, score, rank): the k rows of largest cosine of those
+    ``where`` admits, ties by id; score is (1 + cosine) / 2. Zero vectors have cosine 0; null ones take no part.
+    If queries have a ``name``, only rows whose ``source`` holds it count for them. ``digits`` rounds cosines before they
+    are ranked."""
     named = "name" in queries.columns
-    rows = (vectors if where is None else vectors.where(where)).select(F.col("id").cast("long"), "vector", *["source"] * named)
-    asked = queries.where(F.col("qid").isNotNull() & (F.size("vector") > 0)).select(F.col("qid").cast("long"), "vector", *["name"] * named)
+    rows = (vectors if where is None else vectors.where(where)).where(F.col("id").isNotNull()).select(F.col("id").cast("long"), "vector", *["source"] * named)
+    asked = queries.where(F.col("qid").isNotNull() & (F.size("vector") > 0)).select("qid", "vector", F.size("vector").alias("dim"), *["name"] * named)
     asked = asked.where(F.col("name").isNotNull()) if named else asked
-    out, blocks = None, max(1, -(-asked.count() // BLOCK))
+    kind = queries.schema["qid"].dataType.simpleString()
+    out, blocks = None, max(1, -(-(asked.agg(F.sum("dim")).first()[0] or 0) // block_values))
     for block in range(blocks):
-        part = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block).orderBy("qid").collect() if blocks > 1 else asked.orderBy("qid").collect()
-        for dim in sorted({len(r["vector"]) for r in part}):
-            own = [r for r in part if len(r["vector"]) == dim]
-            run = _best(k, np.array([r["qid"] for r in own], np.int64), np.array([r["vector"] for r in own], np.float64), [r["name"] for r in own] if named else None)
-            found = rows.mapInArrow(run, "qid long, id long, cosine double")
+        part = (asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else asked).toArrow()  # of bounded size
+        held = {d: _Block(own, d) for d in part.column("dim").unique().to_pylist() if len(own := part.filter(pc.and_(pc.equal(part.column("dim"), d), pa.array(_usable(part.column("vector").combine_chunks())))))}
+        if held:
+            found = rows.mapInArrow(_pass(queries.sparkSession.sparkContext.broadcast(held), k, digits), f"qid {kind}, id long, cosine double")
             out = found if out is None else out.unionByName(found)
     if out is None:
-        out = queries.sparkSession.createDataFrame([], "qid long, id long, cosine double")
+        out = queries.sparkSession.createDataFrame([], f"qid {kind}, id long, cosine double")
     if digits is not None:
         out = out.withColumn("cosine", F.round("cosine", digits))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")))
     return ranked.where(F.col("rank") <= k).select("qid", "id", "cosine", ((1 + F.col("cosine")) / 2).alias("score"), "rank")
+
+
+def _pass(held, k: int, digits: int | None):
+    """What a task does with its vectors for the broadcast blocks ``held``, by number of components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for b in batches:
+            vector = b.column("vector")
+            length = np.where(_usable(vector), pc.fill_null(pc.list_value_length(vector), 0).to_numpy(zero_copy_only=False), 0)
+            for dim, block in held.value.items():
+                own = np.flatnonzero(length == dim)
+                step = max(1, CELLS // len(block.vectors))
+                for part in (own[lo : lo + step] for lo in range(0, len(own), step)):
+                    m = _matrix(vector.take(pa.array(part)), dim)
+                    both = block.lengths[:, None] * _lengths(m)[None, :]
+                    cosine = np.divide(block.vectors @ m.T, both, out=np.zeros(both.shape), where=both > 0)
+                    cosine = cosine if digits is None else np.round(cosine, digits)
+                    if block.names:
+                        source = pc.fill_null(b.column("source").take(pa.array(part)), "")
+                        places = {n: pc.match_substring(source, n).to_numpy(zero_copy_only=False) for n in set(block.names)}
+                        cosine[~np.stack([places[n] for n in block.names])] = -np.inf
+                    ids = np.broadcast_to(b.column("id").take(pa.array(part)).to_numpy(zero_copy_only=False), cosine.shape)
+                    was = best.get(dim)
+                    best[dim] = _best(np.hstack([was[0], ids]) if was else ids, np.hstack([was[1], cosine]) if was else cosine, k)
+        for dim, (ids, cosine) in best.items():
+            some = cosine > -np.inf
+            qid = held.value[dim].ids.take(pa.array(np.repeat(np.arange(len(some)), some.sum(axis=1))))
+            yield pa.RecordBatch.from_arrays([qid, pa.array(ids[some]), pa.array(cosine[some])], ["qid", "id", "cosine"])
+
+    return run

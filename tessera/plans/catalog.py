@@ -331,8 +331,7 @@ def split_source_id(spark, sf_dir):
 
 
 def token_counts(spark, sf_dir):
-    latin = F.translate("text", "àâçèéêëîïôùûüäößáíñóúÀÂÇÈÉÊËÎÏÔÙÛÜÄÖÁÍÑÓÚ", "a" * 39)
-    return documents(spark, sf_dir).select("doc_id", T.utf16_length("text").cast("long").alias("utf16"), T.token_count(latin).cast("long").alias("tokens"), T.likely_markdown("text").alias("markdown"))
+    return documents(spark, sf_dir).select("doc_id", T.utf16_length("text").cast("long").alias("utf16"), T.token_count("text").cast("long").alias("tokens"), T.likely_markdown("text").alias("markdown"))
 
 
 def row_chunks(spark, sf_dir):
@@ -345,6 +344,12 @@ def markdown_chunks(spark, sf_dir):
     return chunk.markdown_chunks(docs)
 
 
+def chunks_worked(spark, sf_dir):
+    """Chunks of documents small enough to be cut by hand, each for a rule of chunking."""
+    presets = {"SMALL": chunk.Preset(4, 10, 0.2), "SHIFT": chunk.Preset(1, 9, 0.0, 0.75), "GENERAL": chunk.PRESETS["GENERAL"]}
+    return chunk.markdown_chunks(values(spark, samples.TINY, "doc_id long, category string, text string"), presets)
+
+
 def semantic_chunks(spark, sf_dir):
     """All documents by the preset that cuts where the meaning shifts."""
     return chunk.markdown_chunks(documents(spark, sf_dir).select("doc_id", "text", F.lit("LEGAL").alias("category")), joiner=" ")
@@ -372,7 +377,7 @@ def asked_values(spark):
 
 
 def intent_rules(spark, sf_dir):
-    r = intent.rules("query", F.lit(2))
+    r = intent.rules("query")
     return asked_values(spark).select("qid", r["intent"].alias("intent"), r["confidence"].alias("confidence"))
 
 
@@ -414,7 +419,8 @@ def spell_correct_candidates(spark, sf_dir):
 
 
 def query_rewrite(spark, sf_dir):
-    return rewrite.rewrite(asked_values(spark), DEFAULT, "FULL")
+    told = rewrite.rewrite(asked_values(spark), DEFAULT, "FULL")
+    return told.select("qid", "query", F.array_join("expand", "|").alias("expand"), F.array_join("exclude", "|").alias("exclude"), "confidence", "path")
 
 
 def retrieve_text(spark, sf_dir):
@@ -531,9 +537,37 @@ def session_stream(spark, sf_dir):
 
 
 def ttl_dedup_stream(spark, sf_dir):
-    """Events of a user and type, once: the whole table arrives within one run, before the watermark moves."""
-    e = streams.events(spark, f"{sf_dir}/events.parquet")
-    return _drained(spark, streams.first_within(e, ["user_id", "event_type"], lasting="40 days").select("user_id", "event_type"), "append")
+    """The first events of users and types by day, unless one was let through lately: a day's events arrive together, a
+    key is forgotten after half a day of event time, and events that are too late are dropped."""
+    e = table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
+    first = e.groupBy("day", "user_id", "event_type").agg(F.min("ts").alias("ts"))
+    late = e.where("event_id % 7 = 0").select(F.lit(None).cast("date").alias("day"), F.col("user_id") + 1_000_000, "event_type", F.col("ts") - F.expr("INTERVAL 20 DAYS")).toDF(*first.columns)
+    rows = _arriving(spark, first.unionByName(late.where(F.col("ts") < e.agg(F.min("ts")).first()[0])))
+    return _drained(spark, streams.first_within(rows, ["user_id", "event_type"], lasting="12 hours").select("user_id", "event_type", F.unix_micros("ts").alias("at")), "append")
+
+
+def sliding_stream(spark, sf_dir):
+    """Counts of events in windows of a day that slide by half a day, as days arrive; events of long ago come last and are
+    too late. Windows are given out once no more can come."""
+    e = table(spark, sf_dir, "events").select(F.to_date("ts").alias("day"), "event_type", "value", "ts")
+    late = e.select(F.lit(None).cast("date").alias("day"), F.lit("late").alias("event_type"), "value", F.col("ts") - F.expr("INTERVAL 60 DAYS")).toDF(*e.columns)
+    rows = _arriving(spark, e.unionByName(late))
+    found = streams.windowed(rows, "1 day", "12 hours", late="1 day")
+    return _drained(spark, found, "append").select(F.unix_seconds("start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def _arriving(spark, rows: DataFrame) -> DataFrame:
+    """A stream of rows of which one ``day`` arrives after the other, those without a day last."""
+    place = _place(spark) + "/in"
+    order = F.coalesce(F.datediff("day", F.lit("1970-01-01")), F.lit(1 << 20))
+    rows.withColumn("day", order).repartition("day").write.partitionBy("day").parquet(place)
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(place).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for n, folder in enumerate(sorted(fs.listStatus(jvm.org.apache.hadoop.fs.Path(place)), key=lambda s: int(s.getPath().getName().partition("=")[2] or -1))):
+        for f in fs.listStatus(folder.getPath()) if folder.isDirectory() else []:
+            fs.setTimes(f.getPath(), 1_600_000_000_000 + n * 1000, -1)  # files are taken in the order of their times
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(place)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def ingest_stream(spark, sf_dir):
@@ -546,6 +580,11 @@ def ingest_stream(spark, sf_dir):
 
 
 HASH_SQL = "sha256(text)"
+#: c: the tokens t of queries: Latin runs, then pairs of characters of Chinese ones, without stop words.
+CJK_SQL = f"""
+cr AS (SELECT qid::BIGINT AS qid, regexp_extract_all(query, '[a-zA-Z0-9_]+') AS l, regexp_extract_all(query, '[一-鿿]+') AS h FROM v),
+cp AS (SELECT qid, l, flatten(list_transform(h, lambda r: list_concat(CASE WHEN length(r) = 3 THEN [r] ELSE [] END, list_transform(range(1, greatest(length(r) - 1, 1) + 1), lambda i: substr(r, i, 2))))) AS p FROM cr),
+c AS (SELECT qid, list_filter(list_concat(l, p), lambda z: length(z) >= 2 AND lower(z) NOT IN ({", ".join(f"'{w}'" for w in [*T.STOPWORDS_ZH, *T.STOPWORDS_EN])})) AS t FROM cp)"""
 ORACLE = {
     "tokenize_latin": f"SELECT doc_id, len({TOKENS_SQL})::BIGINT AS tokens, {TOKENS_SQL}[1] AS first_token FROM documents",
     "term_freq": f"SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({TOKENS_SQL}) AS term FROM documents WHERE trim(text) <> '') GROUP BY ALL",
@@ -591,7 +630,7 @@ SELECT page_id, CASE lower(e) WHEN '.pdf' THEN 'application/pdf' WHEN '.png' THE
   WHEN '.bmp' THEN 'image/bmp' WHEN '.txt' THEN 'text/plain; charset=UTF-8' WHEN '.md' THEN 'text/markdown; charset=UTF-8' ELSE 'application/octet-stream' END AS content_type,
   CASE WHEN lower(e) IN ('.pdf', '.png', '.jpg', '.jpeg', '.gif', '.bmp') THEN 'inline' ELSE 'attachment' END AS disposition FROM n""",
     "split_source_id": "SELECT doc_id, source || '_v2' AS source_id, sha256(substr(text, 1, 100) || '|' || coalesce(source, 'unknown')) AS key_sha256 FROM documents",
-    "token_counts": r"""SELECT doc_id, length(text) AS utf16, len(regexp_extract_all(translate(text, 'àâçèéêëîïôùûüäößáíñóúÀÂÇÈÉÊËÎÏÔÙÛÜÄÖÁÍÑÓÚ', repeat('a', 39)), '\w+|[^\w\s]'))::BIGINT AS tokens,
+    "token_counts": r"""SELECT doc_id, length(text) AS utf16, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x20\t\n\x0B\f\r]'))::BIGINT AS tokens,
   length(text) >= 10 AND len(list_filter(string_split(text, chr(10)), lambda z: regexp_matches(z, '^(#{1,6}\s+.+|\s*\|.*\|\s*)$'))) > 0 AS markdown FROM documents""",
     "row_chunks": r"""WITH l AS (SELECT doc_id, string_split(regexp_replace(text, '\n+$', ''), chr(10)) AS x FROM documents),
 e AS (SELECT doc_id, trim(x[1]) AS head, unnest(x) AS line, generate_subscripts(x, 1) - 1 AS row FROM l WHERE len(x) > 1)
@@ -601,12 +640,22 @@ l AS (SELECT doc_id, unnest(string_split(regexp_replace(text, '\n+$', ''), chr(1
 c AS (SELECT doc_id, count(*) AS n FROM l WHERE trim(line) <> '' GROUP BY 1)
 SELECT d.doc_id, source || '_' || d.doc_id || '.csv' AS file_name, source AS category, CASE WHEN trim(text) = '' THEN 'failed' WHEN d.doc_id = first THEN 'active' ELSE 'duplicate' END AS status, coalesce(n, 0) AS row_chunks
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id""",
-    "intent_rules": f"""WITH {values_sql(samples.QUERIES, "v", "qid, query")}, q AS (SELECT qid::BIGINT AS qid, trim(query) AS q FROM v),
+    "intent_replies": f"""WITH {values_sql(samples.PARSED, "v", "qid, intent, confidence, alternatives, hints")}
+SELECT qid::BIGINT AS qid, intent, confidence::DOUBLE AS confidence, alternatives::INT AS alternatives, hints FROM v""",
+    "query_rewrite": f"""WITH {values_sql(samples.REWRITTEN, "v", "qid, query, expand, exclude, confidence, path")}
+SELECT qid::BIGINT AS qid, query, expand, exclude, confidence::DOUBLE AS confidence, path FROM v""",
+    "chunks_worked": f"""WITH {values_sql(samples.TINY_CHUNKS, "v", "doc_id, chunk_index, chunk_total, text, tokens, prefix")}
+SELECT doc_id::BIGINT AS doc_id, chunk_index::INT AS chunk_index, chunk_total::INT AS chunk_total, text, tokens::INT AS tokens, prefix FROM v""",
+    "cjk_tokens": f"""WITH {values_sql(samples.QUERIES, "v", "qid, query")}, {CJK_SQL}
+SELECT qid, (pos - 1)::INT AS pos, t[pos] AS token, CASE WHEN regexp_matches(t[pos], '^[0-9]+$') THEN 'NUM' WHEN regexp_matches(t[pos], '^[a-zA-Z0-9_]+$') THEN 'ENG'
+  WHEN regexp_matches(t[pos], '[如何怎么怎样哪什么谁几]') THEN 'PRON' WHEN regexp_matches(t[pos], '[的得了着过地得]') THEN 'AUX' WHEN regexp_matches(t[pos], '[不没无非]') THEN 'NEG' ELSE 'NOUN' END AS tag
+FROM (SELECT qid, t, unnest(range(1, len(t) + 1)) AS pos FROM c)""",
+    "intent_rules": f"""WITH {values_sql(samples.QUERIES, "v", "qid, query")}, {CJK_SQL.replace("query,", "trim(query),")}, q AS (SELECT qid::BIGINT AS qid, trim(query) AS q FROM v),
 i AS (SELECT qid, CASE WHEN q IS NULL OR q = '' THEN ['AMBIGUOUS', '0.0'] WHEN regexp_matches(q, '{"|".join(intent.DEFINITIONAL)}') THEN ['DEFINITIONAL', '0.9']
   WHEN regexp_matches(q, '{"|".join(intent.PROCEDURAL)}') THEN ['PROCEDURAL', '0.9']
   WHEN regexp_matches(q, '{"|".join(intent.COMPARISON)}') OR regexp_matches(q, '(?s)^[^和]*[一-龥][^和]*和.*[一-龥]') OR regexp_matches(q, '(?s)^[^与]*[一-龥][^与]*与.*[一-龥]') THEN ['COMPARISON', '0.9']
   WHEN regexp_matches(q, '{"|".join(intent.FACTUAL)}') THEN ['FACTUAL', '0.8']
-  WHEN ({" + ".join(f"len(regexp_extract_all(q, '{p}')) * {len(p)}" for p in intent.PRONOUNS)}) / length(q) > 0.3 THEN ['AMBIGUOUS', '0.3'] ELSE ['FACTUAL', '0.6'] END AS r FROM q)
+  WHEN ({" + ".join(f"len(regexp_extract_all(q, '{p}')) * {len(p)}" for p in intent.PRONOUNS)}) / length(q) > 0.3 OR coalesce(len(c.t), 0) <= 1 THEN ['AMBIGUOUS', '0.3'] ELSE ['FACTUAL', '0.6'] END AS r FROM q LEFT JOIN c USING (qid))
 SELECT qid, r[1] AS intent, r[2]::DOUBLE AS confidence FROM i""",
     "exclude_keywords": rf"""WITH {values_sql(samples.QUERIES, "v", "qid, query")},
 p AS (SELECT qid::BIGINT AS qid, list_filter(flatten(list_transform(flatten(list_transform(regexp_extract_all(query, '{T.EXCLUDE}', 1), lambda g: regexp_split_to_array(g, '{T.EXCLUDE_SEPARATORS}'))), lambda g: regexp_split_to_array(g, '{T.EXCLUDE_PARTICLES}'))), lambda z: length(z) >= 2) AS w FROM v)
@@ -649,10 +698,20 @@ SELECT doc_id AS document_id, coalesce(s, ['active', 'processing', 'failed'][(do
     "session_stream": """WITH o AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
 g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, new DESC ROWS UNBOUNDED PRECEDING) AS s FROM o)
 SELECT user_id, epoch_us(min(ts)) AS start, count(*) AS n FROM g GROUP BY user_id, s""",
-    "ttl_dedup_stream": "SELECT DISTINCT user_id, event_type FROM events",
+    "ttl_dedup_stream": """WITH RECURSIVE f AS (SELECT user_id, event_type, ts::DATE AS day, min(ts) AS ts FROM events GROUP BY ALL),
+m AS (SELECT day, row_number() OVER (ORDER BY day) AS b, max(ts) AS top FROM f GROUP BY day),
+d AS (SELECT f.*, m.b, row_number() OVER (PARTITION BY user_id, event_type ORDER BY day) AS k FROM f JOIN m USING (day)),
+r AS (SELECT user_id, event_type, k, b, ts, ts AS held, true AS new FROM d WHERE k = 1
+  UNION ALL SELECT user_id, event_type, k, b, ts, CASE WHEN free THEN ts ELSE held END, free FROM (
+    SELECT d.*, r.held, coalesce((SELECT top FROM m WHERE m.b = d.b - 2), TIMESTAMP '1970-01-01') - INTERVAL 12 HOUR >= r.held + INTERVAL 12 HOUR AS free
+    FROM r JOIN d ON d.user_id = r.user_id AND d.event_type = r.event_type AND d.k = r.k + 1))
+SELECT user_id, event_type, epoch_us(ts) AS at FROM r WHERE new""",
+    "sliding_stream": """WITH w AS (SELECT unnest([0, 1]) AS k), e AS (SELECT event_type, value, ts, epoch(ts)::BIGINT AS s, (SELECT epoch(max(ts)) FROM events) - 86400 AS mark FROM events),
+x AS (SELECT event_type, value, mark, (s // 43200 - k) * 43200 AS start FROM e, w)
+SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x WHERE start + 86400 <= mark GROUP BY start, event_type""",
     "ingest_stream": f"SELECT doc_id, {HASH_SQL} AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE source = 'src0')",
 }
-NAMES = [*ORACLE, "markdown_chunks", "semantic_chunks", "routed_chunks", "intent_replies", "cjk_tokens", "query_rewrite", "retrieve_text"]
+NAMES = [*ORACLE, "markdown_chunks", "semantic_chunks", "routed_chunks", "retrieve_text"]
 
 
 def _ready(query):

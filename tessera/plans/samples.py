@@ -38,3 +38,67 @@ REPLIES = [
     (2, f'{_FENCE}json\n{{"primaryIntent":"PROCEDURAL"}}\n{_FENCE}'),
     (3, "no json at all"), (4, '{"primaryIntent":"nonsense","confidence":-3}'), (5, None),
 ]
+#: What rewriting makes of QUERIES with the shipped dictionaries: query, expansion, exclusion, confidence, level.
+REWRITTEN = [
+    (1, '如何配置 设置API 接口接口', '如何配置|设置API|接口接口|设置|参数|config|setting', '', 0.9, 'L1_RULE'),
+    (2, '怎么配置 设置数据库 参数 config setting 步骤 方法 教程 流程', '怎么|配置|设置|数据|据库|参数|config|setting|步骤|方法|教程', '', 0.9, 'L2_NLP'),
+    (3, '什么是向量召回 检索 搜索 recall retrieve 定义 概念 含义', '什么|么是|是向|向量|召回|检索|搜索|recall|retrieve|定义|概念', '', 0.9, 'L2_NLP'),
+    (4, 'API 接口网关的定义', 'API|接口网关的定义', '', 0.9, 'L1_RULE'),
+    (5, '什么是如何配置 设置 参数 config setting 定义 概念 含义', '什么|么是|是如|如何|配置|设置|参数|config|setting|定义|概念', '', 0.9, 'L2_NLP'),
+    (6, '专升本 3500词和自考的区别', '专升本|3500词和自考的区别', '', 0.95, 'L1_RULE'),
+    (7, 'MySQL对比PostgreSQL 区别 差异', 'PostgreSQL|MySQL|对比|区别', '', 0.8, 'L2_NLP'),
+    (8, '专升本 3500词需要多少词汇 单词量', '专升本|3500词需要多少词汇|单词量|单词|词|vocabulary|word', '', 0.95, 'L1_RULE'),
+    (9, '是否支持短文单词', '是否|否支|支持|短文|单词', '', 0.87, 'L2_NLP'),
+    (10, 'API 接口配置 设置说明', 'API|接口配置|设置说明|设置|参数|config|setting', '', 0.9, 'L1_RULE'),
+    (11, '那个东西', '那个|个东|东西', '', 0.5, 'L2_NLP'),
+    (12, '', '', '', 0.0, 'NONE'),
+    (13, '', '', '', 0.0, 'NONE'),
+    (14, '我和你 区别 对比 差异', '我和|和你|区别|对比', '', 0.8, 'L2_NLP'),
+    (15, '请帮我找讲义', '请帮我找讲义', '', 0.95, 'L1_RULE'),
+    (16, 'API 接口网关和API', 'API|接口网关和API', '', 0.9, 'L1_RULE'),
+    (17, '查询方法不包含删除 步骤 教程 流程', '查询|询方|方法|法不|不包|步骤|教程', '删除', 0.8, 'L2_NLP'),
+    (18, '查询方法除了新增 步骤 教程 流程', '查询|询方|方法|法除|除了|步骤|教程', '新增', 0.8, 'L2_NLP'),
+    (19, '推荐书籍不要小说', '推荐|荐书|书籍|籍不|不要', '小说', 0.8, 'L2_NLP'),
+    (20, '搜索结果排除广告', '搜索|结果|果排|排除|除广', '广告', 0.83, 'L2_NLP'),
+    (21, '查询方法不包含删除、修改 步骤 教程 流程', '查询|询方|方法|法不|不包|步骤|教程', '删除|修改', 0.8, 'L2_NLP'),
+    (22, '推荐不包含小说和诗歌 区别 对比 差异', '推荐|荐不|不包|包含|含小|区别|对比', '小说|诗歌', 0.8, 'L2_NLP'),
+    (23, '查找不含糖的饮料', '查找|找不|不含|含糖|糖的', '饮料', 0.8, 'L2_NLP'),
+    (24, '不包含删、改', '不包|包含|含删', '', 0.8, 'L2_NLP'),
+    (25, '不要Java和Python', 'Python|Java|不要', 'Java|Python', 0.8, 'L2_NLP'),
+    (26, '除了苹果、香蕉和橘子 区别 对比 差异', '除了|了苹|苹果|香蕉|蕉和|区别|对比', '苹果|香蕉|橘子', 0.8, 'L2_NLP'),
+    (27, '不要讨论和平条约 区别 对比 差异', '不要|要讨|讨论|论和|和平|区别|对比', '讨论|平条约', 0.8, 'L2_NLP'),
+    (28, '打开 章程.pdf', 'pdf|打开|章程', '', 0.8, 'L2_NLP'),
+    (29, '打文章程.pdf里的配置 设置说明 参数 config setting', 'pdf|文章|里的|配置|设置|参数|config|setting', '', 0.91, 'L2_NLP'),
+    (30, '只看 产品手册', '只看|产品|品手|手册', '', 0.8, 'L2_NLP'),
+    (31, '查看 技短文档 文章', '查看|短文|文章', '', 0.88, 'L2_NLP'),
+    (32, '章程 里的 配置 设置 参数 config setting', '章程|里的|配置|设置|参数|config|setting', '', 0.94, 'L2_NLP'),
+    (33, '公司年假制度里的规定', '公司|司年|年假|假制|制度', '', 0.8, 'L2_NLP'),
+    (34, '中国中部的天气', '中国|国中|中部|部的|的天', '', 0.8, 'L2_NLP'),
+    (35, '配质API 接口', '配质API|接口', '', 0.9, 'L1_RULE'),
+    (36, '参数薪资 工资 薪酬 收入 salary', '参数|薪资|工资|薪酬|收入|salary', '', 0.97, 'L2_NLP'),
+    (37, 'the setting of an API 接口, please', 'setting|API|接口|please', '', 0.9, 'L1_RULE'),
+]
+#: What parsing makes of REPLIES: intent, confidence, number of alternatives, hints.
+PARSED = [(1, "FACTUAL", 1.0, 2, "a|b"), (2, "PROCEDURAL", 0.5, 0, ""), (3, "AMBIGUOUS", 0.0, 0, ""), (4, "AMBIGUOUS", 0.0, 0, ""), (5, "AMBIGUOUS", 0.0, 0, "")]
+#: Documents for presets so small (4 to 10 tokens, a fifth of overlap; SHIFT: 1 to 9, none) that each rule of chunking can
+#: be worked out by hand, and the chunks that follow: index, number, text, tokens, prefix.
+TINY = [
+    (1, "SMALL", "one two three"), (2, "SMALL", "# A\none two"), (3, "SMALL", "a b c d e f\n\ng h i j k l"), (4, "SMALL", "# T\n## a\nx y\n## b\nz w"),
+    (5, "SMALL", f"{_FENCE}\na b c d e f g h i j k l\n{_FENCE}"), (6, "SMALL", "A b c. D e f. G h i. J k l."), (7, "SMALL", "# T\nintro words here now ok\n## a\n## a\ny"),
+    (8, "SMALL", f"pre\n\n# A\n{_FENCE}\n# not\n{_FENCE}"), (9, "SMALL", "| a | b |\n|---|---|\n| 1 | 2 |"), (10, "SMALL", " \n"), (11, "SMALL", None),
+    (12, "SMALL", "x y\n\na b c d e f g h\n\nk l m"), (13, "SHIFT", "Cats purr. Cats purr. Stocks fell. Stocks fell."), (14, "SMALL", "école où ça"),
+]
+TINY_CHUNKS = [
+    (1, 0, 1, "one two three", 3, ""),
+    (2, 0, 1, "**上下文**: A\n\n# A\none two", 4, "A"),
+    (3, 0, 2, "a b c d e f", 6, ""), (3, 1, 2, "a b c d e f\ng h i j k l", 12, ""),
+    (4, 0, 2, "**上下文**: T > a\n\n## a\nx y", 5, "T > a"), (4, 1, 2, "## a\nx y\n**上下文**: T > b\n\n## b\nz w", 19, "T > b"),
+    (5, 0, 1, f"{_FENCE}\na b c d e f g h i j k l\n{_FENCE}\n", 18, ""),
+    (6, 0, 2, "A b c.D e f.", 8, ""), (6, 1, 2, "A b c.D e f.\nG h i.J k l.", 16, ""),
+    (7, 0, 2, "**上下文**: T\n\n# T\nintro words here now ok", 7, "T"), (7, 1, 2, "**上下文**: T > a\n\n## a\n\n**上下文**: T > a\n\n## a\ny", 25, "T > a"),
+    (8, 0, 2, "pre", 1, ""), (8, 1, 2, f"**上下文**: A\n\n# A\n{_FENCE}\n# not\n{_FENCE}", 10, "A"),
+    (9, 0, 1, "| a | b |\n|---|---|\n| 1 | 2 |\n", 19, ""),
+    (12, 0, 2, "x y\n\na b c d e f g h", 10, ""), (12, 1, 2, "a b c d e f g h\nk l m", 11, ""),
+    (13, 0, 2, "Cats purr.Cats purr.", 6, ""), (13, 1, 2, "Stocks fell.Stocks fell.", 6, ""),
+    (14, 0, 1, "école où ça", 3, ""),
+]

@@ -38,13 +38,16 @@ def test_searches_without_rows(spark):
     assert [(r.qid, r.id, round(r.cosine, 6), round(r.score, 6)) for r in got] == [(7, 1, 0.707107, 0.853553), (7, 3, 0.0, 0.5)]
 
 
-def test_blocks_of_queries_agree(spark, monkeypatch):
+def test_blocks_of_queries_agree(spark):
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
     vectors = spark.createDataFrame(rows, "id long, vector array<double>")
     asked = vectors.select(F.col("id").alias("qid"), "vector").where("id < 20")
     whole = sorted(knn.search(vectors, asked, 4, digits=9).collect())
-    monkeypatch.setattr(knn, "BLOCK", 6)
-    assert sorted(knn.search(vectors, asked, 4, digits=9).collect()) == whole
+    assert sorted(knn.search(vectors, asked, 4, digits=9, block_values=18).collect()) == whole
+    m = np.array([v for _, v in rows])
+    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
+    plain = [(q, i, n + 1) for q in range(20) for n, i in enumerate(sorted(range(60), key=lambda i: (-round(float(unit[i] @ unit[q]), 9), i))[:4])]  # noqa: B023
+    assert sorted((r.qid, r.id, r["rank"]) for r in whole) == sorted(plain)
 
 
 def test_fused_scores_are_bounded(spark):
@@ -187,10 +190,10 @@ def test_each_expansion_word_brings_its_share(spark, k):
         if word == told.query:
             continue
         near = sorted(range(len(texts)), key=lambda i: (-round(float(vectors[i] @ unit(word)), 6), i))[: max(k // 2, 3)]  # noqa: B023
-        expected += [(place * 1000 + n + 1, i) for n, i in enumerate(near) if i not in seen]
+        expected += [((place, n + 1), i) for n, i in enumerate(near) if i not in seen]
         seen |= set(near)
     assert len(expected) > 3
-    assert sorted((r.pos, r.id) for r in rows if r.stage == 2) == expected
+    assert sorted(((r.pos.word, r.pos.rank), r.id) for r in rows if r.stage == 2) == expected
 
 
 def len_of(prompt):
