@@ -4,19 +4,22 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import bm25, chunk, embed, fusion, knn, rewrite, sessions
 from tessera.operators.ingest import ingest as ingest  # noqa: PLC0414
+from tessera.operators.ingest import upload as upload  # noqa: PLC0414
 from tessera.operators.meta import (  # noqa: F401
     by_category,
     category_counts,
+    category_exists,
     create_category,
     delete_category,
     delete_documents,
     document_status,
+    list_categories,
     list_documents,
 )
 from tessera.sources.config import DEFAULT
@@ -55,13 +58,13 @@ def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = 10) -> DataFrame:
     return fusion.hybrid(corpus.index, corpus.vectors, corpus.asked(queries), k)
 
 
-def retrieve(corpus: Corpus, queries: DataFrame, k: int = 5, dictionaries: rewrite.Dictionaries = DEFAULT, decision: str = "RULE_ONLY", limit: int | None = None, model=None) -> DataFrame:
-    """Queries (qid, query) through rewriting and the cascade: (qid, id, stage, pos, text, rank).
+def retrieve(corpus: Corpus, queries: DataFrame, k: int = 5, dictionaries: rewrite.Dictionaries = DEFAULT, decision: str = "RULE_ONLY", limit: int | None = None, model=None, classify: rewrite.Classifier = rewrite.intent_of) -> DataFrame:
+    """Queries (qid, query) through rewriting and the cascade: (qid, id, stage, pos, score, text, rank).
 
     Expansion words are looked up by vectors, each for half of k (3 at least); a file that a query names is searched
     besides; excluded words drop what holds them.
     """
-    told = rewrite.rewrite(queries, dictionaries, decision, model=model).persist()
+    told = rewrite.rewrite(queries, dictionaries, decision, model=model, classify=classify).persist()
     asked = told.select("qid", "query").where(F.trim("query") != "")
     hits = hybrid_search(corpus, asked, k)
     words = told.select("qid", "query", F.posexplode("expand").alias("word", "w")).where(F.col("w") != F.col("query"))
@@ -74,6 +77,19 @@ def retrieve(corpus: Corpus, queries: DataFrame, k: int = 5, dictionaries: rewri
     return fusion.cascade(hits, more, file, corpus.chunks, told.select("qid", F.col("exclude").alias("words")), limit)
 
 
+def chat_turn(corpus: Corpus, chat: DataFrame, questions: DataFrame, k: int = 3, model=None, at: Column | None = None, **options) -> DataFrame:
+    """Questions (qid, session_id, query), one a session, with the chat (session_id, id, role, content, source_info,
+    create_time) before them: answered from what :func:`retrieve` finds and the newest messages of the session. Returns
+    the chat with the questions and answers; an answer carries the sources of what was found."""
+    asked = questions.select("qid", "query")
+    found = retrieve(corpus, asked, k, **options).persist()
+    memories = questions.select("qid", "session_id").join(sessions.remembered(chat), "session_id").select("qid", "memory")
+    answers = sessions.ask(fusion.context(found), asked.withColumnRenamed("query", "question"), model, memories=memories)
+    answered = questions.select("qid", "session_id", F.col("query").alias("question")).join(answers.select("qid", "answer"), "qid")
+    sources = found.join(corpus.chunks.select("id", "source"), "id").select("qid", "source", "rank")
+    return sessions.append(chat, sessions.turns(answered, sources, F.current_timestamp() if at is None else at))
+
+
 def ask(corpus: Corpus, queries: DataFrame, k: int = 3, model=None, **options) -> DataFrame:
     """(qid, query) to prompt and answer, over what :func:`retrieve` finds."""
     contexts = fusion.context(retrieve(corpus, queries, k, **options))

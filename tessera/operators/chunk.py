@@ -153,9 +153,18 @@ class Chunker:
             close()
         return out
 
+    def _vectors(self, parts: list[str]) -> list[np.ndarray | None] | None:
+        """Vectors of sentences, None for one without any; None at all, so that length alone cuts, if the embedder fails."""
+        if not self.embed:
+            return None
+        try:
+            return [self.embed(s) for s in parts]
+        except Exception:  # whatever a model raises
+            return None
+
     def _sentences(self, head: str, block: str, prefix: str) -> list[Chunk]:
         parts = [s for s in (x.strip() for x in SENTENCE.split(block)) if s] or [block.strip()]
-        vectors = [self.embed(s) for s in parts] if self.embed else None
+        vectors = self._vectors(parts)
         base = self.count(head)
         out: list[Chunk] = []
         held: list[int] = []
@@ -166,12 +175,13 @@ class Chunker:
 
         for i, s in enumerate(parts):
             n = self.count(s)
-            shift = vectors is not None and held and cosine(mean, vectors[i]) < self.p.threshold
+            own = vectors[i] if vectors is not None else None
+            shift = vectors is not None and held and (own is None or mean is None or cosine(mean, own) < self.p.threshold)
             if held and (size + n > self.p.most or shift):
                 close()
                 held, size, mean = [], base, None
-            if vectors is not None:
-                mean = vectors[i].astype(float) if mean is None else (mean * len(held) + vectors[i]) / (len(held) + 1)
+            if own is not None:
+                mean = own.astype(float) if mean is None else (mean * len(held) + own) / (len(held) + 1)
             held.append(i)
             size += n
         if held:
@@ -234,20 +244,35 @@ CHUNKS = "array<struct<text:string,tokens:int,prefix:string>>"
 _CHUNKS = pa.list_(pa.struct([("text", pa.string()), ("tokens", pa.int32()), ("prefix", pa.string())]))
 
 
-def markdown_chunks(docs: DataFrame, presets: dict[str, Preset] | None = None, count=count_tokens, embed=hashed_embedder, joiner: str = "") -> DataFrame:
-    """(doc_id, text), and ``category`` where known, to (doc_id, chunk_index, chunk_total, text, tokens, prefix)."""
+def cut(docs: DataFrame, presets: dict[str, Preset] | None = None, count=count_tokens, embed=hashed_embedder, joiner: str = "", safe: bool = False) -> DataFrame:
+    """(doc_id, text), and ``category`` where known, to (doc_id, chunks, error), a row for each row. If ``safe``, what a
+    document's chunking raises is its error and it has no chunks; else it ends the job."""
     presets = presets or PRESETS
     routed = docs.select("doc_id", "text", "category") if "category" in docs.columns else classify.categorised(docs.select("doc_id", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunkers = {k: Chunker(p, count, embed, joiner) for k, p in presets.items()}
         for b in batches:
-            rows = zip(b.column("text").to_pylist(), b.column("category").to_pylist(), strict=True)
-            out = [[vars(c) for c in chunkers.get(kind, chunkers["GENERAL"]).chunks(text)] for text, kind in rows]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, _CHUNKS)], ["doc_id", "chunks"])
+            out, errors = [], []
+            for text, kind in zip(b.column("text").to_pylist(), b.column("category").to_pylist(), strict=True):
+                try:
+                    out.append([vars(c) for c in chunkers.get(kind, chunkers["GENERAL"]).chunks(text)])
+                    errors.append(None)
+                except Exception as e:  # whatever a hook raises
+                    if not safe:
+                        raise
+                    out.append([])
+                    errors.append(f"{type(e).__name__}: {e}")
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(out, _CHUNKS), pa.array(errors, pa.string())], ["doc_id", "chunks", "error"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = routed.select("doc_id", "text", "category").mapInArrow(run, f"doc_id {kind}, chunks {CHUNKS}")
+    return routed.select("doc_id", "text", "category").mapInArrow(run, f"doc_id {kind}, chunks {CHUNKS}, error string")
+
+
+def markdown_chunks(docs: DataFrame, presets: dict[str, Preset] | None = None, **options) -> DataFrame:
+    """(doc_id, text), and ``category`` where known, to (doc_id, chunk_index, chunk_total, text, tokens, prefix); options
+    are those of :func:`cut`."""
+    found = cut(docs, presets, **options)
     return found.select("doc_id", F.size("chunks").alias("chunk_total"), F.posexplode("chunks").alias("chunk_index", "c")).select("doc_id", "chunk_index", "chunk_total", "c.*")
 
 
@@ -261,9 +286,16 @@ def row_chunks(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "row", text.alias("text"), T.token_count(text).alias("tokens"), F.lit("ExcelRow").alias("prefix"))
 
 
-def routed_chunks(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, format, text): tables by rows, all else by category. Short tables count as text."""
+def routed(docs: DataFrame, **options) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, format, text): tables by rows, all else by category; short tables count as text. Chunks, and (doc_id,
+    error) of the documents whose chunking failed."""
     table = F.coalesce(F.upper("format").isin("EXCEL", "CSV", "XLS", "XLSX"), F.lit(False)) & (F.size(F.split(F.regexp_replace("text", r"\n+$", ""), "\n")) > 1)
     rows = row_chunks(docs.where(table)).select("doc_id", (F.col("row") - 1).alias("chunk_index"), "text", "tokens", "prefix")
-    rest = markdown_chunks(docs.where(~F.coalesce(table, F.lit(False))), **options).select("doc_id", "chunk_index", "text", "tokens", "prefix")
-    return rows.unionByName(rest)
+    found = cut(docs.where(~F.coalesce(table, F.lit(False))), safe=True, **options)
+    rest = found.select("doc_id", F.posexplode("chunks").alias("chunk_index", "c")).select("doc_id", "chunk_index", "c.text", "c.tokens", "c.prefix")
+    return rows.unionByName(rest), found.where("error IS NOT NULL").select("doc_id", "error")
+
+
+def routed_chunks(docs: DataFrame, **options) -> DataFrame:
+    """The chunks of :func:`routed`."""
+    return routed(docs, **options)[0]

@@ -32,13 +32,14 @@ class Failure(Exception):
 @dataclass(frozen=True)
 class Tables:
     """documents (document_id, file_name, category, status, upload_time), chunks (document_id, ...), hashes (hash,
-    document_id), postings (document_id, ...), categories (name, ...)."""
+    document_id), postings (document_id, ...), categories (name, ...), and vectors (document_id, ...) where there are."""
 
     documents: DataFrame
     chunks: DataFrame
     hashes: DataFrame
     postings: DataFrame
     categories: DataFrame
+    vectors: DataFrame | None = None
 
 
 def chunk_counts(chunks: DataFrame, key: str = "document_id") -> DataFrame:
@@ -88,14 +89,24 @@ def delete_documents(tables: Tables, ids: DataFrame) -> Tables:
     left = tables.documents.join(gone, "document_id", "left_anti")
     emptied = tables.documents.join(gone, "document_id", "left_semi").select("category").distinct()
     emptied = emptied.join(left.where(F.col("status").isin("active", "processing")).select("category").distinct(), "category", "left_anti")
-    cut = {n: getattr(tables, n).join(gone, "document_id", "left_anti") for n in ("chunks", "hashes", "postings")}
+    cut = {n: t.join(gone, "document_id", "left_anti") for n in ("chunks", "hashes", "postings", "vectors") if (t := getattr(tables, n)) is not None}
     return replace(tables, documents=left, categories=tables.categories.join(emptied.withColumnRenamed("category", "name"), "name", "left_anti"), **cut)
 
 
+def category_exists(categories: DataFrame, name: str) -> bool:
+    return not categories.where(F.col("name") == name.strip()).isEmpty()
+
+
+def list_categories(categories: DataFrame, documents: DataFrame) -> DataFrame:
+    """Categories by name with the number of their active documents."""
+    counts = category_counts(documents).withColumnRenamed("category", "name")
+    return categories.join(counts, "name", "left").withColumn("n", F.coalesce("n", F.lit(0))).orderBy("name")
+
+
 def create_category(categories: DataFrame, name: str, description: str | None = None) -> DataFrame:
     if not name.strip():
         raise Failure("INVALID", "empty name")
-    if not categories.where(F.col("name") == name.strip()).isEmpty():
+    if category_exists(categories, name):
         raise Failure("CATEGORY_EXISTS", name)
     new = categories.sparkSession.createDataFrame([(name.strip(), description)], "name string, description string")
     return categories.unionByName(new.withColumn("create_time", F.current_timestamp().cast("timestamp_ntz")), allowMissingColumns=True)

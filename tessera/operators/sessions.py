@@ -11,6 +11,15 @@ from tessera.functions import text as T
 
 MEMORY, SESSIONS = 20, 50
 UNKNOWN_SOURCE = "未知来源"
+# What a model is told before and after the context.
+RULES = """你是一个知识库助手，基于提供的文档内容回答用户问题。
+
+规则：
+1. 只基于提供的文档内容回答，不要编造信息
+2. 如果文档中没有相关信息，明确告知用户
+3. 回答要简洁、准确、有条理
+4. 可以适当引用文档中的原文"""
+CLOSING = '请基于上述文档内容回答，如果文档中没有相关信息，请明确告知"根据提供的文档，没有找到相关信息"。'
 
 
 def sessions(chat: DataFrame, user: str | None = None, most: int = SESSIONS) -> DataFrame:
@@ -46,14 +55,26 @@ def sources(chat: DataFrame) -> DataFrame:
     return chat.select("session_id", "id", F.explode(F.array_distinct(T.json_sources("source_info"))).alias("source"))
 
 
-def prompt(context: Column, question: Column, rules: str = "") -> Column:
-    return F.concat(F.lit(rules + "\n\n" if rules else ""), F.lit("参考资料：\n"), context, F.lit("\n\n问题："), question)
+def prompt(context: Column, question: Column, rules: str = RULES, memory: Column | None = None) -> Column:
+    """What a model is asked: the rules, the messages before, if any, the context and the question."""
+    before = F.coalesce(memory, F.lit("")) if memory is not None else F.lit("")
+    return F.concat(F.lit(rules + "\n\n" if rules else ""), before, F.lit("基于以下文档内容回答问题：\n\n"), context, F.lit("\n\n问题："), question, F.lit("\n\n" + CLOSING))
+
+
+def remembered(chat: DataFrame, most: int = MEMORY) -> DataFrame:
+    """(session_id, memory): the newest messages of each session as lines, oldest first."""
+    line = F.concat("role", F.lit("："), F.coalesce("content", F.lit("")), F.lit("\n"))
+    lines = F.array_sort(F.collect_list(F.struct("place", line.alias("line"))))
+    return memory(chat, most).groupBy("session_id").agg(F.array_join(F.transform(lines, lambda x: x["line"]), "").alias("memory"))
 
 
-def ask(contexts: DataFrame, questions: DataFrame, model: Callable[[str], str] | None = None, none: str = "未找到相关内容") -> DataFrame:
-    """(qid, context) and (qid, question) to (qid, prompt, answer). Without a model the answer is null; without a context
-    it says so. The model is called in Python workers, a batch of rows at a time."""
-    rows = questions.join(contexts, "qid", "left").select("qid", "context", prompt(F.coalesce("context", F.lit("")), F.col("question")).alias("prompt"))
+def ask(contexts: DataFrame, questions: DataFrame, model: Callable[[str], str] | None = None, none: str = "未找到相关内容", rules: str = RULES, memories: DataFrame | None = None) -> DataFrame:
+    """(qid, context) and (qid, question) to (qid, prompt, answer), with the ``memory`` of each qid in its prompt if
+    ``memories`` are given. Without a model the answer is null; without a context it says so. The model is called in
+    Python workers, a batch of rows at a time."""
+    rows = questions.join(contexts, "qid", "left")
+    rows = rows.join(memories.select("qid", "memory"), "qid", "left") if memories is not None else rows.withColumn("memory", F.lit(""))
+    rows = rows.select("qid", "context", prompt(F.coalesce("context", F.lit("")), F.col("question"), rules, F.col("memory")).alias("prompt"))
 
     def run(batches):
         import pyarrow as pa
@@ -63,3 +84,16 @@ def ask(contexts: DataFrame, questions: DataFrame, model: Callable[[str], str] |
             yield pa.RecordBatch.from_arrays([b.column("qid"), b.column("prompt"), pa.array(answers, pa.string())], ["qid", "prompt", "answer"])
 
     return rows.mapInArrow(run, f"qid {questions.schema['qid'].dataType.simpleString()}, prompt string, answer string")
+
+
+def turns(answered: DataFrame, found: DataFrame, at: Column) -> DataFrame:
+    """The messages that a turn adds to a chat: of each (qid, session_id, question, answer) the question, and the answer
+    with the distinct sources of what was ``found`` (qid, source, rank), as JSON; null without any. ``at`` is the time."""
+    known = found.where(F.col("source").isNotNull()).groupBy("qid", "source").agg(F.min("rank").alias("rank"))
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "source"))), lambda x: x["source"])
+    rows = answered.join(known.groupBy("qid").agg(F.to_json(listed).alias("source_info")), "qid", "left")
+    said = F.array(
+        F.struct(F.lit(0).alias("id"), F.lit("user").alias("role"), F.col("question").alias("content"), F.lit(None).cast("string").alias("source_info")),
+        F.struct(F.lit(1).alias("id"), F.lit("assistant").alias("role"), F.col("answer").alias("content"), F.col("source_info")),
+    )
+    return rows.select("session_id", F.explode(said).alias("m"), at.alias("create_time")).select("session_id", "m.*", "create_time")

@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import io
+import json
+import re
+import subprocess
+import tempfile
+import threading
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -61,6 +67,57 @@ def reply_text(reply: Column | str) -> Column:
     return F.coalesce(*(F.get_json_object(c, p) for p in ("$.content", "$.data.content", "$.markdown", "$.md_content")), c)
 
 
+def command_service(command: list[str], most_mb: int = 100, timeout: float = 1800) -> Callable[[bytes, str], str]:
+    """A service for :func:`parse` that runs a command on each file, given as its last argument, and reads its reply.
+
+    What the command prints may have noise around one JSON object, {"success", "content" or "error"}, whose content is
+    JSON again and holds the text as md_content, else as results. More output than ``most_mb``, more seconds than
+    ``timeout``, another exit code than 0, no JSON or no success is an error (OSError or ValueError). The file lies in a
+    folder of the worker's machine while the command runs there.
+    """
+
+    def service(data: bytes, name: str) -> str:
+        with tempfile.TemporaryDirectory() as folder:
+            path = Path(folder, re.sub(r"[/\\]", "_", name))
+            path.write_bytes(data)
+            with subprocess.Popen([*command, str(path)], stdout=subprocess.PIPE, stderr=subprocess.STDOUT) as run:
+                end = threading.Timer(timeout, run.kill)
+                end.start()
+                out = run.stdout.read((most_mb << 20) + 1)
+                if len(out) > most_mb << 20:
+                    run.kill()
+                    end.cancel()
+                    raise OSError(f"more than {most_mb} MB of output")
+                code, late = run.wait(), not end.is_alive()
+                end.cancel()
+        if late and code:
+            raise OSError(f"no reply within {timeout} seconds")
+        if code:
+            raise OSError(f"exit code {code}: {out[-200:].decode(errors='replace')}")
+        return bridge_text(out.decode("utf-8", errors="replace"))
+
+    return service
+
+
+def bridge_text(reply: str) -> str:
+    """The text in a command's output; see :func:`command_service`. ValueError if there is none."""
+    outer = json.loads(reply[reply.find("{") : reply.rfind("}") + 1])
+    if not outer.get("success"):
+        raise ValueError(f"not parsed: {outer.get('error')}")
+    inner = json.loads(outer.get("content") or "{}")
+    todo = [inner]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, dict):
+            if isinstance(x.get("md_content"), str):
+                return x["md_content"]
+            todo += reversed(list(x.values()))
+        elif isinstance(x, list):
+            todo += reversed(x)
+    results = inner.get("results") if isinstance(inner, dict) else None
+    return results if isinstance(results, str) else ""
+
+
 def parse(found: DataFrame, service: Callable[[bytes, str], str] | None = None) -> DataFrame:
     """Files to (path, file_name, format, text, error). Text, Markdown, tables as text and HTML are decoded, Word files
     unpacked; all else goes to ``service``, a hook from bytes and name to text, without which it is an error."""
@@ -78,7 +135,7 @@ def parse(found: DataFrame, service: Callable[[bytes, str], str] | None = None)
                         rows.append((service(data, name), None))
                     else:
                         rows.append((None, f"no parser for {kind}"))
-                except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ET.ParseError, OSError) as e:
+                except (UnicodeDecodeError, zipfile.BadZipFile, KeyError, ET.ParseError, OSError, ValueError) as e:
                     rows.append((None, f"{type(e).__name__}: {e}"))
             texts_, errors = ([r[i] for r in rows] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("path", "file_name", "format")), pa.array(texts_, pa.string()), pa.array(errors, pa.string())], ["path", "file_name", "format", "text", "error"])
