@@ -264,3 +264,31 @@ def op7_pii(spark, sf_dir):
     count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *map(count, BASE), F.size("spans").cast("long").alias("n_spans"), F.sha2(line(base), 256).alias("base_sha256"), line(F.col("spans")).alias("spans"))
+
+
+def pii_base(spark, sf_dir):
+    """What :func:`op7_pii` says of the base kinds, which plain patterns in SQL can say too."""
+    return op7_pii(spark, sf_dir).drop("n_spans", "spans")
+
+
+def _sql(place: int, kind: str, pattern: str, holds: str) -> str:
+    """Matches of a pattern with their places: what parts them adds up to where each begins."""
+    return f"""SELECT doc_id, {place} AS place, '{kind}' AS kind, pos AS start, pos + length(m) AS stop, {holds} AS holds FROM (
+  SELECT doc_id, m, sum(length(p)) OVER w + coalesce(sum(length(m)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM (
+    SELECT doc_id, unnest(ms) AS m, unnest(regexp_split_to_array(text, '{pattern}')[1 : len(ms)]) AS p, generate_subscripts(ms, 1) AS i
+    FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS ms FROM documents WHERE text IS NOT NULL) WHERE len(ms) > 0)
+  WINDOW w AS (PARTITION BY doc_id ORDER BY i))"""
+
+
+_DIGITS = "regexp_replace(m, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, length({_DIGITS}) + 1), lambda i: CASE WHEN (length({_DIGITS}) - i) % 2 = 0 THEN {_DIGITS}[i]::INT ELSE {_DIGITS}[i]::INT * 2 - CASE WHEN {_DIGITS}[i] > '4' THEN 9 ELSE 0 END END)) % 10 = 0"
+PII_BASE_SQL = f"""
+WITH a AS ({_sql(0, "email", "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+", "true")}
+UNION ALL {_sql(1, "ip", "[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') > '255'))) = 0")}
+UNION ALL {_sql(2, "card", "[0-9]([\\x20-]?[0-9])+", f"length({_DIGITS}) BETWEEN 12 AND 19 AND {_LUHN}")}
+UNION ALL {_sql(3, "phone", "\\+[0-9][\\x20().0-9-]+[0-9]", f"length({_DIGITS}) BETWEEN 9 AND 15")}),
+g AS (SELECT doc_id, count(*) FILTER (WHERE place = 0) AS n_email, count(*) FILTER (WHERE place = 1) AS n_ip, count(*) FILTER (WHERE place = 2) AS n_card, count(*) FILTER (WHERE place = 3) AS n_phone,
+        string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, place) AS line FROM a WHERE holds GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(line, '')) AS base_sha256
+FROM documents LEFT JOIN g USING (doc_id)
+"""

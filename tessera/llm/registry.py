@@ -16,8 +16,9 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_ann": ann.op9_ann,
     "op10_quality": quality.op10_quality,
+    "pii_base": pii.pii_base,
 }
-ORACLE_SQL = {"op2_chat": chat.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_substring": substring.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op8_minhash": minhash.OP8_SQL, "op9_ann": ann.OP9_SQL}
+ORACLE_SQL = {"op2_chat": chat.OP2_SQL, "op3_warc": warc.OP3_SQL, "op4_substring": substring.OP4_SQL, "op6_mixing": mixing.OP6_SQL, "op8_minhash": minhash.OP8_SQL, "op9_ann": ann.OP9_SQL, "pii_base": pii.PII_BASE_SQL}
 
 
 def _ready(query):
