@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -512,13 +513,16 @@ def status_updates(spark, sf_dir):
 
 
 def _place(spark) -> str:
-    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/checkpoints"
-    return f"{held}/stream-{uuid.uuid4().hex}"
+    """A new folder where the driver and all executors reach it; only a session on one machine may do without the setting."""
+    held = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not held and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
+    return f"{held or f'file://{tempfile.gettempdir()}/checkpoints'}/stream-{uuid.uuid4().hex}"
 
 
 def _drained(spark, make, mode):
     place = _place(spark)
-    return streams.drained(make, "s" + uuid.uuid4().hex, mode, place + "/state", place + "/rows")
+    return streams.drained(make, mode, place + "/state", place + "/rows")
 
 
 def status_stream(spark, sf_dir):

@@ -45,14 +45,23 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
     return found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def drained(stream: DataFrame, name: str, mode: str, checkpoint: str, target: str | None = None) -> DataFrame:
-    """All that a stream holds now, by a run that ends: written in files, or for updates of a table in memory."""
+def drained(stream: DataFrame, mode: str, checkpoint: str, target: str) -> DataFrame:
+    """All that a stream holds now, by a run that ends, written in files of the folder ``target``: what it appends, or, in
+    the mode ``complete``, the table as its last batch leaves it. A batch that runs again overwrites its own files."""
     writer = stream.writeStream.trigger(availableNow=True).outputMode(mode).option("checkpointLocation", checkpoint)
-    if mode == "append" and target:
+    if mode == "append":
         writer.format("parquet").start(target).awaitTermination()
         return stream.sparkSession.read.schema(stream.schema).parquet(target)
-    writer.format("memory").queryName(name).start().awaitTermination()
-    return stream.sparkSession.table(name)
+    last: list[int] = []
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{target}/{batch}")
+        last[:] = [batch]
+
+    writer.foreachBatch(keep).start().awaitTermination()
+    if not last:
+        return stream.sparkSession.createDataFrame([], stream.schema)
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{target}/{last[0]}")
 
 
 def ingest(spark: SparkSession, folder: str, index: Callable[[DataFrame, int], None], checkpoint: str, most_files: int = 1000) -> StreamingQuery:
