@@ -1,5 +1,6 @@
 import hashlib
 
+import duckdb
 from pyspark.sql import functions as F
 
 from tessera.llm import chat
@@ -50,3 +51,19 @@ def test_query_has_the_probe(spark, tmp_path):
     said = "".join(f"{role}\n{chat.PROBE}\n" for role in ("user", "assistant"))
     assert set(got) == {5, -7} and got[-7].turns_sha256 == hashlib.sha256(said.encode()).hexdigest()
     assert got[-7].loss_sha256 == hashlib.sha256(chat.PROBE.encode()).hexdigest() and got[-7].loss_chars == len(chat.PROBE)
+
+
+def test_nulls_and_very_long_texts_agree_with_sql(spark, tmp_path):
+    long = "é#<\\ " * 60_000
+    rows = [(1, 1, "user", long), (1, None, "assistant", "first"), (1, None, None, None), (None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (2, 0, "assistant", None), (1, 2, "assistant", long)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.conv_id: r for r in chat.op2_chat(spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    sql = con.sql(chat.OP2_SQL)
+    assert len(got) == 4
+    for row in sql.fetchall():
+        want = dict(zip(sql.columns, row, strict=True))
+        assert got[want["conv_id"]].asDict() == want
+    said = "\n\nassistant\nfirst\n" + f"user\n{long}\nassistant\n{long}\n"
+    assert got[1].turns_sha256 == hashlib.sha256(said.encode()).hexdigest() and got[1].loss_chars == 5 + len(long)
