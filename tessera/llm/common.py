@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 #: A word of a text, wherever a contract speaks of words (fixed pattern; same in Java, RE2 and Python).
 WORD = r"[^\x20\x09-\x0D]+"
 #: Files of a table in the shared folder: enough to keep all cores busy, and few enough to open.
-FILES_A_CORE = 2
+FILES_A_CORE, FILE_BYTES = 2, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,8 +53,8 @@ def shared_folder(spark: SparkSession, what: str) -> str:
 
 def written(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at replicated files, so a lost executor
-    costs no recomputation and what is used twice is computed once. There are at most FILES_A_CORE files for each core
-    of the cluster. The files go with :func:`dropped`, or when the session ends."""
+    costs no recomputation and what is used twice is computed once. It is in few files, see :func:`packed`; they go with
+    :func:`dropped`, or when the session ends."""
     spark = df.sparkSession
     folder = shared_folder(spark, what)
     path = f"{folder}/rows"
@@ -72,8 +72,11 @@ def dropped(*tables: DataFrame) -> None:
 
 
 def packed(df: DataFrame) -> DataFrame:
-    """``df`` for a result in no more files than :func:`written` makes."""
-    return df.coalesce(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism)
+    """``df`` for writing: in FILES_A_CORE files for each core of the cluster, or one for each FILE_BYTES that it is made
+    from if these are more, so that tasks stay small however much there is."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return df.coalesce(max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, min(read // FILE_BYTES, 1 << 30)))
 
 
 def release(spark: SparkSession) -> None:
@@ -95,11 +98,13 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, held) if x)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches of at most ``rows`` rows: texts may be long, and a batch is held whole by a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, rows)
+def small_batches(spark: SparkSession, rows: int = 1000, most_bytes: int = 8 << 20) -> None:
+    """Arrow batches of at most ``rows`` rows and about ``most_bytes`` bytes: texts may be long, and a batch is held whole
+    by a Python worker and by the executor beside it."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", most_bytes)):
+        held = int(re.match(r"-?\d+", spark.conf.get(key))[0])
+        if held > most or held <= 0:
+            spark.conf.set(key, str(most))
 
 
 def text_or_empty(c: Column | str) -> Column:
