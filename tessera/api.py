@@ -39,6 +39,12 @@ class Corpus:
         vectors = embed.embed(chunks, "id", embedder=embedder).join(chunks.select("id", "source"), "id").persist()
         return cls(chunks, vectors, bm25.Index.build(chunks, "id") if keyword else None, embedder)
 
+    def release(self) -> None:
+        """Let go of the persisted vectors and postings."""
+        self.vectors.unpersist()
+        if self.index:
+            self.index.release()
+
     def asked(self, queries: DataFrame) -> DataFrame:
         return embed.embed(queries, "qid", "query", self.embedder).join(queries.select("qid", "query"), "qid")
 
@@ -50,8 +56,10 @@ def vector_search(corpus: Corpus, queries: DataFrame, k: int = 5) -> DataFrame:
     return rows.select("qid", "rank", F.col("text").alias("content"), "score", F.coalesce("source", F.lit(sessions.UNKNOWN_SOURCE)).alias("source"))
 
 
-def keyword_search(corpus: Corpus, queries: DataFrame, k: int = 10) -> DataFrame:
-    return bm25.search(corpus.index, queries, k)
+def keyword_search(corpus: Corpus, queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
+    """(qid, query) to the best chunks by words, with their text and source."""
+    rows = bm25.search(corpus.index, queries, k, digits).join(corpus.chunks.select("id", "text", "source"), "id")
+    return rows.select("qid", "id", "rank", "score", "text", F.coalesce("source", F.lit(sessions.UNKNOWN_SOURCE)).alias("source"))
 
 
 def hybrid_search(corpus: Corpus, queries: DataFrame, k: int = 10) -> DataFrame:

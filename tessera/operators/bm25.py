@@ -40,6 +40,10 @@ class Index:
         lengths = rows.select(F.col(id_col).alias("id"), T.utf16_length(F.col(text_col)).cast("long").alias("dl"))
         return cls(lengths, terms(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK))
 
+    def release(self) -> None:
+        """Let go of the persisted postings."""
+        self.postings.unpersist()
+
     def text_of(self, chunks: DataFrame, ids: DataFrame) -> DataFrame:
         """(id, text) of indexed chunks (id, text) by their ids; those that aren't indexed have none."""
         wanted = self.docs.select("id").join(ids.select("id").distinct(), "id", "left_semi")

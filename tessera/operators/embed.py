@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.chunk import hashed_embedder
@@ -29,8 +29,12 @@ def embed(rows: DataFrame, key: str, text: str = "text", embedder: Embedder = ha
     return rows.select(key, text).mapInArrow(run, f"{key} {rows.schema[key].dataType.simpleString()}, {out} array<float>")
 
 
-def store(chunks: DataFrame, path: str, key: str = "chunk_id", embedder: Embedder = hashed_embedder, mode: str = "append") -> DataFrame:
-    """Embed chunks and write them with their other columns; returns the table as it then is."""
+def store(chunks: DataFrame, path: str, key: str = "chunk_id", embedder: Embedder = hashed_embedder, mode: str = "append", dim: int | None = None, at: Column | None = None) -> DataFrame:
+    """Embed chunks and write them with their other columns and the time ``at`` (now, if not given); returns the table as
+    it then is. The table is made if there is none. A vector of another number of components than ``dim`` is an error."""
     whole = chunks.join(embed(chunks.dropDuplicates([key]), key, embedder=embedder), key)
-    whole.withColumn("stored_at", F.current_timestamp()).write.mode(mode).parquet(path)
+    if dim is not None:
+        other = F.concat(F.lit(f"not {dim} components: "), F.size("vector").cast("string"))
+        whole = whole.withColumn("vector", F.when(F.col("vector").isNull() | (F.size("vector") == dim), F.col("vector")).otherwise(F.raise_error(other).cast("array<float>")))
+    whole.withColumn("stored_at", F.current_timestamp() if at is None else at).write.mode(mode).parquet(path)
     return chunks.sparkSession.read.parquet(path)

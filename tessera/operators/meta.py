@@ -20,8 +20,16 @@ class Failure(Exception):
         "CATEGORY_EXISTS": 1001,
         "CATEGORY_NOT_EMPTY": 1002,
         "DOCUMENT_NOT_FOUND": 1003,
+        "FILE_SAVE_ERROR": 1004,
         "UNSUPPORTED_FILE_TYPE": 1005,
+        "VECTOR_DELETE_ERROR": 1006,
         "FILE_CONTENT_EXIST": 1007,
+        "FILE_READ_ERROR": 1008,
+        "DB_ERROR": 2001,
+        "DATA_INTEGRITY_VIOLATION": 2002,
+        "AI_SERVICE_ERROR": 3001,
+        "EMBEDDING_ERROR": 3002,
+        "CHAT_ERROR": 3003,
     }
 
     def __init__(self, name: str, message: str = ""):

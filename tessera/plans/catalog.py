@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera import api
+from tessera.functions import register
 from tessera.functions import score as S
 from tessera.functions import text as T
 from tessera.operators import bm25, chunk, classify, dedup, fusion, ingest, intent, knn, meta, rewrite, sessions
 from tessera.plans import samples
+from tessera.sources import readers
 from tessera.sources.config import DEFAULT
 from tessera.streaming import status as streams
 
@@ -128,7 +130,7 @@ def top_keywords(spark, sf_dir):
 
 
 def vector_knn(spark, sf_dir):
-    return knn.search(vectors(spark, sf_dir), asked(spark, sf_dir).select("qid", "vector"), 10, digits=6).select("qid", "id", "cosine", "rank")
+    return knn.search(vectors(spark, sf_dir), asked(spark, sf_dir).select("qid", "vector"), 10, digits=6).select("qid", "id", "cosine", F.round("score", 6).alias("score"), "rank")
 
 
 def vector_knn_filtered(spark, sf_dir):
@@ -431,6 +433,72 @@ def retrieve_text(spark, sf_dir):
     return api.retrieve(api.Corpus.of(rows), items, 5).select("qid", F.col("id").alias("doc_id"), "stage", "rank")
 
 
+def intent_chain(spark, sf_dir):
+    """The rules, and where they are unsure a model's reply, here one for every query."""
+    rows = asked_values(spark).withColumn("reply", F.when(F.col("qid") % 2 == 0, '{"primaryIntent":"COMPARISON","confidence":0.8}').otherwise('{"primaryIntent":"PROCEDURAL","confidence":0.4}'))
+    pair = lambda r: F.struct(r["intent"].alias("intent"), r["confidence"].alias("confidence"))
+    r = intent.chain(pair(intent.rules("query")), pair(intent.parse_reply("reply")))
+    return rows.select("qid", r["intent"].alias("intent"), r["confidence"].alias("confidence"))
+
+
+def dictionary_words(spark, sf_dir):
+    """The vocabulary of the shipped dictionaries, in order."""
+    return values(spark, list(enumerate(DEFAULT.words())), "place long, word string")
+
+
+def reply_texts(spark, sf_dir):
+    """The text in replies of a parsing service, at its known places."""
+    return values(spark, samples.SERVICE_REPLIES, "id long, reply string").select("id", readers.reply_text("reply").alias("text"))
+
+
+def keyword_hits(spark, sf_dir):
+    """The keyword leg with texts and sources."""
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text", "source")
+    corpus = api.Corpus(d, d, index(spark, sf_dir))
+    found = api.keyword_search(corpus, table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), 3, 6)
+    return found.select("qid", F.col("id").alias("doc_id"), "rank", F.round("score", 6).alias("score"), F.sha2("text", 256).alias("text_sha256"), "source")
+
+
+def index_lookup(spark, sf_dir):
+    """Texts of indexed chunks by id, and the number of all, as id -1."""
+    i = index(spark, sf_dir)
+    d = documents(spark, sf_dir).select(F.col("doc_id").alias("id"), "text")
+    found = i.text_of(d, d.where("id % 7 = 0").select("id")).select("id", F.length("text").cast("long").alias("value"))
+    return found.unionByName(i.statistics().select(F.lit(-1).cast("long").alias("id"), F.col("n").alias("value")))
+
+
+def answer_prompts(spark, sf_dir):
+    """What a model is asked about the three first chunks of the cascade."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    found = sessions.ask(fusion.context(_cascade(spark, sf_dir).where("rank <= 3")), q)
+    return found.select("qid", F.sha2("prompt", 256).alias("prompt_sha256"), F.length("prompt").cast("long").alias("chars"), "answer")
+
+
+def context_headers(spark, sf_dir):
+    d = documents(spark, sf_dir)
+    prefix = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("A > "), "source")).when(F.col("doc_id") % 3 == 1, "")
+    return d.select("doc_id", F.sha2(T.with_context("text", prefix), 256).alias("text_sha256"))
+
+
+def uploads(spark, sf_dir):
+    """Pages uploaded as files whose names come from their ids, some known before, some of no known format."""
+    p = table(spark, sf_dir, "pages")
+    ends = F.element_at(F.array(*map(F.lit, (".html", ".zip", ".MD"))), (F.col("page_id") % 3 + 1).cast("int"))
+    name = F.concat(F.lpad(F.col("page_id").cast("string"), 9, "0"), ends)
+    files = p.select(name.alias("file_name"), F.encode("html", "UTF-8").alias("content"), F.when(F.col("page_id") % 5 > 0, "web").alias("category"))
+    known = p.where("page_id % 11 = 0").select(F.sha2(F.encode("html", "UTF-8"), 256).alias("hash"))
+    return ingest.upload(files, known, F.lit("2024-03-05").cast("timestamp")).select("file_name", "format", "category", "path", "status", "code")
+
+
+def sql_functions(spark, sf_dir):
+    """The functions that SQL sees, over documents."""
+    register.register(spark)
+    documents(spark, sf_dir).createOrReplaceTempView("tessera_documents")
+    return spark.sql("""SELECT doc_id, token_count(text) AS tokens, contains_cjk(text) AS cjk, size(latin_tokens(text)) AS words, round(rrf_score(CAST(doc_id % 50 + 1 AS INT)), 9) AS rrf,
+  round(bm25_idf(1000D, CAST(doc_id % 90 + 1 AS DOUBLE)), 6) AS idf, file_extension(concat(source, '.', lang)) AS extension, remove_extension(concat(source, '.x.', lang)) AS stem,
+  sanitize_filename(concat('../', source)) AS name, source_of_chunk(concat(source, '_', doc_id)) AS source_id FROM tessera_documents""")
+
+
 # --- metadata and history ---------------------------------------------------------------------------------------
 
 
@@ -473,6 +541,48 @@ def category_counts(spark, sf_dir):
     return meta.category_counts(_meta(spark, sf_dir)[0])
 
 
+def categories(spark, sf_dir):
+    """Categories of the documents, those that none had before included, with their active documents."""
+    docs = _meta(spark, sf_dir)[0].withColumn("category", F.when(F.col("document_id") % 10 == 0, " ").otherwise(F.col("category")))
+    named = docs.withColumn("category", F.coalesce(F.nullif(F.trim("category"), F.lit("")), F.lit(meta.UNCATEGORISED)))
+    held = values(spark, [("src1",), ("spare",)], "name string")
+    return meta.list_categories(meta.ensure_categories(held, docs), named).select("name", "n")
+
+
+def active_by_file_name(spark, sf_dir):
+    return meta.by_file_name(_meta(spark, sf_dir)[0], "src1.txt").select("document_id", "category")
+
+
+def document_by_id(spark, sf_dir):
+    docs, lines = _meta(spark, sf_dir)
+    return meta.document_status(meta.document(docs, 7), lines, [7, 8]).select("document_id", "status", "chunks")
+
+
+def hash_warmup(spark, sf_dir):
+    """The newest hashes, what a cache is filled with at first."""
+    rows = dedup.hashed(documents(spark, sf_dir)).select("hash", "doc_id", F.col("n_chars").alias("created_at"))
+    return dedup.latest(rows, 100).select("hash", "doc_id")
+
+
+def chat_after(spark, sf_dir):
+    """Messages by session after some sessions are deleted and others get a turn more."""
+    c = chat(spark, sf_dir).withColumns({"source_info": F.lit(None).cast("string"), "create_time": F.col("create_time").cast("long")})
+    left = sessions.delete_session(c, c.where("session_id % 3 = 0").select("session_id"))
+    ids = left.where("session_id % 3 = 1").select("session_id").distinct()
+    answered = ids.select(F.col("session_id").alias("qid"), "session_id", F.lit("q").alias("question"), F.lit("a").alias("answer"))
+    found = answered.select("qid", F.explode(F.array(F.lit("b.md"), F.lit("a.md"), F.lit("b.md"), F.lit(None))).alias("source"), F.lit(1).alias("rank"))
+    out = sessions.append(left, sessions.turns(answered, found, F.lit(10**6).cast("long")))
+    return out.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"), F.max("source_info").alias("sources"), F.max("create_time").alias("last"))
+
+
+def uploaded_times(spark, sf_dir):
+    """Documents with the time of the event of their number: in milliseconds, and the month's folder."""
+    docs, lines = _meta(spark, sf_dir)
+    when = table(spark, sf_dir, "events").select(F.col("event_id").alias("document_id"), F.col("ts").alias("upload_time"))
+    rows = meta.list_documents(docs.join(when, "document_id"), lines)
+    return rows.select("document_id", "uploaded_ms", F.date_format("upload_time", "yyyy-MM").alias("month"))
+
+
 def chunk_counts(spark, sf_dir):
     docs, lines = _meta(spark, sf_dir)
     return meta.chunk_counts(lines.join(docs.select("document_id", F.col("category").alias("source")), "document_id"), "source")
@@ -604,7 +714,7 @@ e AS (SELECT doc_id, unnest(t) AS token, generate_subscripts(t, 1) AS pos FROM w
 g AS (SELECT doc_id, token, count(*) AS n, min(pos) AS first, round(count(*) * (1 + length(token) * 0.3::DOUBLE), 6) AS score FROM e GROUP BY doc_id, token),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first)::INT AS rank FROM g)
 SELECT doc_id, token, n, rank FROM r WHERE rank <= 5""",
-    "vector_knn": knn_sql(10),
+    "vector_knn": f"SELECT qid, id, cosine, round((1 + cosine) / 2, 6) AS score, rank FROM ({knn_sql(10)})",
     "vector_knn_filtered": knn_sql(5, "e.label = 1"),
     "vector_search_by_source": knn_sql(5, "contains(e.source, 'src' || q.vec_id % 10)", "SELECT vec_id, embedding, source FROM embeddings JOIN documents ON doc_id = vec_id"),
     "pairwise_cosine": "SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
@@ -695,6 +805,32 @@ UNION ALL SELECT 'postings', coalesce(sum(len({TOKENS_SQL})), 0)::BIGINT FROM x
 UNION ALL SELECT 'categories', count(DISTINCT source) FROM l""",
     "rebuild_numbering": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), e AS (SELECT doc_id, unnest(x) AS t, (generate_subscripts(x, 1) - 1)::INT AS i FROM l)
 SELECT doc_id AS document_id, i AS chunk_index, n AS number, doc_id || '_' || n AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM e WHERE length(t) > 20)""",
+    "intent_chain": "WITH r AS (@RULES@) SELECT qid, CASE WHEN confidence >= 0.7 THEN intent WHEN qid % 2 = 0 THEN 'COMPARISON' ELSE intent END AS intent, CASE WHEN confidence >= 0.7 THEN confidence WHEN qid % 2 = 0 THEN 0.8::DOUBLE ELSE confidence END AS confidence FROM r",
+    "dictionary_words": f"WITH {values_sql(list(enumerate(samples.WORDS.split('|'))), 'v', 'place, word')} SELECT place::BIGINT AS place, word FROM v",
+    "reply_texts": f"WITH {values_sql(samples.SERVICE_TEXTS, 'v', 'id, text')} SELECT id::BIGINT AS id, text FROM v",
+    "keyword_hits": f"""WITH h AS ({bm25_sql(queries="SELECT item_id AS qid, text FROM benchmark", k=3)})
+SELECT qid, doc_id, rank, score, sha256(text) AS text_sha256, coalesce(source, '未知来源') AS source FROM h JOIN documents USING (doc_id)""",
+    "index_lookup": "SELECT doc_id AS id, length(text) AS value FROM documents WHERE doc_id % 7 = 0 AND trim(text) <> '' UNION ALL SELECT -1, count(*) FROM documents WHERE trim(text) <> ''",
+    "answer_prompts": f"""WITH {CASCADE_SQL}, b AS (SELECT qid, string_agg('【片段' || rank || '】' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank) AS c FROM ca WHERE rank <= 3 GROUP BY qid),
+p AS (SELECT item_id AS qid, c, '{sessions.RULES}' || chr(10) || chr(10) || '基于以下文档内容回答问题：' || chr(10) || chr(10) || coalesce(c, '') || chr(10) || chr(10) || '问题：' || text || chr(10) || chr(10) || '{sessions.CLOSING}' AS p FROM benchmark LEFT JOIN b ON qid = item_id)
+SELECT qid, sha256(p) AS prompt_sha256, length(p) AS chars, CASE WHEN c IS NULL THEN '未找到相关内容' END AS answer FROM p""",
+    "context_headers": "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN '**上下文**: A > ' || source || chr(10) || chr(10) || text ELSE text END) AS text_sha256 FROM documents",
+    "uploads": """WITH f AS (SELECT lpad(page_id::VARCHAR, 9, '0') || ['.html', '.zip', '.MD'][(page_id % 3 + 1)::INT] AS file_name, html, page_id, sha256(html) AS h FROM pages),
+g AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY file_name) AS turn, h IN (SELECT sha256(html) FROM pages WHERE page_id % 11 = 0) AS held FROM f),
+c AS (SELECT *, CASE WHEN coalesce(html, '') = '' THEN 400 WHEN held OR turn > 1 THEN 1007 WHEN page_id % 3 = 1 THEN 1005 END AS code FROM g)
+SELECT file_name, ['HTML', 'UNKNOWN', 'MD'][(page_id % 3 + 1)::INT] AS format, CASE WHEN page_id % 5 > 0 THEN 'web' ELSE '未分类' END AS category,
+  CASE WHEN code IS NULL THEN '2024-03/' || substr(h, 1, 8) || '_' || file_name END AS path, CASE WHEN code IS NULL THEN 'processing' ELSE 'rejected' END AS status, code::INT AS code FROM c""",
+    "sql_functions": rf"""SELECT doc_id, len(regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_\x20\t\n\x0B\f\r]'))::INT AS tokens, regexp_matches(text, '[一-鿿]') AS cjk, len({TOKENS_SQL})::INT AS words,
+  round(1 / (60.0::DOUBLE + doc_id % 50 + 1), 9) AS rrf, round(ln(1 + (1000 - (doc_id % 90 + 1) + 0.5::DOUBLE) / (doc_id % 90 + 1 + 0.5::DOUBLE)), 6) AS idf, lower(lang) AS extension, source || '.x' AS stem, '__' || source AS name, source AS source_id FROM documents""",
+    "categories": """WITH d AS (SELECT CASE WHEN doc_id % 10 = 0 THEN '未分类' ELSE source END AS name, doc_id % 3 = 0 AS active FROM documents),
+n AS (SELECT name FROM d UNION SELECT unnest(['src1', 'spare']))
+SELECT name, (SELECT count(*) FROM d WHERE d.name = n.name AND active) AS n FROM n""",
+    "active_by_file_name": "SELECT doc_id AS document_id, source AS category FROM documents WHERE source = 'src1' AND doc_id % 3 = 0",
+    "document_by_id": "SELECT doc_id AS document_id, 'processing' AS status, len(string_split(text, chr(10)))::BIGINT AS chunks FROM documents WHERE doc_id = 7",
+    "hash_warmup": f"SELECT {HASH_SQL} AS hash, doc_id FROM documents ORDER BY n_chars DESC, doc_id DESC LIMIT 100",
+    "chat_after": """SELECT conv_id AS session_id, count(*) + CASE WHEN conv_id % 3 = 1 THEN 2 ELSE 0 END AS n, CASE WHEN conv_id % 3 = 1 THEN '["a.md","b.md"]' END AS sources,
+  CASE WHEN conv_id % 3 = 1 THEN 1000000 ELSE max(turn) END::BIGINT AS last FROM conversations WHERE conv_id % 3 <> 0 GROUP BY conv_id""",
+    "uploaded_times": "SELECT doc_id AS document_id, epoch_us(ts) // 1000 AS uploaded_ms, strftime(ts, '%Y-%m') AS month FROM documents JOIN events ON event_id = doc_id",
     "status_updates": """WITH e AS (SELECT user_id, arg_max(event_type, struct_pack(ts, event_id)) AS s FROM events GROUP BY 1)
 SELECT doc_id AS document_id, coalesce(s, ['active', 'processing', 'failed'][(doc_id % 3 + 1)::INT]) AS status FROM documents LEFT JOIN e ON user_id = doc_id""",
     "status_stream": "SELECT user_id, arg_max(event_type, struct_pack(ts, event_id)) AS status, epoch_us(max(ts)) AS at FROM events GROUP BY 1",
@@ -715,6 +851,7 @@ x AS (SELECT event_type, value, mark, (s // 43200 - k) * 43200 AS start FROM e,
 SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x WHERE start + 86400 <= mark GROUP BY start, event_type""",
     "ingest_stream": f"SELECT doc_id, {HASH_SQL} AS hash FROM documents WHERE text NOT IN (SELECT text FROM documents WHERE source = 'src0')",
 }
+ORACLE["intent_chain"] = ORACLE["intent_chain"].replace("@RULES@", ORACLE["intent_rules"])
 NAMES = [*ORACLE, "markdown_chunks", "semantic_chunks", "routed_chunks", "retrieve_text"]
 
 

@@ -102,3 +102,10 @@ TINY_CHUNKS = [
     (13, 0, 2, "Cats purr.Cats purr.", 6, ""), (13, 1, 2, "Stocks fell.Stocks fell.", 6, ""),
     (14, 0, 1, "école où ça", 3, ""),
 ]
+#: Replies of a parsing service and the texts in them; the vocabulary of the shipped dictionaries.
+SERVICE_REPLIES = [(1, '{"content":"a"}'), (2, '{"data":{"content":"b"}}'), (3, '{"markdown":"c"}'), (4, '{"md_content":"d","x":1}'), (5, "no json"), (6, '{"markdown":"m","content":"first"}'), (7, None)]
+SERVICE_TEXTS = [(1, "a"), (2, "b"), (3, "c"), (4, "d"), (5, "no json"), (6, "first"), (7, None)]
+WORDS = (
+    "换工作|薪资|阅读|词汇|主旨|配置|切片|召回|职业转换|跳槽|转行|career switch|工资|薪酬|收入|salary|文章|短文|passage|reading|单词|词|vocabulary|word"
+    "|大意|中心思想|main idea|gist|设置|参数|config|setting|分块|切分|chunk|split|检索|搜索|recall|retrieve|专升本|讲稿|API"
+)
