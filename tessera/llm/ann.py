@@ -238,9 +238,9 @@ def nearest(vectors: DataFrame, is_query: Column, block_values: int = BLOCK_VALU
     shards = max(1, -(-nodes.count() // SHARD_POINTS))
     blocks = max(1, -(-(queries.agg(F.sum(F.size("v"))).first()[0] or 0) // block_values))
     dealt = nodes.withColumn("shard", F.pmod(F.xxhash64("lead"), F.lit(shards)))
-    index = written(dealt.groupBy("shard", "dim").applyInArrow(_index, _INDEX), "index")
+    index = written(dealt.groupBy("shard", "dim").applyInArrow(_index, _INDEX), "index", 8)
     packed = queries.select("vec_id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
-    found = [written(_asked(index, _block(packed.where(F.col("block") == k).toArrow())), "found") for k in range(blocks)]
+    found = [written(_asked(index, _block(packed.where(F.col("block") == k).toArrow())), "found", 8) for k in range(blocks)]
     dropped(nodes, queries, index)
     found = reduce(DataFrame.unionByName, found)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

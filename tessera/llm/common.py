@@ -51,14 +51,14 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return path
 
 
-def written(df: DataFrame, what: str) -> DataFrame:
+def written(df: DataFrame, what: str, files: int = FILES_A_CORE) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage ends at replicated files, so a lost executor
-    costs no recomputation and what is used twice is computed once. It is in few files, see :func:`packed`; they go with
-    :func:`dropped`, or when the session ends."""
+    costs no recomputation and what is used twice is computed once. It is in few files, see :func:`packed`, or more
+    ``files`` a core where its rows are costly to make; they go with :func:`dropped`, or when the session ends."""
     spark = df.sparkSession
     folder = shared_folder(spark, what)
     path = f"{folder}/rows"
-    packed(df).write.parquet(path)
+    packed(df, files).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_at = folder
     return out
@@ -71,12 +71,12 @@ def dropped(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
-def packed(df: DataFrame) -> DataFrame:
-    """``df`` for writing: in FILES_A_CORE files for each core of the cluster, or one for each FILE_BYTES that it is made
+def packed(df: DataFrame, files: int = FILES_A_CORE) -> DataFrame:
+    """``df`` for writing: in so many files for each core of the cluster, or one for each FILE_BYTES that it is made
     from if these are more, so that tasks stay small however much there is."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.coalesce(max(FILES_A_CORE * df.sparkSession.sparkContext.defaultParallelism, min(read // FILE_BYTES, 1 << 30)))
+    return df.coalesce(max(files * df.sparkSession.sparkContext.defaultParallelism, min(read // FILE_BYTES, 1 << 30)))
 
 
 def release(spark: SparkSession) -> None:

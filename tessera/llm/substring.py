@@ -52,53 +52,66 @@ class Automaton:
     """Suffix automaton of several sequences; each state knows the smallest number given with a sequence that holds it."""
 
     def __init__(self, sequences: Iterable[tuple[list, int]]):
-        self.next, self.link, self.length, self.least = [{}], [-1], [0], [None]
+        # one loop over local names: a shard's time goes here
+        self.next, self.link, self.length = follow, link, length = [{}], [-1], [0]
         ends: list[tuple[int, int]] = []
         for symbols, number in sequences:
             last = 0
             for c in symbols:
-                last = self._extend(last, c)
+                q = follow[last].get(c)
+                if q is None:
+                    cur = len(length)
+                    follow.append({})
+                    length.append(length[last] + 1)
+                    p = last
+                    while p != -1 and c not in follow[p]:
+                        follow[p][c] = cur
+                        p = link[p]
+                    if p == -1:
+                        link.append(0)
+                    else:
+                        q = follow[p][c]
+                        link.append(q)
+                        if length[q] != length[p] + 1:
+                            link[cur] = self._clone(p, q, c)
+                    last = cur
+                else:
+                    last = q if length[q] == length[last] + 1 else self._clone(last, q, c)
                 ends.append((last, number))
-        least = self.least
+        self.least = least = [None] * len(length)
         for state, number in ends:
             if least[state] is None or number < least[state]:
                 least[state] = number
-        for state in sorted(range(1, len(self.length)), key=self.length.__getitem__, reverse=True):
-            up, mine = self.link[state], least[state]
+        for state in sorted(range(1, len(length)), key=length.__getitem__, reverse=True):
+            up, mine = link[state], least[state]
             if mine is not None and (least[up] is None or mine < least[up]):
                 least[up] = mine
 
-    def _extend(self, last: int, c) -> int:
-        follow, link, length = self.next, self.link, self.length
-        q = follow[last].get(c)
-        if q is not None:
-            return q if length[q] == length[last] + 1 else self._clone(last, q, c)
-        cur = len(length)
-        follow.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        self.least.append(None)
-        p = last
-        while p != -1 and c not in follow[p]:
-            follow[p][c] = cur
-            p = link[p]
-        if p != -1:
-            q = follow[p][c]
-            link[cur] = q if length[q] == length[p] + 1 else self._clone(p, q, c)
-        return cur
-
     def _clone(self, p: int, q: int, c) -> int:
         new = len(self.length)
         self.next.append(self.next[q].copy())
         self.length.append(self.length[p] + 1)
         self.link.append(self.link[q])
-        self.least.append(None)
         self.link[q] = new
         while p != -1 and self.next[p].get(c) == q:
             self.next[p][c] = new
             p = self.link[p]
         return new
 
+    def firsts(self, symbols: list, most: int) -> list[int]:
+        """For each window of ``most`` symbols of a sequence that the automaton holds, the smallest number of a sequence
+        that holds the window: what :meth:`statistics` says where nothing is unknown."""
+        follow, link, length, least = self.next, self.link, self.length, self.least
+        state, out = 0, []
+        for c in symbols[: most - 1]:
+            state = follow[state][c]
+        for c in symbols[most - 1 :]:
+            state = follow[state][c]
+            while length[link[state]] >= most:
+                state = link[state]
+            out.append(least[state])
+        return out
+
     def statistics(self, symbols: Iterable, most: int | None = None) -> Iterator[tuple[int, int]]:
         """For each symbol the length of the longest match that ends there, ``most`` at the highest, and its state."""
         follow, link, length = self.next, self.link, self.length
@@ -116,6 +129,16 @@ class Automaton:
             yield matched, state
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) to the anchors of each document: (fp, doc_id)."""
+    for b in batches:
+        ids = b.column("doc_id").to_numpy(zero_copy_only=False)
+        for lo, hi in tb.pieces(b.column("text")):
+            w = tb.words(b.column("text").slice(lo, hi - lo))
+            start, _, anchor, g = _runs(w.hashes(), w.doc)
+            yield pa.RecordBatch.from_arrays([pa.array(g[anchor].view(np.int64)), pa.array(ids[lo + w.doc[start]])], ["fp", "doc_id"])
+
+
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tag, text) to (fp, ph, doc_id, at): anchor, content, and where: 27 bits of the tag, position, windows."""
     for b in batches:
@@ -135,27 +158,34 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), pa.array(ph.view(np.int64)), pa.array(ids[lo + doc]), pa.array(at)], ["fp", "ph", "doc_id", "at"])
 
 
-def passages(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes and their documents to passages: first word, number of windows, hash of the anchor and of the content."""
+def _runs(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes and their documents to passages: first word, number of windows, place of the anchor; and all grams."""
     m = len(h) - WINDOW + 1
+    none = np.zeros(0, np.int64)
     if m <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, np.zeros(0, _U), np.zeros(0, _U)
+        return none, none, none, np.zeros(0, _U)
     g = tb.grams(h, GRAM)
-    best, where = g[:m].copy(), np.zeros(m, np.int64)
-    for j in range(1, SPAN):
-        c = g[j : j + m]
-        less = c < best
-        best[less] = c[less]
-        where[less] = j
+    # the first of the smallest of SPAN grams, by windows of 2, 4 and 8, and the last gram
+    best, where, span = g, np.arange(len(g), dtype=np.int32), 1
+    while 2 * span <= SPAN:
+        n = len(best) - span
+        less = best[span:] < best[:n]
+        best, where, span = np.minimum(best[:n], best[span:]), np.where(less, where[span:], where[:n]), 2 * span
+    shift = SPAN - span
+    where = np.where(best[shift : shift + m] < best[:m], where[shift : shift + m], where[:m])
     window = np.flatnonzero(doc[:m] == doc[WINDOW - 1 :])
     if not len(window):
-        return window, window, np.zeros(0, _U), np.zeros(0, _U)
-    anchor = (where + np.arange(m))[window]
+        return none, none, none, g
+    anchor = where[window].astype(np.int64)
     new = np.ones(len(window), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (doc[window[1:]] != doc[window[:-1]])
     first = np.flatnonzero(new)
-    start, count, anchor = window[first], np.diff(np.append(first, len(window))), anchor[first]
+    return window[first], np.diff(np.append(first, len(window))), anchor[first], g
+
+
+def passages(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes and their documents to passages: first word, number of windows, hash of the anchor and of the content."""
+    start, count, anchor, g = _runs(h, doc)
     up, down = tb._power(len(h) + 1)
     sums = np.zeros(len(h) + 1, _U)
     np.cumsum(h * up[: len(h)], out=sums[1:])
@@ -229,10 +259,9 @@ def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def answer(rows: list[tuple]) -> pa.RecordBatch:
         automaton = Automaton((words, first) for _, first, *_, words in rows)
-        least = automaton.least
         out: tuple[list, list, list] = ([], [], [])
         for _, _, fps, phs, counts, words in rows:
-            firsts, at = [least[s] for n, s in automaton.statistics(words, WINDOW) if n == WINDOW], 0
+            firsts, at = automaton.firsts(words, WINDOW), 0
             for fp, ph, n in zip(fps, phs, counts, strict=True):
                 out[0].append(fp)
                 out[1].append(ph)
@@ -283,11 +312,11 @@ def _left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cover = np.cumsum(edges)[: len(cover)]
             stays = cover == 0
             removed = np.diff(np.concatenate([[0], np.cumsum(~stays)])[at])
-            kept = []
-            for d, text in enumerate(texts.to_pylist()):
-                words = _WORD.findall(text or "")
-                kept.append(" ".join(compress(words, stays[at[d] : at[d + 1]].tolist()) if removed[d] else words))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(removed), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
+            raw, kept = w.data.tobytes(), []
+            for d in range(w.n):
+                words = raw[w.offsets[d] : w.offsets[d + 1]].split()  # bytes are split at what parts words, and only there
+                kept.append(b" ".join(compress(words, stays[at[d] : at[d + 1]].tolist()) if removed[d] else words))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, hi - lo), pa.array(np.diff(at)), pa.array(removed), pa.array(kept, pa.binary()).cast(pa.string())], ["doc_id", "n_words", "n_removed", "kept"])
 
 
 def _of_document(content: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -304,8 +333,9 @@ def remove_repeated(docs: DataFrame, most_contents: int = MANY) -> DataFrame:
     """
     tag = F.shiftright(F.xxhash64("text"), 37).bitwiseAND(F.lit((1 << 27) - 1))
     rows = docs.select("doc_id", "text", tag.alias("tag"))
-    found = rows.where(F.col("doc_id").isNotNull()).mapInArrow(_anchors, "fp long, ph long, doc_id long, at long")
-    shared = found.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp")
+    known = rows.where(F.col("doc_id").isNotNull())
+    found = known.mapInArrow(_anchors, "fp long, ph long, doc_id long, at long")
+    shared = known.select("doc_id", "text").mapInArrow(_documents, "fp long, doc_id long").groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("fp")
     hits = written(found.join(shared, "fp"), "hits")
     release(docs.sparkSession)
     contents = hits.groupBy("fp", "ph").agg(F.min(F.struct("doc_id", "at")).alias("first"))
@@ -326,7 +356,7 @@ def remove_repeated(docs: DataFrame, most_contents: int = MANY) -> DataFrame:
         found = _answered(once.select(F.col("window").alias("route"), "first", one("window").alias("fp"), one("window").alias("ph"), F.array(F.lit(1).cast("long")).alias("n"), "words"))
         found = windows.select("window", "fp", "ph", "off").join(found.select(F.col("fp").alias("window"), "firsts"), "window")
         answers = answers.unionByName(found.select("fp", "ph", "off", "firsts"))
-    answers = written(answers, "answers")
+    answers = written(answers, "answers", 8)
     release(docs.sparkSession)
     bit = F.transform("firsts", lambda f, i: F.when(f < F.col("doc_id"), F.call_function("shiftleft", F.lit(1), i)).otherwise(0))
     bits = F.call_function("shiftleft", F.aggregate(bit, F.lit(0), lambda a, x: a + x), F.col("off")).cast("long")
