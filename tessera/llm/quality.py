@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import fold, table
+from tessera.llm.common import fold, table, trim
 from tessera.llm.sample import labelled, log_odds
 
 ROWS, BYTES = 1500, 32 << 20
@@ -109,7 +109,9 @@ def train(texts: pa.Array, y: np.ndarray, share: float, epochs: int = EPOCHS, ra
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """Trained on the rows of ``labels`` of which crc32 of doc_id mod 3 is not 1."""
-    return train(*labelled(docs, labels, "quality", lambda i: fold(i, 3) != 1, ROWS, BYTES))
+    model = train(*labelled(docs, labels, "quality", lambda i: fold(i, 3) != 1, ROWS, BYTES))
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

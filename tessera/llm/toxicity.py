@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import fold, table
+from tessera.llm.common import fold, table, trim
 from tessera.llm.sample import labelled
 
 ROWS, BYTES = 1500, 32 << 20
@@ -296,7 +296,9 @@ def train(texts: pa.Array, y: np.ndarray, share: float, hide: bool = False) -> M
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     """Trained on rows of which crc32 of doc_id mod 5 is not 0, labelled ones and some without a label."""
-    return train(*labelled(docs, labels, "toxic", lambda i: fold(i, 5) != 0, ROWS, BYTES, UNLABELLED))
+    model = train(*labelled(docs, labels, "toxic", lambda i: fold(i, 5) != 0, ROWS, BYTES, UNLABELLED))
+    trim()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
