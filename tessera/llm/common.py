@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Files of a table in the shared folder: enough to keep all cores busy, and few enough to open.
 FILES_A_CORE, FILE_BYTES = 2, 64 << 20
+#: Seconds that :func:`release` waits after each of its looks.
+PAUSES = (0.3, 1.0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,7 +88,7 @@ def release(spark: SparkSession) -> None:
     """Let go of what finished jobs leave with the driver. Shuffle files, whose results have been written, would else stay
     on disk until the driver happens to collect its garbage; what listeners still hold is free only after they have had
     their turn, so this looks twice. The collection also gives back heap, and free memory of Python goes back too."""
-    for pause in (0.3, 1.0):
+    for pause in PAUSES:
         gc.collect()
         spark.sparkContext._jvm.System.gc()
         time.sleep(pause)

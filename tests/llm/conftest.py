@@ -7,10 +7,11 @@ SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(autouse=True)
-def small(spark):
-    from tessera.llm.common import ship
+def small(spark, monkeypatch):
+    from tessera.llm import common
 
-    ship(spark)
+    common.ship(spark)
+    monkeypatch.setattr(common, "PAUSES", ())  # there is little to let go of here
 
 
 def prose(seed: int, n: int) -> list[str]:
