@@ -76,12 +76,18 @@ def dropped(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+def pieces_of(df: DataFrame, a_core: int = FILES_A_CORE, most_bytes: int = FILE_BYTES) -> int:
+    """How many parts of a table suit it: so many for each core of the cluster, or one for each ``most_bytes`` that it is
+    made from if these are more."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    return max(a_core * df.sparkSession.sparkContext.defaultParallelism, min(read // most_bytes, 1 << 30))
+
+
 def packed(df: DataFrame, files: int = FILES_A_CORE) -> DataFrame:
     """``df`` for writing: in so many files for each core of the cluster, or one for each FILE_BYTES that it is made
     from if these are more, so that tasks stay small however much there is."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    read = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    return df.coalesce(max(files * df.sparkSession.sparkContext.defaultParallelism, min(read // FILE_BYTES, 1 << 30)))
+    return df.coalesce(pieces_of(df, files))
 
 
 def release(spark: SparkSession) -> None:

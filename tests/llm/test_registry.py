@@ -7,7 +7,7 @@ from tests.llm.conftest import SF
 
 def test_one_query_for_each_operator():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11)) and "pipeline" in entry.queries()
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
 @pytest.mark.parametrize("name", ["op2_chat", "op3_warc", "op4_substring", "op6_mixing", "op8_minhash", "op9_ann", "pii_base"])
