@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.llm import ann, chat, decontaminate, minhash, mixing, pii, quality, substring, tokenbin, toxicity, warc
+from tessera.llm import align, ann, chat, decontaminate, minhash, mixing, pii, quality, substring, tokenbin, toxicity, warc
 from tessera.llm.common import ship, small_batches
 
 QUERIES = {
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_minhash": minhash.op8_minhash,
     "op9_ann": ann.op9_ann,
     "op10_quality": quality.op10_quality,
+    "op12_align": align.op12_align,
     "op13_tokenbin": tokenbin.op13_tokenbin,
     "pii_base": pii.pii_base,
 }
