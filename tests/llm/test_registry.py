@@ -10,7 +10,7 @@ def test_one_query_for_each_operator():
     assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14)) and "pipeline" in entry.queries()
 
 
-@pytest.mark.parametrize("name", ["op2_chat", "op3_warc", "op4_substring", "op6_mixing", "op8_minhash", "op9_ann", "pii_base"])
+@pytest.mark.parametrize("name", ["op2_chat", "op3_warc", "op4_substring", "op6_mixing", "op8_minhash", "op9_ann", "op11_sources", "pii_base"])
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
     for t in ("conversations", "pages", "documents", "embeddings"):
