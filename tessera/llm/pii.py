@@ -1,8 +1,8 @@
 """Personal data and secrets: patterns propose spans, validators confirm them, words nearby adjust their score.
 
 All patterns are matched in time that grows with the text: an address is found from its ``@`` outwards, a dotted quad
-only at the start of a run of digits, which gives the same leftmost matches as trying every character, and tokens only
-in long runs of their characters. Texts are worked on in pieces of bounded size, so a worker holds little at a time.
+only at the start of a run of digits, which gives the same leftmost matches as trying every character, tokens only in
+long runs of their characters, and signed tokens part by part. Nothing is too long to be found. Texts are worked on in pieces of bounded size, so a worker holds little at a time.
 """
 
 from __future__ import annotations
@@ -38,9 +38,11 @@ KEY_END = re.compile(r"-----END (?:[A-Z0-9]+ ){0,4}PRIVATE KEY-----")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}={0,2}")
 TOKEN = re.compile(
     r"(?<![A-Za-z0-9])(?:(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[0-9A-Za-z-]{10,}|AIza[A-Za-z0-9_-]{35}|[rs]k_(?:live|test)_[A-Za-z0-9]{16,}"
-    r"|sk-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)(?![A-Za-z0-9])"
+    r"|sk-[A-Za-z0-9_-]{20,})(?![A-Za-z0-9])"
 )
-ASSIGNED = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,200})", re.I)
+#: A part of a signed token, and where its first one may begin.
+SIGNED_PART, SIGNED = re.compile(r"[A-Za-z0-9_-]+"), re.compile(r"(?<![A-Za-z0-9])eyJ(?=[A-Za-z0-9_-])")
+ASSIGNED = re.compile(r"(?:passw(?:or)?d|pwd|secret|token|api[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([^\s\"'<>]{8,})", re.I)
 HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 DIGIT = re.compile(r"[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]")
@@ -146,17 +148,37 @@ def private_keys(text: str) -> Iterator[tuple[int, int]]:
             at = end.end()
 
 
+def signed_tokens(text: str, start: int, end: int) -> Iterator[tuple[int, int]]:
+    """Three parts with dots between, of which the last may be empty and the first is the JSON that names an algorithm. Each
+    part is looked at once, so the time grows with the text whatever is in it."""
+    if text.find(".", start, end) < 0:
+        return
+    parts = [m.span() for m in SIGNED_PART.finditer(text, start, end)]
+    dotted = lambda k: k + 1 < len(parts) and parts[k + 1][0] == parts[k][1] + 1 and text[parts[k][1]] == "."
+    after = 0
+    for k, (lo, hi) in enumerate(parts):
+        if k < after or not dotted(k) or text[parts[k + 1][1] : parts[k + 1][1] + 1] != ".":
+            continue
+        if (head := SIGNED.search(text, lo, hi)) and _json_head(text[head.start() : hi]):
+            last = dotted(k + 1)
+            yield head.start(), parts[k + 2][1] if last else parts[k + 1][1] + 1
+            after = k + 2 + last
+
+
 def tokens(text: str) -> Iterator[tuple[str, int, int]]:
     """Tokens of known formats, and strings that look random or are assigned to the name of a secret."""
     taken: list[tuple[int, int]] = []
     for run in RUN.finditer(text):
-        known = [m.span() for m in TOKEN.finditer(text, *run.span()) if not m.group().startswith("eyJ") or _json_head(m.group())]
+        known: list[tuple[int, int]] = []
+        for span in sorted([*(m.span() for m in TOKEN.finditer(text, *run.span())), *signed_tokens(text, *run.span())]):
+            if not known or span[0] >= known[-1][1]:
+                known.append(span)
         for span in known:
             yield "token", *span
         own = run.group().rstrip(".")
         if known:
             taken += known
-        elif len(own) <= 512 and looks_random(own):
+        elif looks_random(own):
             taken.append((run.start(), run.start() + len(own)))
             yield "secret", *taken[-1]
     if any(x in text.lower() for x in ("passw", "pwd", "secret", "token", "api")):
