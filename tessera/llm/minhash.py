@@ -35,8 +35,9 @@ PERCENT = 75
 #: Bands x rows coordinates: a pair at the threshold shares no band with a chance of 5e-6.
 BANDS, ROWS = 32, 4
 #: Coordinates of the finer sketch, one bit of each, and how many bits may differ before a pair is not verified: a pair
-#: at the threshold has 2048 * 0.125 = 256 expected, with a deviation of 15; 4.5 of them are allowed above.
-BITS, DIFFER = 2048, 324
+#: at the threshold has 2048 * 0.125 = 256 expected, with a deviation of 15; 7 of them are allowed above, which a pair at
+#: the threshold exceeds with a chance below 1e-11.
+BITS, DIFFER = 2048, 361
 #: Trials in a bucket, of members outside its largest component against all, beyond which its members are joined on
 #: their rarest shingles.
 PAIRS = 1 << 17
@@ -258,13 +259,15 @@ def near_duplicates(docs: DataFrame, most_pairs: int = PAIRS) -> DataFrame:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all columns, whose document leads its component; of rows that share a doc_id one
     stays, that with the smallest text. Rows with a null doc_id stay."""
-    alone = docs.where(F.col("doc_id").isNull())
-    drop = near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct()
-    left = docs.where(F.col("doc_id").isNotNull()).join(drop, "doc_id", "left_anti")
-    repeated = left.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("doc_id")
-    ranked = left.join(repeated, "doc_id", "left_semi").withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    once = left.join(repeated, "doc_id", "left_anti").unionByName(ranked.where("__rank = 1").drop("__rank"))
-    return once.unionByName(alone).select(docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]  # whatever the columns are called
+    doc_id, text = (names[docs.columns.index(c)] for c in ("doc_id", "text"))
+    rows = docs.toDF(*names)
+    drop = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias(doc_id)).distinct()
+    left = rows.where(F.col(doc_id).isNotNull()).join(drop, doc_id, "left_anti")
+    repeated = left.groupBy(doc_id).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(doc_id)
+    ranked = left.join(repeated, doc_id, "left_semi").withColumn("rank", F.row_number().over(Window.partitionBy(doc_id).orderBy(text)))
+    once = left.join(repeated, doc_id, "left_anti").select(names).unionByName(ranked.where("rank = 1").select(names))
+    return once.unionByName(rows.where(F.col(doc_id).isNull())).toDF(*docs.columns)
 
 
 def op8_minhash(spark, sf_dir):

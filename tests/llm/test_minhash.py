@@ -144,3 +144,30 @@ def test_a_passage_in_all_documents_makes_few_pairs(spark):
     assert pairs >= {(i, 300 + i) for i in range(20)} and len(pairs) < 60  # of 51,040
     got = {x.doc_id: (x.n_shingles, x.component_id, x.kept) for x in minhash.near_duplicates(df, 0).collect()}
     assert got == brute(docs)
+
+
+def test_deduplicated_with_clashing_columns(spark):
+    """Columns named as what the operator itself might add."""
+    text = " ".join(prose(1, 30))
+    rows = [(1, text, 7, 8, 9, "r", 0), (2, text, 7, 8, 9, "r", 0), (3, "other words", 1, 2, 3, None, 1), (3, "another text", 4, 5, 6, "q", 2), (None, text, 0, 0, 0, "z", 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __rank int, __n int, n int, rank string, kept int")
+    got = minhash.deduplicated(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([rows[0], rows[3], rows[4]], key=str)
+
+
+def test_the_finer_sketch_lets_pairs_at_the_threshold_pass():
+    """Differing bits of pairs of similarity 0.75 have the mean and deviation that DIFFER stands on."""
+    r = np.random.default_rng(2)
+    differ = []
+    for n in (40, 200, 1000):
+        for _ in range(120):
+            shared = r.integers(1, 2**63, 3 * n // 4 * 4 // 4, dtype=np.uint64)
+            own = len(shared) // 3 // 2  # shared / (shared + both own) = 0.75
+            a, b = (np.sort(np.concatenate([shared, r.integers(1, 2**63, own, dtype=np.uint64)])) for _ in range(2))
+            at = np.array([0, len(a), len(a) + len(b)])
+            bits = minhash.tb.mix(minhash.sketches(np.concatenate([a, b]), at, minhash.BITS, 2)) & np.uint64(1)
+            differ.append(int((bits[0] != bits[1]).sum()))
+    mean, deviation = minhash.BITS / 8, np.sqrt(minhash.BITS / 8 * 7 / 8)
+    assert abs(np.mean(differ) - mean) < deviation / 2 and np.std(differ) < 1.1 * deviation
+    assert mean + 7 * deviation <= minhash.DIFFER + 0.5 and max(differ) < minhash.DIFFER
