@@ -55,6 +55,7 @@ def _placed(rows: DataFrame, weights: tuple[int, ...], epochs: int, seed: int, o
     """Rows (doc_id, source, size, ...) with source_size, target, whole and extra. ``once`` writes them first, so that
     what makes the sizes is computed once; else they are computed twice."""
     key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(str(seed)), F.col("size").cast("string")).cast("binary"))
+    # rows of one id and size stand by ``tie``, where they have it
     rows = rows.withColumn("k", key).withColumn("bucket", F.substring("k", 1, 3))
     rows = written(rows, "sizes") if once else rows
     cells = rows.groupBy("source", "bucket").agg(F.sum("size").alias("held"))
@@ -65,7 +66,7 @@ def _placed(rows: DataFrame, weights: tuple[int, ...], epochs: int, seed: int, o
     before = F.sum("held").over(Window.partitionBy("source").orderBy("bucket")) - F.col("held")
     cells = cells.withColumn("before", before).withColumnsRenamed({"source": "s", "bucket": "b"}).drop("held")
     cells = cells.join(aims, F.col("s").eqNullSafe(F.col("t"))).drop("t")
-    inside = Window.partitionBy("source", "bucket").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("source", "bucket").orderBy("k", "doc_id", "size", *["tie"] * ("tie" in rows.columns)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.where("size > 0").withColumn("upto", F.sum("size").over(inside))
     placed = summed.join(cells, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     left = F.col("need") - F.col("before") - (F.col("upto") - F.col("size"))
@@ -91,7 +92,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, epochs: int = EPO
     cut has its words joined by single spaces and ``n_chars``, where there is such a column, counted anew."""
     names = [f"c{i}" for i in range(len(docs.columns))]
     row = F.struct(*(docs[c].alias(n) for c, n in zip(docs.columns, names, strict=True)))
-    placed = _placed(docs.select("doc_id", "source", words(F.col("text")).alias("size"), row.alias("row")), weights, epochs, seed, once=False)
+    placed = _placed(docs.select("doc_id", "source", words(F.col("text")).alias("size"), row.alias("row"), F.xxhash64("text").alias("tie")), weights, epochs, seed, once=False)
     times = F.col("whole") + F.when((F.col("extra") > 0) & (F.col("size") > 0), 1).otherwise(0)
     copies = placed.where(times > 0).select("row", "whole", "extra", "size", F.explode(F.sequence(F.lit(1).cast("long"), times)).alias("copy"))
     cut = (F.col("copy") > F.col("whole")) & (F.col("extra") < F.col("size"))
