@@ -25,9 +25,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import shared_folder, table
+from tessera.llm.common import shared_folder, table, written
 
 # Fixed values of the formats.
+#: How names of archive files end.
+ENDING = ".warc.zst"
 DICTIONARY_MAGIC = 0x184D2A5D
 FRAME_MAGIC = b"\x28\xb5\x2f\xfd"
 VERSION = "WARC/1.1"
@@ -204,7 +206,7 @@ def archives(pages: DataFrame, dictionary: bytes, least: int = LEAST_BYTES, size
         part, n, held = TaskContext.get().partitionId(), 0, [lead]
 
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{n:06d}.warc.zst"]), pa.array([b"".join(held)], pa.binary())], ["name", "content"])
+            return pa.RecordBatch.from_arrays([pa.array([f"part-{part:06d}-{n:06d}{ENDING}"]), pa.array([b"".join(held)], pa.binary())], ["name", "content"])
 
         for b in batches:
             for page_id, url, html, refers in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "first")), strict=True):
@@ -218,29 +220,42 @@ def archives(pages: DataFrame, dictionary: bytes, least: int = LEAST_BYTES, size
     return placed.mapInArrow(run, "name string, content binary")
 
 
-def save(found: DataFrame, folder: str) -> int:
-    """Write archives (name, content) as files of a folder that all executors reach, and return how many. Each is first
-    written under another name, so what stands there under its own is whole, also if a task is run again."""
+def save(found: DataFrame, folder: str) -> DataFrame:
+    """Write archives (name, content) as files of a folder that all executors reach; the manifest of them (name). An
+    attempt's files have names that no other attempt gives, and the manifest, which Spark commits, lists those of the
+    attempts that ended well: what a lost executor leaves behind, whole or cut, stands in the folder but in no manifest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
         for b in batches:
+            names = []
             for name, content in zip(b.column("name").to_pylist(), b.column("content"), strict=True):
-                aside, at = f"{root}/_{uuid.uuid4().hex}", f"{root}/{name}"
-                with store.open_output_stream(aside) as out:
+                names.append(f"{name.removesuffix(ENDING)}-{uuid.uuid4().hex}{ENDING}")
+                with store.open_output_stream(f"{root}/{names[-1]}", compression=None) as out:
                     out.write(content.as_buffer())
-                if store.get_file_info(at).type != fs.FileType.NotFound:
-                    store.delete_file(at)
-                store.move(aside, at)
-            yield pa.RecordBatch.from_arrays([b.column("name")], ["name"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string())], ["name"])
 
-    return found.mapInArrow(run, "name string").count()
+    return written(found.mapInArrow(run, "name string"), "archive-names")
+
+
+def stored(manifest: DataFrame, folder: str) -> DataFrame:
+    """The archives (name, content) of a manifest, from the folder that :func:`save` wrote."""
+    n, cores = manifest.count(), manifest.sparkSession.sparkContext.defaultParallelism
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for name in b.column("name").to_pylist():
+                with store.open_input_stream(f"{root}/{name}", compression=None) as file:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([file.read()], pa.binary())], ["name", "content"])
+
+    return manifest.select("name").repartition(max(1, min(n, 8 * cores), n // 16), "name").mapInArrow(run, "name string, content binary")
 
 
 def files(spark: SparkSession, path: str) -> DataFrame:
     """Archive files under a path, in any store that Spark reads, as (name, content)."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path)
+    found = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ENDING}").load(path)
     return found.select(F.col("path").alias("name"), "content")
 
 
@@ -281,9 +296,8 @@ def op3_warc(spark, sf_dir):
     and repeated rows."""
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("long"), "url", "html")
     folder = shared_folder(spark, "archives")
-    if not save(archives(pages, train_dictionary(pages)), folder):
-        return read(spark.createDataFrame([], "content binary")).drop("url", "payload")
-    return read(files(spark, folder)).drop("url", "payload")
+    manifest = save(archives(pages, train_dictionary(pages)), folder)
+    return read(stored(manifest, folder)).drop("url", "payload")
 
 
 OP3_SQL = """

@@ -54,8 +54,8 @@ def test_files_that_this_library_wrote(spark, tmp_path):
     for pages in (few, many):
         df = rows(spark, pages)
         found = warc.archives(df, warc.train_dictionary(df), size=20_000)
-        for _ in range(2):  # a task that runs again leaves the same files
-            assert warc.save(found, folder) == len(list((tmp_path / "archives").iterdir()))
+        manifest = warc.save(found, folder)
+        assert sorted(r.name for r in manifest.collect()) == sorted(p.name for p in (tmp_path / "archives").iterdir())
         names = sorted(p.name for p in (tmp_path / "archives").iterdir())
         assert all(n.endswith(".warc.zst") for n in names)
         for n in names:
@@ -67,6 +67,18 @@ def test_files_that_this_library_wrote(spark, tmp_path):
             (tmp_path / "archives" / n).unlink()
 
 
+def test_a_repeated_attempt_with_another_cut(spark, tmp_path):
+    """What an attempt left that wasn't committed is not read, also if it cut the pages otherwise or broke off."""
+    folder = f"file://{tmp_path}/archives"
+    df = rows(spark, [(i, f"http://h/{i}", f"<p>{i}</p>" * 20) for i in range(200)])
+    warc.save(warc.archives(df, b"", size=2_000), folder)  # its manifest is lost
+    (tmp_path / "archives" / "part-000000-000000-cut.warc.zst").write_bytes(b"(\xb5/\xfd")
+    assert len(list((tmp_path / "archives").iterdir())) > 3
+    manifest = warc.save(warc.archives(df, b"", size=1 << 20), folder)
+    found = warc.read(warc.stored(manifest, folder)).collect()
+    assert sorted(r.page_id for r in found) == list(range(200))
+
+
 def packed(*records):
     return b"".join(zstandard.ZstdCompressor().compress(r) for r in records)
 
