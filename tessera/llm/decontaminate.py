@@ -15,11 +15,13 @@ twice its own length. Where no mark tells the answer, what stands for it is only
 clear a copy: enough of the whole item's pairs do as well.
 
 The index is broadcast, and the documents stream through it once; of items beyond ``ROUND_BYTES`` of text there are
-several indexes, each of that size. Statistics are taken over all items before.
+several indexes, each of that size, one at a time: what one finds is written and the workers give it back before the
+next is made. Statistics are taken over all items before.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import textbytes as tb
-from tessera.llm.common import table
+from tessera.llm.common import dropped, table, written
 
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved, and of its parts' word pairs that must be there.
@@ -270,19 +272,29 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([term, pa.array(np.concatenate([np.zeros(len(key), np.int64), length]))], ["term", "words"])
 
 
-def indexes(items: DataFrame, round_bytes: int = ROUND_BYTES) -> Iterator[Index]:
-    """The indexes of (item_id long, text), one a round of ``round_bytes``. Items without id or words are left out; of
-    several texts of one id each is an item."""
-    items = items.where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]")).select("item_id", "text").distinct()
-    total = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
-    rounds = -(-(total["bytes"] or 0) // round_bytes)
+def rounds_of(items: DataFrame, round_bytes: int = ROUND_BYTES) -> int:
+    """Over how many indexes of about ``round_bytes`` of text the items (item_id, text) are dealt."""
+    total = _usable(items).agg(F.sum(F.octet_length("text")).alias("bytes")).first()
+    return -(-(total["bytes"] or 0) // round_bytes)
+
+
+def _usable(items: DataFrame) -> DataFrame:
+    return items.where(F.col("item_id").isNotNull() & F.col("text").rlike(r"[\p{L}\p{N}]")).select("item_id", "text").distinct()
+
+
+def indexes(items: DataFrame, rounds: int) -> Iterator[Index]:
+    """The indexes of (item_id long, text), made one after the other as they are asked for. Items without id or words are
+    left out; of several texts of one id each is an item."""
+    items = _usable(items)
     dealt = items.withColumn("round", F.pmod(F.xxhash64("item_id", "text"), F.lit(max(1, rounds))))
     if rounds > 1:
         df = items.mapInArrow(_item_terms, "term long, words long").groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("words").alias("words"))
-        mean = df.where("term IS NULL").first()["words"] / total["n"]
+        df = written(df, "item-terms")
+        n = items.count()
+        mean = df.where("term IS NULL").first()["words"] / n
     for s in range(rounds):
         own = dealt.where(F.col("round") == s).select("item_id", "text")
-        rows = sorted((r["item_id"], r["text"]) for r in own.collect())  # bounded by round_bytes
+        rows = sorted((r["item_id"], r["text"]) for r in own.collect())  # bounded by the bytes of a round
         rows = [(i, t) for i, t in rows if len(_hashes(t))]
         if not rows:
             continue
@@ -293,52 +305,96 @@ def indexes(items: DataFrame, round_bytes: int = ROUND_BYTES) -> Iterator[Index]
             known = np.array([(r["term"], r["df"]) for r in df.where("term IS NOT NULL").join(here, "term").collect()], np.int64)
             terms = known[:, 0].copy().view(_U)
             order = np.argsort(terms)
-            yield Index(rows, (terms[order], known[order, 1], total["n"], mean))
+            yield Index(rows, (terms[order], known[order, 1], n, mean))
+    if rounds > 1:
+        dropped(df)
 
 
 SCHEMA = "item_id long, score double, question_overlap double, answer_overlap double"
 
 
+def _searched(held, kind: str):
+    """What a task does with (doc_id, text) and one index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in tb.pieces(b.column("text")):
+                found = list(held.value.leaks(b.column("text").slice(lo, hi - lo)))
+                if found:
+                    ids = b.column("doc_id").take(pa.array([lo + f[0] for f in found]))
+                    cols = [pa.array([f[i] for f in found]) for i in range(1, 5)]
+                    yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+
+    return lambda docs: docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+
+
+def _kept(held, at: int):
+    """What a task does with whole rows, the texts in column ``at``, and one index."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = np.ones(b.num_rows, bool)
+            for lo, hi in tb.pieces(b.column(at)):
+                keep[[lo + f[0] for f in held.value.leaks(b.column(at).slice(lo, hi - lo))]] = False
+            yield b.filter(pa.array(keep))
+
+    return lambda docs: docs.mapInArrow(run, docs.schema)
+
+
 def leaks(docs: DataFrame, items: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """(doc_id, text) and (item_id long, text) to one row for each document and item leaked into it: doc_id, item_id,
     score, question_overlap, answer_overlap. An item without an answer mark may have a low overlap of its question or of
     its answer, which then is its tail, if that of all its words is high. Rows without text leak nothing; without items
-    there are no rows. A row with a null doc_id is searched like others; equal rows give equal results each."""
+    there are no rows. A row with a null doc_id is searched like others; equal rows give equal results each.
+
+    If the items need several rounds, each one's leaks are written and its index is taken back from the workers before
+    the next is made."""
+    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.sparkSession.createDataFrame([], f"doc_id {kind}, {SCHEMA}")
-    for k, index in enumerate(indexes(items, round_bytes)):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    rounds = rounds_of(items, round_bytes)
+    out = None
+    for index in indexes(items, rounds):
+        held = spark.sparkContext.broadcast(index)
+        found = _searched(held, kind)(docs)
+        if rounds > 1:
+            found = written(found, "leaks")
+            held.destroy()
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, {SCHEMA}")
+
+
+def _hashes_of_leaks(held):
+    """What a task does with texts and one index: the hashes of those that something leaked into."""
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for lo, hi in tb.pieces(b.column("text")):
-                    found = list(held.value.leaks(b.column("text").slice(lo, hi - lo)))
-                    if found:
-                        ids = b.column("doc_id").take(pa.array([lo + f[0] for f in found]))
-                        cols = [pa.array([f[i] for f in found]) for i in range(1, 5)]
-                        yield pa.RecordBatch.from_arrays([ids, *cols], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo, hi in tb.pieces(b.column(0)):
+                part = b.column(0).slice(lo, hi - lo)
+                rows = sorted({f[0] for f in held.value.leaks(part)})
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(part[r].as_py().encode()).hexdigest() for r in rows], pa.string())], ["key"])
 
-        part = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
-        out = out.unionByName(part) if k else part
-    return out
+    return lambda docs: docs.select("text").mapInArrow(run, "key string")
 
 
-def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """The rows of ``docs``, with all columns, into whose text no item has leaked. Each row is judged by its own text, in
-    place: nothing is shuffled."""
-    for index in indexes(items):
-        held = docs.sparkSession.sparkContext.broadcast(index)
-        at = docs.columns.index("text")
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, at=at) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                keep = np.ones(b.num_rows, bool)
-                for lo, hi in tb.pieces(b.column(at)):
-                    keep[[lo + f[0] for f in held.value.leaks(b.column(at).slice(lo, hi - lo))]] = False
-                yield b.filter(pa.array(keep))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    place: nothing is shuffled. If the items need several rounds, each writes the hashes of the texts it leaked into, and
+    the rows are joined against all of them."""
+    spark = docs.sparkSession
+    rounds = rounds_of(items, round_bytes)
+    if rounds <= 1:
+        for index in indexes(items, rounds):
+            docs = _kept(spark.sparkContext.broadcast(index), docs.columns.index("text"))(docs)
+        return docs
+    keys = None
+    for index in indexes(items, rounds):
+        held = spark.sparkContext.broadcast(index)
+        found = written(_hashes_of_leaks(held)(docs).distinct(), "leaks")
+        held.destroy()
+        keys = found if keys is None else keys.unionByName(found)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    keyed = docs.toDF(*names).withColumn("key", F.sha2(names[docs.columns.index("text")], 256))
+    return keyed.join(keys.distinct(), "key", "left_anti").select(names).toDF(*docs.columns)
 
 
 def op5_decontamination(spark, sf_dir):

@@ -112,7 +112,39 @@ def test_other_items_and_rounds_have_no_say(spark):
     assert not any(d == 200 for d, _ in alone)
     assert found([*items, (99, " ".join(prose(77777, 5000)))]) == alone
     assert found(items, round_bytes=2000) == alone
-    assert len(list(dc.indexes(spark.createDataFrame(items, "item_id long, text string"), 2000))) > 2
+
+
+def test_one_index_at_a_time(spark, monkeypatch):
+    """Ten rounds and more give what one gives, with one broadcast index alive at any time."""
+    docs, items = mixed_documents()
+    df = spark.createDataFrame([(d, t, 1) for d, t in docs], "doc_id long, text string, key int")
+    own = spark.createDataFrame(items, "item_id long, text string")
+    small = sum(len(t) for _, t in items) // 11
+    assert dc.rounds_of(own, small) >= 10
+    live, most, made, kind = set(), [0], [0], type(spark.sparkContext.broadcast(0))
+    broadcast, destroy = type(spark.sparkContext).broadcast, kind.destroy
+
+    def count(self, value):
+        out = broadcast(self, value)
+        if isinstance(value, dc.Index):
+            live.add(id(out))
+            made[0] += 1
+            most[0] = max(most[0], len(live))
+        return out
+
+    def end(self, *args):
+        live.discard(id(self))
+        destroy(self, *args)
+
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", count)
+    monkeypatch.setattr(kind, "destroy", end)
+    found = {(r.doc_id, r.item_id) for r in dc.leaks(df, own, small).collect()}
+    clean = dc.without_leaks(df, own, small)
+    left = clean.collect()
+    assert most == [1] and made[0] >= 10 and not live
+    assert found == {(r.doc_id, r.item_id) for r in dc.leaks(df, own).collect()}
+    assert clean.columns == df.columns
+    assert {r[0] for r in left} == {d for d, _ in docs} - {d for d, _ in found}
 
 
 def test_very_long_text_and_repeated_rows(spark):
