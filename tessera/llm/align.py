@@ -14,15 +14,17 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import dropped, table, written
-from tessera.llm.tokens import ByteLevel, PieceModel, Pieces, vocabulary
+from tessera.llm.tokens import ByteLevel, PieceModel, Pieces, encoded, spread, vocabulary
 
 #: Bytes of text in a block at about; a longer text is a block's last. Pieces that a worker keeps.
 BLOCK_BYTES, KEPT = 16 << 20, 250_000
@@ -42,32 +44,33 @@ class Pair:
 
     def __init__(self, path_a: str, path_b: str):
         self.a, self.b = ByteLevel(path_a, plain=True), PieceModel(path_b)
-        self.bytes_a, self.bytes_b = self.a.bytes_of(), self.b.bytes_of()
-        self.len_a, self.len_b = (np.array([len(x) for x in own], np.int64) for own in (self.bytes_a, self.bytes_b))
-        self.times = len(self.bytes_b)
+        self.times = len(self.b.entries)
         self.clear()
 
     def clear(self) -> None:
-        self.pieces = Pieces(self.aligned, kept=KEPT)
+        self.pieces = Pieces(self.aligned, kept=2 * KEPT)  # let go of together with the arrays
         self.shown: list[bytes] = []  # groups in decimal
         self.numbers = np.zeros((0, 4), np.int32)  # tokens of A and B, groups, links
         self.at, self.keys = np.zeros(1, np.int64), np.zeros(0, np.int64)  # links of each piece: id of A times the ids of B, plus that of B
 
-    def encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]], list[bool]]:
-        """Ids by both of a space and each text, and whether both give its bytes."""
-        a, b = self.a.encode([" " + t for t in texts]), self.b.encode(texts)
-        right = []
-        for t, x, y in zip(texts, a, b, strict=True):
-            want = b" " + t.encode()
-            right.append(b"".join(map(self.bytes_a.__getitem__, x)) == want == b"".join(map(self.bytes_b.__getitem__, y)))
-        return a, b, right
+    def forget(self) -> None:
+        """Let go of what was met last; what was met first is what is met often."""
+        self.pieces.held = dict(islice(self.pieces.held.items(), KEPT // 2))
+        top = max(self.pieces.held.values(), default=-1) + 1
+        self.shown, self.numbers, self.at = self.shown[:top], self.numbers[:top], self.at[: top + 1]
+        self.keys = self.keys[: self.at[-1]]
+
+    def encoded(self, pieces: list[str]) -> tuple[list, list]:
+        """Ids by both of a space and each piece, None where these aren't the piece's bytes."""
+        return encoded(lambda texts: self.a.encode([" " + t for t in texts]), self.a.lengths, pieces, self.a.entries), encoded(self.b.encode, self.b.lengths, pieces, self.b.entries)
 
     def aligned(self, new: list[str]) -> list[int]:
         """Align pieces and add them to the arrays: their rows, -1 for those whose bytes differ."""
-        a, b, right = self.encoded(new)
+        a, b = self.encoded(new)
+        right = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
         a, b = [x for x, ok in zip(a, right, strict=True) if ok], [x for x, ok in zip(b, right, strict=True) if ok]
-        ids_a, ids_b = (np.array([i for own in x for i in own], np.int64) for x in (a, b))
-        cuts, own_a, own_b, closes = intervals(np.cumsum(self.len_a[ids_a]), np.cumsum(self.len_b[ids_b]))
+        ids_a, ids_b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (a, b))
+        cuts, own_a, own_b, closes = intervals(np.cumsum(self.a.lengths[ids_a]), np.cumsum(self.b.lengths[ids_b]))
         to_a, to_b = own_a[closes] + 1, own_b[closes] + 1  # tokens up to the end of each group
         n_a, n_b = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
         groups = np.searchsorted(to_a, np.cumsum(n_a), "right")  # up to the end of each piece
@@ -87,21 +90,28 @@ class Pair:
         rows = iter(range(first, len(self.shown)))
         return [next(rows) if ok else -1 for ok in right]
 
-    def rows_of(self, texts: list[str | None]) -> list[list[int]]:
-        """The rows of each text's pieces; none for null and empty texts and where bytes differ."""
+    def rows_of(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The rows of all texts' pieces, text after text, and how many each text has; none for null and empty texts and
+        where bytes differ."""
         if len(self.pieces.held) > KEPT or len(self.shown) > 2 * KEPT:
-            self.clear()
-        some = [t for t in texts if t]
-        cut = iter(self.pieces.of(some, lead=True) if self.b.cuts else [[t] for t in some])
-        get, out = self.pieces.held.get, []
-        for t in texts:
-            rows = list(map(get, next(cut))) if t else []
-            if -1 in rows or None in rows:  # as a whole, in case its pieces alone are to blame
-                rows = self.aligned([t])
-                rows = [] if rows == [-1] else rows
-            out.append(rows)
-        self.pieces.forget()
-        return out
+            self.forget()
+        some = pc.fill_null(pc.greater(pc.binary_length(texts), 0), False).to_numpy(zero_copy_only=False)
+        count = np.zeros(len(texts), np.int64)
+        own = texts.filter(pa.array(some))
+        if self.b.cuts:
+            values, index, at, _ = self.pieces.of(own, lead=True)
+            flat = np.array(values, np.float64).astype(np.int64)[index] if len(values) else np.zeros(0, np.int64)
+        else:  # every text is a piece
+            flat, at = np.array(self.aligned(own.to_pylist()), np.int64), np.arange(len(own) + 1)
+        count[some] = np.diff(at)
+        if (flat < 0).any():  # as a whole, in case pieces alone are to blame
+            parts = np.split(flat, at[1:-1])
+            for d in np.unique(np.searchsorted(at, np.flatnonzero(flat < 0), "right") - 1).tolist():
+                rows = self.aligned([own[d].as_py()])
+                parts[d] = np.array([] if rows == [-1] else rows, np.int64)
+            flat = np.concatenate(parts)
+            count[some] = [len(p) for p in parts]
+        return flat, count
 
 
 _pairs: dict[tuple[str, str], Pair] = {}
@@ -122,11 +132,6 @@ def _unsqueezed(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
-def _ragged(start: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """start[0], start[0] + 1, ... of each length."""
-    return np.repeat(start - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum()) if len(length) else np.zeros(0, np.int64)
-
-
 BLOCK_SCHEMA = "block long, doc_id array<long>, numbers array<long>, groups_sha256 array<string>, pieces binary, n_pieces binary, n_pairs binary, pair_of binary, pair array<long>, n array<long>"
 
 
@@ -158,13 +163,11 @@ def _block(pair: Pair, held: list[pa.RecordBatch], seq: int) -> pa.RecordBatch:
     n_pieces, sha, numbers, ids, keys, weights, inverse, lengths = [], [], [], [], [], [], [], []
     pieces, pairs_at = [], 0
     for b in held:  # rows of pieces hold for one batch: what is remembered may be let go of between two
-        rows = pair.rows_of(b.column("text").to_pylist())
-        shown = pair.shown.__getitem__
-        sha += [hashlib.sha256(b";".join(map(shown, r))).hexdigest() if r else "" for r in rows]
-        count = np.array([len(r) for r in rows], np.int64)
-        flat = np.fromiter((x for r in rows for x in r), np.int64, int(count.sum()))
-        ends = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(pair.numbers[flat], axis=0, dtype=np.int64)))
+        flat, count = pair.rows_of(b.column("text"))
         to = np.cumsum(count)
+        shown = list(map(pair.shown.__getitem__, flat.tolist()))
+        sha += [hashlib.sha256(b";".join(shown[x:y])).hexdigest() if y > x else "" for x, y in zip((to - count).tolist(), to.tolist(), strict=True)]
+        ends = np.concatenate((np.zeros((1, 4), np.int64), np.cumsum(pair.numbers[flat], axis=0, dtype=np.int64)))
         numbers.append(ends[to] - ends[to - count])
         often = np.bincount(flat, minlength=len(pair.shown))
         own = np.flatnonzero(often)
@@ -175,7 +178,7 @@ def _block(pair: Pair, held: list[pa.RecordBatch], seq: int) -> pa.RecordBatch:
         n_pieces.append(count)
         length = pair.at[own + 1] - pair.at[own]
         lengths.append(length)
-        keys.append(pair.keys[_ragged(pair.at[own], length)])
+        keys.append(pair.keys[spread(pair.at[own], length)])
         weights.append(np.repeat(often[own], length))
         ids.append(b.column("doc_id"))
     one = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
@@ -257,15 +260,14 @@ def groups(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
         for batch in batches:
             out = []
             for text in batch.column("text").to_pylist():
-                a, b, right = pair.encoded([text]) if text else ([], [], [False])
-                if not right[0]:
+                a, b = (x[0] for x in pair.encoded([text])) if text else (None, None)
+                if a is None or b is None:
                     out.append(None)
                     continue
-                ids_a, ids_b = np.array(a[0], np.int64), np.array(b[0], np.int64)
-                cuts, own_a, own_b, closes = intervals(np.cumsum(pair.len_a[ids_a]), np.cumsum(pair.len_b[ids_b]))
+                cuts, own_a, own_b, closes = intervals(np.cumsum(pair.a.lengths[a]), np.cumsum(pair.b.lengths[b]))
                 ends = [x[closes].tolist() for x in (cuts, own_a + 1, own_b + 1)]
                 starts = [[0, *x[:-1]] for x in ends]
-                out.append([{"start": s, "end": e, "a": a[0][x:u], "b": b[0][y:v]} for s, e, x, u, y, v in zip(starts[0], ends[0], starts[1], ends[1], starts[2], ends[2], strict=True)])
+                out.append([{"start": s, "end": e, "a": a[x:u], "b": b[y:v]} for s, e, x, u, y, v in zip(starts[0], ends[0], starts[1], ends[1], starts[2], ends[2], strict=True)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out, kind)], ["doc_id", "groups"])
 
     schema = "doc_id long, groups array<struct<start:long,end:long,a:array<int>,b:array<int>>>"

@@ -172,7 +172,7 @@ def write(docs: DataFrame, folder: str, path: str, end: int = END, shard: int =
         n = 0
         for b in batches:
             part = b.column("part")[0].as_py() if b.num_rows else part
-            ids = encoder.ids(b.column("text").to_pylist())
+            ids = encoder.ids(b.column("text"))
             for d, x in zip(b.column("doc_id").to_pylist(), ids, strict=True):
                 held[0].append(d)
                 held[1].append(len(x) // width + 1)

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -82,9 +83,10 @@ def test_odd_texts_and_blocks(spark, tokenizers, monkeypatch, block, kept):
     pair.clear()
     want = plain(rows, tokenizers)
     for k in range(0, len(rows), 10):
-        for (d, text), mine in zip(rows[k : k + 10], pair.rows_of([t for _, t in rows[k : k + 10]]), strict=True):
-            sums = pair.numbers[mine].sum(axis=0).tolist() if mine else [0] * 4
-            sha = hashlib.sha256(b";".join(pair.shown[x] for x in mine)).hexdigest() if mine else ""
+        flat, count = pair.rows_of(pa.array([t for _, t in rows[k : k + 10]]))
+        for (d, text), mine in zip(rows[k : k + 10], np.split(flat, np.cumsum(count)[:-1]), strict=True):
+            sums = pair.numbers[mine].sum(axis=0).tolist()
+            sha = hashlib.sha256(b";".join(pair.shown[x] for x in mine)).hexdigest() if len(mine) else ""
             assert any(w[0] == d and list(w[1:5]) == sums and w[7] == sha for w in want), (d, text)
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, n_a int").repartition(3)
     monkeypatch.setattr(align, "BLOCK_BYTES", block)
@@ -104,7 +106,7 @@ def test_groups_hold_the_texts_bytes_and_expand(spark):
     for r in found.collect():
         for g in r.groups or []:
             cut = (" " + TEXTS[r.doc_id]).encode()[g.start : g.end]
-            assert b"".join(pair.bytes_a[i] for i in g.a) == cut == b"".join(pair.bytes_b[i] for i in g.b)
+            assert b"".join(pair.a.entries[i] for i in g.a) == cut == b"".join(pair.b.entries[i] for i in g.b)
     assert align.products(found).count() == sum(len(g.a) * len(g.b) for r in found.collect() for g in r.groups or [])
 
 

@@ -4,6 +4,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyarrow import fs
 from tokenizers import Tokenizer
@@ -49,16 +50,17 @@ def test_pieces_give_what_whole_texts_give():
     texts = ODD + ["".join(r.choice(["a", "Bc", " ", " ", "\n", "é", "'s", "9", "!", "　", "日"]) for _ in range(r.randint(0, 60))) for _ in range(800)]
     encoder, whole = ByteLevel(PATH), Tokenizer.from_file(PATH)
     for _ in range(2):  # the second time from what it remembers
-        assert [np.frombuffer(x, encoder.width).tolist() for x in encoder.ids(texts)] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
+        assert [np.frombuffer(x, encoder.width).tolist() for x in encoder.ids(pa.array(texts))] == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
 def test_pieces_are_bounded():
     held = Pieces(lambda new: new, kept=5, longest=4)
     for k in range(10):
-        held.of([f"a{k} b{k} longer{k}"], lead=True)
-        held.forget()
+        held.of(pa.array([f"a{k} b{k} longer{k}"]), lead=True)
         assert len(held.held) <= 8 and not any(len(p) > 4 for p in held.held)
-    assert cut(["", "a", "", "b\n", "c", "d"]) == [" a  b\n c", "d"]
+    assert cut(["", "a", "", "b\n", "c", "d"]) == [" a  b\n", "c", "d"]
+    values, index, at, heads = held.of(pa.array(["x y", None, "", " z", "u  v w"]), lead=False)
+    assert [[values[i] for i in index[a:b]] for a, b in zip(at, at[1:])] == [["y"], [], [], ["z"], ["w"]] and heads == ["x", "", "", "", "u  v"]
 
 
 def test_a_shard_reads_one_document_at_a_time():
