@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import score as S
@@ -28,12 +28,18 @@ from tessera.sources.shared import gone, stored
 
 #: Documents of a block; blocks scored whole for the floor; what rounding may hide.
 BLOCK, PILOTS, SLACK = 16, 12, 1e-9
+#: Folders that terms are dealt over, of which a search opens those of its terms; heads that are broadcast to postings.
+SHELVES, BROADCAST_HEADS = 64, 200_000
+
+
+def shelf(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(SHELVES)).cast("int")
 
 
 @dataclass
 class BlockIndex:
-    """``blocks`` is a written table (term, block, n, most, posts), sorted by term, so that a search of few terms reads few
-    row groups; ``n`` documents of ``mean`` length."""
+    """``blocks`` is a written table (term, block, n, most, posts, shelf) in a folder a shelf, so that a search of few terms
+    reads few files; ``n`` documents of ``mean`` length."""
 
     blocks: DataFrame
     n: int
@@ -49,7 +55,8 @@ class BlockIndex:
         share = S.term_score(F.col("tf"), F.col("dl"), F.lit(held["mean"]), F.lit(1), F.lit(1), F.lit(1)) / S.idf(F.lit(1), F.lit(1))
         posts = F.struct("id", "tf", "dl")
         per = bm25.terms(docs, id_col, text_col).withColumn("block", block).groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(share).alias("most"), F.collect_list(posts).alias("posts"))
-        blocks = stored(per.repartitionByRange("term", "block").sortWithinPartitions("term", "block"), "bm25-blocks")
+        keys = ["shelf", "term", "block"]  # a word that all documents have is spread by its blocks
+        blocks = stored(per.withColumn("shelf", shelf(F.col("term"))).repartitionByRange(*keys).sortWithinPartitions(*keys), "bm25-blocks", by=("shelf",))
         return cls(blocks, held["n"], held["mean"])
 
     def release(self) -> None:
@@ -71,7 +78,9 @@ def search(index: BlockIndex, queries: DataFrame, k: int = 10, digits: int | Non
     slack = SLACK + (10.0**-digits if digits is not None else 0.0)
     asked = queries.where(F.col("qid").isNotNull()).select("qid", F.explode(T.analyze(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = stored(asked, "asked")
-    heads = index.blocks.select("term", "block", "n", "most").join(asked.select("term").distinct(), "term", "left_semi")
+    shelves = [r.shelf for r in asked.select(shelf(F.col("term")).alias("shelf")).distinct().collect()]  # SHELVES at most
+    blocks = index.blocks.where(F.col("shelf").isin(shelves))
+    heads = blocks.select("term", "block", "n", "most").join(asked.select("term").distinct(), "term", "left_semi")
     heads = stored(heads, "heads")  # of the batch's terms only, without postings
     per = heads.groupBy("term").agg(F.sum("n").alias("df"))
     n, mean = F.lit(index.n), F.lit(index.mean)
@@ -86,15 +95,17 @@ def search(index: BlockIndex, queries: DataFrame, k: int = 10, digits: int | Non
         return heads.join(some, "term").join(blocks, ["qid", "block"])
 
     def posts(rows: DataFrame) -> DataFrame:
-        """The postings of heads, scored."""
-        full = index.blocks.select("term", "block", "posts").join(rows.select("qid", "term", "block", "qtf", "df"), ["term", "block"])
+        """The postings of heads, scored. A bounded number of heads goes to where the postings are."""
+        rows = rows.select("qid", "term", "block", "qtf", "df")
+        few = rows.limit(BROADCAST_HEADS + 1).count() <= BROADCAST_HEADS
+        full = blocks.select("term", "block", "posts").join(F.broadcast(rows) if few else rows, ["term", "block"])
         full = full.select("qid", "block", "qtf", "df", F.explode("posts").alias("p"))
         value = S.term_score(F.col("p.tf"), F.col("p.dl"), mean, n, F.col("df"), F.col("qtf"))
         return full.groupBy("qid", "block", F.col("p.id").alias("id")).agg(F.sum(value).alias("score"))
 
     first = bound.withColumn("place", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("bound"), "block"))).where(F.col("place") <= pilots)
     first = stored(first.select("qid", "block"), "pilots")
-    piloted = wanted(first, terms)
+    piloted = stored(wanted(first, terms), "piloted")
     known = stored(posts(piloted), "known")
 
     def kth(scores: DataFrame) -> DataFrame:
@@ -112,11 +123,11 @@ def search(index: BlockIndex, queries: DataFrame, k: int = 10, digits: int | Non
     split = stored(mine.withColumn("aside", upto < F.col("floor")).select("qid", "block", "term", "n", "qtf", "df", "most", "aside"), "split")
     main, rest = split.where("NOT aside"), split.where("aside")
     more = rest.groupBy("qid", "block").agg(F.sum("most").alias("more"))
-    some = stored(posts(main).join(more, ["qid", "block"], "left").withColumn("more", F.coalesce("more", F.lit(0.0))), "some")
-    better = kth(known.select("qid", "score").unionByName(some.select("qid", "score")))  # parts of scores are below them
-    some = some.join(better, "qid").where(F.col("score") + F.col("more") >= F.col("floor")).select("qid", "block", "id", "score")
+    sums = stored(posts(main).join(more, ["qid", "block"], "left").withColumn("more", F.coalesce("more", F.lit(0.0))), "sums")
+    better = kth(known.select("qid", "score").unionByName(sums.select("qid", "score")))  # parts of scores are below them
+    some = sums.join(better, "qid").where(F.col("score") + F.col("more") >= F.col("floor")).select("qid", "block", "id", "score")
     some = stored(some, "candidates")
-    again = rest.join(some.select("qid", "block").distinct(), ["qid", "block"], "left_semi")
+    again = stored(rest.join(some.select("qid", "block").distinct(), ["qid", "block"], "left_semi"), "again")
     added = posts(again).join(some.select("qid", "id"), ["qid", "id"], "left_semi")
     total = some.unionByName(added).unionByName(known).groupBy("qid", "id").agg(F.sum("score").alias("score"))
     total = total.withColumn("score", F.round("score", digits)) if digits is not None else total
@@ -124,4 +135,6 @@ def search(index: BlockIndex, queries: DataFrame, k: int = 10, digits: int | Non
     out = stored(ranked.select("qid", "id", "score", "rank"), "found")
     count = lambda rows, name: rows.groupBy("qid").agg(F.sum("n").cast("long").alias("postings")).select("qid", F.lit(name).alias("stage"), "postings")
     read = count(heads.join(terms, "term"), "all").unionByName(count(piloted, "pilots")).unionByName(count(main, "main")).unionByName(count(again, "aside"))
+    read = stored(read, "read")
+    gone(asked, heads, terms, bound, first, piloted, known, floor, left, split, sums, some, again)
     return Found(out, read)

@@ -13,7 +13,7 @@ from tessera import api
 from tessera.functions import register
 from tessera.functions import score as S
 from tessera.functions import text as T
-from tessera.operators import bm25, chunk, classify, dedup, fusion, ingest, intent, knn, meta, rewrite, sessions
+from tessera.operators import bm25, chunk, classify, dedup, fusion, ingest, intent, knn, meta, rewrite, sessions, topk
 from tessera.plans import samples
 from tessera.sources import readers
 from tessera.sources.config import DEFAULT
@@ -90,6 +90,15 @@ def bm25_multi_query(spark, sf_dir):
     return bm25.search(index(spark, sf_dir), items, 5, 6).select("qid", F.col("id").alias("doc_id"), "score", "rank")
 
 
+def bm25_topk(spark, sf_dir):
+    """The rows of bm25_multi_query from an index of blocks, of which most aren't read."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    blocks = topk.BlockIndex.build(documents(spark, sf_dir))
+    found = topk.search(blocks, items, 5, 6).rows
+    blocks.release()
+    return found.select("qid", F.col("id").alias("doc_id"), "score", "rank")
+
+
 def bm25_upsert(spark, sf_dir):
     new = documents(spark, sf_dir).where("source = 'src1'").withColumn("text", F.concat("text", F.lit(" the error")))
     found = bm25.search(index(spark, sf_dir).upsert(new), values(spark, [(1, QUERY)], "qid long, query string"), 10, 6)
@@ -706,6 +715,7 @@ ORACLE = {
     "corpus_stats": "SELECT count(*) AS n, round(avg(length(text)), 6) AS avgdl FROM documents WHERE trim(text) <> ''",
     "bm25_search": bm25_sql(),
     "bm25_multi_query": bm25_sql(queries="SELECT item_id AS qid, text FROM benchmark", k=5),
+    "bm25_topk": bm25_sql(queries="SELECT item_id AS qid, text FROM benchmark", k=5),
     "bm25_upsert": bm25_sql("SELECT doc_id, CASE WHEN source = 'src1' THEN text || ' the error' ELSE text END AS text FROM documents", columns="doc_id, score, rank"),
     "bm25_delete_prefix": bm25_sql("SELECT doc_id, text FROM documents WHERE NOT starts_with(doc_id::VARCHAR, '4')", columns="doc_id, score, rank"),
     "top_keywords": rf"""

@@ -36,11 +36,12 @@ def shared_folder(spark: SparkSession, what: str) -> str:
     return path
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """``df`` written to the shared folder and read back; it goes with :func:`gone`, or when the session ends."""
+def stored(df: DataFrame, what: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """``df`` written to the shared folder, in folders ``by`` some columns, and read back; it goes with :func:`gone`, or
+    when the session ends."""
     spark = df.sparkSession
     folder = shared_folder(spark, what)
-    df.write.parquet(f"{folder}/rows")
+    df.write.partitionBy(*by).parquet(f"{folder}/rows")
     out = spark.read.schema(df.schema).parquet(f"{folder}/rows")
     out.stored_at = folder
     return out
