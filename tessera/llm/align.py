@@ -100,7 +100,7 @@ class Pair:
         own = texts.filter(pa.array(some))
         if self.b.cuts:
             values, index, at, _ = self.pieces.of(own, lead=True)
-            flat = np.array(values, np.float64).astype(np.int64)[index] if len(values) else np.zeros(0, np.int64)
+            flat = np.array([-1 if v is None else v for v in values], np.int64)[index]
         else:  # every text is a piece
             flat, at = np.array(self.aligned(own.to_pylist()), np.int64), np.arange(len(own) + 1)
         count[some] = np.diff(at)
