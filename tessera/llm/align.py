@@ -23,11 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import dropped, table, written
+from tessera.llm.common import dropped, table, trim, written
 from tessera.llm.tokens import ByteLevel, PieceModel, Pieces, encoded, spread, vocabulary
 
 #: Bytes of text in a block at about; a longer text is a block's last. Pieces that a worker keeps.
-BLOCK_BYTES, KEPT = 16 << 20, 250_000
+BLOCK_BYTES, KEPT = 16 << 20, 150_000
 
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -146,6 +146,7 @@ def blocks(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
             if (size := size + b.column("text").nbytes) >= BLOCK_BYTES:
                 yield _block(pair, held, seq)
                 seq, size, held = seq + 1, 0, []
+                trim()
         if sum(b.num_rows for b in held):
             yield _block(pair, held, seq)
 
@@ -214,26 +215,40 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 
 
 def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks with what the corpus says of their pairs (in the pairs' order) to documents."""
+    """Rows (body, n, best), a block's body before what the corpus says of its pairs in their order, to documents."""
+    _pairs.clear()  # this worker has aligned texts before
+    trim()
+    body, said = None, []
     for b in batches:
-        for k in range(b.num_rows):
-            got = lambda c: b.column(c)[k]  # noqa: B023, E731
-            of, length = _unsqueezed(got("pair_of").as_py()), _unsqueezed(got("n_pairs").as_py())
-            said = got("said").values if got("said").is_valid else pa.array([], pa.struct({"pos": pa.int32(), "n": pa.int64(), "best": pa.bool_()}))
-            order = np.argsort(said.field("pos").to_numpy())
-            many, best = said.field("n").to_numpy()[order], said.field("best").to_numpy(zero_copy_only=False).astype(np.int64)[order]
-            ends = np.cumsum(length)
-            both = np.zeros((len(of) + 1, 2), np.int64)
-            np.cumsum(np.stack((best[of], many[of]), axis=1), axis=0, out=both[1:])
-            each = both[ends] - both[ends - length]  # of each piece
-            pieces, count = _unsqueezed(got("pieces").as_py()), _unsqueezed(got("n_pieces").as_py())
-            total = np.zeros((len(pieces) + 1, 2), np.int64)
-            np.cumsum(each[pieces] if len(each) else np.zeros((0, 2), np.int64), axis=0, out=total[1:])
-            to = np.cumsum(count)
-            sums = total[to] - total[to - count]
-            numbers = got("numbers").values.to_numpy().reshape(-1, 4)
-            columns = [got("doc_id").values, *(pa.array(c) for c in numbers.T), pa.array(sums[:, 0]), pa.array(sums[:, 1]), got("groups_sha256").values]
-            yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
+        starts = np.flatnonzero(b.column("body").is_valid().to_numpy(zero_copy_only=False)).tolist()
+        bounds = [0, *starts, b.num_rows]
+        for x, y in zip(bounds, bounds[1:], strict=False):  # the first part belongs to the body of an earlier batch
+            if own := x in starts and y > x:
+                if body is not None:
+                    yield _summed(body, said)
+                body, said = b.column("body")[x].as_py(), []
+            part = b.slice(x + own, y - x - own)
+            said.append((part.column("n").to_numpy(), part.column("best").to_numpy(zero_copy_only=False).astype(np.int64)))
+    if body is not None:
+        yield _summed(body, said)
+
+
+def _summed(body: dict, said: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The documents of a block, given each pair's count and whether it is a best one."""
+    many, best = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (list(zip(*said, strict=True)) or ((), ())))
+    of, length = _unsqueezed(body["pair_of"]), _unsqueezed(body["n_pairs"])
+    ends = np.cumsum(length)
+    both = np.zeros((len(of) + 1, 2), np.int64)
+    np.cumsum(np.stack((best[of], many[of]), axis=1), axis=0, out=both[1:])
+    each = both[ends] - both[ends - length]  # of each piece
+    pieces, count = _unsqueezed(body["pieces"]), _unsqueezed(body["n_pieces"])
+    total = np.zeros((len(pieces) + 1, 2), np.int64)
+    np.cumsum(each[pieces] if len(each) else np.zeros((0, 2), np.int64), axis=0, out=total[1:])
+    to = np.cumsum(count)
+    sums = total[to] - total[to - count]
+    numbers = np.array(body["numbers"], np.int64).reshape(-1, 4)
+    columns = [pa.array(body["doc_id"], pa.int64()), *(pa.array(c) for c in numbers.T), pa.array(sums[:, 0]), pa.array(sums[:, 1]), pa.array(body["groups_sha256"], pa.string())]
+    return pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in RESULT.split(", ")])
 
 
 def alignment(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
@@ -243,9 +258,11 @@ def alignment(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     times = len(PieceModel(paths[1]).entries)
     counted = pair_counts(held, times)
     pairs = held.select("block", F.posexplode("pair").alias("pos", "pair"))
-    said = pairs.join(counted, "pair").groupBy("block").agg(F.collect_list(F.struct("pos", "n", "best")).alias("said"))
-    body = held.select("block", "doc_id", "numbers", "groups_sha256", "pieces", "n_pieces", "n_pairs", "pair_of")
-    out = written(body.join(said, "block", "left").drop("block").mapInArrow(_judged, RESULT), "aligned")
+    said = pairs.join(counted, "pair").select("block", "pos", F.lit(None).alias("body"), "n", "best")
+    body = F.struct("doc_id", "numbers", "groups_sha256", "pieces", "n_pieces", "n_pairs", "pair_of")
+    rows = held.select("block", F.lit(-1).alias("pos"), body.alias("body"), F.lit(None).alias("n"), F.lit(None).alias("best")).unionByName(said)
+    rows = rows.repartition("block").sortWithinPartitions("block", "pos")  # a block's pairs pass by, none is gathered in the JVM
+    out = written(rows.select("body", "n", "best").mapInArrow(_judged, RESULT), "aligned")
     dropped(held, counted)
     return out
 
