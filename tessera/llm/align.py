@@ -27,7 +27,7 @@ from tessera.llm.common import dropped, table, trim, written
 from tessera.llm.tokens import ByteLevel, PieceModel, Pieces, encoded, spread, vocabulary
 
 #: Bytes of text in a block at about; a longer text is a block's last. Pieces that a worker keeps.
-BLOCK_BYTES, KEPT = 16 << 20, 150_000
+BLOCK_BYTES, KEPT = 8 << 20, 150_000
 
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
