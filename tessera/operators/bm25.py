@@ -1,8 +1,8 @@
 """BM25 over an inverted index of three tables: documents, postings and the corpus statistics.
 
 Postings carry the document's length, so scoring joins on the term alone. Queries come in batches. The batch's terms
-are broadcast while there are at most BROADCAST_TERMS of them; a larger batch is joined by a shuffle on the term, and
-in either case only postings of the batch's terms go any further. The top k is limited before the last shuffle.
+are broadcast while its queries have at most BROADCAST_TERMS of them in all; a larger batch is joined by a shuffle on
+the term, and in either case only postings of the batch's terms go any further. The top k is limited before the last shuffle.
 """
 
 from __future__ import annotations
@@ -71,7 +71,7 @@ def search(index: Index, queries: DataFrame, k: int | None = 10, digits: int | N
     rounds scores before they are ranked."""
     asked = queries.select("qid", F.explode(T.analyze(F.col("query"))).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qtf"))
     some = asked.select("term").distinct()
-    few = some.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    few = asked.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     if few:
         asked, some = F.broadcast(asked), F.broadcast(some)
     postings = index.postings.join(some, "term")

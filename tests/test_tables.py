@@ -38,6 +38,16 @@ def test_searches_without_rows(spark):
     assert [(r.qid, r.id, round(r.cosine, 6), round(r.score, 6)) for r in got] == [(7, 1, 0.707107, 0.853553), (7, 3, 0.0, 0.5)]
 
 
+def test_many_queries_of_few_terms_are_not_broadcast(spark, monkeypatch):
+    index = bm25.Index.build(docs(spark, [(1, "a b"), (2, "a"), (3, "c")]))
+    asked = spark.createDataFrame([(i, "a c") for i in range(20)], "qid long, query string")
+    whole = sorted(bm25.search(index, asked).collect())
+    monkeypatch.setattr(bm25, "BROADCAST_TERMS", 10)  # two terms, forty rows
+    hinted = []
+    monkeypatch.setattr(bm25.F, "broadcast", lambda df, real=F.broadcast: hinted.append(df.columns) or real(df))
+    assert sorted(bm25.search(index, asked).collect()) == whole and hinted == [["n", "mean"]]
+
+
 def test_blocks_of_queries_agree(spark):
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
     vectors = spark.createDataFrame(rows, "id long, vector array<double>")
