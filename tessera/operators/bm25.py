@@ -20,12 +20,19 @@ BROADCAST_TERMS = 100_000
 
 
 def terms(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, tf, dl); rows with a null id or blank text are left out."""
+    """(id, term, tf, dl); rows with a null id or blank text are left out. Of rows with one id all terms count, and the
+    length is that of the longest that holds the term."""
     rows = docs.where(F.col(id_col).isNotNull() & (F.trim(F.col(text_col)) != ""))
     # what is computed beside an explode is computed for every row it makes, so lengths come first
-    lengths = rows.select(F.col(id_col).alias("id"), T.utf16_length(F.col(text_col)).cast("long").alias("dl"), T.analyze(F.col(text_col)).alias("terms"))
-    exploded = lengths.select("id", "dl", F.explode("terms").alias("term"))
-    return exploded.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    measured = rows.select(F.col(id_col).alias("id"), T.utf16_length(F.col(text_col)).cast("long").alias("dl"), T.analyze(F.col(text_col)).alias("terms"))
+    exploded = measured.select("id", "dl", F.explode("terms").alias("term"))
+    return exploded.groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+
+
+def lengths(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, dl) of the same rows."""
+    rows = docs.where(F.col(id_col).isNotNull() & (F.trim(F.col(text_col)) != ""))
+    return rows.select(F.col(id_col).alias("id"), T.utf16_length(F.col(text_col)).cast("long").alias("dl"))
 
 
 @dataclass
@@ -36,9 +43,7 @@ class Index:
     @classmethod
     def build(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
         """Tokenised once: scores and document frequencies both read the persisted postings."""
-        rows = docs.where(F.col(id_col).isNotNull() & (F.trim(F.col(text_col)) != ""))
-        lengths = rows.select(F.col(id_col).alias("id"), T.utf16_length(F.col(text_col)).cast("long").alias("dl"))
-        return cls(lengths, terms(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK))
+        return cls(lengths(docs, id_col, text_col), terms(docs, id_col, text_col).persist(StorageLevel.MEMORY_AND_DISK))
 
     def release(self) -> None:
         """Let go of the persisted postings."""

@@ -13,10 +13,12 @@ from tessera import api
 from tessera.functions import register
 from tessera.functions import score as S
 from tessera.functions import text as T
-from tessera.operators import bm25, chunk, classify, dedup, fusion, ingest, intent, knn, meta, rewrite, sessions, topk
+from tessera.operators import bm25, chunk, classify, dedup, fusion, ingest, intent, kept, knn, meta, rewrite, sessions, topk
 from tessera.plans import samples
 from tessera.sources import readers
 from tessera.sources.config import DEFAULT
+from tessera.sources.shared import shared_folder
+from tessera.sources.store import Change, Layout, Store
 from tessera.streaming import status as streams
 
 QUERY = "the error thion the"
@@ -111,6 +113,18 @@ def bm25_delete_prefix(spark, sf_dir):
     return found.select(F.col("id").alias("doc_id"), "score", "rank")
 
 
+def kept_index(spark, sf_dir):
+    """A search of an index in a folder, opened again after documents were indexed, some in place of others, and some
+    deleted."""
+    docs, root = documents(spark, sf_dir), shared_folder(spark, "index")
+    made = kept.KeptIndex.create(spark, root)
+    made.upsert(docs)
+    made.upsert(docs.where("source = 'src1'").withColumn("text", F.concat("text", F.lit(" the error"))))
+    made.delete(docs.where("doc_id LIKE '4%'").select(F.col("doc_id").alias("id")))
+    found = bm25.search(kept.KeptIndex.open(spark, root).index(), values(spark, [(1, QUERY)], "qid long, query string"), 10, 6)
+    return found.select(F.col("id").alias("doc_id"), "score", "rank")
+
+
 def bm25_sql(corpus: str = "documents", queries: str = f"SELECT 1 AS qid, '{QUERY}' AS text", k: int = 10, columns: str = "qid, doc_id, score, rank") -> str:
     return f"""
 WITH c AS (SELECT doc_id, text FROM ({corpus}) WHERE trim(text) <> ''),
@@ -615,6 +629,38 @@ def cascade_delete(spark, sf_dir):
     return out
 
 
+def kept_documents(spark, sf_dir):
+    """Documents in each version of a table: all; those of one source with new texts and without those of a second; the
+    second's back under the first's name, without those of a third."""
+    d = documents(spark, sf_dir).select("doc_id", "text", "source", "lang")
+    store = Store.create(spark, shared_folder(spark, "store"), {"documents": Layout(d.schema, ("doc_id",))})
+    of = lambda name: d.where(F.col("source") == name)
+    store.commit({"documents": Change(d)})
+    store.commit({"documents": Change(of("src1").withColumn("text", F.concat("text", F.lit(" (new)"))), of("src2").select("doc_id"))})
+    store.commit({"documents": Change(of("src2").withColumn("source", F.lit("src1")), of("src3").select("doc_id"))})
+    out = None
+    for version in store.versions()[1:]:
+        rows = store.snapshot(version).table("documents").select(F.lit(version).cast("long").alias("version"), "doc_id", "source", F.sha2("text", 256).alias("text_sha256"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def kept_cascade(spark, sf_dir):
+    """What cascade_delete leaves, in tables that change as one version; the version before has all."""
+    docs, lines = _meta(spark, sf_dir)
+    hashes = dedup.hashed(documents(spark, sf_dir)).select(F.col("doc_id").alias("document_id"), "hash")
+    names = docs.select(F.col("category").alias("name")).distinct()
+    t = meta.Tables(docs, lines, hashes, lines.select("document_id", F.explode(T.latin_tokens("text")).alias("term")), names)
+    store = kept.keep(spark, shared_folder(spark, "store"), t)
+    after = kept.delete_documents(store, docs.where("category IN ('src1', 'src7')"))
+    out = None
+    for snapshot in (store.snapshot(after.version - 1), after):
+        for n in ("documents", "chunks", "hashes", "postings", "categories"):
+            rows = snapshot.table(n).agg(F.lit(snapshot.version).cast("long").alias("version"), F.lit(n).alias("kind"), F.count(F.lit(1)).alias("n"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def rebuild_numbering(spark, sf_dir):
     _, lines = _meta(spark, sf_dir)
     kept = meta.numbered(lines.where(F.length("text") > 20))
@@ -645,8 +691,11 @@ def _drained(spark, make, mode):
 
 
 def status_stream(spark, sf_dir):
-    e = streams.events(spark, f"{sf_dir}/events.parquet")
-    return _drained(spark, streams.latest_status(e), "complete").select("user_id", "status", F.unix_micros("at").alias("at"))
+    newest = streams.latest_status(streams.events(spark, f"{sf_dir}/events.parquet"))
+    place = _place(spark)
+    store = Store.create(spark, place + "/store", {"status": Layout(newest.schema, ("user_id",), newest=("at",))})
+    table = streams.upserted(newest, store, "status", place + "/state").table("status")
+    return table.select("user_id", "status", F.unix_micros("at").alias("at"))
 
 
 def window_stream(spark, sf_dir):
@@ -717,6 +766,7 @@ ORACLE = {
     "bm25_multi_query": bm25_sql(queries="SELECT item_id AS qid, text FROM benchmark", k=5),
     "bm25_topk": bm25_sql(queries="SELECT item_id AS qid, text FROM benchmark", k=5),
     "bm25_upsert": bm25_sql("SELECT doc_id, CASE WHEN source = 'src1' THEN text || ' the error' ELSE text END AS text FROM documents", columns="doc_id, score, rank"),
+    "kept_index": bm25_sql("SELECT doc_id, CASE WHEN source = 'src1' THEN text || ' the error' ELSE text END AS text FROM documents WHERE doc_id::VARCHAR NOT LIKE '4%'", columns="doc_id, score, rank"),
     "bm25_delete_prefix": bm25_sql("SELECT doc_id, text FROM documents WHERE NOT starts_with(doc_id::VARCHAR, '4')", columns="doc_id, score, rank"),
     "top_keywords": rf"""
 WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[a-zA-Z0-9_]+'), lambda t: length(t) >= 2 AND lower(t) NOT IN ({", ".join(f"'{w}'" for w in T.STOPWORDS_EN)})) AS t FROM documents),
@@ -813,6 +863,14 @@ FROM (SELECT conv_id AS session_id, turn, role, text AS content, row_number() OV
 SELECT 'documents' AS kind, count(*) AS n FROM l UNION ALL SELECT 'chunks', count(*) FROM x UNION ALL SELECT 'hashes', count(*) FROM l
 UNION ALL SELECT 'postings', coalesce(sum(len({TOKENS_SQL})), 0)::BIGINT FROM x
 UNION ALL SELECT 'categories', count(DISTINCT source) FROM l""",
+    "kept_documents": """WITH v AS (SELECT doc_id, text, source, 1 AS version FROM documents
+UNION ALL SELECT doc_id, CASE WHEN source = 'src1' THEN text || ' (new)' ELSE text END, source, 2 FROM documents WHERE source IS NULL OR source <> 'src2'
+UNION ALL SELECT doc_id, CASE WHEN source = 'src1' THEN text || ' (new)' ELSE text END, CASE WHEN source = 'src2' THEN 'src1' ELSE source END, 3 FROM documents WHERE source IS NULL OR source <> 'src3')
+SELECT version::BIGINT AS version, doc_id, source, sha256(text) AS text_sha256 FROM v""",
+    "kept_cascade": f"""WITH d AS (SELECT v, doc_id, text, source FROM documents, (VALUES (1), (2)) t(v) WHERE v = 1 OR source NOT IN ('src1', 'src7')), x AS (SELECT v, unnest(string_split(text, chr(10))) AS text FROM d)
+SELECT v::BIGINT AS version, 'documents' AS kind, count(*) AS n FROM d GROUP BY v UNION ALL SELECT v, 'chunks', count(*) FROM x GROUP BY v UNION ALL SELECT v, 'hashes', count(*) FROM d GROUP BY v
+UNION ALL SELECT v, 'postings', coalesce(sum(len({TOKENS_SQL})), 0)::BIGINT FROM x GROUP BY v
+UNION ALL SELECT v, 'categories', count(DISTINCT source) FROM d GROUP BY v""",
     "rebuild_numbering": """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents), e AS (SELECT doc_id, unnest(x) AS t, (generate_subscripts(x, 1) - 1)::INT AS i FROM l)
 SELECT doc_id AS document_id, i AS chunk_index, n AS number, doc_id || '_' || n AS chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS n FROM e WHERE length(t) > 20)""",
     "intent_chain": "WITH r AS (@RULES@) SELECT qid, CASE WHEN confidence >= 0.7 THEN intent WHEN qid % 2 = 0 THEN 'COMPARISON' ELSE intent END AS intent, CASE WHEN confidence >= 0.7 THEN confidence WHEN qid % 2 = 0 THEN 0.8::DOUBLE ELSE confidence END AS confidence FROM r",

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.sources.store import Change, Snapshot, Store
+
 
 def events(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
     """A stream of an events table's files; ``ts`` becomes a timestamp, as watermarks want it."""
@@ -21,8 +23,8 @@ def events(spark: SparkSession, path: str, most_files: int | None = None) -> Dat
 
 
 def latest_status(stream: DataFrame, key: str = "user_id") -> DataFrame:
-    """The newest status of each key (of equal times the larger event): a durable table, so none is lost to those who
-    look later."""
+    """The newest status of each key (of equal times the larger event), for :func:`upserted`: a durable table, so none is
+    lost to those who look later."""
     newest = F.max_by(F.struct("event_type", "ts"), F.struct("ts", "event_id"))
     return stream.groupBy(key).agg(newest.alias("s")).select(key, F.col("s.event_type").alias("status"), F.col("s.ts").alias("at"))
 
@@ -64,6 +66,19 @@ def drained(stream: DataFrame, mode: str, checkpoint: str, target: str) -> DataF
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{target}/{last[0]}")
 
 
+def upserted(stream: DataFrame, store: Store, name: str, checkpoint: str, source: str = "stream") -> Snapshot:
+    """All that a stream says of its keys now, by a run that ends, as a table of a store. A batch gives the keys that it
+    changed and writes their buckets anew; one that runs again after a failure changes nothing. Whoever looks later finds
+    the table as some batch left it."""
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        store.commit({name: Change(rows)}, source=source, batch=batch)
+
+    writer = stream.writeStream.trigger(availableNow=True).outputMode("update").option("checkpointLocation", checkpoint)
+    writer.foreachBatch(keep).start().awaitTermination()
+    return store.snapshot()
+
+
 def ingest(spark: SparkSession, folder: str, index: Callable[[DataFrame, int], None], checkpoint: str, most_files: int = 1000) -> StreamingQuery:
     """Text files that arrive in a folder, handed batch by batch to ``index`` (rows, batch id). A batch may come again
     after a failure, so ``index`` must be idempotent, such as by an upsert."""
