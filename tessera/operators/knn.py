@@ -1,6 +1,7 @@
 """Exact nearest neighbours for batches of queries.
 
-Queries are taken in blocks of bounded size, each broadcast for one pass over the vectors. A task scores its Arrow
+Queries are taken in blocks of bounded size, each broadcast for one pass over the vectors; of several blocks one is held
+at a time, and what a pass finds is written before the next. A task scores its Arrow
 batches against the block by one matrix product each and keeps the k best of all of them for every query, so what is
 shuffled is k rows a query and task; a window picks the k best of these.
 """
@@ -15,6 +16,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.shared import gone, shared_folder, stored
+
 #: Components of the vectors of a block's queries, and cells of the matrix of scores, at about.
 BLOCK_VALUES, CELLS = 1 << 22, 1 << 22
 
@@ -48,6 +51,13 @@ class _Block:
         self.names = rows.column("name").to_pylist() if "name" in rows.column_names else None
 
 
+def _held(part: pa.Table) -> dict[int, _Block]:
+    """Queries by their number of components."""
+    usable = pa.array(_usable(part.column("vector").combine_chunks()), pa.bool_())
+    own = {d: part.filter(pc.and_(pc.equal(part.column("dim"), d), usable)) for d in part.column("dim").unique().to_pylist()}
+    return {d: _Block(rows, d) for d, rows in own.items() if len(rows)}
+
+
 def _best(ids: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the k largest, ties by id; what is -inf or has the id -1 at the end is none."""
     if cosine.shape[1] > 4 * k:  # the k-th largest is a bound, kept with all that tie with it
@@ -69,15 +79,23 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, where: Column | None
     asked = queries.where(F.col("qid").isNotNull() & (F.size("vector") > 0)).select("qid", "vector", F.size("vector").alias("dim"), *["name"] * named)
     asked = asked.where(F.col("name").isNotNull()) if named else asked
     kind = queries.schema["qid"].dataType.simpleString()
-    out, blocks = None, max(1, -(-(asked.agg(F.sum("dim")).first()[0] or 0) // block_values))
-    for block in range(blocks):
-        part = (asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == block) if blocks > 1 else asked).toArrow()  # of bounded size
-        held = {d: _Block(own, d) for d in part.column("dim").unique().to_pylist() if len(own := part.filter(pc.and_(pc.equal(part.column("dim"), d), pa.array(_usable(part.column("vector").combine_chunks())))))}
-        if held:
-            found = rows.mapInArrow(_pass(queries.sparkSession.sparkContext.broadcast(held), k, digits), f"qid {kind}, id long, cosine double")
-            out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = queries.sparkSession.createDataFrame([], f"qid {kind}, id long, cosine double")
+    found = f"qid {kind}, id long, cosine double"
+    broadcast = queries.sparkSession.sparkContext.broadcast
+    blocks = max(1, -(-(asked.agg(F.sum("dim")).first()[0] or 0) // block_values))
+    if blocks == 1:
+        held = _held(asked.toArrow())
+        out = rows.mapInArrow(_pass(broadcast(held), k, digits), found) if held else queries.sparkSession.createDataFrame([], found)
+    else:  # one block at a time with the driver and the workers
+        folder = shared_folder(queries.sparkSession, "knn")
+        dealt = asked.withColumn("block", F.pmod(F.monotonically_increasing_id(), F.lit(blocks)))  # of one size, whatever the ids
+        dealt = stored(dealt.repartition("block"), "queries", by=("block",))
+        for block in range(blocks):
+            if held := _held(dealt.where(F.col("block") == block).drop("block").toArrow()):
+                here = broadcast(held)
+                rows.mapInArrow(_pass(here, k, digits), found).write.mode("append").parquet(folder)
+                here.destroy()
+        gone(dealt)
+        out = queries.sparkSession.read.schema(found).parquet(folder)
     if digits is not None:
         out = out.withColumn("cosine", F.round("cosine", digits))
     ranked = out.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("cosine"), "id")))

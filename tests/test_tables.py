@@ -48,6 +48,32 @@ def test_many_queries_of_few_terms_are_not_broadcast(spark, monkeypatch):
     assert sorted(bm25.search(index, asked).collect()) == whole and hinted == [["n", "mean"]]
 
 
+def test_one_block_of_queries_is_held_at_a_time(spark, monkeypatch):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "id long, vector array<double>")
+    asked = vectors.select(F.lit(1).cast("long").alias("qid"), "vector").where("id < 20")  # one id for all
+    whole = sorted(knn.search(vectors, asked, 4, digits=9).collect())
+    sc, sizes, living = spark.sparkContext, [], []
+
+    class Held:
+        def __init__(self, value):
+            self.real = real(value)
+            sizes.append(sum(b.vectors.size for b in value.values()))
+            living.append(1)
+            assert len(living) == 1
+
+        def destroy(self):
+            living.pop()
+            self.real.destroy()
+
+        def __reduce__(self):
+            return self.real.__reduce__()
+
+    real = sc.broadcast
+    monkeypatch.setattr(sc, "broadcast", Held)
+    assert sorted(knn.search(vectors, asked, 4, digits=9, block_values=18).collect()) == whole
+    assert len(sizes) == 4 and sum(sizes) == 60 and max(sizes) <= 18 + 3 * 4 and not living
+
+
 def test_blocks_of_queries_agree(spark):
     rows = [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)]
     vectors = spark.createDataFrame(rows, "id long, vector array<double>")
