@@ -880,7 +880,7 @@ SELECT doc_id AS document_id, i AS chunk_index, n AS number, doc_id || '_' || n
 SELECT qid, doc_id, rank, score, sha256(text) AS text_sha256, coalesce(source, '未知来源') AS source FROM h JOIN documents USING (doc_id)""",
     "index_lookup": "SELECT doc_id AS id, length(text) AS value FROM documents WHERE doc_id % 7 = 0 AND trim(text) <> '' UNION ALL SELECT -1, count(*) FROM documents WHERE trim(text) <> ''",
     "answer_prompts": f"""WITH {CASCADE_SQL}, b AS (SELECT qid, string_agg('【片段' || rank || '】' || chr(10) || text || chr(10) || chr(10), '' ORDER BY rank) AS c FROM ca WHERE rank <= 3 GROUP BY qid),
-p AS (SELECT item_id AS qid, c, '{sessions.RULES}' || chr(10) || chr(10) || '基于以下文档内容回答问题：' || chr(10) || chr(10) || coalesce(c, '') || chr(10) || chr(10) || '问题：' || text || chr(10) || chr(10) || '{sessions.CLOSING}' AS p FROM benchmark LEFT JOIN b ON qid = item_id)
+p AS (SELECT item_id AS qid, c, '{sessions.RULES}' || chr(10) || chr(10) || '{sessions.FRAME}' || coalesce(c, '') || chr(10) || chr(10) || '问题：' || text || chr(10) || chr(10) || '{sessions.CLOSING}' AS p FROM benchmark LEFT JOIN b ON qid = item_id)
 SELECT qid, sha256(p) AS prompt_sha256, length(p) AS chars, CASE WHEN c IS NULL THEN '未找到相关内容' END AS answer FROM p""",
     "context_headers": "SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN '**上下文**: A > ' || source || chr(10) || chr(10) || text ELSE text END) AS text_sha256 FROM documents",
     "uploads": """WITH f AS (SELECT lpad(page_id::VARCHAR, 9, '0') || ['.html', '.zip', '.MD'][(page_id % 3 + 1)::INT] AS file_name, html, page_id, sha256(html) AS h FROM pages),
