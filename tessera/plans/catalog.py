@@ -20,6 +20,7 @@ from tessera.sources.config import DEFAULT
 from tessera.sources.shared import shared_folder
 from tessera.sources.store import Change, Layout, Store
 from tessera.streaming import status as streams
+from tessera.streaming import subscriptions
 
 QUERY = "the error thion the"
 TOKENS_SQL = r"list_filter(list_transform(regexp_split_to_array(text, '[\s[:punct:]]+'), lambda t: lower(trim(t))), lambda t: t <> '')"
@@ -718,6 +719,15 @@ def ttl_dedup_stream(spark, sf_dir):
     return _drained(spark, streams.first_within(rows, ["user_id", "event_type"], lasting="12 hours").select("user_id", "event_type", F.unix_micros("ts").alias("at")), "append")
 
 
+def subscriptions_stream(spark, sf_dir):
+    """What those who sign up are told of their user's events, as days arrive: until a purchase or an error, a newer sign-up
+    or the end of half a day."""
+    rows = _arriving(spark, table(spark, sf_dir, "events").withColumn("day", F.to_date("ts")))
+    told = subscriptions.followed(rows, "user_id", ("signup",), ("purchase", "error"), 12 * 3600)
+    with subscriptions.state_on_disk(spark):
+        return _drained(spark, told, "append")
+
+
 def sliding_stream(spark, sf_dir):
     """Counts of events in windows of a day that slide by half a day, as days arrive; events of long ago come last and are
     too late. Windows are given out once no more can come."""
@@ -914,6 +924,15 @@ r AS (SELECT user_id, event_type, k, b, ts, ts AS held, true AS new FROM d WHERE
     SELECT d.*, r.held, coalesce((SELECT top FROM m WHERE m.b = d.b - 2), TIMESTAMP '1970-01-01') - INTERVAL 12 HOUR >= r.held + INTERVAL 12 HOUR AS free
     FROM r JOIN d ON d.user_id = r.user_id AND d.event_type = r.event_type AND d.k = r.k + 1))
 SELECT user_id, event_type, epoch_us(ts) AS at FROM r WHERE new""",
+    "subscriptions_stream": """WITH o AS (SELECT *, count(*) FILTER (event_type = 'signup') OVER w AS g, max(ts) OVER (PARTITION BY user_id) AS newest FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+s AS (SELECT user_id, event_type, ts, g, newest, first_value(event_id) OVER w AS subscriber, first_value(ts) OVER w AS since, first_value(ts) OVER w + INTERVAL 12 HOUR AS until,
+  count(*) FILTER (event_type IN ('purchase', 'error')) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ended FROM o WHERE g > 0 WINDOW w AS (PARTITION BY user_id, g ORDER BY ts, event_id)),
+d AS (SELECT * FROM s WHERE event_type <> 'signup' AND ts < until AND ended = 0),
+n AS (SELECT user_id, subscriber, until, newest, lead(since) OVER (PARTITION BY user_id ORDER BY g) AS next, g FROM s WHERE event_type = 'signup'),
+f AS (SELECT n.* FROM n WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.user_id = n.user_id AND d.g = n.g AND d.event_type IN ('purchase', 'error')))
+SELECT user_id, subscriber, event_type AS status, epoch_us(ts) AS at FROM d
+UNION ALL SELECT user_id, subscriber, 'replaced', epoch_us(next) FROM f WHERE next < until
+UNION ALL SELECT user_id, subscriber, 'expired', epoch_us(until) FROM f WHERE (next IS NULL OR next >= until) AND (newest >= until OR until < (SELECT max(ts) - INTERVAL 1 HOUR FROM events))""",
     "sliding_stream": """WITH w AS (SELECT unnest([0, 1]) AS k), e AS (SELECT event_type, value, ts, epoch(ts)::BIGINT AS s, (SELECT epoch(max(ts)) FROM events) - 86400 AS mark FROM events),
 x AS (SELECT event_type, value, mark, (s // 43200 - k) * 43200 AS start FROM e, w)
 SELECT start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM x WHERE start + 86400 <= mark GROUP BY start, event_type""",
