@@ -8,18 +8,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tessera.sources.shared import hadoop
 from tessera.sources.store import Change, Snapshot, Store
 
 
-def events(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
-    """A stream of an events table's files; ``ts`` becomes a timestamp, as watermarks want it."""
-    schema = spark.read.parquet(path).schema
-    reader = spark.readStream.schema(schema)
+def arriving(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
+    """A stream of a Parquet table's files, whether the table is a folder of files or a file of its own."""
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if most_files:
         reader = reader.option("maxFilesPerTrigger", most_files)
-    folder, name = path.rsplit("/", 1)
-    rows = reader.option("pathGlobFilter", name).parquet(folder) if spark.read.parquet(path).inputFiles()[0].rsplit("/", 1)[-1] == name else reader.parquet(path)
-    return rows.withColumn("ts", F.col("ts").cast("timestamp"))
+    fs, at = hadoop(spark, path)
+    if fs.getFileStatus(at).isDirectory():
+        return reader.parquet(path)
+    folder, name = path.rsplit("/", 1)  # streams read folders only
+    return reader.option("pathGlobFilter", name).parquet(folder)
+
+
+def events(spark: SparkSession, path: str, most_files: int | None = None) -> DataFrame:
+    """A stream of an events table's files; ``ts`` becomes a timestamp, as watermarks want it."""
+    return arriving(spark, path, most_files).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def latest_status(stream: DataFrame, key: str = "user_id") -> DataFrame:
