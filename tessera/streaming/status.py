@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,6 +55,19 @@ def sessions(stream: DataFrame, gap: str = "30 minutes", late: str = "1 day") ->
     return found.select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+@contextmanager
+def a_part_a_core(spark: SparkSession) -> Iterator[None]:
+    """Queries that start here deal their state over as many partitions as there are cores, if the session has more: each
+    batch opens and commits every partition's state, however few rows it has. The session's setting is as before
+    afterwards; a query that goes on from a checkpoint keeps the number it began with."""
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(min(int(was), spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
 def drained(stream: DataFrame, mode: str, checkpoint: str, target: str) -> DataFrame:
     """All that a stream holds now, by a run that ends, written in files of the folder ``target``: what it appends, or, in
     the mode ``complete``, the table as its last batch leaves it. A batch that runs again overwrites its own files."""
