@@ -52,13 +52,13 @@ class Corpus:
 def vector_search(corpus: Corpus, queries: DataFrame, k: int = 5) -> DataFrame:
     """(qid, query) to content, score and source of the nearest chunks; an unknown source says so."""
     found = knn.search(corpus.vectors, corpus.asked(queries), k)
-    rows = found.join(corpus.chunks.select("id", "text", "source"), "id")
+    rows = fusion.with_texts(found, corpus.chunks.select("id", "text", "source"))
     return rows.select("qid", "rank", F.col("text").alias("content"), "score", F.coalesce("source", F.lit(sessions.UNKNOWN_SOURCE)).alias("source"))
 
 
 def keyword_search(corpus: Corpus, queries: DataFrame, k: int = 10, digits: int | None = None) -> DataFrame:
     """(qid, query) to the best chunks by words, with their text and source."""
-    rows = bm25.search(corpus.index, queries, k, digits).join(corpus.chunks.select("id", "text", "source"), "id")
+    rows = fusion.with_texts(bm25.search(corpus.index, queries, k, digits), corpus.chunks.select("id", "text", "source"))
     return rows.select("qid", "id", "rank", "score", "text", F.coalesce("source", F.lit(sessions.UNKNOWN_SOURCE)).alias("source"))
 
 

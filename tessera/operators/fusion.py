@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from tessera.functions import score as S
 from tessera.functions import text as T
 from tessera.operators import bm25, knn
+from tessera.sources.shared import stored
+
+#: Hits that are broadcast to the texts.
+BROADCAST_HITS = 100_000
 
 
 def reciprocal_ranks(legs: list[DataFrame], k: int | None, rrf_k: int = S.RRF_K) -> DataFrame:
@@ -30,6 +34,14 @@ def hybrid(index: bm25.Index | None, vectors: DataFrame, queries: DataFrame, k:
     return reciprocal_ranks([near, words], k, rrf_k)
 
 
+def with_texts(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Hits (id, ...) with the other columns of chunks (id, ...). Hits are written, since they are what all legs end in; a
+    bounded number of them goes to where the texts are, which aren't shuffled then."""
+    hits = stored(hits, "hits")
+    few = hits.limit(BROADCAST_HITS + 1).count() <= BROADCAST_HITS
+    return (F.broadcast(hits) if few else hits).join(chunks, "id")
+
+
 def first_by_text(stages: DataFrame) -> DataFrame:
     """Rows (qid, stage, pos, text, ...) without those whose text stands earlier for the same query."""
     turn = F.row_number().over(Window.partitionBy("qid", F.sha2("text", 256)).orderBy("stage", "pos"))
@@ -55,7 +67,7 @@ def cascade(hits: DataFrame, expansions: DataFrame, by_file: DataFrame, chunks:
         return rows.select("qid", "id", F.lit(n).alias("stage"), pos.alias("pos"), score.alias("score"))
 
     stages = [stage(hits, 1, F.lit(0)), stage(expansions, 2, F.col("word")), stage(by_file, 3, F.lit(0))]
-    rows = reduce(DataFrame.unionByName, stages).join(chunks.select("id", "text"), "id")
+    rows = with_texts(reduce(DataFrame.unionByName, stages), chunks.select("id", "text"))
     rows = first_by_text(rows).join(excluded, "qid", "left")
     rows = without_excluded(rows, F.col("words")).drop("words")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy("stage", "pos")))
