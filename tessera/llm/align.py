@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import dropped, table, trim, written
 from tessera.llm.tokens import ByteLevel, PieceModel, Pieces, encoded, spread, vocabulary
 
-#: Bytes of text in a block at about; a longer text is a block's last. Pieces that a worker keeps.
-BLOCK_BYTES, KEPT = 8 << 20, 150_000
+#: Bytes of text in a block at about; a longer text is a block's last. Pieces that a worker keeps, and aligns at a time.
+BLOCK_BYTES, KEPT, STEP = 8 << 20, 150_000, 4096
 
 
 def intervals(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -65,7 +65,10 @@ class Pair:
         return encoded(lambda texts: self.a.encode([" " + t for t in texts]), self.a.lengths, pieces, self.a.entries), encoded(self.b.encode, self.b.lengths, pieces, self.b.entries)
 
     def aligned(self, new: list[str]) -> list[int]:
-        """Align pieces and add them to the arrays: their rows, -1 for those whose bytes differ."""
+        """Align pieces, some at a time, and add them to the arrays: their rows, -1 for those whose bytes differ."""
+        return [row for k in range(0, len(new), STEP) for row in self._aligned(new[k : k + STEP])]
+
+    def _aligned(self, new: list[str]) -> list[int]:
         a, b = self.encoded(new)
         right = [x is not None and y is not None for x, y in zip(a, b, strict=True)]
         a, b = [x for x, ok in zip(a, right, strict=True) if ok], [x for x, ok in zip(b, right, strict=True) if ok]
@@ -163,7 +166,8 @@ def _block(pair: Pair, held: list[pa.RecordBatch], seq: int) -> pa.RecordBatch:
     part = next(b.column("part")[0].as_py() for b in held if b.num_rows)
     n_pieces, sha, numbers, ids, keys, weights, inverse, lengths = [], [], [], [], [], [], [], []
     pieces, pairs_at = [], 0
-    for b in held:  # rows of pieces hold for one batch: what is remembered may be let go of between two
+    while held:  # rows of pieces hold for one batch: what is remembered may be let go of between two
+        b = held.pop(0)  # its texts go with it
         flat, count = pair.rows_of(b.column("text"))
         to = np.cumsum(count)
         shown = list(map(pair.shown.__getitem__, flat.tolist()))
@@ -173,7 +177,7 @@ def _block(pair: Pair, held: list[pa.RecordBatch], seq: int) -> pa.RecordBatch:
         often = np.bincount(flat, minlength=len(pair.shown))
         own = np.flatnonzero(often)
         own = own[np.argsort(-often[own], kind="stable")]  # common pieces get small numbers
-        place = np.zeros(len(often), np.int64)
+        place = np.zeros(len(often), np.int32)
         place[own] = np.arange(len(own)) + sum(map(len, lengths))
         pieces.append(place[flat])
         n_pieces.append(count)
@@ -182,6 +186,8 @@ def _block(pair: Pair, held: list[pa.RecordBatch], seq: int) -> pa.RecordBatch:
         keys.append(pair.keys[spread(pair.at[own], length)])
         weights.append(np.repeat(often[own], length))
         ids.append(b.column("doc_id"))
+        del b, flat, shown, ends, often, own, place
+        trim()
     one = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     distinct, inverse = np.unique(one(keys), return_inverse=True)
     n = np.bincount(inverse, one(weights), len(distinct)).astype(np.int64)

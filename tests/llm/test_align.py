@@ -113,3 +113,17 @@ def test_groups_hold_the_texts_bytes_and_expand(spark):
 def test_intervals_by_hand():
     cuts, a, b, closes = align.intervals(np.array([2, 5, 6]), np.array([3, 5, 6]))
     assert (cuts.tolist(), a.tolist(), b.tolist(), closes.tolist()) == ([2, 3, 5, 6], [0, 1, 1, 2], [0, 0, 1, 2], [False, False, True, True])
+
+
+def test_a_block_aligns_few_pieces_at_a_time_and_lets_go_of_its_texts(monkeypatch):
+    pair, most, trims = align.Pair(*PATHS), [], []
+    whole = pair.encoded
+    monkeypatch.setattr(pair, "encoded", lambda pieces: most.append(len(pieces)) or whole(pieces))
+    monkeypatch.setattr(align, "trim", lambda: trims.append(1))
+    text = " ".join(f"w{i} {i}" for i in range(align.STEP))
+    held = [pa.RecordBatch.from_pydict({"doc_id": [d], "text": [text + f" end{d}"], "part": [0]}) for d in range(3)]
+    rows = [pair.rows_of(b.column("text"))[0].tolist() for b in held]
+    assert max(most) <= align.STEP < sum(most)
+    assert rows[0][:-1] == rows[1][:-1] and len(set(rows[0])) == len(rows[0]) == 2 * align.STEP + 1
+    align._block(pair, held, 0)
+    assert held == [] and len(trims) == 3
