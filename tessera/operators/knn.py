@@ -58,7 +58,7 @@ def _held(part: pa.Table) -> dict[int, _Block]:
     return {d: _Block(rows, d) for d, rows in own.items() if len(rows)}
 
 
-def _best(ids: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+def best_of(ids: np.ndarray, cosine: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Of each row the k largest, ties by id; what is -inf or has the id -1 at the end is none."""
     if cosine.shape[1] > 4 * k:  # the k-th largest is a bound, kept with all that tie with it
         bound = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
@@ -124,7 +124,7 @@ def _pass(held, k: int, digits: int | None):
                         cosine[~np.stack([places[n] for n in block.names])] = -np.inf
                     ids = np.broadcast_to(b.column("id").take(pa.array(part)).to_numpy(zero_copy_only=False), cosine.shape)
                     was = best.get(dim)
-                    best[dim] = _best(np.hstack([was[0], ids]) if was else ids, np.hstack([was[1], cosine]) if was else cosine, k)
+                    best[dim] = best_of(np.hstack([was[0], ids]) if was else ids, np.hstack([was[1], cosine]) if was else cosine, k)
         for dim, (ids, cosine) in best.items():
             some = cosine > -np.inf
             qid = held.value[dim].ids.take(pa.array(np.repeat(np.arange(len(some)), some.sum(axis=1))))
