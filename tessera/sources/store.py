@@ -22,8 +22,8 @@ from pyspark.sql.types import StructType
 
 from tessera.sources.shared import gone, hadoop, stored
 
-#: How often a change is done again because others were faster.
-TRIES = 10
+#: How often a change is done again because others were faster. Keys of a change that are broadcast to its tables.
+TRIES, BROADCAST_KEYS = 10, 1_000_000
 
 
 class Conflict(Exception):
@@ -229,15 +229,21 @@ class Store:
     def _write(self, base: Snapshot, name: str, ready: _Ready) -> dict[str, str | None]:
         """The buckets that a change touches, written with it; a bucket left without rows has no folder."""
         keys = ready.changes.select(*map(_col, ready.layout.key))
+        few = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+        keys = F.broadcast(keys) if few else keys  # what stays isn't shuffled to be found
         left = base.table(name, ready.buckets).join(keys, list(ready.layout.key), "left_anti").select(*map(_col, ready.layout.schema.names))
-        at = self._dealt(left.unionByName(ready.rows), ready.layout)
+        if few and ready.only_gone:  # the files hold a bucket each: what stays of one is written as it is read
+            at = self._dealt(left, ready.layout, as_read=True)
+        else:
+            at = self._dealt(left.unionByName(ready.rows), ready.layout)
         return {str(b): at.get(b) for b in ready.buckets}
 
-    def _dealt(self, rows: DataFrame, layout: Layout) -> dict[int, str]:
+    def _dealt(self, rows: DataFrame, layout: Layout, as_read: bool = False) -> dict[int, str]:
         """Rows written by bucket into a folder of their own. A bucket is one file, or several where it is large."""
         folder, column = uuid.uuid4().hex, layout.column
         path = f"{self.root}/rows/{folder}"
-        rows.withColumn(column, layout.bucket()).hint("rebalance", column).write.partitionBy(column).parquet(path)
+        rows = rows.withColumn(column, layout.bucket())
+        (rows if as_read else rows.hint("rebalance", column)).write.partitionBy(column).parquet(path)
         fs, at = hadoop(self.spark, path)
         names = [s.getPath().getName().partition("=") for s in fs.listStatus(at)]
         return {int(b): folder for c, _, b in names if c == column}
@@ -289,9 +295,13 @@ class _Ready:
             changes = stored(both, "changes")
         return cls(layout, changes, _buckets(changes.select(layout.bucket())), flag)
 
+    @property
+    def only_gone(self) -> bool:
+        return any(n not in self.changes.columns for n in self.layout.schema.names)
+
     @property
     def rows(self) -> DataFrame:
         names = self.layout.schema.names
-        if any(n not in self.changes.columns for n in names):  # only keys go
+        if self.only_gone:
             return self.changes.sparkSession.createDataFrame([], self.layout.schema)
         return self.changes.where(_col(self.flag)).select(*map(_col, names))

@@ -214,3 +214,22 @@ def test_a_cascade_is_one_version(spark, root, monkeypatch):
     with pytest.raises(S.Conflict):
         kept.delete_documents(store, spark.createDataFrame([(2,)], "document_id long"))
     assert kept.tables(store.snapshot()).documents.count() == 1
+
+
+def test_a_delete_deals_nothing_anew(spark, root, monkeypatch):
+    store = Store.create(spark, root, {"t": layout()})
+    store.commit({"t": Change(rows(spark, [(i, str(i)) for i in range(200)]))})
+    dealt = Store._dealt
+    plans = []
+
+    def seen(self, some, lay, **more):
+        plans.append((some._jdf.queryExecution().executedPlan().toString(), more))
+        return dealt(self, some, lay, **more)
+
+    monkeypatch.setattr(Store, "_dealt", seen)
+    after = store.commit({"t": Change(gone=ids(spark, range(0, 200, 3)))})
+    assert plans[0][1] == {"as_read": True} and "Exchange hashpartitioning" not in plans[0][0]
+    assert held(after) == {i: str(i) for i in range(200) if i % 3}
+    monkeypatch.setattr(S, "BROADCAST_KEYS", 5)
+    assert held(store.commit({"t": Change(gone=ids(spark, range(100)))})) == {i: str(i) for i in range(100, 200) if i % 3}
+    assert plans[1][1] == {} and held(store.commit({"t": Change(gone=ids(spark, range(200)))})) == {}
