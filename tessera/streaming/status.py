@@ -42,9 +42,10 @@ def first_within(stream: DataFrame, keys: list[str], at: str = "ts", lasting: st
     return stream.withWatermark(at, lasting).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed(stream: DataFrame, length: str, slide: str | None = None, late: str = "1 day") -> DataFrame:
-    """Counts and sums of events by type in tumbling or sliding windows; later events than ``late`` are dropped."""
-    w = F.window("ts", length, slide) if slide else F.window("ts", length)
+def windowed(stream: DataFrame, length: str, slide: str | None = None, late: str = "1 day", start: str | None = None) -> DataFrame:
+    """Counts and sums of events by type in tumbling or sliding windows, which begin ``start`` after 1970 and whole slides;
+    later events than ``late`` are dropped."""
+    w = F.window("ts", length, slide, start)
     sums = stream.withWatermark("ts", late).groupBy(w.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return sums.select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
