@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -56,3 +57,34 @@ def test_a_search_opens_the_folders_of_its_terms(spark):
     some = index.blocks.where(F.col("shelf").isin([min(shelves)]))
     assert all(f"shelf={min(shelves)}/" in r.f for r in some.select(F.input_file_name().alias("f")).collect())
     index.release()
+
+
+def test_postings_are_shuffled_once_and_by_block(spark, monkeypatch):
+    plans, kept = {}, topk.stored
+
+    def noted(df, what, **more):
+        plans[what] = df._jdf.queryExecution().executedPlan().toString()
+        return kept(df, what, **more)
+
+    monkeypatch.setattr(topk, "stored", noted)
+    docs = corpus(300)
+    got, plain, _ = both(spark, docs, [(i, docs[i][1]) for i in range(20)], 3, size=8)
+    assert got == plain
+    dealt = {what: re.findall(r"\bExchange (\w+\(\w+)", plan) for what, plan in plans.items()}
+    assert [{x.split("#")[0] for x in dealt[what]} for what in ("bm25-blocks", "batch", "known", "more")] == [{"hashpartitioning(block"}] * 2 + [set()] * 2
+    assert [len(dealt[what]) for what in ("bm25-blocks", "batch")] == [1, 1]
+
+
+def test_ids_of_text_that_repeat_and_batches_searched_some_at_a_time(spark, monkeypatch):
+    docs = [(f"d{i % 150}", t) for i, t in corpus(200)]
+    docs, queries = spark.createDataFrame(docs, "doc_id string, text string"), spark.createDataFrame([(f"q{i}", docs[i][1]) for i in range(12)], "qid string, query string")
+    plain = bm25.search(bm25.Index.build(docs.groupBy("doc_id").agg(F.max("text").alias("text"))), queries, 4, 6).collect()
+    index = topk.BlockIndex.build(docs.groupBy("doc_id").agg(F.max("text").alias("text")), size=8)
+    monkeypatch.setattr(topk.bm25, "BROADCAST_TERMS", 60)
+    key = lambda rows: sorted((r.qid, r["rank"], r.id, round(r.score, 6)) for r in rows)
+    found = topk.search(index, queries, 4, 6, pilots=2)
+    assert key(found.rows.collect()) == key(plain)
+    assert found.read.where("stage = 'all'").count() == 12
+    twice, old = topk.BlockIndex.build(docs, size=8), bm25.terms(docs)
+    posts = twice.blocks.select("term", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p")).select(F.col("p.ids").alias("id"), "term", F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
+    assert sorted(map(tuple, posts.collect())) == sorted(map(tuple, old.select("id", "term", "tf", "dl").collect()))
