@@ -36,6 +36,8 @@ from tessera.sources.shared import gone, stored
 BLOCK, PILOTS, SLACK = 16, 12, 1e-9
 #: Folders that terms are dealt over, of which a search opens those of its terms.
 SHELVES = 64
+#: Characters of text that a task cuts into postings and sorts, at most about; with fewer cores busy, at least.
+MOST_TEXT, LEAST_TEXT = 16_000_000, 1_000_000
 
 
 def shelf(term: Column) -> Column:
@@ -60,7 +62,7 @@ class BlockIndex:
         held = texts.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(T.utf16_length(F.col("text"))), F.lit(1.0)).alias("mean")).first()
         block = F.pmod(F.xxhash64("id"), F.lit(max(1, -(-held["n"] // size))))
         share = S.term_score(F.col("tf"), F.col("dl"), F.lit(held["mean"]), F.lit(1), F.lit(1), F.lit(1)) / S.idf(F.lit(1), F.lit(1))
-        measured = texts.withColumn("block", block).repartition("block").select("block", "id", T.utf16_length("text").alias("dl"), T.analyze("text").alias("terms"))
+        measured = texts.withColumn("block", block).repartition(_tasks(docs.sparkSession, held["n"] * held["mean"]), "block").select("block", "id", T.utf16_length("text").alias("dl"), T.analyze("text").alias("terms"))
         each = measured.select("block", "id", "dl", F.explode("terms").alias("term")).groupBy("block", "id", "term").agg(F.count(F.lit(1)).cast("int").alias("tf"), F.max("dl").cast("int").alias("dl"))
         posts = F.collect_list(F.struct("id", "tf", "dl")).alias("posts")
         per = each.groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max(share).alias("most"), posts)
@@ -71,6 +73,11 @@ class BlockIndex:
         gone(self.blocks)
 
 
+def _tasks(spark, chars: float) -> int:
+    """A task's postings are to fit its memory, however large the table, so that sorting them spills nothing."""
+    return max(1, -int(-chars // MOST_TEXT), min(spark.sparkContext.defaultParallelism, -int(-chars // LEAST_TEXT)))
+
+
 @dataclass
 class Found:
     """``rows`` (qid, id, score, rank), and how many postings were scored (``read``) of how many that the queries' terms have

@@ -67,6 +67,7 @@ def test_postings_are_shuffled_once_and_by_block(spark, monkeypatch):
         return kept(df, what, **more)
 
     monkeypatch.setattr(topk, "stored", noted)
+    monkeypatch.setattr(topk, "LEAST_TEXT", 1000)  # several tasks for a small table
     docs = corpus(300)
     got, plain, _ = both(spark, docs, [(i, docs[i][1]) for i in range(20)], 3, size=8)
     assert got == plain
@@ -88,3 +89,9 @@ def test_ids_of_text_that_repeat_and_batches_searched_some_at_a_time(spark, monk
     twice, old = topk.BlockIndex.build(docs, size=8), bm25.terms(docs)
     posts = twice.blocks.select("term", F.explode(F.arrays_zip("ids", "tf", "dl")).alias("p")).select(F.col("p.ids").alias("id"), "term", F.col("p.tf").alias("tf"), F.col("p.dl").alias("dl"))
     assert sorted(map(tuple, posts.collect())) == sorted(map(tuple, old.select("id", "term", "tf", "dl").collect()))
+
+
+def test_a_task_of_the_index_has_a_bounded_text(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert [topk._tasks(spark, c) for c in (0, 5, 1_000_001, 2_000_000, 1e7)] == [1, 1, min(2, cores), min(2, cores), min(10, cores)]
+    assert topk._tasks(spark, 1.6e10) == 1000
